@@ -5,15 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import exact_dedup, lang_id
+from granary.llm import bpe, chat, exact_dedup, lang_id
 from granary.session import prepare, table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, installed with the workers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold(id_col: str, n: int):
     """crc32 of the id as text, mod n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.encode(table(prepare(spark), sf_dir, "documents"), file, pattern)
+    return bpe.decode(coded, file, pattern).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds the template's own control strings."""
+    said = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trick = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
+    )
+    made = chat.formatted(chat.threads(said.unionByName(trick)))
+    turns, learnt = chat.turns_of(F.col("formatted")), chat.masked(F.col("formatted"), F.col("loss"))
+    read = made.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
+    listing = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listing, 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+OP5_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+esc AS (
+  SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', '')) AS body FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + length(role) + 2 + body + 8) AS BIGINT) AS formatted_chars
+FROM esc GROUP BY conv_id
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = lang_id.fit(docs.filter(fold("doc_id", 4) != 2))
@@ -40,7 +89,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_chat_format": op5_chat_format,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
