@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, exact_dedup, lang_id
-from granary.session import prepare, table
+from granary.llm import bpe, chat, dac, exact_dedup, lang_id, packing, quality_crf
+from granary.session import prepare, shared_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,14 @@ def fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as directly addressable codes, read back from the file."""
+    path = shared_folder(prepare(spark))
+    dac.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    docs = dac.read(spark, path).select("part", "seq", "at", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return docs.join(dac.bases(spark, path), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +71,11 @@ FROM esc GROUP BY conv_id
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = lang_id.fit(docs.filter(fold("doc_id", 4) != 2))
@@ -77,6 +90,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: From this score on a document is predicted good.
+GOOD = 0.7
+
+
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality_crf.score(docs, quality_crf.fit(docs, labels.filter(fold("doc_id", 4) != 2)))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n
@@ -89,9 +112,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op2_token_codes": op2_token_codes,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_chat_format": op5_chat_format,
+    "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_crf": op10_quality_crf,
 }
 ORACLE_SQL = {"op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
