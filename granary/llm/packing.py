@@ -4,9 +4,8 @@ Windows of the longest size are cut off a document at once; what is left goes
 to the shortest tier that holds it. Tiers are packed from the longest: each
 piece opens a sequence of its tier's size, the gap takes the largest pieces of
 the shorter tiers that fit, and then a cut from a piece of the shortest tier. What ends
-up in no full sequence is cut into sequences of powers of two, a last few ids
-into one padded to the longest size. Sequences of one batch go, from the longest, into step
-groups of equal tokens.
+up in no full sequence is cut into sequences whose lengths are powers of two, so
+nothing is padded. Sequences of one batch go, from the longest, into step groups of equal tokens.
 
 Packing works where the rows lie, without a shuffle: a task packs batches of its own
 rows, and only ids of the task and a counter name sequences and step groups, so a task that
@@ -89,9 +88,9 @@ class Packer:
         return sorted(self.sequences, key=lambda s: -s[0])
 
     def split(self, pieces: list[Piece], total: int) -> None:
-        """The last, partly filled sequence, as full sequences of smaller tiers and one padded one."""
+        """The last, partly filled sequence, as full sequences whose sizes are powers of two."""
         rest = list(reversed(pieces))
-        for t in reversed(self.tiers):
+        for t in (1 << k for k in reversed(range(self.top.bit_length()))):
             if total >= t:
                 taken, gap = [], t
                 while gap:
@@ -103,8 +102,6 @@ class Packer:
                     gap -= use
                 self.sequences.append((t, taken))
                 total -= t
-        if total:
-            self.sequences.append((self.top, list(reversed(rest))))
 
 
 def pack(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step: int = STEP) -> DataFrame:

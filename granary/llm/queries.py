@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, dac, exact_dedup, lang_id, packing, quality_crf
+from granary.llm import bpe, chat, dac, exact_dedup, lang_id, near_vectors, packing, quality_crf
 from granary.session import prepare, shared_folder, table
 
 
@@ -21,6 +21,22 @@ def fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(prepare(spark), sf_dir, "embeddings"), threshold=0.93)
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp ON comp.a = e.vec_id
+"""
+
+
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as directly addressable codes, read back from the file."""
     path = shared_folder(prepare(spark))
@@ -112,6 +128,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_token_codes": op2_token_codes,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_chat_format": op5_chat_format,
@@ -120,4 +137,4 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_crf": op10_quality_crf,
 }
-ORACLE_SQL = {"op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_near_vectors": OP1_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
