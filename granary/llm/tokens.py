@@ -1,10 +1,12 @@
 """Token ids from public vocabulary files, inside tasks.
 
 LibraryEncoder uses the tokenizers library on a JSON file. A byte-level
-pre-token never runs from text into a following space, so a text cut before its
-spaces gives parts that encode independently, unless a space stands between
-white space; such texts go to the library whole. Parts repeat, so the ids of a
-bounded number of them are kept, and only new parts reach the library.
+pre-token never runs from text into a following space or line end, so a text cut
+before these gives parts that encode independently, unless three white-space
+characters (or the last two) stand together; such texts go to the library
+whole. Parts repeat, so the ids of a bounded number of them are kept, and only
+new parts reach the library; marks behind a word of letters are pre-tokens of
+their own and are kept apart from it.
 RankEncoder uses the tiktoken library on a rank file.
 """
 
@@ -13,13 +15,16 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
-#: A space between white space, or between white space and the end.
-TANGLED = re.compile(r"\s (?:\s|\Z)")
-#: Kept parts; at about 150 bytes each this bounds the memory of a worker.
-KEPT = 400_000
+#: Three white-space characters, or two at the end.
+TANGLED = re.compile(r"\s\s(?:\s|\Z)")
+#: Kept parts; at about 200 bytes each this bounds the memory of a worker.
+KEPT = 1_200_000
+#: Marks that end pre-tokens of letters (no apostrophe, for it may begin a short form).
+MARKS = ".,;:!?"
 
 
 class LibraryEncoder:
@@ -39,27 +44,31 @@ class LibraryEncoder:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(x.ids, "<u4").tobytes() for x in run(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        parts: list[list[str] | None] = [None] * len(texts)
-        tangled, kept = [], self.kept
-        for k, text in enumerate(texts):
-            if TANGLED.search(text):
-                tangled.append(k)
+    def learn(self, new: set[str]) -> None:
+        """Keep the ids of new parts."""
+        plain, marked = [], []
+        for part in new:
+            word = part.rstrip(MARKS)
+            if len(word) < len(part) and word[1:].isalpha() and (word[0] in " \n" or word[0].isalpha()):
+                marked.append((part, word, part[len(word) :]))
             else:
-                parts[k] = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-                if parts[k] is None:
-                    tangled.append(k)
-        for k, ids in zip(tangled, self.library([texts[k] for k in tangled]) if tangled else (), strict=True):
-            out[k] = ids
-        new = list({p for some in parts if some for p in some if p not in kept})
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-            new = list({p for some in parts if some for p in some})
-        if new:
-            kept.update(zip(new, self.library(new), strict=True))
-        get = kept.__getitem__
-        return [ids if some is None else b"".join(map(get, some)) for ids, some in zip(out, parts, strict=True)]
+                plain.append(part)
+        plain += {x for _, *some in marked for x in some if x not in self.kept and x not in new}
+        if plain:
+            self.kept.update(zip(plain, self.library(plain), strict=True))
+        self.kept.update((part, self.kept[word] + self.kept[marks]) for part, word, marks in marked)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if "\0" in t or TANGLED.search(t)]
+        out = dict(zip(whole, self.library([texts[k] for k in whole]) if whole else (), strict=True))
+        parts = {k: t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for k, t in enumerate(texts) if k not in out}
+        new = set(filterfalse(self.kept.__contains__, chain.from_iterable(parts.values())))
+        if len(self.kept) + len(new) > KEPT:
+            self.kept.clear()
+            new = set(chain.from_iterable(parts.values()))
+        self.learn(new)
+        get = self.kept.__getitem__
+        return [out[k] if k in out else b"".join(map(get, parts[k])) for k in range(len(texts))]
 
 
 class RankEncoder:
