@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, dac, exact_dedup, lang_id, near_vectors, packing, quality_crf
+from granary.llm import bpe, chat, dac, exact_dedup, lang_id, near_vectors, ngram_join, packing, quality_crf
 from granary.session import prepare, shared_folder, table
 
 
@@ -45,6 +45,10 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(dac.bases(spark, path), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(prepare(spark), sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -130,6 +134,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_token_codes": op2_token_codes,
+    "op3_ngram_join": op3_ngram_join,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
