@@ -108,7 +108,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return langs, np.vstack([logs, np.zeros((1, len(langs)))]), np.log(priors / priors.sum()) if langs else priors
 
 
-def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """id, kept columns, lang_pred, score (the posterior of the language chosen) for every row and whole text."""
     langs, logs, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logs, priors))
@@ -137,6 +137,6 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
                     lang[k] = names[b]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep)])
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep, *[text_col] * keep_text)])
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
     return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double")

@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model.train(np.concatenate(parts), np.concatenate([np.frombuffer(w) for _, w, _ in got]), np.array([len(b) for b in parts]), np.array([y for _, _, y in got]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """id, kept columns and score, the probability of label 1, for every row and whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.link, model.slope, model.shift))
 
@@ -236,5 +236,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = np.concatenate(out) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*batch.schema.names[1:], "score"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep)])
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep, *[text_col] * keep_text)])
     return rows.mapInArrow(work, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:]) + ", score double")

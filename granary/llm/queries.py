@@ -131,6 +131,12 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_near_vectors": op1_near_vectors,
     "op2_token_codes": op2_token_codes,
@@ -141,5 +147,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_crf": op10_quality_crf,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {"op1_near_vectors": OP1_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
