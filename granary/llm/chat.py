@@ -56,16 +56,11 @@ def pointers(nodes: DataFrame) -> list[DataFrame]:
     levels = [materialize(known.select("n.conv_id", "n.msg_id", F.col("p.msg_id").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("n.score").alias("total")))]
     most = max(1, levels[0].count()).bit_length() + 1
     while len(levels) <= most and not levels[-1].filter("up is not null").isEmpty():
-        a, b = levels[-1].alias("a"), levels[-1].alias("b")
-        far = a.join(b, on_message("a", "b", "up"), "left")
-        levels.append(
-            materialize(
-                far.select(
-                    "a.conv_id", "a.msg_id", F.col("b.up").alias("up"),
-                    (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
-                )
-            )
-        )
+        a, b = levels[-1].filter("up is not null").alias("a"), levels[-1].alias("b")
+        far = a.join(b, on_message("a", "b", "up")).select(
+            "a.conv_id", "a.msg_id", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")
+        )
+        levels.append(materialize(far.unionByName(levels[-1].filter("up is null"))))  # who has reached a root is done
     return levels
 
 
