@@ -1,4 +1,555 @@
-"""The registered catalogue queries and their SQL."""
+"""The registered catalogue queries and, beside each, the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import numeric, text
+from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, review, rules
+from granary.plans.projection import BASE, STEP2, purchases, step2
+from granary.session import prepare, table
+from granary.sources import exports
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+NOW = "2024-01-20 00:00:00"
+
+
+def query(sql: str | None = None):
+    """Register a query by its name, with its SQL."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(prepare(spark), sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return run
+
+    return put
+
+
+def real(c: str, places: int | None = None, name: str | None = None):
+    value = F.col(c).cast("double")
+    return (value if places is None else F.round(value, places)).alias(name or c)
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+
+
+EVENTS = "e AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+@query(f"""WITH {BASE}, s AS (SELECT pt_group, sum(grams) AS g, sum(grams * pct) AS p, count(*) AS n FROM base WHERE pct IS NOT NULL GROUP BY 1)
+SELECT g.pt_group, coalesce(s.g, 0) / 1000.0 AS volume_kg, coalesce(s.p, 0) / 100000.0 AS protein_kg, CAST(coalesce(n, 0) AS BIGINT) AS item_count
+FROM (VALUES ('plant_based_core'), ('plant_based_non_core'), ('composite_products'), ('animal_core')) AS g(pt_group) LEFT JOIN s USING (pt_group)""")
+def pt_run_groups(spark, sf_dir):
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
+    return protein.group_totals(rows).select("pt_group", real("volume_kg"), real("protein_kg"), "item_count")
+
+
+HEADLINE = """SELECT p / 100000.0 AS plant_protein_kg, a / 100000.0 AS animal_protein_kg, (p + a) / 100000.0 AS total_protein_kg,
+       round(100.0 * p / (p + a), 4) AS plant_share_pct, round(100.0 * a / (p + a), 4) AS animal_share_pct
+FROM (SELECT sum(CASE WHEN pt_group LIKE 'plant%' THEN 1.0 WHEN pt_group = 'composite_products' THEN 0.5 ELSE 0 END * grams * pct) AS p,
+             sum(CASE WHEN pt_group = 'animal_core' THEN 1.0 WHEN pt_group = 'composite_products' THEN 0.5 ELSE 0 END * grams * pct) AS a FROM base)"""
+
+
+@query(f"WITH {BASE} {HEADLINE}")
+def pt_headline_share(spark, sf_dir):
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
+    return protein.headline(rows).select(real("plant_protein_kg"), real("animal_protein_kg"), real("total_protein_kg"), real("plant_share_pct", 4), real("animal_share_pct", 4))
+
+
+@query(f"""WITH {BASE}, k AS (SELECT * FROM base WHERE pct IS NOT NULL)
+SELECT count(*) FILTER (product_id % 2 = 0) AS rows_label, count(*) FILTER (product_id % 2 <> 0) AS rows_reference, count(*) FILTER (pt_group = 'out_of_scope') AS out_of_scope_count,
+       count(*) FILTER (pt_group = 'unknown') AS unknown_count, CAST(0 AS BIGINT) AS enriched_count, CAST(0 AS BIGINT) AS rows_with_split,
+       (SELECT count(*) FROM base WHERE pct IS NULL) AS missing_protein_count FROM k""")
+def pt_quality_counters(spark, sf_dir):
+    products = protein.resolved(purchases(spark, sf_dir))
+    return protein.counters(products, protein.run_rows(products))
+
+
+@query(f"""WITH {BASE}, {STEP2},
+w AS (SELECT food_group, subgroup, grams AS g FROM base WHERE NOT is_composite UNION ALL SELECT food_group, subgroup, g FROM ingredient),
+s AS (SELECT food_group, sum(g) AS g, sum(CASE WHEN subgroup = 'cheese' THEN 10 * g ELSE g END) AS d FROM w GROUP BY 1)
+SELECT f.food_group, coalesce(g, 0) / 1000.0 AS weight_kg, CASE WHEN f.food_group = 'FG2' THEN coalesce(d, 0) / 1000.0 END AS weight_kg_dairy,
+       round(100.0 * coalesce(g, 0) / (SELECT sum(grams) FROM base), 4) AS share_pct, CAST(f.reference_share_pct AS DOUBLE) AS reference_share_pct
+FROM (VALUES ('FG1', 16), ('FG2', 19), ('FG3', 4), ('FG4', 39), ('FG5', 18), ('FG6', 4), ('FG7', NULL)) AS f(food_group, reference_share_pct) LEFT JOIN s USING (food_group)""")
+def wwf_food_group_share(spark, sf_dir):
+    rows = food_groups.run_rows(purchases(spark, sf_dir))
+    return food_groups.group_shares(rows, step2(spark, sf_dir)).select("food_group", real("weight_kg"), real("weight_kg_dairy"), real("share_pct", 4), real("reference_share_pct"))
+
+
+@query(f"""WITH {BASE} SELECT sum(grams) / 1000.0 AS composites_kg, sum(grams) FILTER (bucket = 'meat_based') / 1000.0 AS meat_based_kg, sum(grams) FILTER (bucket = 'seafood_based') / 1000.0 AS seafood_based_kg,
+ sum(grams) FILTER (bucket = 'vegetarian') / 1000.0 AS vegetarian_kg, sum(grams) FILTER (bucket = 'vegan') / 1000.0 AS vegan_kg FROM base WHERE is_composite""")
+def wwf_composite_buckets(spark, sf_dir):
+    totals = food_groups.bucket_totals(food_groups.run_rows(purchases(spark, sf_dir)))
+    return totals.select(*[real(c) for c in totals.columns])
+
+
+@query(f"""WITH {BASE}, {STEP2},
+w AS (SELECT food_group, subgroup, grams AS g FROM base WHERE NOT is_composite UNION ALL SELECT food_group, subgroup, g FROM ingredient),
+s AS (SELECT CASE WHEN food_group IN ('FG4', 'FG5', 'FG6') OR subgroup IN ('legumes', 'dairy_alternative_plant', 'plant_based_fat', 'plant_based_snack') THEN 'plant' ELSE 'animal' END AS side,
+             CASE WHEN subgroup = 'cheese' THEN 10 * g ELSE g END AS g FROM w),
+t AS (SELECT sum(g) FILTER (side = 'plant') AS p, sum(g) FILTER (side = 'animal') AS a FROM s)
+SELECT p / 1000.0 AS plant_kg, a / 1000.0 AS animal_kg, round(100.0 * p / (p + a), 4) AS plant_share_pct, round(100.0 * a / (p + a), 4) AS animal_share_pct FROM t""")
+def wwf_whole_diet_polarity(spark, sf_dir):
+    diet = food_groups.whole_diet(food_groups.run_rows(purchases(spark, sf_dir)), step2(spark, sf_dir))
+    return diet.select(real("plant_kg"), real("animal_kg"), real("plant_share_pct", 4), real("animal_share_pct", 4))
+
+
+@query(f"WITH {BASE}, {STEP2} SELECT product_id, food_group, subgroup, sum(g) / 1000.0 AS weight_kg, count(*) AS n_rows FROM ingredient GROUP BY ALL")
+def wwf_step2_distribution(spark, sf_dir):
+    parts = food_groups.ingredient_rows(food_groups.run_rows(purchases(spark, sf_dir)), step2(spark, sf_dir))
+    return parts.groupBy("product_id", "food_group", "subgroup").agg(F.sum("weight_kg").cast("double").alias("weight_kg"), F.count("*").alias("n_rows"))
+
+
+def year_of(df, year):
+    return df.filter((F.col("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
+
+
+@query(f"""WITH {BASE}, r AS (SELECT pt_group, year(l_shipdate) AS y, sum(grams * pct) AS v FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY ALL),
+j AS (SELECT g AS pt_group, coalesce((SELECT v FROM r WHERE pt_group = g AND y = 1996), 0) / 100000.0 AS before, coalesce((SELECT v FROM r WHERE pt_group = g AND y = 1997), 0) / 100000.0 AS after
+      FROM (VALUES ('plant_based_core'), ('plant_based_non_core'), ('composite_products'), ('animal_core')) AS x(g))
+SELECT pt_group, before, after, round(after - before, 4) AS delta, CASE WHEN after - before > 0.1 THEN 'up' WHEN after - before < -0.1 THEN 'down' ELSE 'flat' END AS direction FROM j""")
+def run_comparison_pt(spark, sf_dir):
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
+    runs = [protein.group_totals(year_of(rows, y)).select("pt_group", real("protein_kg")) for y in (1996, 1997)]
+    return comparison.compared(*runs, "pt_group", "protein_kg").select("pt_group", "before", "after", real("delta", 4), "direction")
+
+
+@query(f"""WITH {BASE}, r AS (SELECT food_group, year(l_shipdate) AS y, sum(grams) AS v FROM base WHERE NOT is_composite GROUP BY ALL),
+j AS (SELECT coalesce(a.food_group, b.food_group) AS food_group, coalesce(a.v, 0) / 1000.0 AS before, coalesce(b.v, 0) / 1000.0 AS after
+      FROM (SELECT * FROM r WHERE y = 1996) a FULL JOIN (SELECT * FROM r WHERE y = 1997) b USING (food_group))
+SELECT food_group, before, after, round(after - before, 4) AS delta, CASE WHEN after - before > 0.001 THEN 'up' WHEN after - before < -0.001 THEN 'down' ELSE 'flat' END AS direction FROM j""")
+def run_comparison_wwf(spark, sf_dir):
+    parts = food_groups.run_rows(purchases(spark, sf_dir)).filter("not is_composite")
+    runs = [year_of(parts, y).groupBy("food_group").agg(F.sum("weight_kg").cast("double").alias("kg")) for y in (1996, 1997)]
+    return comparison.compared(*runs, "food_group", "kg", comparison.MOVED_FRACTION).select("food_group", "before", "after", real("delta", 4), "direction")
+
+
+@query(f"""WITH {BASE}, g AS (SELECT pt_group, sum(grams * pct) / 100000.0 AS b FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY 1),
+d AS (SELECT 'animal_core' AS pt_group, -0.2 * b AS d FROM g WHERE pt_group = 'animal_core' UNION ALL SELECT 'plant_based_core', 0.2 * b FROM g WHERE pt_group = 'animal_core'
+      UNION ALL SELECT 'plant_based_non_core', 0.1 * b FROM g WHERE pt_group = 'plant_based_non_core' UNION ALL SELECT 'composite_products', -0.5 * b FROM g WHERE pt_group = 'composite_products')
+SELECT pt_group, round(b, 4) AS base_kg, round(greatest(0, b + coalesce((SELECT sum(d) FROM d WHERE d.pt_group = g.pt_group), 0)), 4) AS projected_kg,
+       CASE WHEN pt_group = 'composite_products' THEN 0.7 WHEN pt_group LIKE 'plant%' THEN 1.0 ELSE 0.0 END :: DOUBLE AS plant_fraction FROM g""")
+def scenario_projection(spark, sf_dir):
+    groups = protein.group_totals(protein.run_rows(protein.resolved(purchases(spark, sf_dir))))
+    operations = spark.createDataFrame(
+        [(1, "shift", "animal_core", "plant_based_core", 20.0), (2, "increase", None, "plant_based_non_core", 10.0), (3, "reduce", None, "composite_products", 50.0), (4, "split", None, None, 60.0), (5, "split", None, None, 70.0)],
+        "op_order int, kind string, source_group string, target_group string, pct double",
+    )
+    return comparison.scenario(groups, operations).select("pt_group", real("base_kg", 4), real("projected_kg", 4), "plant_fraction")
+
+
+def records(spark, sf_dir):
+    """Enrichment records: a source and a value for each order line of a part."""
+    source = F.element_at(F.array(*map(F.lit, enrichment.PRIORITY)), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    nutrient = F.element_at(F.array(*map(F.lit, ["protein", "plant_protein", "animal_protein"])), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("product_id"), source.alias("source"), nutrient.alias("nutrient"), F.col("l_quantity").alias("value"), F.col("l_shipdate").alias("created_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), (F.col("l_suppkey") % 4).alias("prio")
+    )
+
+
+RECORDS = """rec AS (SELECT l_partkey AS product_id, l_suppkey % 4 AS prio, CASE l_suppkey % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'reference_a' WHEN 2 THEN 'reference_b' ELSE 'category_average' END AS source,
+ CASE l_linenumber % 3 WHEN 0 THEN 'protein' WHEN 1 THEN 'plant_protein' ELSE 'animal_protein' END AS nutrient, l_quantity AS value, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS record_id FROM lineitem)"""
+
+
+@query(f"""WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM rec WHERE nutrient = 'protein'),
+s AS (SELECT product_id, source, max(CASE WHEN nutrient = 'plant_protein' THEN created_at END) AS last_plant FROM rec GROUP BY ALL)
+SELECT b.product_id, b.source, b.value, b.record_id, s.last_plant IS NOT NULL AS has_plant FROM b LEFT JOIN s USING (product_id, source) WHERE n = 1""")
+def enrichment_best_source(spark, sf_dir):
+    all_ = records(spark, sf_dir)
+    best = enrichment.best_record(all_.filter("nutrient = 'protein'"))
+    with_ = enrichment.with_siblings(best.select("product_id", "source", "value", "record_id"), all_)
+    return with_.select("product_id", "source", "value", "record_id", F.col("plant_protein").isNotNull().alias("has_plant"))
+
+
+@query("""WITH m AS (SELECT p_brand AS food_group, avg(p_size) AS m, count(p_size) AS n FROM part GROUP BY 1)
+SELECT food_group, round_even(m, 4) AS avg_value, n, (SELECT p_partkey FROM part WHERE p_brand = food_group ORDER BY abs(p_size - m), p_partkey LIMIT 1) AS representative FROM m""")
+def enrichment_group_average(spark, sf_dir):
+    foods = table(spark, sf_dir, "part").select(F.col("p_brand").alias("food_group"), F.col("p_size").cast("double").alias("value"), F.col("p_partkey").alias("code"))
+    return enrichment.group_averages(foods)
+
+
+@query("""WITH r AS (SELECT lower(trim(p_name)) AS k, max(p_partkey) AS code FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+SELECT p_partkey AS product_id, r.code AS ref_code, CASE WHEN r.code IS NOT NULL THEN 'name_en' END AS matched_on FROM part LEFT JOIN r ON r.k = lower(trim(p_name))""")
+def reference_exact_match(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    reference = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("code"), F.col("p_size").alias("value"), F.upper("p_name").alias("name_en"), F.lit(None).cast("string").alias("name_nl"), F.col("p_partkey").alias("ord"))
+    found = matching.exact_match(part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")), reference)
+    return found.select("product_id", "ref_code", "matched_on")
+
+
+@query("""WITH t AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(translate(lower(text), 'àâäçéèêëîïñóôöùúûüíáì', 'aaaceeeeiinooouuuuiai'), '[^a-z0-9]+'),
+   lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'with', 'without', 'for', 'avec', 'sans', 'des', 'les', 'aux', 'van', 'met', 'een', 'het', 'raw', 'average', 'prepared')))) AS w
+   FROM (SELECT item_id, replace(text, 'ß', 'ss') AS text FROM benchmark)),
+p AS (SELECT a.item_id AS left_id, b.item_id AS right_id, count(*) AS score FROM t a JOIN t b USING (w) WHERE a.item_id <> b.item_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM p)
+SELECT left_id, right_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def fuzzy_token_match_topk(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    a = items.select(F.col("item_id").alias("left_id"), F.col("text").alias("left_text"))
+    b = items.select(F.col("item_id").alias("right_id"), F.col("text").alias("right_text"))
+    near = matching.token_matches(a, b, 4).filter("left_id <> right_id")
+    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("left_id", "right_id", "score", "rank")
+
+
+VECTORS = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label AS q_label FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS ref_id, q_label, label, list_cosine_similarity(q, CAST(embedding AS DOUBLE[])) AS similarity FROM q, embeddings WHERE vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ref_id) AS rank FROM s)"""
+
+
+def neighbours(spark, sf_dir, k):
+    """The nearest vectors of every vector whose id is divisible by 50, in blocks of queries."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    top = matching.vector_top_k(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("r")), k + 1, 100_000).filter("query_id <> ref_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id")
+    return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+@query(f"WITH {VECTORS} SELECT query_id, ref_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def vector_topk(spark, sf_dir):
+    return neighbours(spark, sf_dir, 5).select("query_id", "ref_id", real("similarity", 6), "rank")
+
+
+@query(f"""WITH {VECTORS}, a AS (SELECT *, CASE WHEN ref_id % 11 = 0 THEN 'qualifier_trap' WHEN ref_id % 13 = 0 THEN 'composite_reject' WHEN q_label = label AND similarity >= 0.90 THEN 'accepted' WHEN similarity >= 0.6 THEN 'proxy_review' ELSE 'abstain' END AS action FROM r WHERE rank <= 20),
+p AS (SELECT query_id, arg_min(ref_id, rank) FILTER (action = 'accepted') AS hit, arg_min(ref_id, rank) FILTER (action = 'proxy_review' AND similarity >= 0.8) AS proxy FROM a GROUP BY 1)
+SELECT query_id, coalesce(hit, proxy) AS ref_id, CASE WHEN hit IS NOT NULL THEN 'accepted' WHEN proxy IS NOT NULL THEN 'proxy' ELSE 'no_match' END AS outcome FROM p""")
+def first_accept_gate(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    near = neighbours(spark, sf_dir, 20).join(labels.withColumnsRenamed({"id": "query_id", "label": "a"}), "query_id").join(labels.withColumnsRenamed({"id": "ref_id", "label": "b"}), "ref_id")
+    return matching.first_accept(near.withColumn("action", matching.gate(F.col("similarity"), F.col("a") == F.col("b"), F.col("ref_id") % 11 == 0, F.col("ref_id") % 13 == 0)))
+
+
+RULES = [
+    {"id": "r1", "priority": 10, "category": "round", "when": {"name_or_category_contains": ["ring", "gear"]}},
+    {"id": "r2", "priority": 20, "category": "round", "when": {"all_of": [{"name_or_category_contains": "red"}, {"brand_in": ["brand#1", "brand#2", "brand#3"]}]}},
+    {"id": "r3", "priority": 5, "category": "flat", "when": {"any_of": [{"name_or_category_contains": ["widget"]}, {"brand_in": ["brand#5"]}]}},
+    {"id": "r4", "priority": 1, "category": "flat", "when": {"all_of": []}},
+]
+
+
+def part_products(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("retailer_category"), F.lit(None).cast("string").alias("retailer_subcategory"), "p_size")
+
+
+@query("""WITH h AS (SELECT p_partkey AS product_id, lower(p_name || ' ' || p_type || ' ') AS t, lower(p_brand) AS b FROM part),
+f AS (SELECT product_id, contains(t, 'widget') OR b = 'brand#5' AS r3, contains(t, 'ring') OR contains(t, 'gear') AS r1, contains(t, 'red') AND b IN ('brand#1', 'brand#2', 'brand#3') AS r2 FROM h)
+SELECT product_id, CASE WHEN NOT r1 AND NOT r2 AND NOT r3 THEN 'pass_through' WHEN r3 AND (r1 OR r2) THEN 'collision' ELSE 'matched' END AS verdict,
+       CASE WHEN r3 AND NOT (r1 OR r2) THEN 'flat' WHEN NOT r3 AND (r1 OR r2) THEN 'round' END AS category,
+       concat_ws(',', CASE WHEN r3 THEN 'r3' END, CASE WHEN r1 THEN 'r1' END, CASE WHEN r2 THEN 'r2' END) AS rule_ids FROM f""")
+def rule_verdicts(spark, sf_dir):
+    return rules.verdicts(part_products(spark, sf_dir), RULES).select("product_id", "verdict", "category", "rule_ids")
+
+
+ANIMAL_WORDS = ["the", "ing", "eau", "sch", "que"]
+
+
+@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'eau') THEN 'eau' WHEN contains(lower(text), 'ing') THEN 'ing' WHEN contains(lower(text), 'que') THEN 'que' WHEN contains(lower(text), 'sch') THEN 'sch' WHEN contains(lower(text), 'the') THEN 'the' END AS note
+FROM documents WHERE lang IN ('en', 'fr')""")
+def contradiction_flags(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr"))
+    return docs.select("doc_id", rules.contradiction(F.array(F.lit("Vegan")), F.col("text"), ANIMAL_WORDS).alias("note"))
+
+
+@query(r"""SELECT p_partkey AS product_id, CASE WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(ring|gear)s?($|[^a-z0-9])') THEN 'round' WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(widget|plate)s?($|[^a-z0-9])') THEN 'flat'
+ WHEN p_size % 2 = 0 THEN 'even' ELSE 'other' END AS family, p_size % 2 = 0 OR regexp_matches(p_name, '(?i)(^|[^a-z0-9])(ring|gear)s?($|[^a-z0-9])') AS fits_round FROM part""")
+def family_first_match(spark, sf_dir):
+    name = F.col("product_name")
+    of = text.first_match([("round", text.any_word(name, ["ring", "gear"])), ("flat", text.any_word(name, ["widget", "plate"])), ("even", F.col("p_size") % 2 == 0)], "other")
+    rows = part_products(spark, sf_dir).withColumn("family", of)
+    fits = matching.compatible(F.col("family"), F.lit("round"), []) | (F.col("p_size") % 2 == 0)
+    return rows.select("product_id", "family", fits.alias("fits_round"))
+
+
+def dirty(spark, sf_dir):
+    """Order lines written loosely: decimal commas, thousands, blanks, words, wrong units."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    n = F.col("l_partkey") % 7
+    weight = F.when(n == 0, F.concat("q", F.lit(",5"))).when(n == 1, F.lit("abc")).when(n == 2, F.lit(" ")).when(n == 3, F.lit("0")).when(n == 4, F.lit("60000")).otherwise(F.col("q").cast("string"))
+    return line.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number"), F.when(F.col("l_partkey") % 5 != 0, F.concat(F.lit(" part "), F.col("l_partkey").cast("string"))).alias("product_name"),
+        F.col("l_partkey").cast("string").alias("external_product_id"), weight.alias("weight_per_item_g"), F.when(n == 5, "1.5").alias("weight_per_item_kg"), F.concat("q", F.lit(".5")).alias("items_purchased"),
+    )
+
+
+@query("""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS r, l_partkey % 5 = 0 AS noname, l_partkey % 7 AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+x AS (SELECT r, 'error' AS kind, 'product_name' AS field, 'required' AS code FROM d WHERE noname
+ UNION ALL SELECT r, 'error', 'weight', CASE n WHEN 1 THEN 'invalid_type' WHEN 2 THEN 'missing_weight' WHEN 3 THEN 'weight_non_positive' WHEN 4 THEN 'weight_too_large' ELSE 'mixed_weight_units' END FROM d WHERE n BETWEEN 1 AND 5
+ UNION ALL SELECT r, 'warning', 'weight', 'light_item' FROM d WHERE (n = 0 AND q + 0.5 < 5) OR (n = 6 AND q < 5)
+ UNION ALL SELECT r, 'warning', 'items_purchased', 'fraction_cut' FROM d)
+SELECT kind, field, code, count(DISTINCT r) AS n_rows FROM x GROUP BY ALL""")
+def ingest_validation(spark, sf_dir):
+    return ingest.report(ingest.parse(dirty(spark, sf_dir)))
+
+
+@query("""SELECT p_partkey AS product_id, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 0.001 WHEN 1 THEN p_size * 0.45359237 WHEN 2 THEN p_size * 0.028349523125 ELSE p_size * 1.0 END, 6) AS weight_kg,
+ CASE p_partkey % 4 WHEN 1 THEN CASE WHEN p_size * 0.45359237 > 50 THEN 'weight_too_large' END END AS weight_code, round(CASE WHEN p_partkey % 2 = 0 THEN p_size / 4.0 ELSE p_size * 100 / 80.0 END, 6) AS protein_pct FROM part""")
+def unit_normalisation(spark, sf_dir):
+    size, n = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    kg, code = numeric.weight_kg(g=F.when(n == 0, size), lb=F.when(n == 1, size), oz=F.when(n == 2, size), kg=F.when(n == 3, size))
+    none = F.lit(None).cast("string")
+    pct, _ = numeric.protein_pct(none, F.when(n % 2 == 0, size), F.when(n % 2 == 0, "4"), F.when(n % 2 == 1, size), F.when(n % 2 == 1, "80"))
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), kg.alias("weight_kg"), code.alias("weight_code"), pct.alias("protein_pct"))
+    return made.select("product_id", real("weight_kg", 6), "weight_code", real("protein_pct", 6))
+
+
+@query("""WITH d AS (SELECT l_partkey % 3 = 0 AS no_pt, l_partkey % 4 = 0 AS no_sold, l_returnflag = 'R' AS no_channel, l_discount = 0 AS no_protein FROM lineitem)
+SELECT concat_ws(',', CASE WHEN NOT no_sold AND NOT no_channel THEN 'food_groups' END, CASE WHEN NOT no_pt THEN 'protein_tracker' END) AS methodologies,
+ concat_ws(',', CASE WHEN no_pt THEN 'missing_items_purchased' END, CASE WHEN no_sold THEN 'missing_items_sold' END, CASE WHEN no_channel THEN 'missing_channel' END,
+   CASE WHEN no_pt AND (no_sold OR no_channel) THEN 'no_methodology_satisfiable' END, CASE WHEN NOT no_pt AND no_protein THEN 'enrichment_needed' END) AS notes, count(*) AS n FROM d GROUP BY ALL""")
+def methodology_downgrade(spark, sf_dir):
+    p = purchases(spark, sf_dir)
+    some = p.withColumn("items_purchased", F.when(F.col("product_id") % 3 != 0, F.col("items_purchased"))).withColumn("items_sold", F.when(F.col("product_id") % 4 != 0, F.col("items_sold")))
+    some = some.withColumn("retail_channel", ingest.channel(F.when(F.col("l_returnflag") == "A", "Frais").when(F.col("l_returnflag") == "N", "  FROZEN ").otherwise("moon")))
+    return ingest.satisfiable(some).groupBy(F.concat_ws(",", "methodologies").alias("methodologies"), F.concat_ws(",", "notes").alias("notes")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT p_brand AS source, CASE p_type WHEN 'ECONOMY' THEN 'plant_based_core' WHEN 'STANDARD' THEN 'plant_based_non_core' WHEN 'MEDIUM' THEN 'composite_products' WHEN 'LARGE' THEN 'animal_core' WHEN 'PROMO' THEN 'out_of_scope' ELSE 'unknown' END AS pt_group FROM part WHERE p_size > 10)
+SELECT 'source' AS facet, source AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'pt_group', pt_group, count(*) FROM c GROUP BY ALL""")
+def classification_facets(spark, sf_dir):
+    p = part_classes(spark, sf_dir).filter("p_size > 10")
+    return coverage.facets(p, "source", "pt_group")
+
+
+def part_classes(spark, sf_dir):
+    from granary.plans.projection import PT_GROUP
+
+    group = F.lit("unknown")
+    for kind, g in PT_GROUP.items():
+        group = F.when(F.col("p_type") == kind, g).otherwise(group)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("source"), group.alias("pt_group"), "p_size")
+
+
+@query("""SELECT p_partkey AS product_id, false AS any_counts FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO') OR p_size % 3 = 0
+UNION ALL SELECT p_partkey, true FROM part WHERE p_size % 3 = 0""")
+def eligibility_anti_join(spark, sf_dir):
+    every = part_classes(spark, sf_dir)
+    have = every.filter("p_size % 3 <> 0")
+    strict = coverage.unclassified(every, have).select("product_id", F.lit(False).alias("any_counts"))
+    return strict.unionByName(coverage.unclassified(every, have, True).select("product_id", F.lit(True).alias("any_counts")))
+
+
+@query(f"""WITH {BASE}, c AS (SELECT product_id, any_value(pt_group) AS g, bool_or(pct IS NULL) AS lacks FROM base GROUP BY 1), {EVENTS}, r AS (SELECT DISTINCT user_id FROM e WHERE event_type = 'error')
+SELECT count(*) AS n_products, count(*) FILTER (g <> 'unknown') AS n_classified, count(*) FILTER (lacks) AS n_missing, count(*) FILTER (product_id IN (SELECT user_id FROM r)) AS n_in_review FROM c""")
+def workflow_counts(spark, sf_dir):
+    products = purchases(spark, sf_dir).groupBy("product_id").agg(F.any_value("pt_group").alias("g"), F.bool_or(F.col("protein_pct").isNull()).alias("lacks"))
+    queued = events(spark, sf_dir).filter("event_type = 'error'").select(F.col("user_id").alias("product_id"), F.lit(True).alias("queued")).distinct()
+    joined = products.join(queued, "product_id", "left")
+    return joined.agg(F.count("*").alias("n_products"), F.count_if(F.col("g") != "unknown").alias("n_classified"), F.count_if("lacks").alias("n_missing"), F.count_if(F.coalesce("queued", F.lit(False))).alias("n_in_review"))
+
+
+@query(f"""WITH {BASE}, t AS (SELECT count(*) AS n_rows, count(*) FILTER (pt_group <> 'unknown') AS n_classified, count(pct) AS n_protein, count(*) FILTER (pt_group = 'out_of_scope') AS n_out_of_scope, sum(grams) AS v, sum(grams) FILTER (pct IS NOT NULL) AS vp FROM base)
+SELECT n_rows, n_classified, n_protein, n_out_of_scope, round(100.0 * n_classified / n_rows, 2) AS classified_pct, round(100.0 * n_protein / n_rows, 2) AS protein_pct, round(100.0 * vp / v, 1) AS volume_pct,
+ CASE WHEN 100.0 * n_classified / n_rows >= 95 AND 100.0 * n_protein / n_rows >= 95 THEN 'low' WHEN 100.0 * n_classified / n_rows >= 80 AND 100.0 * n_protein / n_rows >= 80 THEN 'medium' ELSE 'high' END AS uncertainty FROM t""")
+def coverage_uncertainty(spark, sf_dir):
+    p = purchases(spark, sf_dir).withColumn("volume_kg", numeric.q8(F.col("items_purchased") * F.col("weight_per_item_kg")))
+    return coverage.coverage(p).drop("volume", "volume_with_protein")
+
+
+@query(f"""WITH {BASE}, s AS (SELECT product_id, any_value(p_name) AS product_name, CASE WHEN any_value(pt_group) LIKE 'plant%' THEN 'positive' WHEN any_value(pt_group) = 'animal_core' THEN 'watch_out' END AS side, sum(grams * pct) AS p FROM base WHERE pct IS NOT NULL GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY p DESC, product_id) AS rank FROM s WHERE side IS NOT NULL)
+SELECT product_id, product_name, side, p / 100000.0 AS protein_kg, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def top_contributors(spark, sf_dir):
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
+    per = rows.groupBy("product_id").agg(F.any_value("product_name").alias("product_name"), F.any_value("pt_group").alias("g"), F.sum("full_protein_kg").alias("protein_kg"))
+    side = F.when(F.col("g").startswith("plant"), "positive").when(F.col("g") == "animal_core", "watch_out")
+    return coverage.contributors(per, side, "protein_kg").select("product_id", "product_name", "side", real("protein_kg"), "rank")
+
+
+@query(f"""WITH {BASE}, t AS (SELECT 100.0 * sum(CASE WHEN pt_group LIKE 'plant%' THEN 1.0 WHEN pt_group = 'composite_products' THEN 0.5 ELSE 0 END * grams * pct) / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS plant,
+ 100.0 * sum(grams * pct) FILTER (pt_group = 'composite_products') / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS comp, 100.0 * count(*) FILTER (pt_group = 'unknown') / count(*) AS unk,
+ 100.0 * sum(grams * pct) FILTER (pt_group = 'plant_based_core') / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS core FROM base WHERE pct IS NOT NULL)
+SELECT 0 AS generation, 'increase_plant' AS action_type, round(plant, 4) AS measured, 40.0 :: DOUBLE AS threshold FROM t WHERE plant < 40 UNION ALL SELECT 1, 'grow_core_range', round(core, 4), 30.0 FROM t WHERE core < 30
+UNION ALL SELECT 2, 'split_composites', round(comp, 4), 30.0 FROM t WHERE comp > 30 UNION ALL SELECT 3, 'classify_unknown', round(unk, 4), 5.0 FROM t WHERE unk > 5""")
+def recommendations(spark, sf_dir):
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
+    of = lambda g: F.sum(F.when(F.col("pt_group") == g, F.col("protein_kg")))
+    sums = rows.agg(F.sum("protein_kg").alias("t"), of("composite_products").alias("c"), of("plant_based_core").alias("k"), F.count_if(F.col("pt_group") == "unknown").alias("u"), F.count("*").alias("n"))
+    share = lambda a, b: F.try_divide(F.col(a).cast("double") * 100, F.col(b).cast("double"))
+    summary = protein.headline(rows).select("plant_share_pct").crossJoin(sums.select(share("c", "t").alias("composite_share_pct"), share("u", "n").alias("unknown_share_pct"), share("k", "t").alias("core_share_pct")))  # one row each
+    return comparison.recommendations(summary).select("generation", "action_type", real("measured", 4), "threshold")
+
+
+REASON = "CASE event_type WHEN 'error' THEN 'contradiction' WHEN 'purchase' THEN 'collision' WHEN 'signup' THEN 'low_confidence' WHEN 'click' THEN 'missing_nutrition' ELSE 'other' END"
+
+
+def queue(spark, sf_dir):
+    reason = F.when(F.col("event_type") == "error", "contradiction").when(F.col("event_type") == "purchase", "collision").when(F.col("event_type") == "signup", "low_confidence").when(F.col("event_type") == "click", "missing_nutrition").otherwise("other")
+    return events(spark, sf_dir).select("event_id", "ts", "user_id", "value", "k", reason.alias("reason"), review.weight(reason).alias("w")).withColumn("priority", review.priority(F.col("w")))
+
+
+@query(f"""WITH {EVENTS}, q AS (SELECT event_id, {REASON} AS reason, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS w, ts FROM e WHERE user_id % 2 = 0)
+SELECT event_id, reason, w, CASE WHEN w >= 4 THEN 'P0' WHEN w = 3 THEN 'P1' WHEN w = 2 THEN 'P2' ELSE 'P3' END AS priority FROM q ORDER BY w DESC, ts, event_id LIMIT 50 OFFSET 10""")
+def review_queue_sorted(spark, sf_dir):
+    return review.page(queue(spark, sf_dir).filter("user_id % 2 = 0"), 10, 50, F.desc("w"), "ts", "event_id").select("event_id", "reason", "w", "priority")
+
+
+STATE = "CASE k % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_review' WHEN 2 THEN 'accepted' WHEN 3 THEN 'changed' ELSE 'deferred' END"
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT *, {STATE} AS state FROM e), p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'pending') AS previous FROM s),
+v AS (SELECT *, previous || '>' || state IN ('pending>in_review', 'in_review>accepted', 'in_review>changed', 'in_review>deferred', 'deferred>pending', 'accepted>pending', 'changed>pending') AS valid FROM p)
+SELECT user_id, arg_max(state, (ts, event_id)) AS state, max(event_id) FILTER (valid) AS last_valid, count(*) FILTER (valid) AS n_valid FROM v GROUP BY 1""")
+def review_state_latest(spark, sf_dir):
+    states = F.element_at(F.array(*map(F.lit, ["pending", "in_review", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
+    checked = review.checked_transitions(events(spark, sf_dir).withColumn("state", states), ["user_id"], ["ts", "event_id"])
+    last = review.latest(checked, ["user_id"], ["ts", "event_id"], ["state"])
+    return last.join(checked.groupBy("user_id").agg(F.max(F.when(F.col("valid"), F.col("event_id"))).alias("last_valid"), F.count_if("valid").alias("n_valid")), "user_id")
+
+
+@query(f"WITH {EVENTS} SELECT user_id, max(event_id) AS event_id FROM e WHERE event_type NOT IN ('purchase', 'signup') AND ts < TIMESTAMP '{NOW}' - INTERVAL 30 MINUTES GROUP BY 1")
+def stale_jobs(spark, sf_dir):
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "signup", "failed").otherwise("running")
+    jobs = events(spark, sf_dir).select("user_id", "event_id", status.alias("status"), F.col("ts").alias("updated_at"))
+    return review.stale(jobs, F.lit(NOW).cast("timestamp")).groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT user_id AS item, arg_max(k, (ts, k)) AS holder, max(ts) AS ts FROM e WHERE event_type = 'click' GROUP BY 1)
+SELECT item, holder, epoch_us(ts + INTERVAL 15 MINUTES) AS expires_us, ts + INTERVAL 15 MINUTES > TIMESTAMP '{NOW}' AS held FROM l""")
+def lease_expiry(spark, sf_dir):
+    from granary.streaming.limits import leases
+
+    claims = events(spark, sf_dir).filter("event_type = 'click'").select(F.col("user_id").alias("item"), F.col("k").alias("holder"), "ts")
+    return leases(claims, F.lit(NOW).cast("timestamp")).select("item", "holder", F.unix_micros("expires").alias("expires_us"), "held")
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, n_before, n_before < 2 AS below_limit FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) - 1 AS n_before FROM e)""")
+def rate_limit_candidates(spark, sf_dir):
+    """Requests of the last hour before each: a bound of the stateful limit, which counts accepted ones only."""
+    last = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-3_600_000_000, 0)
+    return events(spark, sf_dir).select("event_id", (F.count("*").over(last) - 1).alias("n_before")).withColumn("below_limit", F.col("n_before") < 2)
+
+
+@query("""SELECT substr(sha1(lower(trim(source)) || '|' || lower(trim(lang))), 1, 16) AS key, count(*) AS group_size, min(doc_id) AS first_id, sum(doc_id) :: BIGINT AS id_sum FROM documents GROUP BY 1""")
+def dedupe_canonical_key(spark, sf_dir):
+    found = evaluation.canonical_groups(table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id")
+    return found.select("key", "group_size", "first_id", F.aggregate("member_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+@query("""WITH c AS (SELECT quality AS expected, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS predicted, n_chars > 500 AS accepted FROM labels JOIN documents USING (doc_id)),
+t AS (SELECT count(*) AS n_cases, count(*) FILTER (expected = predicted) AS r, count(*) FILTER (accepted) AS a, count(*) FILTER (accepted AND expected = predicted) AS ar FROM c)
+SELECT n_cases, round(r / n_cases, 6) AS accuracy, round(ar / a, 6) AS accepted_accuracy, round(1 - round(a / n_cases, 6), 6) AS review_rate, a - ar AS wrong_accepted FROM t""")
+def eval_metrics(spark, sf_dir):
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evaluation.classification_metrics(joined.select(F.col("quality").alias("expected"), (F.col("n_chars") > 800).cast("int").alias("predicted"), (F.col("n_chars") > 500).alias("accepted")))
+
+
+@query(f"""WITH {VECTORS}, f AS (SELECT query_id, min(rank) FILTER (q_label = label AND rank <= 20) AS rank FROM r GROUP BY 1)
+SELECT count(*) AS n_cases, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS coverage, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_5,
+ round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_at_10, round(avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0 END), 6) AS recall_at_20, round(avg(rank), 6) AS mean_rank FROM f""")
+def eval_delta(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    near = neighbours(spark, sf_dir, 20).join(labels.withColumnsRenamed({"id": "query_id", "label": "a"}), "query_id").join(labels.withColumnsRenamed({"id": "ref_id", "label": "b"}), "ref_id")
+    return evaluation.retrieval_metrics(near.groupBy("query_id").agg(F.min(F.when(F.col("a") == F.col("b"), F.col("rank"))).alias("rank")))
+
+
+@query("""WITH x AS (SELECT CASE WHEN label % 2 = 0 THEN label END AS a, CASE WHEN vec_id % 3 <> 0 THEN label % 4 END AS b, (vec_id % 100) / 100.0 AS c FROM embeddings)
+SELECT CASE WHEN a IS NOT DISTINCT FROM b THEN 'agree' WHEN a IS NULL THEN 'new_match' WHEN b IS NULL THEN 'lost_match' WHEN c >= 0.9 THEN 'high_risk' ELSE 'low_risk' END AS bucket, count(*) AS n FROM x GROUP BY 1""")
+def agreement_risk_buckets(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.when(F.col("label") % 2 == 0, F.col("label")).alias("a"), F.when(F.col("vec_id") % 3 != 0, F.col("label") % 4).alias("b"), (F.col("vec_id") % 100 / 100).alias("c"))
+    return e.groupBy(evaluation.agreement(F.col("a"), F.col("b"), F.col("c")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT l_partkey AS product_id, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS m, bool_or(l_returnflag = 'A' AND l_quantity > 40) AS v2, bool_or(l_returnflag = 'N' AND l_quantity > 35) AS v1 FROM lineitem GROUP BY 1)
+SELECT product_id, CASE WHEN m THEN 'skip_manual' WHEN v2 THEN 'skip_existing' WHEN v1 THEN 'supersede' ELSE 'write' END AS disposition FROM f""")
+def apply_disposition(spark, sf_dir):
+    flag, q = F.col("l_returnflag"), F.col("l_quantity")
+    kind = F.when((flag == "R") & (q > 45), "manual").when((flag == "A") & (q > 40), "v2").when((flag == "N") & (q > 35), "v1").otherwise("none")
+    return review.disposition(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), kind.alias("kind")))
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('EUROPE', 'ASIA'))")
+def rls_semi_join(spark, sf_dir):
+    visible = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").filter(F.col("r_name").isin("EUROPE", "ASIA")), F.col("r_regionkey") == F.col("n_regionkey"))
+    return table(spark, sf_dir, "customer").join(visible, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey", "c_nationkey")
+
+
+@query(f"""WITH {BASE}, {STEP2}, one AS (SELECT product_id, place, food_group, subgroup, sum(g) AS g FROM ingredient GROUP BY ALL)
+SELECT product_id, '[' || string_agg('{{"food_group":"' || food_group || '","subgroup":"' || subgroup || '","weight_kg":"' || printf('%.8f', g / 1000.0) || '"}}', ',' ORDER BY place) || ']' AS ingredients_json FROM one GROUP BY 1""")
+def export_rows_json(spark, sf_dir):
+    rows = food_groups.run_rows(purchases(spark, sf_dir)).filter("is_composite and is_own_brand").groupBy("product_id").agg(F.sum("items_sold").alias("n"))
+    joined = rows.join(step2(spark, sf_dir), "product_id").withColumn("weight_kg", numeric.q8(F.col("weight_kg_per_item").cast("decimal(18,14)") * F.col("n").cast("decimal(18,2)")))
+    return exports.inline_ingredients(joined)
+
+
+@query("""SELECT 'only_nation' AS part, k FROM (SELECT n_regionkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey < 3) UNION ALL
+SELECT 'both', k FROM (SELECT n_regionkey AS k FROM nation INTERSECT SELECT r_regionkey FROM region WHERE r_regionkey < 3) UNION ALL SELECT 'any', k FROM (SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region)""")
+def set_ops_fields(spark, sf_dir):
+    a, b = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k")), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))
+    some = b.filter("k < 3")
+    named = lambda d, n: d.select(F.lit(n).alias("part"), "k")
+    return named(a.subtract(some), "only_nation").unionByName(named(a.intersect(some), "both")).unionByName(named(a.union(b).distinct(), "any"))
+
+
+@query(f"""WITH {EVENTS}, q AS (SELECT {REASON} AS reason, user_id, ts, event_id FROM e) SELECT reason, count(*) AS n, arg_max(user_id, (ts, event_id)) AS last_user FROM q GROUP BY 1 ORDER BY n DESC, reason LIMIT 5""")
+def report_review_summary(spark, sf_dir):
+    q = queue(spark, sf_dir)
+    last = review.latest(q, ["reason"], ["ts", "event_id"], ["user_id"]).withColumnRenamed("user_id", "last_user")
+    return review.top_reasons(q).join(last, "reason")
+
+
+@query(f"""WITH {VECTORS}, a AS (SELECT query_id, min(rank) FILTER (q_label = label AND rank <= 10) AS r1, min(rank) FILTER (ref_id % 3 = 0 AND rank <= 10) AS r2, arg_min(ref_id, rank) AS c1 FROM r GROUP BY 1)
+SELECT CASE WHEN (r1 IS NULL AND r2 IS NOT NULL) OR r2 < r1 THEN 'improved' WHEN (r2 IS NULL AND r1 IS NOT NULL) OR r2 > r1 THEN 'regressed' WHEN c1 % 2 = 1 THEN 'changed_candidate' ELSE 'same' END AS change, count(*) AS n FROM a GROUP BY 1""")
+def retrieval_change_buckets(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    near = neighbours(spark, sf_dir, 10).join(labels.withColumnsRenamed({"id": "query_id", "label": "a"}), "query_id").join(labels.withColumnsRenamed({"id": "ref_id", "label": "b"}), "ref_id")
+    per = near.groupBy("query_id").agg(F.min(F.when(F.col("a") == F.col("b"), F.col("rank"))).alias("r1"), F.min(F.when(F.col("ref_id") % 3 == 0, F.col("rank"))).alias("r2"), F.min_by("ref_id", "rank").alias("c1"))
+    return per.groupBy(evaluation.change(F.col("r1"), F.col("r2"), F.col("c1") % 2 == 0).alias("change")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT user_id, event_type, min(event_id) AS content, CASE WHEN count(*) % 2 = 0 THEN 'approved' ELSE 'draft' END AS status FROM e WHERE k < 50 GROUP BY ALL), w AS (SELECT user_id, event_type, max(event_id) AS content, 'draft' AS status FROM e WHERE k >= 30 GROUP BY ALL)
+SELECT user_id, event_type, coalesce(w.content, o.content) AS content, CASE WHEN o.status = 'approved' THEN 'approved' ELSE coalesce(w.status, o.status) END AS status FROM o FULL JOIN w USING (user_id, event_type)""")
+def upsert_keep_status(spark, sf_dir):
+    e = events(spark, sf_dir)
+    old = e.filter("k < 50").groupBy("user_id", "event_type").agg(F.min("event_id").alias("content"), F.when(F.count("*") % 2 == 0, "approved").otherwise("draft").alias("status"))
+    new = e.filter("k >= 30").groupBy("user_id", "event_type").agg(F.max("event_id").alias("content"), F.lit("draft").alias("status"))
+    return comparison.upserted(old, new, ["user_id", "event_type"], ("approved",))
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT CASE k % 5 WHEN 0 THEN 'accept' WHEN 1 THEN 'change' WHEN 2 THEN 'reject' WHEN 3 THEN 'defer' ELSE 'moon' END AS decision, event_type = 'error' AS p0, k % 2 = 0 AS ov, CASE WHEN k % 3 = 0 THEN 'x' END AS chosen FROM e)
+SELECT decision, concat_ws(',', CASE WHEN decision = 'moon' THEN 'unknown_decision' END, CASE WHEN decision = 'accept' AND p0 AND NOT ov THEN 'p0_needs_override' END, CASE WHEN decision = 'change' AND chosen IS NULL THEN 'missing_choice' END) AS errors, count(*) AS n FROM r GROUP BY ALL""")
+def review_row_validation(spark, sf_dir):
+    k = F.col("k")
+    decision = F.element_at(F.array(*map(F.lit, ["accept", "change", "reject", "defer", "moon"])), (k % 5 + 1).cast("int"))
+    rows = queue(spark, sf_dir).withColumn("decision", decision)
+    errors = review.decision_errors(F.col("decision"), F.col("priority"), k % 2 == 0, F.when(k % 3 == 0, "x"))
+    return rows.groupBy("decision", F.concat_ws(",", errors).alias("errors")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM e GROUP BY ALL")
+def event_window_counts(spark, sf_dir):
+    w = F.window("ts", "1 day")
+    return events(spark, sf_dir).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+
+
+@query(f"""WITH {BASE}, c AS (SELECT product_id, any_value(p_size) AS s, any_value(pt_group) AS g FROM base GROUP BY 1),
+x AS (SELECT product_id, CASE WHEN product_id % 3 = 0 THEN s * 1.0 END AS a, product_id % 2 = 0 AS ok, CASE WHEN product_id % 5 = 0 THEN s * 2.0 END AS b, CASE g WHEN 'plant_based_core' THEN 15.0 WHEN 'plant_based_non_core' THEN 12.0 WHEN 'composite_products' THEN 10.0 WHEN 'animal_core' THEN 20.0 END AS v FROM c)
+SELECT product_id, CASE WHEN a IS NOT NULL AND NOT ok THEN 'failed_family' WHEN a IS NOT NULL THEN 'reference_a' WHEN b IS NOT NULL THEN 'reference_b' WHEN v IS NOT NULL THEN 'category_average' ELSE 'no_match' END AS source,
+ CASE WHEN a IS NOT NULL AND NOT ok THEN NULL ELSE coalesce(a, b, v) :: DOUBLE END AS value FROM x""")
+def enrichment_cascade(spark, sf_dir):
+    p = purchases(spark, sf_dir).groupBy("product_id").agg(F.any_value("p_size").cast("double").alias("s"), F.any_value("pt_group").alias("g"))
+    average = F.element_at(F.create_map(*[F.lit(x) for kv in enrichment.CATEGORY_AVERAGE.items() for x in kv]), F.col("g"))
+    x = p.select("product_id", F.when(F.col("product_id") % 3 == 0, F.col("s")).alias("a_value"), (F.col("product_id") % 2 == 0).alias("a_family_ok"), F.when(F.col("product_id") % 5 == 0, F.col("s") * 2).alias("b_value"), average.alias("group_value"))
+    return enrichment.cascade(x).select("product_id", "source", "value")
+
+
+@query("""SELECT CASE WHEN p_type IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO') AND p_size % 4 <> 0 THEN p_brand ELSE 'unclassified' END AS source, count(*) AS n FROM part GROUP BY 1""")
+def classification_sources(spark, sf_dir):
+    every = part_classes(spark, sf_dir)
+    return coverage.sources(every.select("product_id"), every.filter("pt_group <> 'unknown' and p_size % 4 <> 0").select("product_id", "source"))
+
+
+@query("""WITH r AS (SELECT l_partkey AS product_id, sum(l_quantity) FILTER (l_linenumber % 3 = 1) AS plant_protein, sum(l_quantity) FILTER (l_linenumber % 3 = 2) AS animal_protein, sum(l_quantity) FILTER (l_linenumber % 3 = 0) AS protein FROM lineitem GROUP BY 1)
+SELECT *, CASE WHEN plant_protein IS NULL OR animal_protein IS NULL OR protein IS NULL THEN 'missing' WHEN abs(plant_protein + animal_protein - protein) > 0.01 THEN 'invalid' ELSE 'ok' END AS status FROM r""")
+def split_audit(spark, sf_dir):
+    return evaluation.split_audit(records(spark, sf_dir).select("product_id", "nutrient", "value"))
