@@ -8,20 +8,21 @@ threshold. The join is exact and goes in steps, each a Spark job:
 2. Equal sets form a class. A class is listed under its first shingles: if two
    sets overlap enough, they share EXTRA of these at least.
 3. Relations between sets: in each list, classes of like size elect the first as
-   head; a class verified to link with the head it met most often joins the
-   head's family and keeps only its difference from the head.
-4. The lists are joined between families alone. Lists lie in blocks by position;
+   head; a class that turns out to be similar to the head it met most often (FAMILY)
+   joins the head's family and keeps only its difference from the head.
+4. Inside a family the answers are derived from the head's: two members share what
+   the head has, less what each lacks, plus what their differences share, so products of
+   small matrices of differences give all links of a family at once.
+5. The lists are joined between families alone. Lists lie in blocks by position;
    a pair of blocks whose positions and sizes leave too little room is skipped, and so are
-   pairs of one family. Heads that met often enough are intersected once.
-5. The answers of members are derived from those of their heads: a pair of
-   families too far apart for any of its members ends there; in the others
-   the overlap of a member with a set is that of its head, less what the member lacks
-   and plus what it adds.
+   pairs of one family. Heads that met often enough are intersected once; a pair
+   of families too far apart for any of its members ends there, and in the others
+   members' answers are derived as in step 4.
 
 No list, family or copy group is gathered whole: lists whose sketch says that
 they are long are split, and their parts meet in pairs; families meet in parts.
-Links go to connected components, so copies are never expanded into pairs, and no link between
-different sets that would join two components is lost.
+Links go to connected components as spanning forests, so copies are never expanded into
+pairs, and no link between different sets that would join two components is lost.
 
 Null texts, and texts without words, have an empty set and link with nothing.
 Rows with a null id link with nothing. Rows that repeat an id share its component. An
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.graph import components
+from granary.llm.near_vectors import roots
 from granary.llm.words import shingle_sets
 from granary.session import materialize
 
@@ -49,8 +51,8 @@ SKETCH_BITS = 18
 EXTRA = 3
 #: Entries of a bucket of lists, about, and entries of one list from which on it is split.
 BUCKET, SPLIT = 400_000, 400_000
-#: Members of a part of a family.
-PART = 256
+#: Similarity to the head from which a set joins a family (less than the threshold), and members of a part of a family.
+FAMILY, PART = 0.6, 256
 #: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 256
@@ -164,17 +166,19 @@ def unpacked(found: pa.Table) -> dict[str, np.ndarray]:
     return {c: np.frombuffer(b"".join(found.column(c).to_pylist()), t) for c, t in kinds.items()}
 
 
-def counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> pa.Table:
-    """Distinct pairs and how often they occur."""
+def counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None, need: np.ndarray | None = None) -> pa.Table:
+    """Distinct pairs, how often they occur, and the least that is needed of them."""
     if len(a):
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.concatenate([[0], np.flatnonzero((np.diff(a) != 0) | (np.diff(b) != 0)) + 1])
         n = np.diff(np.concatenate([first, [len(a)]])) if weight is None else np.add.reduceat(weight[order], first)
+        need = None if need is None else np.minimum.reduceat(need[order], first)
         a, b = a[first], b[first]
     else:
         n = np.empty(0, np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+    out = {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())}
+    return pa.table(out if need is None else out | {"need": pa.array(need, pa.int64())})
 
 
 def elected(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -231,21 +235,24 @@ def list_pairs(e: dict[str, np.ndarray], num: int, den: int):
 
 
 def met(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b (heads, a < b), n: how often members of two families share a list and leave room for a link."""
+    """a, b (heads, a < b) of families whose members share enough lists that leave room for a link."""
 
     def work(key, found):
         e = unpacked(found)
-        a, b, n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        least = np.minimum(EXTRA, ceil_share(e["size"].astype(np.int64), num, den))
+        none = np.empty(0, np.int64)
+        kept = [none, none, none, none]
         for i, j in list_pairs(e, num, den):
             p, q = e["head"][i], e["head"][j]
-            a, b = np.concatenate([a, np.minimum(p, q)]), np.concatenate([b, np.maximum(p, q)])
-            n = np.concatenate([n, np.ones(len(p), np.int64)])
-            if len(a) > 1 << 21:
-                t = counted(a, b, n)
-                a, b, n = (t.column(c).to_numpy() for c in "abn")
-        return counted(a, b, n)
+            new = [np.minimum(p, q), np.maximum(p, q), np.ones(len(p), np.int64), np.minimum(least[i], least[j])]
+            kept = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            if len(kept[0]) > 1 << 21:
+                t = counted(*kept)
+                kept = [t.column(c).to_numpy() for c in ("a", "b", "n", "need")]
+        return counted(*kept)
 
-    return lists.groupBy("bucket").applyInArrow(work, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = lists.groupBy("bucket").applyInArrow(work, "a long, b long, n long, need long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need").select("a", "b")
 
 
 def sets_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -285,41 +292,91 @@ def linked(both, x, y, num: int, den: int):
     return both * den >= (x + y - both) * num
 
 
-def derived(pairs: DataFrame, families: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: a spanning set of the links between members of each pair of families, from the heads' overlap and the members' differences."""
-    parts = families.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    count = families.select("head", "parts").distinct()
+def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x has in common with each of y, by products of their incidence, some columns at a time."""
+    flat = np.concatenate([*x, *y]) if x or y else np.empty(0, np.uint64)
+    seen, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.full(len(seen), -1, np.int64)
+    column[n > 1] = np.arange(int((n > 1).sum()))
+    column = column[at]
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, int((n > 1).sum()), 4096):
+        inside = (column >= a) & (column < a + 4096)
+        m = np.zeros((len(x) + len(y), 4096), np.float32)
+        m[row[inside], column[inside] - a] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out.astype(np.int64)
+
+
+def spanning(x: list[tuple], y: list[tuple], head: int, same: bool, num: int, den: int) -> pa.Table:
+    """A spanning forest of the links between members (node, size, lacks, adds; all from one head of a given size)."""
+    differ = lambda m: [np.concatenate([r[2], r[3]]) for r in m]
+    sizes = lambda m: np.array([r[1] for r in m], np.int64)
+    lacks = lambda m: np.array([len(r[2]) for r in m], np.int64)
+    both = head - lacks(x)[:, None] - lacks(y)[None] + shared(differ(x), differ(y))
+    hit = linked(both, sizes(x)[:, None], sizes(y)[None], num, den)
+    i, j = np.nonzero(np.triu(hit, 1) if same else hit)
+    nodes = np.array([r[0] for r in (x if same else [*x, *y])], np.int64)
+    root = roots(len(nodes), i, j if same else j + len(x))
+    some = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table({"a": pa.array(nodes[some]), "b": pa.array(nodes[root[some]])})
+
+
+def members_of(found: pa.Table, side: int) -> list[tuple]:
+    rows = found.filter(pc.equal(found.column("side"), side))
+    lists = [[np.frombuffer(v, np.uint64) for v in rows.column(c).to_pylist()] for c in ("lacks", "adds")]
+    return list(zip(rows.column("node").to_pylist(), rows.column("size").to_pylist(), *lists, strict=True))
+
+
+MEMBER = ["node", "size", "lacks", "adds"]
+
+
+def inside_families(members: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest of the links inside each family, part by part (columns head, head_size, part, parts and MEMBER)."""
+    side = lambda name, other: F.explode(F.sequence(F.lit(0), F.col("part")) if name == "j" else F.sequence(F.col("part"), F.col("parts") - 1)).alias(other)
+    left = members.select("head", "head_size", F.col("part").alias("i"), side("i", "j"), *MEMBER, F.lit(0).alias("side"))
+    right = members.select("head", "head_size", F.col("part").alias("j"), side("j", "i"), *MEMBER, F.lit(1).alias("side")).filter("i <> j")
+
+    def work(key, found):
+        x, y = members_of(found, 0), members_of(found, 1)
+        same = key[1].as_py() == key[2].as_py()
+        return spanning(x, x if same else y, found.column("head_size")[0].as_py(), same, num, den)
+
+    return left.unionByName(right).groupBy("head", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def between_families(pairs: DataFrame, members: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest of the links between members of each pair of families (heads a and b)."""
+    count = members.select("head", "parts").distinct()
     tasks = pairs.join(count.withColumnsRenamed({"head": "a", "parts": "pa"}), "a").join(count.withColumnsRenamed({"head": "b", "parts": "pb"}), "b")
     tasks = tasks.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), "pb").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
-    columns = ["a", "b", "i", "j", "node", "size", "lacks", "adds"]
-    left = tasks.join(parts.withColumnsRenamed({"head": "a", "part": "i"}), ["a", "i"]).select(*columns, F.lit(0).alias("side"))
-    right = tasks.join(parts.withColumnsRenamed({"head": "b", "part": "j"}), ["b", "j"]).select(*columns, F.lit(1).alias("side"))
+    columns = ["a", "b", "i", "j", *MEMBER]
+    left = tasks.join(members.withColumnsRenamed({"head": "a", "part": "i"}), ["a", "i"]).select(*columns, F.lit(0).alias("side"))
+    right = tasks.join(members.withColumnsRenamed({"head": "b", "part": "j"}), ["b", "j"]).select(*columns, F.lit(1).alias("side"))
     top = heads.select(F.col("node").alias("h"), "set")
-    cores = [tasks.join(top, F.col(c) == F.col("h")).select("a", "b", "i", "j", F.col("h").alias("node"), F.lit(0).alias("size"), F.col("set").alias("lacks"), F.lit(b"").alias("adds"), F.lit(s).alias("side")) for c, s in (("a", 2), ("b", 3))]
+    cores = [tasks.join(top, F.col(c) == F.col("h")).select("a", "b", "i", "j", F.col("h").alias("node"), F.lit(0).cast("long").alias("size"), F.col("set").alias("lacks"), F.lit(b"").alias("adds"), F.lit(s).alias("side")) for c, s in (("a", 2), ("b", 3))]
 
     def work(key, found):
-        rows = [found.column(c).to_pylist() for c in ("side", "node", "size", "lacks", "adds")]
-        rows = list(zip(*rows, strict=True))
-        core = {r[0]: np.frombuffer(r[3], np.uint64) for r in rows if r[0] >= 2}
-        sides = [[(r[1], r[2], np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.uint64)) for r in rows if r[0] == s] for s in (0, 1)]
-        out = []
-        for y_node, y_size, y_lacks, y_adds in sides[1]:
-            y = np.union1d(np.setdiff1d(core[3], y_lacks, assume_unique=True), y_adds)
-            has = lambda x, y=y: int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-            base = has(core[2])
-            for x_node, x_size, x_lacks, x_adds in sides[0]:
-                both = base - has(x_lacks) + has(x_adds)
-                if linked(both, x_size, y_size, num, den):
-                    out.append((x_node, y_node))
-                    break
-            if out:
-                break  # a family is one component already
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+        mine, theirs = (members_of(found, s)[0][2] for s in (2, 3))
+        y = []
+        for node, size, lacks, adds in members_of(found, 1):  # as differences from the other head
+            whole = np.union1d(np.setdiff1d(theirs, lacks, assume_unique=True), adds)
+            y.append((node, size, np.setdiff1d(mine, whole, assume_unique=True), np.setdiff1d(whole, mine, assume_unique=True)))
+        return spanning(members_of(found, 0), y, len(mine), False, num, den)
 
     every = left.unionByName(right).unionByName(cores[0]).unionByName(cores[1])
     return every.groupBy("a", "b", "i", "j").applyInArrow(work, "a long, b long")
 
 
+def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, of, n: int) -> DataFrame:
+    """Those pairs of classes that are similar enough for a family, with their difference and sizes."""
+    pairs = materialize(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows, n)
+    hit = intersected(pairs, sets).join(of("a"), "a").join(of("b"), "b")
+    return materialize(hit.filter(F.col("both") >= FAMILY * (F.col("size_a") + F.col("size_b") - F.col("both"))))
+
+
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), for every row; similarity num / den or more links."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -333,37 +390,35 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     votes = elected(postings(classes.withColumn("head", F.col("node")), buckets, order, False, split), num, den)
     best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("b"))).alias("v")).select("a", F.col("v.b").alias("b"), (-F.col("v.n")).alias("n"))
     enough = best.join(classes.select(F.col("node").alias("a"), (F.length("lists") / 8).alias("k")), "a").filter("n * 3 >= k")
-    tried = materialize(enough.select("a", "b"))
-    sets = sets_of(tried.select(F.explode(F.array("a", "b")).alias("node")), classes, rows, n)
     sizes = classes.select("node", "size")
     of = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
-    hit = intersected(tried, sets).join(of("a"), "a").join(of("b"), "b")
-    hit = materialize(hit.filter(linked(F.col("both"), F.col("size_a"), F.col("size_b"), num, den)))
-    member = hit.join(hit.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("a").alias("node"), F.col("b").alias("head"), "both", "lacks", "adds", (F.col("size_a") + F.col("size_b") - 2 * F.col("both")).alias("apart"))
+    hit = similar(enough.select("a", "b"), classes, rows, of, n)
+    chained = hit.alias("x").join(hit.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+    if not chained.isEmpty():  # a head that follows another takes its family along
+        hit = materialize(hit.join(hit.select(F.col("a").alias("b")), "b", "left_anti").unionByName(similar(chained, classes, rows, of, n)))
+    roots_ = hit.join(hit.select(F.col("a").alias("b")), "b", "left_anti")
+    member = roots_.select(F.col("a").alias("node"), F.col("b").alias("head"), "lacks", "adds", (F.col("size_a") + F.col("size_b") - 2 * F.col("both")).alias("apart"))
     # every class with its family; a head is its own
-    whole = classes.join(member.select("node", "head", "lacks", "adds", "apart"), "node", "left").withColumn("head", F.coalesce("head", "node"))
-    whole = materialize(whole.select("node", "rep", "head", "size", "lists", F.coalesce("lacks", F.lit(b"")).alias("lacks"), F.coalesce("adds", F.lit(b"")).alias("adds"), F.coalesce("apart", F.lit(0)).alias("apart")))
+    none = F.lit(b"")
+    whole = classes.join(member, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    whole = materialize(whole.select("node", "rep", "head", "size", "lists", F.coalesce("lacks", none).alias("lacks"), F.coalesce("adds", none).alias("adds"), F.coalesce("apart", F.lit(0)).alias("apart")))
+    span = materialize(whole.groupBy("head").agg(F.max("apart").alias("wide"), F.count("*").alias("members"), F.max("size").alias("largest"), F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max(F.when(F.col("node") == F.col("head"), F.col("size"))).alias("head_size")))
+    members = whole.select("head", *MEMBER).join(span.select("head", "parts", "head_size", "members"), "head").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    edges = materialize(inside_families(members.filter("members > 1"), num, den))
     # between families
-    least = F.least(F.lit(EXTRA), F.ceil(F.col("size") * num / den))
-    span = materialize(whole.groupBy("head").agg(F.max("apart").alias("wide"), F.min(least).alias("least"), F.count("*").alias("members"), F.max("size").alias("largest")))
-    facts = lambda c: span.select(F.col("head").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("least").alias(f"least_{c}"), F.col("members").alias(f"members_{c}"), F.col("largest").alias(f"largest_{c}"))
-    pairs = met(postings(whole, buckets, order, True, split), num, den).join(facts("a"), "a").join(facts("b"), "b")
-    pairs = materialize(pairs.filter(F.col("n") >= F.least("least_a", "least_b")))
+    pairs = materialize(met(postings(whole, buckets, order, True, split), num, den))
     more = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows, n)
-    seen = intersected(pairs, more).select("a", "b", "both").join(pairs, ["a", "b"]).join(of("a"), "a").join(of("b"), "b")
+    facts = lambda c: span.select(F.col("head").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("wide", "members", "largest", "head_size")])
+    seen = intersected(pairs, more).select("a", "b", "both").join(facts("a"), "a").join(facts("b"), "b")
     # linked members differ in (1 - t) / (1 + t) of the sum of their sizes at most, and heads by as much as their families are wide on top
     most = (F.col("largest_a") + F.col("largest_b")) * (den - num) / (den + num) + F.col("wide_a") + F.col("wide_b")
-    heads_link = linked(F.col("both"), F.col("size_a"), F.col("size_b"), num, den)
-    seen = materialize(seen.withColumn("link", heads_link).filter(F.col("link") | ((F.col("members_a") + F.col("members_b") > 2) & (F.col("size_a") + F.col("size_b") - 2 * F.col("both") <= most))))
-    edges = member.select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(hit.select("a", "b")).unionByName(seen.filter("link").select("a", "b"))
-    open_pairs = seen.filter("not link").select("a", "b")
+    heads_link, alone = linked(F.col("both"), F.col("head_size_a"), F.col("head_size_b"), num, den), F.col("members_a") + F.col("members_b") == 2
+    near = F.col("head_size_a") + F.col("head_size_b") - 2 * F.col("both") <= most
+    seen = materialize(seen.withColumn("link", heads_link).filter(F.when(alone, F.col("link")).otherwise(near)).select("a", "b", "link", alone.alias("alone")))
+    edges = edges.unionByName(seen.filter("link").select("a", "b"))
+    open_pairs = seen.filter("not alone").select("a", "b")
     if not open_pairs.isEmpty():
-        joined = components(edges)
-        of_head = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
-        apart = open_pairs.join(of_head("a"), "a", "left").join(of_head("b"), "b", "left")
-        apart = apart.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
-        families = whole.select("node", "head", "size", "lacks", "adds").join(span.select("head", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "head")
-        edges = edges.unionByName(derived(apart, families, more, num, den))
+        edges = edges.unionByName(between_families(open_pairs, members, more, num, den))
     # the classes that rows of one id lie in belong together
     rep = classes.select("node", "sha", "rep")
     again = usable.groupBy("doc_id").agg(F.count_distinct("sha").alias("k"), F.collect_set("sha").alias("s")).filter("k > 1")
