@@ -82,12 +82,12 @@ def to_boolean(raw: Column) -> Column:
 
 def to_list(raw: Column, mark: str = "|") -> Column:
     """Parts between marks, trimmed, without blanks; an empty list for null."""
-    return F.coalesce(F.filter(F.transform(F.split(raw, "\\Q" + mark + "\\E"), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(raw, "\\Q" + mark + "\\E"), lambda x: F.trim(x)), lambda x: F.length(x) > 0), F.array().cast("array<string>"))
 
 
 def share_pct(part: Column, total: Column, places: int = 8) -> Column:
-    """part in percent of total, half-even; null if total is 0."""
-    return F.when(total > 0, F.bround(part.cast("decimal(28,8)") * 100 / total.cast("decimal(28,8)"), places))
+    """part in percent of total, half-even; null if total is 0. With wider types the quotient would have six places only."""
+    return F.when(total > 0, F.bround(part.cast("decimal(22,8)") * 100 / total.cast("decimal(22,8)"), places))
 
 
 def clamped_pct(part: Column, total: Column, places: int = 1) -> Column:

@@ -36,7 +36,7 @@ def expanded(words: Column, aliases: dict[str, list[str]]) -> Column:
 
 def without_packaging(c: Column) -> Column:
     """A name without amounts and pack words; the name itself if nothing would be left."""
-    bare = F.regexp_replace(c, r"(?i)\b\d+([.,]\d+)?\s*(kg|g|ml|cl|l|oz|lb|x)\b|\b(pack|bottle|can|box|bag|jar|multipack)\b", " ")
+    bare = F.regexp_replace(c, r"(?i)\b(\d+\s*x\s*)?\d+([.,]\d+)?\s*(kg|g|ml|cl|l|oz|lb)\b|\b\d+\s*x\b|\b(pack|bottle|can|box|bag|jar|multipack)\b", " ")
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit("")), c)
 
 
