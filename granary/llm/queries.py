@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, dac, exact_dedup, lang_id, near_vectors, ngram_join, packing, quality_crf
+from granary.llm import bpe, chat, dac, exact_dedup, katz_lm, lang_id, near_vectors, ngram_join, packing, quality_crf
 from granary.session import prepare, shared_folder, table
 
 
@@ -96,6 +96,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group")
 
 
+def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.katz(table(prepare(spark), sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     model = lang_id.fit(docs.filter(fold("doc_id", 4) != 2))
@@ -144,6 +148,7 @@ QUERIES = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
+    "op7_katz_lm": op7_katz_lm,
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_crf": op10_quality_crf,
