@@ -369,6 +369,15 @@ def between_families(pairs: DataFrame, members: DataFrame, heads: DataFrame, num
     return every.groupBy("a", "b", "i", "j").applyInArrow(work, "a long, b long")
 
 
+def followed(votes: DataFrame) -> DataFrame:
+    """a, b: each class with the head that its head follows in the end. A head precedes its followers in size and number, so this ends."""
+    while True:
+        ahead = votes.select(F.col("a").alias("b"), F.col("b").alias("far"))
+        votes = materialize(votes.select("a", "b").join(ahead, "b", "left").select("a", F.coalesce("far", "b").alias("b"), F.col("far").isNotNull().alias("moved")))
+        if votes.filter("moved").isEmpty():
+            return votes.select("a", "b")
+
+
 def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, of, n: int) -> DataFrame:
     """Those pairs of classes that are similar enough for a family, with their difference and sizes."""
     pairs = materialize(pairs)
@@ -392,12 +401,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     enough = best.join(classes.select(F.col("node").alias("a"), (F.length("lists") / 8).alias("k")), "a").filter("n * 3 >= k")
     sizes = classes.select("node", "size")
     of = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
-    hit = similar(enough.select("a", "b"), classes, rows, of, n)
-    chained = hit.alias("x").join(hit.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-    if not chained.isEmpty():  # a head that follows another takes its family along
-        hit = materialize(hit.join(hit.select(F.col("a").alias("b")), "b", "left_anti").unionByName(similar(chained, classes, rows, of, n)))
-    roots_ = hit.join(hit.select(F.col("a").alias("b")), "b", "left_anti")
-    member = roots_.select(F.col("a").alias("node"), F.col("b").alias("head"), "lacks", "adds", (F.col("size_a") + F.col("size_b") - 2 * F.col("both")).alias("apart"))
+    hit = similar(followed(materialize(enough.select("a", "b"))), classes, rows, of, n)
+    member = hit.select(F.col("a").alias("node"), F.col("b").alias("head"), "lacks", "adds", (F.col("size_a") + F.col("size_b") - 2 * F.col("both")).alias("apart"))
     # every class with its family; a head is its own
     none = F.lit(b"")
     whole = classes.join(member, "node", "left").withColumn("head", F.coalesce("head", "node"))
