@@ -9,7 +9,7 @@ the unigrams' discounts free.
 
 Nothing of the corpus passes through the driver but sums of fixed length.
 
-1. Each block of documents (a scan task) sends its distinct words with their
+1. Each block of documents (a run of rows of a scan task) sends its distinct words with their
    training counts to buckets of words; buckets return numbers and counts.
 2. Each block, with these, turns its texts into word pairs, packed by buckets of contexts.
    A context with a very large count is spread over buckets by its next word.
@@ -41,6 +41,8 @@ from granary.session import materialize
 K = 5
 #: Distinct words of a bucket of words, and pairs of a bucket of contexts, about.
 WORDS, PAIRS = 300_000, 1_500_000
+#: Code points of a block, about.
+BLOCK = 8_000_000
 #: A context that occurs more often is spread over buckets; the number of such contexts is N / HOT at most, and HOT at least N / 100,000.
 HOT = 500_000
 END = mix(np.array([0xE0F], np.uint64))[0]
@@ -126,21 +128,29 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def block_words(rows: DataFrame, bits: int) -> DataFrame:
     """bucket, block, payload (words: sorted hashes; n: their training counts) of each block."""
 
-    def work(batches):
-        block, parts = None, []
-        for batch in batches:
-            block = batch.column(0)[0].as_py() if batch.num_rows else block
-            h, c = tokens(raw_texts(batch.column(3)))
-            train = np.repeat(np.array(batch.column(2).to_pylist(), bool), c)
-            word, at = np.unique(h, return_inverse=True)
-            parts.append((word, np.bincount(at[train], minlength=len(word))))
-        if block is None:
-            return
+    def made(block: int, parts: list) -> pa.RecordBatch:
         word, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
         n = np.bincount(at, np.concatenate([n for _, n in parts]), len(word)).astype(np.int64)
         cuts = np.searchsorted((word >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(word), np.int64), np.arange((1 << bits) + 1))
-        made = [(k, block, pack(words=word[a:b], n=n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "payload"])
+        out = [(k, block, pack(words=word[a:b], n=n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "block", "payload"])
+
+    def work(batches):
+        now, parts = None, []
+        for batch in batches:
+            for a, b in ranges(batch.column(0).to_numpy()):  # the rows of a block follow each other
+                some = batch.slice(a, b - a)
+                block = some.column(0)[0].as_py()
+                if block != now and parts:
+                    yield made(now, parts)
+                    parts = []
+                now = block
+                h, c = tokens(raw_texts(some.column(3)))
+                train = np.repeat(np.array(some.column(2).to_pylist(), bool), c)
+                word, at = np.unique(h, return_inverse=True)
+                parts.append((word, np.bincount(at[train], minlength=len(word))))
+        if parts:
+            yield made(now, parts)
 
     return rows.mapInArrow(work, "bucket long, block long, payload binary")
 
@@ -338,14 +348,17 @@ def finished(sums: DataFrame, d: np.ndarray) -> DataFrame:
     return sums.groupBy("key").applyInArrow(work, schema)
 
 
-def katz(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS, hot: int = HOT) -> DataFrame:
+def katz(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """Train on the rows where held_out (a boolean Column over the id) isn't true, and score all.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     train = ~F.coalesce(held_out, F.lit(False))
-    rows = docs.select(F.spark_partition_id().cast("long").alias("block"), F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count_if("train").alias("docs"), F.count("*").alias("all")).first()
+    size = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"), F.count_if(train).alias("docs"), F.count("*").alias("all")).first()
+    # runs of rows of a scan, which are the same each time it is read
+    in_block = max(1, int(block * size["all"] / max(size["chars"], 1)))
+    number = F.floor(F.monotonically_increasing_id() / in_block).cast("long")
+    rows = docs.select(number.alias("block"), F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
     bits = max(0, int(size["chars"] / 100 / words).bit_length())
     numbers = materialize(numbered(block_words(rows, bits), bits))
     sums = sum((unpack(r[0])["sums"] for r in numbers.filter("block = -1").select("payload").toLocalIterator()), np.zeros(K + 4, np.int64))

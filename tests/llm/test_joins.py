@@ -179,7 +179,7 @@ def test_katz(spark, small):
     vocabulary = [f"w{k}" for k in range(40)] + ["The", "the"] * 20
     rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60)))) for k in range(120)] + [(500, None), (501, ""), (None, "the the"), (3, "the again"), (502, "x y " * 30), (503, "q r " * 3000)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    options = {"words": 1, "pairs": 40, "hot": 50} if small else {}
+    options = {"words": 1, "pairs": 40, "hot": 50, "block": 300} if small else {}
     got = katz_lm.katz(frame(spark, rows).repartition(5), queries.fold("doc_id", 7) == 2, **options).collect()
     assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got), key=str) == brute_katz(rows, held)
 
