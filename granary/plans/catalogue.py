@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, review, rules
+from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, reporting, review, rules
 from granary.plans.projection import BASE, STEP2, purchases, step2
 from granary.session import prepare, table
 from granary.sources import exports
@@ -553,3 +553,116 @@ def classification_sources(spark, sf_dir):
 SELECT *, CASE WHEN plant_protein IS NULL OR animal_protein IS NULL OR protein IS NULL THEN 'missing' WHEN abs(plant_protein + animal_protein - protein) > 0.01 THEN 'invalid' ELSE 'ok' END AS status FROM r""")
 def split_audit(spark, sf_dir):
     return evaluation.split_audit(records(spark, sf_dir).select("product_id", "nutrient", "value"))
+
+
+@query(f"""WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM rec WHERE nutrient = 'protein'),
+p AS (SELECT p_partkey AS product_id, CASE WHEN p_size % 3 = 0 THEN p_size * 1.0 END AS own FROM part)
+SELECT p.product_id, CASE WHEN own IS NOT NULL THEN own ELSE b.value END :: DOUBLE AS value, CASE WHEN own IS NOT NULL THEN 'retailer' ELSE coalesce(b.source, 'missing') END AS origin,
+ CASE WHEN own IS NOT NULL THEN 'high' WHEN b.value IS NULL THEN 'none' WHEN b.value / 50 >= 0.85 THEN 'high' WHEN b.value / 50 >= 0.7 THEN 'medium' WHEN b.value / 50 >= 0.5 THEN 'low' WHEN b.value / 50 >= 0.3 THEN 'very_low' ELSE 'none' END AS status
+FROM p LEFT JOIN (SELECT * FROM b WHERE n = 1) b USING (product_id)""")
+def nutrition_table(spark, sf_dir):
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") % 3 == 0, F.col("p_size")).alias("protein_pct"))
+    return reporting.nutrition_table(products, records(spark, sf_dir).withColumn("confidence", F.col("value") / 50))
+
+
+CLASSES = """c AS (SELECT p_partkey AS product_id, 'protein_tracker' AS methodology, p_type AS pt_group, p_brand AS source, (p_size % 10) / 10.0 AS confidence FROM part WHERE p_partkey % 4 <> 0
+ UNION ALL SELECT p_partkey, 'food_groups', p_type, p_brand, (p_size % 7) / 10.0 FROM part WHERE p_partkey % 5 = 0),
+v AS (SELECT p_partkey AS product_id, 'protein_tracker' AS methodology, 'pending' AS review_status FROM part WHERE p_partkey % 6 = 0)"""
+
+
+@query(f"""WITH {CLASSES}, j AS (SELECT product_id, methodology, pt_group, source, confidence, review_status FROM c FULL JOIN v USING (product_id, methodology)),
+t AS (SELECT p_partkey AS product_id, p_name AS product_name, methodology, pt_group, source, confidence, review_status FROM part LEFT JOIN j ON j.product_id = p_partkey)
+SELECT 'all' AS part, count(*) AS n, count(methodology) AS with_methodology FROM t UNION ALL SELECT 'unknown_source', count(*), count(methodology) FROM t WHERE source IS NULL
+UNION ALL SELECT 'confident_economy', count(*), count(methodology) FROM t WHERE pt_group = 'ECONOMY' AND confidence >= 0.3 AND confidence <= 0.6 UNION ALL SELECT 'pending_ring', count(*), count(methodology) FROM t WHERE review_status = 'pending' AND contains(lower(product_name), 'ring')""")
+def classification_table(spark, sf_dir):
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    of = lambda d, m, c: d.select(key.alias("product_id"), F.lit(m).alias("methodology"), F.col("p_type").alias("pt_group"), F.col("p_brand").alias("source"), (F.col("p_size") % c / 10).alias("confidence"))
+    classes = of(part.filter(key % 4 != 0), "protein_tracker", 10).unionByName(of(part.filter(key % 5 == 0), "food_groups", 7))
+    reviews = part.filter(key % 6 == 0).select(key.alias("product_id"), F.lit("protein_tracker").alias("methodology"), F.lit("pending").alias("review_status"))
+    rows = reporting.classification_table(part.select(key.alias("product_id"), F.col("p_name").alias("product_name")), classes, reviews)
+    cuts = {"all": {}, "unknown_source": {"source": "unknown"}, "confident_economy": {"group": "ECONOMY", "least": 0.3, "most": 0.6}, "pending_ring": {"review": "pending", "search": "RING"}}
+    parts = [reporting.filtered(rows, **c).agg(F.count("*").alias("n"), F.count("methodology").alias("with_methodology")).select(F.lit(name).alias("part"), "n", "with_methodology") for name, c in cuts.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {BASE}, x AS (SELECT CASE WHEN is_composite THEN 'composite' ELSE food_group END AS label FROM base),
+p(place, label) AS (VALUES (0, 'FG1'), (1, 'FG2'), (2, 'FG3'), (3, 'FG4'), (4, 'FG5'), (5, 'FG6'), (6, 'FG7'), (7, 'composite'), (8, 'unknown'))
+SELECT label, count(*) AS n, place FROM x JOIN p USING (label) GROUP BY ALL""")
+def workbook_counts(spark, sf_dir):
+    label = F.when(F.col("is_composite"), "composite").otherwise(F.col("food_group"))
+    return reporting.ordered_counts(purchases(spark, sf_dir), label, [*food_groups.REFERENCE_SHARE, "composite", "unknown"])
+
+
+@query(f"""WITH {BASE}, s AS (SELECT count(*) FILTER (pt_group = 'unknown' AND pct IS NOT NULL) AS u, count(*) FILTER (pct IS NULL) AS m, count(*) FILTER (is_composite AND NOT is_own_brand) AS b FROM base)
+SELECT concat_ws('; ', CASE WHEN u > 0 THEN u || ' products have no known group' END, CASE WHEN m > 0 THEN m || ' products have no protein value and are left out' END, CASE WHEN b > 0 THEN b || ' branded composites are counted whole' END) AS caveats FROM s""")
+def report_caveats(spark, sf_dir):
+    products = protein.resolved(purchases(spark, sf_dir))
+    counts = protein.counters(products, protein.run_rows(products)).crossJoin(products.agg(F.count_if(F.col("is_composite") & ~F.col("is_own_brand")).alias("branded_composites")))  # one row each
+    return counts.select(F.array_join(reporting.caveats(counts), "; ").alias("caveats"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 50 AS project_id, o_orderstatus AS methodology, o_orderkey AS run_id, CASE WHEN o_orderpriority LIKE '1%' THEN NULL ELSE o_orderdate END AS finished_at FROM orders)
+SELECT project_id, methodology, arg_max(run_id, (finished_at, run_id)) AS run_id FROM r WHERE finished_at IS NOT NULL GROUP BY ALL""")
+def latest_runs(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("project_id"), F.col("o_orderstatus").alias("methodology"), F.col("o_orderkey").alias("run_id"), F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderdate")).alias("finished_at"))
+    return reporting.latest_finished(runs, ["project_id", "methodology"]).select("project_id", "methodology", "run_id")
+
+
+@query("""SELECT n_nationkey AS project_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS n_products, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_runs FROM nation""")
+def project_counts(spark, sf_dir):
+    projects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"))
+    return reporting.counted_projects(projects, table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("project_id")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id")))
+
+
+@query("""SELECT count(*) AS n_rows, count(DISTINCT l_partkey) AS n_products FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')""")
+def cascade_delete(spark, sf_dir):
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), "p_brand")
+    left = reporting.without_upload({"lines": table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "product_id")}, products, F.col("p_brand") == "Brand#7")
+    return left["lines"].agg(F.count("*").alias("n_rows"), F.count_distinct("product_id").alias("n_products"))
+
+
+@query(f"""WITH {EVENTS}, q AS (SELECT event_id AS item_id, {STATE} AS state FROM e WHERE event_id % 3 <> 0), a AS (SELECT event_id AS item_id FROM e WHERE k > 90)
+SELECT item_id, CASE WHEN state IS NULL THEN 'not_queued' ELSE 'not_pending' END AS error FROM a LEFT JOIN q USING (item_id) WHERE state IS DISTINCT FROM 'pending'""")
+def bulk_decision_errors(spark, sf_dir):
+    e = events(spark, sf_dir)
+    states = F.element_at(F.array(*map(F.lit, ["pending", "in_review", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
+    queue_ = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("item_id"), states.alias("state"))
+    return reporting.bulk_errors(e.filter("k > 90").select(F.col("event_id").alias("item_id")), queue_, 10_000_000)
+
+
+@query("""SELECT coalesce(CASE WHEN lang <> 'fr' THEN 'other_language' WHEN n_chars < 500 THEN 'too_short' WHEN source IN ('src1', 'src2') THEN 'blocked_source' END, 'candidate') AS skip_reason, count(*) AS n FROM documents GROUP BY 1""")
+def language_plan_skips(spark, sf_dir):
+    guards = [("other_language", F.col("lang") != "fr"), ("too_short", F.col("n_chars") < 500), ("blocked_source", F.col("source").isin("src1", "src2"))]
+    return reporting.skips(table(spark, sf_dir, "documents"), guards, [("plan_disabled", False)]).groupBy(F.coalesce("skip_reason", F.lit("candidate")).alias("skip_reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {VECTORS}, a AS (SELECT query_id, any_value(q_label) AS f, min(rank) FILTER (q_label = label AND rank <= 10) AS r1, min(rank) FILTER (ref_id % 4 = 0 AND rank <= 10) AS r2, max(similarity) AS s FROM r GROUP BY 1)
+SELECT CASE WHEN s >= 0.9 THEN 'keep_accepted' WHEN r2 IS NULL THEN 'keep_not_found' WHEN f % 2 = 1 THEN 'keep_family_mismatch' WHEN r1 IS NULL OR r2 < r1 THEN 'switch' ELSE 'keep_not_better' END AS choice, count(*) AS n FROM a GROUP BY 1""")
+def conservative_choice(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    near = neighbours(spark, sf_dir, 10).join(labels.withColumnsRenamed({"id": "query_id", "label": "a"}), "query_id").join(labels.withColumnsRenamed({"id": "ref_id", "label": "b"}), "ref_id")
+    per = near.groupBy("query_id").agg(F.any_value("a").alias("f"), F.min(F.when(F.col("a") == F.col("b"), F.col("rank"))).alias("r1"), F.min(F.when(F.col("ref_id") % 4 == 0, F.col("rank"))).alias("r2"), F.max("similarity").alias("s"))
+    return per.groupBy(reporting.conservative(F.col("r1"), F.col("r2"), F.col("f") % 2 == 0, F.col("s") >= 0.9).alias("choice")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {BASE}, t AS (SELECT product_id, any_value(pt_group) AS g, any_value(p_size) AS s FROM base GROUP BY 1)
+SELECT product_id, CASE WHEN g LIKE 'plant%' THEN s ELSE 0 END :: DOUBLE AS plant, CASE WHEN g LIKE 'plant%' THEN 0 ELSE s END :: DOUBLE AS animal FROM t WHERE g LIKE 'plant%' OR g = 'animal_core'""")
+def split_proposals(spark, sf_dir):
+    per = purchases(spark, sf_dir).groupBy("product_id").agg(F.any_value("pt_group").alias("g"), F.any_value("p_size").cast("double").alias("s"))
+    return per.select("product_id", reporting.split_proposal(F.col("g"), F.col("s")).alias("x")).filter("x is not null").select("product_id", "x.plant", "x.animal")
+
+
+@query("SELECT l_partkey AS product_id, l_suppkey % 4 AS prio, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_audit(spark, sf_dir):
+    return reporting.duplicates(records(spark, sf_dir), ["product_id", "prio"])
+
+
+@query("""WITH w AS (SELECT l_partkey AS product_id, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS name FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+SELECT CASE WHEN w.name IS NULL THEN 'no_reference' WHEN CASE WHEN p_size % 2 = 0 THEN 'R' ELSE 'A' END = w.name THEN 'up_to_date' ELSE 'would_update' END AS status, count(*) AS n FROM part LEFT JOIN w ON w.product_id = p_partkey GROUP BY 1""")
+def metadata_backfill(spark, sf_dir):
+    recs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_partkey").alias("record_id"), F.create_map(F.lit("name"), F.when(F.col("p_size") % 2 == 0, "R").otherwise("A")).alias("metadata"))
+    want = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("name"), F.lit(None).cast("string").alias("code"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
+    return reporting.backfill(recs, want).groupBy("status").agg(F.count("*").alias("n"))
