@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 import unicodedata
 
@@ -41,6 +42,17 @@ REQUIRED = {"protein_tracker": ["product_name", "items_purchased"], "food_groups
 INGREDIENTS = "map<string,struct<note:string,ingredients:array<struct<food_group:string,subgroup:string,ingredient_weight_kg_per_item:decimal(18,10)>>>>"
 
 
+def file_problem(name: str, size: int, content_type: str = "text/csv") -> str | None:
+    """What is wrong with a file before it is read, if anything."""
+    if not size:
+        return "empty"
+    if size > MAX_BYTES:
+        return "too_large"
+    if not name.lower().endswith((".csv", ".tsv", ".txt")):
+        return "extension"
+    return None if content_type in ("text/csv", "text/plain", "text/tab-separated-values", "application/vnd.ms-excel") else "content_type"
+
+
 def header(text: str) -> str:
     """A header as a name: no accents, lower case, runs of other characters as one underscore."""
     plain = unicodedata.normalize("NFKD", text.strip()).encode("ascii", "ignore").decode().lower()
@@ -81,7 +93,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", max_rows: int = MAX
     headers that map to one column, the last wins. Too many rows are an error, never cut.
     """
     raw = spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE", enforceSchema=True)
-    named = [header(re.sub(r"^﻿", "", c)) or f"column_{k}" for k, c in enumerate(raw.columns)]
+    first = next(csv.reader([spark.read.text(path).first()[0]], delimiter=sep), [])  # Spark renames headers that repeat
+    named = [header(c.removeprefix("\ufeff")) or f"column_{k}" for k, c in enumerate([*first, *raw.columns[len(first) :]][: len(raw.columns)])]
     raw = raw.toDF(*[f"c{k}" for k in range(len(named))])
     raw = raw.filter(~F.coalesce(F.ltrim("c0").startswith("#"), F.lit(False)))
     dropped, found = forbidden(named), mapping(named)

@@ -107,6 +107,20 @@ def test_csv(spark, tmp_path):
     assert catalogue_csv.header("  Été – Protéines (%) ") == "ete_proteines" and catalogue_csv.missing(["product_name"], "protein_tracker") == ["items_purchased", "weight_per_item_kg"]
     with pytest.raises(ValueError):
         catalogue_csv.read_csv(spark, str(file), max_rows=1)
+    twice = tmp_path / "b.csv"
+    twice.write_text("Name,Brand,Name\na,x,b\nc\n")
+    df, report = catalogue_csv.read_csv(spark, str(twice))
+    assert report["duplicates"] == ["name"] and sorted(map(tuple, df.select("product_name", "brand").collect())) == [("", ""), ("b", "x")]
+    assert catalogue_csv.file_problem("a.csv", 5) is None and catalogue_csv.file_problem("a.exe", 5) == "extension" and catalogue_csv.file_problem("a.csv", 0) == "empty"
+
+
+def test_reference_table(spark, tmp_path):
+    file = tmp_path / "r.csv"
+    file.write_text("code;name_en;protein_g_per_100g;plant_protein_g_per_100g\n1;Tofu;12,5;12,5\n;none;1;1\n2;Milk;< 0,5;-\n3;Odd;-1;2\n")
+    rows = {r.code: r for r in catalogue_csv.read_reference(spark, str(file)).collect()}
+    assert sorted(rows) == ["1", "2", "3"] and rows["1"].protein_g_per_100g == Decimal("12.5") and not rows["1"].is_below_detection
+    assert rows["2"].protein_g_per_100g == Decimal("0.5") and rows["2"].plant_protein_g_per_100g is None and rows["2"].is_below_detection
+    assert rows["3"].protein_g_per_100g is None and rows["3"].plant_protein_g_per_100g is None
 
 
 def test_parse(spark):
