@@ -7,7 +7,7 @@ threshold. The join is exact and goes in steps, each a Spark job:
    then by hash. Any order gives the same result; this one keeps lists short.
 2. Equal sets form a class. A class is listed under its first shingles: if two
    sets overlap enough, they share EXTRA of these at least.
-3. Relations between sets: in each list, classes of like size elect the first as
+3. Relations between sets: in each list, classes of like size elect one as
    head; a class that turns out to be similar to the head it met most often (FAMILY)
    joins the head's family and keeps only its difference from the head.
 4. Inside a family the answers are derived from the head's: two members share what
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.graph import components
 from granary.llm.near_vectors import roots
-from granary.llm.words import shingle_sets
+from granary.llm.words import mix, shingle_sets
 from granary.session import materialize
 
 U64 = np.uint64
@@ -182,12 +182,15 @@ def counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None, need
 
 
 def elected(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """a (class), b (head), n: in each list, the first of the classes of like size is their head."""
+    """a (class), b (head), n: in each list, the first by a hash of the classes of like size is their head.
+
+    By a hash, so that lists of near copies agree on a typical one.
+    """
 
     def work(key, found):
         e = unpacked(found)
         band = np.floor(np.log(e["size"]) / np.log(den / num) * 0.999).astype(np.int64)
-        order = np.lexsort((e["node"], e["size"], band, e["shingle"]))
+        order = np.lexsort((mix(e["node"].astype(np.uint64)), band, e["shingle"]))
         shingle, band, node = e["shingle"][order], band[order], e["node"][order]
         new = np.concatenate([[True], (np.diff(shingle) != 0) | (np.diff(band) != 0)]) if len(node) else np.empty(0, bool)
         head = node[np.flatnonzero(new)][np.cumsum(new) - 1] if len(node) else node
@@ -370,7 +373,7 @@ def between_families(pairs: DataFrame, members: DataFrame, heads: DataFrame, num
 
 
 def followed(votes: DataFrame) -> DataFrame:
-    """a, b: each class with the head that its head follows in the end. A head precedes its followers in size and number, so this ends."""
+    """a, b: each class with the head that its head follows in the end. A head precedes its followers by a hash, so this ends."""
     while True:
         ahead = votes.select(F.col("a").alias("b"), F.col("b").alias("far"))
         votes = materialize(votes.select("a", "b").join(ahead, "b", "left").select("a", F.coalesce("far", "b").alias("b"), F.col("far").isNotNull().alias("moved")))
@@ -398,7 +401,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     # families
     votes = elected(postings(classes.withColumn("head", F.col("node")), buckets, order, False, split), num, den)
     best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("b"))).alias("v")).select("a", F.col("v.b").alias("b"), (-F.col("v.n")).alias("n"))
-    enough = best.join(classes.select(F.col("node").alias("a"), (F.length("lists") / 8).alias("k")), "a").filter("n * 3 >= k")
+    enough = best.join(classes.select(F.col("node").alias("a"), (F.length("lists") / 8).alias("k")), "a").filter("n * 5 >= k")
     sizes = classes.select("node", "size")
     of = lambda c: sizes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
     hit = similar(followed(materialize(enough.select("a", "b"))), classes, rows, of, n)
