@@ -349,9 +349,9 @@ def inside_families(members: DataFrame, num: int, den: int) -> DataFrame:
     return left.unionByName(right).groupBy("head", "i", "j").applyInArrow(work, "a long, b long")
 
 
-def between_families(pairs: DataFrame, members: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest of the links between members of each pair of families (heads a and b)."""
-    count = members.select("head", "parts").distinct()
+def between_families(pairs: DataFrame, members: DataFrame, span: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest of the links between members of each pair of families (heads a and b; span holds their parts)."""
+    count = span.select("head", "parts")
     tasks = pairs.join(count.withColumnsRenamed({"head": "a", "parts": "pa"}), "a").join(count.withColumnsRenamed({"head": "b", "parts": "pb"}), "b")
     tasks = tasks.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), "pb").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
     columns = ["a", "b", "i", "j", *MEMBER]
@@ -411,7 +411,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     whole = classes.join(member, "node", "left").withColumn("head", F.coalesce("head", "node"))
     whole = materialize(whole.select("node", "rep", "head", "size", "lists", F.coalesce("lacks", none).alias("lacks"), F.coalesce("adds", none).alias("adds"), F.coalesce("apart", F.lit(0)).alias("apart")))
     span = materialize(whole.groupBy("head").agg(F.max("apart").alias("wide"), F.count("*").alias("members"), F.max("size").alias("largest"), F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max(F.when(F.col("node") == F.col("head"), F.col("size"))).alias("head_size")))
-    members = whole.select("head", *MEMBER).join(span.select("head", "parts", "head_size", "members"), "head").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = whole.select("head", *MEMBER).join(span.select("head", "parts", "head_size", "members"), "head")
+    members = materialize(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     edges = materialize(inside_families(members.filter("members > 1"), num, den))
     # between families
     pairs = materialize(met(postings(whole, buckets, order, True, split), num, den))
@@ -426,7 +427,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     edges = edges.unionByName(seen.filter("link").select("a", "b"))
     open_pairs = seen.filter("not alone").select("a", "b")
     if not open_pairs.isEmpty():
-        edges = edges.unionByName(between_families(open_pairs, members, more, num, den))
+        edges = edges.unionByName(between_families(open_pairs, members, span, more, num, den))
     # the classes that rows of one id lie in belong together
     rep = classes.select("node", "sha", "rep")
     again = usable.groupBy("doc_id").agg(F.count_distinct("sha").alias("k"), F.collect_set("sha").alias("s")).filter("k > 1")
