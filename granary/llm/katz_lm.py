@@ -1,13 +1,14 @@
 """A Katz backoff bigram model over words: trained, stored and evaluated where the rows lie.
 
-Good-Turing discounts are taken from the counts of counts of the whole corpus;
-what they free is backed off to the discounted unigrams with weights that make
+Good-Turing discounts are taken from the counts of counts of the whole corpus, smoothed
+by a log-linear fit; what they free is backed off to the discounted unigrams with weights that make
 every context's distribution sum to one exactly. A text is scored token by
 token: the discounted bigram if it was seen, else the context's weight times the unigram,
 else, for a context never seen, the unigram alone; an unknown word has the mass that
 the unigrams' discounts free.
 
-Nothing of the corpus passes through the driver but sums of fixed length.
+Nothing of the corpus passes through the driver but sums: of fixed length, and of how many words or
+pairs have each count, of which a corpus of N tokens has less than the root of 2 N.
 
 1. Each block of documents (a run of rows of a scan task) sends its distinct words with their
    training counts to buckets of words; buckets return numbers and counts.
@@ -79,18 +80,44 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
+def counted(n: np.ndarray) -> dict[str, np.ndarray]:
+    """The counts above 0 that occur in n, in order, and how often each does."""
+    r, m = np.unique(n[n > 0], return_counts=True)
+    return {"r": r.astype(np.int64), "m": m.astype(np.int64)}
+
+
+def summed(found: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of many buckets as one."""
+    r, at = np.unique(np.concatenate([np.empty(0, np.int64), *[x["r"] for x in found]]), return_inverse=True)
+    return r, np.bincount(at, np.concatenate([np.empty(0, np.int64), *[x["m"] for x in found]]), len(r)).astype(np.int64)
+
+
+def small_counts(r: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Counts of counts 0 to K + 1 (0 for 0)."""
+    return np.bincount(r[r <= K + 1], m[r <= K + 1], K + 2).astype(np.int64)
+
+
+def slope(r: np.ndarray, m: np.ndarray) -> float:
+    """Of the logarithm of counts of counts over that of counts, each spread over the gap around its count (Gale and Sampson)."""
+    before = np.append(0, r[:-1])
+    after = np.append(r[1:], 2 * r[-1] - before[-1])
+    x, y = np.log(r), np.log(2 * m / (after - before))
+    return float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+
+
+def discounts(n: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Katz discounts of the counts 1 to K from the counts of counts n[0..K+1] (n[0] unused).
 
-    Where Good-Turing has no valid discounts (small or odd corpora), absolute discounting of
-    n1 / (n1 + 2 n2), held between 0.1 and 0.9, takes its place.
+    Simple Good-Turing: counts of counts are those of a line fitted to the logarithms of all of
+    them (whole: each count and how often it occurs; without it, those of n). A line steeper than -1 always gives valid
+    discounts. Where one of the counts 1 to K + 1 doesn't occur or the line is flatter (tiny or odd corpora),
+    absolute discounting of n1 / (n1 + 2 n2), held between 0.1 and 0.9, takes its place.
     """
     n, r = np.asarray(n, float), np.arange(1, K + 1)
     if (n[1 : K + 2] > 0).all():
-        a = (K + 1) * n[K + 1] / n[1]
-        d = ((r + 1) * n[2 : K + 2] / n[1 : K + 1] / r - a) / (1 - a) if a != 1 else np.zeros(K)
-        if ((d > 0) & (d < 1)).all():
-            return d
+        power = slope(*(whole or (np.arange(1, K + 2), n[1 : K + 2]))) + 1
+        if power < 0:
+            return 1 - np.expm1(power * np.log1p(1 / r)) / np.expm1(power * np.log(K + 1))
     d = min(max(n[1] / (n[1] + 2 * n[2]), 0.1), 0.9) if n[1] + n[2] > 0 else 0.5
     return (r - d) / r
 
@@ -102,8 +129,8 @@ def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Unigrams:
     """Discounted unigram probabilities by a word's count; count 0 is the unknown word."""
 
-    def __init__(self, total: int, counts_of_counts: np.ndarray):
-        self.total, self.d = total, discounts(counts_of_counts)
+    def __init__(self, total: int, counts_of_counts: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None):
+        self.total, self.d = total, discounts(counts_of_counts, whole)
         freed = float((counts_of_counts[1 : K + 1] * np.arange(1, K + 1) * (1 - self.d)).sum())
         self.unknown = freed / total if total and freed else 1.0
 
@@ -168,8 +195,8 @@ def numbered(words: DataFrame, bits: int) -> DataFrame:
         known = n > 0
         ids = np.where(known, FIRST + (np.cumsum(known) - 1) * (1 << bits) + bucket, UNKNOWN)
         out = [pack(id=ids[x], n=n[x]) for x in np.split(at, np.cumsum(lengths)[:-1])]
-        sums = np.concatenate([[n.sum(), known.sum()], np.bincount(np.minimum(n, K + 2), minlength=K + 3)[: K + 2]])
-        return pa.table({"bucket": pa.array([bucket] * (len(out) + 1), pa.int64()), "block": pa.array([*blocks, -1], pa.int64()), "payload": pa.array([*out, pack(sums=sums)], pa.binary())})
+        sums = np.array([n.sum(), known.sum()])
+        return pa.table({"bucket": pa.array([bucket] * (len(out) + 1), pa.int64()), "block": pa.array([*blocks, -1], pa.int64()), "payload": pa.array([*out, pack(sums=sums, **counted(n))], pa.binary())})
 
     return words.groupBy("bucket").applyInArrow(work, "bucket long, block long, payload binary")
 
@@ -254,7 +281,7 @@ def model_tables(pairs: DataFrame, unigrams: Unigrams, hot: int) -> DataFrame:
         out = []
         run = np.flatnonzero(np.concatenate([[True], np.diff(ph[seen]) != 0])) if seen.any() else np.empty(0, np.int64)
         out.append(("bigrams", bucket, pack(h=ph[seen][run], run=np.diff(np.append(run, seen.sum())), w=pw[seen], count=r[seen])))
-        out.append(("counts", bucket, pack(n=np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2])))
+        out.append(("counts", bucket, pack(**counted(r))))
         # documents: pairs that were seen
         rr, who = r[pair], block << 40 | doc >> 1
         some = rr > 0
@@ -361,13 +388,15 @@ def katz(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: st
     rows = docs.select(number.alias("block"), F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
     bits = max(0, int(size["chars"] / 100 / words).bit_length())
     numbers = materialize(numbered(block_words(rows, bits), bits))
-    sums = sum((unpack(r[0])["sums"] for r in numbers.filter("block = -1").select("payload").toLocalIterator()), np.zeros(K + 4, np.int64))
-    total, n_words = int(sums[0]), int(sums[1])
-    unigrams = Unigrams(total, np.concatenate([[0], sums[3:]]))
+    found = [unpack(r[0]) for r in numbers.filter("block = -1").select("payload").toLocalIterator()]
+    total, n_words = (int(sum(x["sums"][k] for x in found)) for k in range(2))
+    whole = summed(found)
+    unigrams = Unigrams(total, small_counts(*whole), whole)
     hot = max(hot, total // 100_000)
     buckets = max(1, int(size["chars"] / 6 / pairs))
     tables = materialize(model_tables(paired(rows, numbers.filter("block >= 0"), buckets, hot, unigrams, n_words, size["docs"]), unigrams, hot), ["kind"])
-    d = discounts(sum((unpack(r[0])["n"] for r in tables.filter("kind = 'counts'").select("payload").toLocalIterator()), np.zeros(K + 2, np.int64)))
+    whole = summed([unpack(r[0]) for r in tables.filter("kind = 'counts'").select("payload").toLocalIterator()])
+    d = discounts(small_counts(*whole), whole)
     spread: dict[int, dict[str, float]] = {}
     for (blob,) in tables.filter("kind = 'hot'").select("payload").toLocalIterator():
         s = unpack(blob)

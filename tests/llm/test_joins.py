@@ -184,6 +184,43 @@ def test_katz(spark, small):
     assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got), key=str) == brute_katz(rows, held)
 
 
+def plain_good_turing(counts):
+    """Simple Good-Turing in plain loops: smoothed counts of counts, then the Katz formula."""
+    n = Counter(counts)
+    seen = sorted(n)
+    points = []
+    for k, r in enumerate(seen):
+        below = seen[k - 1] if k else 0
+        above = seen[k + 1] if k + 1 < len(seen) else 2 * r - below
+        points.append((math.log(r), math.log(n[r] / (0.5 * (above - below)))))
+    b = np.polyfit(*zip(*points, strict=True), 1)[0]
+    smooth = lambda r: r**b
+    a = 6 * smooth(6) / smooth(1)
+    return np.array([((r + 1) * smooth(r + 1) / smooth(r) / r - a) / (1 - a) for r in range(1, 6)])
+
+
+def test_katz_keeps_good_turing(spark, monkeypatch):
+    """Copied documents make the plain Good-Turing discount of a count exceed 1, as in the given tables."""
+    rng = random.Random(9)
+    word = lambda: f"w{int(rng.paretovariate(0.7))}"
+    texts = [" ".join(word() for _ in range(rng.randrange(5, 40))) for _ in range(70)]
+    rows = list(enumerate(texts + texts[:12] * 4))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    toks = [[*t.encode().split(), None] for i, t in rows if not held(i)]
+    want = []
+    for counts in (Counter(w for t in toks for w in t), Counter(p for t in toks for p in zip(["start", *t], t, strict=False))):
+        n = Counter(counts.values())
+        a = 6 * n[6] / n[1]
+        plain = [((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) for r in range(1, 6)]
+        assert not all(0 < d < 1 for d in plain)
+        want.append(plain_good_turing(counts.values()))
+        assert all(0 < d < 1 for d in want[-1])
+    got = katz_lm.katz(frame(spark, rows), queries.fold("doc_id", 7) == 2, words=50, pairs=200).collect()
+    told = iter(want)
+    monkeypatch.setattr(katz_lm, "discounts", lambda _: next(told))
+    assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got), key=str) == brute_katz(rows, held)
+
+
 def test_katz_of_nothing(spark):
     assert katz_lm.katz(frame(spark, []), F.lit(False)).count() == 0
     got = katz_lm.katz(frame(spark, [(1, "a b")]), F.lit(True)).collect()
