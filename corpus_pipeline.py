@@ -18,6 +18,8 @@ from granary.session import materialize, prepare, table
 LEAST_QUALITY = 0.3
 #: Texts without a language, or whose language is less likely than this, are rejected.
 LEAST_LANGUAGE = 0.5
+#: Texts go that fit their language worse, n-gram by n-gram, than all but this share of documents known to be in it.
+WORST_FIT = 0.005
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or a likely language go."""
+    """Documents without a letter or a likely language go, and those in a language that wasn't learned, or in none.
+
+    How well a text must fit is set on half of the learned fold by a model of the other half. A language without documents in both has the bound 0.
+    """
     prepare(spark)
-    model = lang_id.fit(docs.filter(fold("doc_id", 4) != 2))
-    found = lang_id.predict(docs, model, keep=rest(docs), keep_text=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    learned, half = docs.filter(fold("doc_id", 4) != 2), fold("doc_id", 8) < 4
+    least = lang_id.least_per_gram(learned.filter(~half), lang_id.fit(learned.filter(half)), WORST_FIT)
+    found = lang_id.predict(docs, lang_id.fit(learned), keep=rest(docs), keep_text=True)
+    bound = F.lit(0.0)
+    if least:
+        bound = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(least.items()) for x in pair])[F.col("lang_pred")], bound)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE) & (F.col("per_gram") >= bound)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

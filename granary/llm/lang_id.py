@@ -7,7 +7,9 @@ Batches are scored sparsely in numpy: each n-gram picks a row of the matrix, and
 rows are summed by document.
 
 A text that is null, empty or without a letter is `und` with score 0, and so is
-every text if nothing was learned. Null languages teach nothing. Of languages
+every text if nothing was learned. The posterior nears 1 for any longer text, of whatever
+language, so `per_gram` says how well a text fits the language chosen: the mean logarithm of how much
+likelier its n-grams are there than if all buckets were equal. Null languages teach nothing. Of languages
 equally likely, the first in alphabetical order wins. Other columns are not read.
 """
 
@@ -109,34 +111,46 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
 
 
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """id, kept columns, lang_pred, score (the posterior of the language chosen) for every row and whole text."""
+    """id, kept columns, lang_pred, score (the posterior of the language chosen), per_gram for every row and whole text."""
     langs, logs, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logs, priors))
 
-    def scores(texts: list[str]) -> np.ndarray:
+    def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         _, logs, priors = shared.value
-        out = np.zeros((len(texts), len(priors)))
+        out, n = np.zeros((len(texts), len(priors))), np.zeros(len(texts))
         for a, b in pieces(texts):
             slots, starts = grams(texts[a:b])
+            n[a:b] = sum(np.add.reduceat((s < BUCKETS).astype(np.int64), starts) for s in slots)
             for k in range(logs.shape[1]):
                 column = np.ascontiguousarray(logs[:, k])
                 out[a:b, k] = sum(np.add.reduceat(column[s], starts) for s in slots)
-        return out + priors
+        return out + priors, n
 
     def work(batches):
         names = shared.value[0]
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "").to_pylist()
             readable = np.array([bool(names) and letters(t) for t in texts], bool)
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score, per_gram = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if readable.any():
-                s = scores([t for t, r in zip(texts, readable, strict=True) if r])
+                s, n = scores([t for t, r in zip(texts, readable, strict=True) if r])
                 best = s.argmax(axis=1)
+                per_gram[readable] = np.where(n > 0, (s.max(axis=1) - shared.value[2][best]) / np.maximum(n, 1) + np.log(BUCKETS), 0.0)
                 score[readable] = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
                 for k, b in zip(np.flatnonzero(readable), best, strict=True):
                     lang[k] = names[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per_gram, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score", "per_gram"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep, *[text_col] * keep_text)])
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double, per_gram double")
+
+
+def least_per_gram(docs: DataFrame, model, share: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the per_gram that this share of its documents, told right, stay below, but 0 at least.
+
+    The documents given must be others than those the model learned from, whose own n-grams it knows.
+    """
+    right = predict(docs, model, id_col, text_col, keep=(lang_col,)).filter(F.col("lang_pred") == F.col(lang_col))
+    found = right.groupBy("lang_pred").agg(F.percentile_approx("per_gram", share, 10_000)).collect()  # MAX_LANGS rows at most
+    return {lang: max(0.0, least) for lang, least in found}

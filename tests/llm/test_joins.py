@@ -258,3 +258,26 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_language_stage_rejects_foreign_texts_and_noise(spark):
+    import base64
+
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 10))) for _ in range(60)),
+        base64.b64encode(rng.randbytes(400)).decode(),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = spark.createDataFrame([(10**9 + 100 * k + j, t, None, None, None) for k, t in enumerate(odd) for j in range(8)], docs.schema)
+    kept = {r.doc_id for r in p.language(spark, docs.unionByName(planted), "").select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**9]
+    for held in (True, False):
+        clean = [r.doc_id for r in docs.filter("lang is not null and text is not null").select("doc_id").collect() if (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == held]
+        assert sum(i in kept for i in clean) >= 0.98 * len(clean)
