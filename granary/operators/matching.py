@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import fold, tokens
+from granary.session import materialize, shared_folder
 
 #: Reference tables up to so many rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -59,10 +60,22 @@ def dot(a: Column, b: Column) -> Column:
 def vector_top_k(queries: DataFrame, references: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
     """The k references most similar to each query (query_id, q) among (ref_id, r): cosine, then reference id.
 
-    All pairs are asked for, so the queries are a stated set of bounded size, broadcast to the references.
+    All pairs are asked for, so queries are broadcast to the references. More than `most_queries` are split by a hash of
+    their id into blocks of half as many on average; each block's answers are written before the next one is joined.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in blocks")
+    n = queries.count()
+    if n <= most_queries:
+        return nearest(queries, references, k)
+    spark, blocks, path = queries.sparkSession, -(-2 * n // most_queries), shared_folder(queries.sparkSession)
+    split = materialize(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("__block"), ["__block"])
+    for b in range(blocks):
+        top = nearest(split.filter(F.col("__block") == b).drop("__block"), references, k)
+        top.write.mode("append").parquet(path)
+    return spark.read.schema(top.schema).parquet(path)
+
+
+def nearest(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """vector_top_k for queries that can be broadcast."""
     pairs = references.join(F.broadcast(queries))
     size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     scored = pairs.select("query_id", "ref_id", F.try_divide(dot(F.col("q"), F.col("r")), size("q") * size("r")).alias("similarity"))

@@ -211,7 +211,7 @@ def neighbours(spark, sf_dir, k):
     """The nearest vectors of every vector whose id is divisible by 50, in blocks of queries."""
     e = table(spark, sf_dir, "embeddings")
     queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    top = matching.vector_top_k(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("r")), k + 1, 100_000).filter("query_id <> ref_id")
+    top = matching.vector_top_k(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("r")), k + 1).filter("query_id <> ref_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id")
     return top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

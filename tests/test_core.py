@@ -232,3 +232,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1 and set(e.oracle_sql()) <= set(e.queries())
     assert time.time() > 0 and os.path.isdir(SF)
+
+
+def test_vector_top_k_in_blocks(spark):
+    """Any number of queries is answered, and as in one block."""
+    import random
+
+    from granary.operators import matching
+
+    rng = random.Random(6)
+    rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(4)]) for k in range(90)] + [(90, [0.0] * 4), (91, [1.0, 1.0, 0.0, 0.0]), (92, [1.0, 1.0, 0.0, 0.0])]
+    q = spark.createDataFrame(rows[::2] + rows[-1:], "query_id long, q array<double>")
+    r = spark.createDataFrame(rows, "ref_id long, r array<double>")
+    whole, blocks = matching.vector_top_k(q, r, 5), matching.vector_top_k(q, r, 5, most_queries=7)
+    assert blocks.schema.simpleString() == whole.schema.simpleString()
+    got = sorted(tuple(x) for x in blocks.select("query_id", "ref_id", "rank").collect())
+    assert got == sorted(tuple(x) for x in whole.select("query_id", "ref_id", "rank").collect())
+    assert {x[0] for x in got} == {x[0] for x in rows[::2] + rows[-1:]}
