@@ -17,7 +17,7 @@ Columns: part, seq (order of segments), n_docs, n_tokens and payload, the bytes
   for each level: number of chunks (uint64), chunks (bytes), bitmap (64-bit words), ranks (uint64 a block)
 
 Null texts count as empty; an empty document holds its end id alone. Null
-document ids come first; of repeated ids the order is that of their texts. An empty table gives an
+document ids come first; of repeated ids the order is that of their texts. A very long text is a segment of its own. An empty table gives an
 empty file. Columns other than the id and the text are not read.
 """
 
@@ -36,6 +36,8 @@ from granary.llm.tokens import library_encoder
 
 BITS, BLOCK = 8, 512
 SEGMENT = 1 << 19
+#: Code points of a task, about.
+PART = 1 << 25
 HEAD = struct.Struct("<4sIIQQ")
 ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
@@ -112,11 +114,16 @@ class Codes:
 
 
 def write(docs: DataFrame, path: str, file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
-    """Encode whole texts by the tokenizers library, append end_id to each, and write segments in ascending order of document."""
-    spark = docs.sparkSession
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    """Encode whole texts by the tokenizers library, append end_id to each, and write segments in ascending order of document.
+
+    parts: how many tasks share the work; without it, one for PART code points, but one for each core at least. Equal ids are
+    dealt by the beginnings of their texts, so that a repeated id isn't one task's work.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    if parts is None:
+        size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        parts = max(-(-size // PART), docs.sparkSession.sparkContext.defaultParallelism)
+    ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def work(batches):
         encoder, part, seq = library_encoder(file), TaskContext.get().partitionId(), 0
@@ -140,12 +147,13 @@ def write(docs: DataFrame, path: str, file: str, end_id: int, id_col: str = "doc
                 size += len(ids)
         if held_docs:
             yield segment()
+        encoder.forget()
 
     ordered.mapInArrow(work, "part int, seq int, n_docs long, n_tokens long, payload binary").write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids, for every document of a file."""
+    """part, seq (its segment), doc_id, at (ids before it in its segment), n_tokens, ids, for every document of a file."""
     segments = spark.read.parquet(path)
 
     def work(batches):

@@ -1,38 +1,39 @@
 """Exact deduplication against immutable snapshots that are screened by static binary-fuse filters.
 
-A snapshot is a set of digests that never changes once written, so a static
-filter fits it: one binary-fuse filter for each bucket of digests, built where
-the bucket lies. A new batch is first grouped by itself, its digests are then
-screened by the filter of their bucket, and only the positives join the
-snapshot's exact digests, where the normalised bytes are compared. Filters are
+`write_snapshot` writes a folder that never changes again:
+  groups   by bucket: each distinct digest with its size, its best row and its normalised text (the exact buckets)
+  filters  by bucket: a static binary-fuse filter of the bucket's digests
+  rows     id and digest of every row
+`dedup` groups a new batch by itself. Its digests meet the filters of their buckets; those that no
+filter lets through never meet the snapshot. Positives join their exact bucket, and where the normalised
+bytes are equal too, the batch's group and the snapshot's become one; the filter's errors end there.
+Sizes and best rows of a snapshot's groups change by these matches alone. Filters are
 as large as the snapshot, so they stay partitioned and are never broadcast.
 
 Null texts count as empty; empty texts equal each other. Rows with a null id
 take part; of equal texts the one with most code points stays, then the
-smallest id, a null id last. Repeated rows are members like any other. An empty table
-gives an empty result. Columns other than the id and the text are not read.
+smallest id, a null id last. Repeated rows are members like any other. Very long texts are hashed
+whole. An empty table or snapshot gives an empty result for its part. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import struct
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import materialize
+from granary.session import materialize, shared_folder
 
 #: Deleted before texts are compared.
-WHITE = b" \t\n\x0b\x0c\r"
-#: Snapshot digests to a filter, about.
+WHITE = "[\\x20\\x09-\\x0D]+"
+#: Snapshot digests to a filter, about, and incoming digests that one task screens by it.
 BUCKET_KEYS = 100_000
-#: Rows of ids that may be broadcast (16 bytes each); beyond it the texts are fetched by a shuffled join.
-BROADCAST_ROWS = 100_000
+#: Groups with more than this share of all rows meet their rows by a broadcast, so there are 100,000 of them at most (about 100 bytes each).
+HOT_SHARE, HOT_LEAST = 100_000, 64
 U64 = np.uint64
 
 
@@ -119,46 +120,63 @@ class BinaryFuse:
         return cls(seed, segment, segments, np.frombuffer(blob, np.uint8, offset=struct.calcsize("<4sIIQ")))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (SHA-256 of the text without white space), n_points (code points of the whole text)."""
+def plain(text: Column) -> Column:
+    """A text without white space."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITE, "")
+
+
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text without white space, as bytes."""
+    return F.unhex(F.sha2(plain(text).cast("binary"), 256))
 
-    def work(batches):
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            raw = texts.cast(pa.binary())
-            found = [hashlib.sha256(x.translate(None, WHITE)).digest() for x in raw.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pc.utf8_length(texts).cast(pa.int64())], ["doc_id", "digest", "n_points"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, digest binary, n_points long")
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest, n_points (code points of the whole text), plain."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.select("doc_id", plain(F.col("text")).alias("plain"), F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("n_points"))
+    return rows.select("doc_id", F.unhex(F.sha2(F.col("plain").cast("binary"), 256)).alias("digest"), "n_points", "plain")
 
 
-def grouped(rows: DataFrame) -> DataFrame:
+def grouped(rows: DataFrame, *more: Column) -> DataFrame:
     """One row for each digest: its size, and the best row (most code points, then the smallest id, null last)."""
-    best = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    return rows.groupBy("digest").agg(F.count("*").alias("size"), F.min(best).alias("best"))
+    best = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
+    return rows.groupBy("digest").agg(F.count("*").alias("size"), F.min(best).alias("best"), *more)
 
 
-def bucket(n: int):
-    return F.pmod(F.xxhash64("digest"), F.lit(n)).alias("bucket")
+def bucket(n) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(n) if isinstance(n, int) else n).alias("bucket")
 
 
-def key_of(digest: pa.Array) -> np.ndarray:
+def key_of(digest: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(x[:8] for x in digest.to_pylist()), "<u8")
 
 
-def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
-    """bucket, filter: a binary-fuse filter for each bucket of a snapshot's digests."""
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> None:
+    """Write an immutable snapshot of all rows."""
 
     def build(key, table):
         blob = BinaryFuse.build(key_of(table.column("digest"))).to_bytes()
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([blob], pa.binary())})
 
-    return groups.select(bucket(buckets), "digest").groupBy("bucket").applyInArrow(build, "bucket long, filter binary")
+    spark, rows = docs.sparkSession, digests(docs, id_col, text_col)
+    rows.select("doc_id", "digest").write.parquet(f"{path}/rows")
+    groups = grouped(rows, F.any_value("plain").alias("plain"))
+    groups.write.parquet(f"{path}/groups")
+    groups = spark.read.parquet(f"{path}/groups")
+    buckets = max(1, groups.count() // bucket_keys)
+    filters = groups.select(bucket(buckets), "digest").groupBy("bucket").applyInArrow(build, "bucket long, filter binary")
+    filters.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/filters")
+
 
+def screened(incoming: DataFrame, filters: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """Those digests of the incoming groups that the filter of their bucket lets through.
 
-def screened(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """Those digests of the incoming groups that a filter lets through."""
+    A bucket with many incoming digests is dealt over tasks, each of which gets the filter.
+    """
+    known = filters.select("buckets").first()
+    if known is None:
+        return incoming.select("digest").limit(0)
+    shares = max(1, incoming.count() // (known["buckets"] * bucket_keys))
 
     def screen(left, right):
         if not left.num_rows or not right.num_rows:
@@ -166,46 +184,69 @@ def screened(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame
         keep = BinaryFuse.from_bytes(right.column("filter")[0].as_py()).has(key_of(left.column("digest")))
         return left.select(["digest"]).filter(pa.array(keep))
 
-    left = incoming.select(bucket(buckets), "digest").groupBy("bucket")
-    return left.cogroup(filters.groupBy("bucket")).applyInArrow(screen, "digest binary")
+    left = incoming.select(bucket(known["buckets"]), F.pmod(F.hash("digest"), F.lit(shares)).alias("share"), "digest")
+    right = filters.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "filter")
+    return left.groupBy("bucket", "share").cogroup(right.groupBy("bucket", "share")).applyInArrow(screen, "digest binary")
 
 
-def exact_dedup(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deduplicate the rows outside a snapshot against it and among themselves.
+def matches(spark: SparkSession, batch: DataFrame, groups: DataFrame, snapshot: str, id_col: str, text_col: str) -> DataFrame:
+    """digest, and the snapshot's size and best row, for those groups of a batch whose text lies in the snapshot.
 
-    in_snapshot: a boolean Column over id_col and text_col that marks the rows of
-    the immutable snapshot. Returns every row: doc_id, digest, keep_id, group_size,
-    kept, seen_before (its text lies in the snapshot).
+    groups: the batch's own, as `grouped` gives them. Only what the filters let through reaches the exact buckets.
+    """
+    positive = materialize(screened(groups, spark.read.parquet(f"{snapshot}/filters")))
+    exact = spark.read.parquet(f"{snapshot}/groups").join(positive, "digest")
+    mine = positive.join(groups.select("digest", F.col("best.doc_id").alias("best_id")), "digest")
+    texts = digests(batch, id_col, text_col).withColumnsRenamed({"digest": "d", "plain": "p"}).drop("n_points")
+    # the best row of each positive group; a repeated id has other digests or the same bytes
+    own = mine.join(texts, (F.col("d") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("best_id"))).groupBy("digest").agg(F.any_value("p").alias("p"))
+    same = exact.join(own, "digest").filter(F.col("plain") == F.col("p"))
+    return materialize(same.select("digest", "size", "best"))
+
+
+def told(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, digest, keep_id, group_size, kept, seen_before for rows (doc_id, digest) from their groups (own, size, best, seen_before).
+
+    A row that is alone in its table is told by its group; others join it, those of the largest groups by a broadcast.
+    """
+    out = [F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size")]
+    alone = groups.filter("own = 1").select(F.col("own_id").alias("doc_id"), "digest", *out, "seen_before")
+    total = groups.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+    many = groups.filter("own > 1").select("digest", *out, "seen_before", (F.col("own") > max(HOT_LEAST, total // HOT_SHARE)).alias("hot"))
+    hot = rows.join(F.broadcast(many.filter("hot").drop("hot")), "digest", "left")
+    parts = [alone, hot.filter("group_size is not null").select(alone.columns), hot.filter("group_size is null").select("doc_id", "digest").join(many.filter("not hot").drop("hot"), "digest").select(alone.columns)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "seen_before")
+
+
+def merged(groups: DataFrame, others: DataFrame) -> DataFrame:
+    """Groups with what the others of the same digest add: own, own_id (as they are alone) and size, best, seen_before (together)."""
+    more = others.groupBy("digest").agg(F.sum("size").alias("more"), F.min("best").alias("other"))
+    own = groups.select("digest", F.col("size").alias("own"), F.col("best.doc_id").alias("own_id"), F.col("best").alias("mine")).join(more, "digest", "left")
+    return own.select("digest", "own", "own_id", (F.col("own") + F.coalesce("more", F.lit(0))).alias("size"), F.least("mine", F.coalesce("other", "mine")).alias("best"), F.col("more").isNotNull().alias("seen_before"))
+
+
+def dedup(batch: DataFrame, snapshots: list[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of a batch, told against all snapshots and each other; and for each snapshot, digest, size and best of the batch's groups that lie in it."""
+    spark = batch.sparkSession
+    rows = materialize(digests(batch, id_col, text_col).drop("plain"))
+    groups = materialize(grouped(rows))
+    found = [matches(spark, batch, groups, path, id_col, text_col) for path in snapshots]
+    every = spark.createDataFrame([], groups.schema)
+    for one in found:
+        every = every.unionByName(one)
+    new = [groups.join(one.select("digest"), "digest", "left_semi") for one in found]
+    return told(rows.select("doc_id", "digest"), materialize(merged(groups, every))), new
+
+
+def exact_dedup(docs: DataFrame, in_snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the rows marked by in_snapshot (a boolean Column) as a snapshot, deduplicate the rest against it and among themselves.
+
+    Returns every row: doc_id, digest, keep_id, group_size, kept, seen_before (its text lies on the other side too).
     """
-    spark = docs.sparkSession
-    flags = docs.withColumn("__old", F.coalesce(in_snapshot, F.lit(False)))
-    old = materialize(digests(flags.filter("__old"), id_col, text_col))
-    new = materialize(digests(flags.filter("not __old"), id_col, text_col))
-    snapshot, batch = materialize(grouped(old)), materialize(grouped(new))
-    buckets = max(1, snapshot.count() // BUCKET_KEYS)
-    maybe = screened(batch, snapshot_filters(snapshot, buckets), buckets)
-    # the positives meet the exact digests; the filter's errors end here
-    pairs = materialize(
-        maybe.join(batch.select("digest", F.col("best.doc_id").alias("new_id")), "digest").join(snapshot.select("digest", F.col("best.doc_id").alias("old_id")), "digest")
-    )
-    differ = byte_check(docs, pairs, id_col, text_col) if not pairs.isEmpty() else spark.createDataFrame([], "digest binary")
-    both = snapshot.select("digest", "size", "best", F.lit(True).alias("old")).unionByName(batch.select("digest", "size", "best", F.lit(False).alias("old")))
-    both = both.join(differ.withColumn("apart", F.lit(True)), "digest", "left").withColumn("side", F.when(F.col("apart"), F.col("old")))
-    merged = both.groupBy("digest", "side").agg(F.sum("size").alias("group_size"), F.min("best").alias("best"), F.max("old").alias("seen_before"))
-    rows = old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
-    joined = rows.alias("r").join(merged.alias("g"), (F.col("r.digest") == F.col("g.digest")) & (F.col("g.side").isNull() | (F.col("g.side") == F.col("r.old"))))
-    return joined.select(
-        "r.doc_id", "r.digest", F.col("g.best.doc_id").alias("keep_id"), "group_size", F.col("r.doc_id").eqNullSafe(F.col("g.best.doc_id")).alias("kept"), "seen_before"
-    )
-
-
-def byte_check(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Digests whose snapshot text and new text differ in their normalised bytes, though the digests are equal."""
-    ends = pairs.select("digest", F.explode(F.array("new_id", "old_id")).alias("end"))
-    few = pairs.count() * 2 <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("end"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(ends) if few else ends, "end")
-    plain = F.translate("text", WHITE.decode(), "")
-    # of repeated ids the texts may differ; the digest says which one is meant
-    got = got.select("digest", plain.alias("plain")).filter(F.unhex(F.sha2(F.col("plain").cast("binary"), 256)) == F.col("digest"))
-    return got.groupBy("digest").agg(F.min("plain").alias("a"), F.max("plain").alias("b")).filter("a <> b").select("digest")
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession)
+    sides = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
+    write_snapshot(sides.filter("old"), path)
+    rows, (new,) = dedup(sides.filter("not old"), [path])
+    groups = materialize(merged(spark.read.parquet(f"{path}/groups").drop("plain"), new))
+    return rows.unionByName(told(spark.read.parquet(f"{path}/rows"), groups))

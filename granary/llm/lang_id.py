@@ -1,8 +1,8 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Counting runs where the rows lie and is summed by Spark; the model is a matrix
-of log probabilities, buckets by languages, whose size is fixed by the two
-parameters BUCKETS and MAX_LANGS and not by the corpus, so it is broadcast.
+of log probabilities, buckets by languages, in blocks of so many languages that
+each has a bounded size, whatever the corpus, and is broadcast.
 Batches are scored sparsely in numpy: each n-gram picks a row of the matrix, and
 rows are summed by document.
 
@@ -10,7 +10,8 @@ A text that is null, empty or without a letter is `und` with score 0, and so is
 every text if nothing was learned. The posterior nears 1 for any longer text, of whatever
 language, so `per_gram` says how well a text fits the language chosen: the mean logarithm of how much
 likelier its n-grams are there than if all buckets were equal. Null languages teach nothing. Of languages
-equally likely, the first in alphabetical order wins. Other columns are not read.
+equally likely, the first in alphabetical order wins. Repeated rows and rows with a null id are predicted
+each; a very long text is scored whole. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.carried import bundled
+from granary.session import materialize
+
 ORDERS = (2, 3)
 BUCKETS = 1 << 15
-#: A proven bound of the broadcast matrix: 2**15 * 512 * 8 bytes = 134 MB; four languages take 1 MB.
-MAX_LANGS = 512
+#: Languages of a block of the matrix: a broadcast of 2**15 * 64 * 8 bytes = 17 MB at most. More languages take more blocks.
+LANGS = 64
 #: Stands between documents in a batch; no character has this number.
 GAP = 0x110000
 #: Texts are scored in pieces of about so many code points, cut between documents.
@@ -92,28 +96,48 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     return rows.mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log probabilities (BUCKETS + 1 by languages, the last row 0) and log priors, from all the rows given."""
-    if docs.filter(F.col(text_col).isNotNull()).select(lang_col).na.drop().distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    got = counts(docs, text_col, lang_col).toArrow()  # MAX_LANGS * (BUCKETS + 1) rows at most
-    langs = sorted(set(got.column("lang").to_pylist()))
-    table = np.zeros((BUCKETS + 1, len(langs)))
-    priors = np.ones(len(langs))
-    at = {x: k for k, x in enumerate(langs)}
-    where = np.array([at[x] for x in got.column("lang").to_pylist()], int)
-    slot, n = got.column("bucket").to_numpy(), got.column("n").to_numpy()
-    real = slot >= 0
-    table[slot[real], where[real]] = n[real]
-    priors[where[~real]] = n[~real]
-    logs = np.log((table[:BUCKETS] + 0.5) / (table[:BUCKETS].sum(axis=0) + 0.5 * BUCKETS))
-    return langs, np.vstack([logs, np.zeros((1, len(langs)))]), np.log(priors / priors.sum()) if langs else priors
-
-
-def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """id, kept columns, lang_pred, score (the posterior of the language chosen), per_gram for every row and whole text."""
-    langs, logs, priors = model
-    shared = docs.sparkSession.sparkContext.broadcast((langs, logs, priors))
+class Model:
+    """Languages by name, their log priors, and a table of counts from which blocks of the matrix are read."""
+
+    def __init__(self, langs: list[str], priors: np.ndarray, table: DataFrame):
+        self.langs, self.priors, self.table = langs, priors, table
+
+    def blocks(self):
+        """(languages, log probabilities as BUCKETS + 1 rows, of which the last is 0, by languages; log priors), LANGS languages at a time."""
+        for a in range(0, len(self.langs), LANGS):
+            langs = self.langs[a : a + LANGS]
+            got = self.table.filter(F.col("bucket") >= 0).filter(F.col("lang").isin(langs)).toArrow()  # LANGS * BUCKETS rows at most
+            place = {x: k for k, x in enumerate(langs)}
+            counts = np.zeros((BUCKETS + 1, len(langs)))
+            counts[got.column("bucket").to_numpy(), [place[x] for x in got.column("lang").to_pylist()]] = got.column("n").to_numpy()
+            logs = np.log((counts[:BUCKETS] + 0.5) / (counts[:BUCKETS].sum(axis=0) + 0.5 * BUCKETS))
+            yield langs, np.vstack([logs, np.zeros((1, len(langs)))]), self.priors[a : a + LANGS]
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts of all the rows given."""
+    table = materialize(counts(docs, text_col, lang_col))
+    known = sorted((r.lang, r.n) for r in table.filter("bucket = -1").select("lang", "n").collect())  # a row for each language
+    n = np.array([k for _, k in known], float)
+    return Model([x for x, _ in known], np.log(n / n.sum()) if known else n, table)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """id, lang_pred, score (the posterior of the language chosen), per_gram for every row and whole text; with carry, row and text (see carried) for id.
+
+    One pass over the rows for each block of languages.
+    """
+    rows = bundled(docs, text_col) if carry else docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("row", "text", F.lit("und").alias("lang_pred"), F.lit(float("-inf")).alias("best"), F.lit(float("-inf")).alias("total"), F.lit(0.0).alias("per_gram"))
+    for block in model.blocks():
+        rows = compared(rows, block)
+    out = rows.withColumn("score", F.when(F.col("lang_pred") == "und", 0.0).otherwise(F.exp(F.col("best") - F.col("total"))))
+    return out.select(*["row", "text"] if carry else [F.col("row").alias(id_col)], "lang_pred", "score", "per_gram")
+
+
+def compared(rows: DataFrame, block: tuple) -> DataFrame:
+    """The best language so far and the logarithm of the sum of all likelihoods, with one more block of languages."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         _, logs, priors = shared.value
@@ -127,23 +151,27 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
         return out + priors, n
 
     def work(batches):
-        names = shared.value[0]
+        langs, _, priors = shared.value
         for batch in batches:
-            texts = pc.fill_null(batch.column(0), "").to_pylist()
-            readable = np.array([bool(names) and letters(t) for t in texts], bool)
-            lang, score, per_gram = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            if readable.any():
-                s, n = scores([t for t, r in zip(texts, readable, strict=True) if r])
-                best = s.argmax(axis=1)
-                per_gram[readable] = np.where(n > 0, (s.max(axis=1) - shared.value[2][best]) / np.maximum(n, 1) + np.log(BUCKETS), 0.0)
-                score[readable] = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                for k, b in zip(np.flatnonzero(readable), best, strict=True):
-                    lang[k] = names[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per_gram, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score", "per_gram"])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep, *[text_col] * keep_text)])
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(work, f"{kinds}, lang_pred string, score double, per_gram double")
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            readable = np.flatnonzero(np.array([letters(t) for t in texts], bool))
+            lang = batch.column("lang_pred").to_pylist()
+            best, total, per_gram = (batch.column(c).to_numpy().copy() for c in ("best", "total", "per_gram"))
+            if len(readable):
+                s, n = scores([texts[k] for k in readable])
+                top = s.argmax(axis=1)
+                most = s[np.arange(len(s)), top]
+                whole = most + np.log(np.exp(s - most[:, None]).sum(axis=1))
+                total[readable] = np.logaddexp(total[readable], whole)
+                better = most > best[readable]
+                at, top, n, most = readable[better], top[better], n[better], most[better]
+                best[at] = most
+                per_gram[at] = np.where(n > 0, (most - priors[top]) / np.maximum(n, 1) + np.log(BUCKETS), 0.0)
+                for k, t in zip(at, top, strict=True):
+                    lang[k] = langs[t]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(lang, pa.string()), *[pa.array(x, pa.float64()) for x in (best, total, per_gram)]], batch.schema.names)
+
+    return rows.mapInArrow(work, rows.schema)
 
 
 def least_per_gram(docs: DataFrame, model, share: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
@@ -151,6 +179,6 @@ def least_per_gram(docs: DataFrame, model, share: float, id_col: str = "doc_id",
 
     The documents given must be others than those the model learned from, whose own n-grams it knows.
     """
-    right = predict(docs, model, id_col, text_col, keep=(lang_col,)).filter(F.col("lang_pred") == F.col(lang_col))
-    found = right.groupBy("lang_pred").agg(F.percentile_approx("per_gram", share, 10_000)).collect()  # MAX_LANGS rows at most
+    right = predict(docs, model, id_col, text_col, carry=True).filter(F.col("lang_pred") == F.col("row")[lang_col])
+    found = right.groupBy("lang_pred").agg(F.percentile_approx("per_gram", share, 10_000)).collect()  # a row for each language
     return {lang: max(0.0, least) for lang, least in found}

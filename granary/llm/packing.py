@@ -5,17 +5,21 @@ to the shortest tier that holds it. Tiers are packed from the longest: each
 piece opens a sequence of its tier's size, the gap takes the largest pieces of
 the shorter tiers that fit, and then a cut from a piece of the shortest tier. What ends
 up in no full sequence is cut into sequences whose lengths are powers of two, so
-nothing is padded. Sequences of one batch go, from the longest, into step groups of equal tokens.
+nothing is padded. Sequences are dealt, from the longest, each to the step group that holds the fewest tokens,
+so groups hold the same tokens in the same mix of sizes; what fills no group waits for the next
+batch, and only the last group of a task can be smaller.
 
 Packing works where the rows lie, without a shuffle: a task packs batches of its own
 rows, and only ids of the task and a counter name sequences and step groups, so a task that
 runs again gives the same rows. Null texts count as empty and hold the end id
-alone; null ids and repeated rows are documents like any other. An empty table
+alone; null ids, equal texts and repeated rows are documents like any other. A very long text
+is encoded by runs of its parts and fills windows of its own. An empty table
 gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -29,8 +33,8 @@ from granary.llm.tokens import library_encoder
 TIERS = (64, 128, 256, 512, 1024, 2048)
 #: Tokens of a step group.
 STEP = 32 * 2048
-#: Tokens packed at once; a task keeps no more, but for one document.
-BATCH = 1 << 21
+#: Tokens packed at once; a task keeps no more, but for one document and an open step group.
+BATCH = 1 << 18
 Piece = tuple[int, int, int]  # length, document's place in the batch, start
 
 
@@ -104,35 +108,60 @@ class Packer:
                 total -= t
 
 
+def dealt(sequences: list[tuple], step: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
+    """Step groups of `step` tokens from sequences (size first), and the sequences that fill none; if it is the last time, all are dealt."""
+    sequences = sorted(sequences, key=lambda s: -s[0])
+    total = sum(s[0] for s in sequences)
+    n = -(-total // step) if last else total // step
+    groups, load, left = [[] for _ in range(n)], [(0, k) for k in range(n)], []
+    for s in sequences:
+        if load and load[0][0] + s[0] <= step:
+            have, k = load[0]
+            groups[k].append(s)
+            heapq.heapreplace(load, (have + s[0], k))
+        else:
+            left.append(s)
+    if last and left:  # sizes that don't divide the step
+        more, left = dealt(left, step, True)
+        groups += more
+    return groups, left
+
+
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group"]
+
+
 def pack(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step: int = STEP) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset, sequence_size, step_group."""
+    if step < tiers[-1]:
+        raise ValueError("a step group must hold the longest sequence")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group"]
 
     def work(batches):
         encoder, task = library_encoder(file), TaskContext.get().partitionId()
         sequence = group = task << 36
         docs, ids, size = [], [], 0
+        waiting: list[tuple] = []  # (size, pieces of document, start, length, ids, doc_tokens)
         last = np.array([end_id], "<u4").tobytes()
 
-        def packed():
-            nonlocal sequence, group
-            packer, out, filled = Packer(tiers), [], 0
+        def packed(end: bool):
+            nonlocal sequence, group, waiting
+            packer = Packer(tiers)
             for k, raw in enumerate(ids):
                 packer.add(k, len(raw) // 4)
             for n, pieces in packer.finish():
-                if filled and filled + n > step:
-                    group, filled = group + 1, 0
-                filled += n
-                offset = 0
-                for length, k, start in pieces:
-                    out.append((docs[k], start, length, ids[k][4 * start : 4 * (start + length)], len(ids[k]) // 4, sequence, offset, n, group))
-                    offset += length
-                sequence += 1
-            group += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            for a in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 4096], strict=True), kinds, strict=True)], names)
+                waiting.append((n, [(docs[k], start, length, ids[k][4 * start : 4 * (start + length)], len(ids[k]) // 4) for length, k, start in pieces]))
+            groups, waiting = dealt(waiting, step, end)
+            for members in groups:
+                out = []
+                for n, pieces in members:
+                    offset = 0
+                    for piece in pieces:
+                        out.append((*piece, sequence, offset, n, group))
+                        offset += piece[2]
+                    sequence += 1
+                group += 1
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
 
         for batch in batches:
             for doc, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -140,9 +169,9 @@ def pack(docs: DataFrame, file: str, end_id: int, id_col: str = "doc_id", text_c
                 ids.append(raw + last)
                 size += len(raw) // 4 + 1
                 if size >= BATCH:
-                    yield from packed()
+                    yield from packed(False)
                     docs, ids, size = [], [], 0
-        if docs:
-            yield from packed()
+        yield from packed(True)
+        encoder.forget()
 
     return rows.mapInArrow(work, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_size int, step_group long")

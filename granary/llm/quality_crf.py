@@ -7,10 +7,11 @@ passed through a logistic curve. A labelled document labels its lines; SAMPLE
 labelled documents at most (those with the smallest hash of the id) fit the
 weights on the driver, from binned features alone. Scoring is one pass where the rows lie.
 
-Null texts count as empty, a single empty line, and are scored too. Null labels
-and labels of absent documents teach nothing; of repeated labels the larger
-counts. Without both labels every score is the share of label 1 (0.5 without
-any). Other columns are not read.
+Null texts count as empty, a single empty line, and are scored too, as are rows with a null
+id, which have no label. Repeated rows are scored each, equal texts alike. A text of n lines is scored
+whole, in log2(n) steps over all its lines. Null labels and labels of absent documents teach nothing; of
+repeated labels the larger counts. Without both labels every score is the share of label 1 (0.5 without
+any). An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from granary.llm.carried import bundled
 
 #: Labelled documents that fit the weights, at most.
 SAMPLE = 3000
+#: Lines of a document that takes part in the fit, at most; so the driver gets 3,000,000 lines of 17 bytes at most.
+LINES = 1000
 STEPS, RATE, RIDGE = 60, 0.25, 1e-3
 OTHER, LOWER, UPPER, DIGIT, SPACE, STOP, SYMBOL = range(7)
 EDGES = {
@@ -90,13 +96,42 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def rows_of(bins: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     """Indexes into the weights: of the line, of the line before and of the line after (or of a missing one)."""
-    code = np.arange(N) * WIDTH + bins
-    missing = np.arange(N) * WIDTH + WIDTH - 1
+    code = (np.arange(N) * WIDTH + bins).astype(np.int16)
+    missing = np.arange(N, dtype=np.int16) * WIDTH + WIDTH - 1
     before, after = np.roll(code, 1, axis=0), np.roll(code, -1, axis=0)
     first = np.concatenate([[0], np.cumsum(n_lines)[:-1]])
     before[first] = missing
     after[first + n_lines - 1] = missing
-    return np.concatenate([code, before + N * WIDTH, after + 2 * N * WIDTH], axis=1)
+    return np.concatenate([code, before + np.int16(N * WIDTH), after + np.int16(2 * N * WIDTH)], axis=1)
+
+
+def log_odds(weights: np.ndarray, bins: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """The sum of the weights that rows_of names, for each line, without a table of them."""
+    own, before, after = (np.zeros(len(bins)) for _ in range(3))
+    w = weights.reshape(3, N, WIDTH)
+    for k in range(N):
+        own += w[0, k][bins[:, k]]
+        before += w[1, k][bins[:, k]]
+        after += w[2, k][bins[:, k]]
+    first = np.concatenate([[0], np.cumsum(n_lines)[:-1]])
+    before, after = np.roll(before, 1), np.roll(after, -1)
+    before[first], after[first + n_lines - 1] = w[1, :, -1].sum(), w[2, :, -1].sum()
+    return own + before + after
+
+
+def products(m: np.ndarray, longest: int) -> np.ndarray:
+    """For each place the product of the 2 x 2 matrices up to it, of `longest` of them at least, each scaled to a largest entry of 1.
+
+    By doubling, so a text of n lines takes log2(n) steps. A matrix with equal rows cuts off what lies before it, but for a scale.
+    m: the four entries (rows by columns) by places.
+    """
+    step = 1
+    while step < longest:
+        a, b = m[:, :, :-step], m[:, :, step:]
+        new = a[:, :1] * b[None, 0] + a[:, 1:] * b[None, 1]
+        m = np.concatenate([m[:, :, :step], new / new.max(axis=(0, 1))], axis=2)
+        step *= 2
+    return m
 
 
 def marginals(u: np.ndarray, n_lines: np.ndarray, link: np.ndarray, pairs: bool = False):
@@ -104,43 +139,30 @@ def marginals(u: np.ndarray, n_lines: np.ndarray, link: np.ndarray, pairs: bool
 
     u: log odds of good for each line; link: 2 x 2 scores of adjacent labels.
     """
-    order = np.argsort(-n_lines, kind="stable")
-    sizes = n_lines[order]
-    first = np.concatenate([[0], np.cumsum(n_lines)[:-1]])[order]
-    longest = int(sizes[0]) if len(sizes) else 0
-    alive = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
-    node = np.stack([np.zeros(len(u)), u], axis=1)
-    a, b = np.zeros_like(node), np.zeros_like(node)
-    now = None
-    for t in range(longest):
-        at = first[: alive[t]] + t
-        if t:
-            now = now[: alive[t]]
-            now = np.logaddexp(now[:, :1] + link[0], now[:, 1:] + link[1])
-            now = now + node[at]
-        else:
-            now = node[at]
-        now = now - now.max(axis=1, keepdims=True)
-        a[at] = now
-    nxt = np.zeros((0, 2))
-    for t in range(longest - 1, -1, -1):
-        at = first[: alive[t]] + t
-        cur = np.zeros((len(at), 2))
-        if len(nxt):
-            cur[: len(nxt)] = np.stack([np.logaddexp(link[y, 0] + nxt[:, 0], link[y, 1] + nxt[:, 1]) for y in (0, 1)], axis=1)
-            cur -= cur.max(axis=1, keepdims=True)
-        b[at] = cur
-        nxt = cur + node[at]
-    s = a + b
-    p = 1 / (1 + np.exp(np.clip(s[:, 0] - s[:, 1], -700, 700)))
+    if not len(u):
+        return np.empty(0), (np.empty(0, np.int64), np.empty((0, 2, 2)))
+    first = np.concatenate([[0], np.cumsum(n_lines)[:-1]])
+    last, longest = first + n_lines - 1, int(n_lines.max())
+    node = np.exp(np.stack([np.minimum(-u, 0), np.minimum(u, 0)]))
+    edge = np.exp(link - link.max())
+    into = edge[:, :, None] * node[None]  # from the label of the line before
+    into[:, :, first] = node[:, first]
+    a = products(into, longest).sum(axis=0)
+    a /= a.max(axis=0)
+    onto = np.ones_like(into)  # to the label of the line after, transposed and from the end
+    onto[:, :, :-1] = edge.T[:, :, None] * node[:, None, 1:]
+    onto[:, :, last] = 1.0
+    b = products(np.ascontiguousarray(onto[:, :, ::-1]), longest).sum(axis=0)[:, ::-1]
+    b = b / b.max(axis=0)
+    s = a * b
+    p = s[1] / np.maximum(s.sum(axis=0), 1e-300)
     if not pairs:
         return p, None
     inner = np.ones(len(u), bool)
-    inner[(first + sizes - 1)] = False
+    inner[last] = False
     i = np.flatnonzero(inner)
-    joint = a[i][:, :, None] + link[None] + (node[i + 1] + b[i + 1])[:, None, :]
-    joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
-    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    joint = a[:, i].T[:, :, None] * edge[None] * (node[:, i + 1] * b[:, i + 1]).T[:, None, :]
+    joint /= np.maximum(joint.sum(axis=(1, 2), keepdims=True), 1e-300)
     return p, (i, joint)
 
 
@@ -160,7 +182,7 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         bins, weight, n_lines = features(texts)
-        p, _ = marginals(self.weights[rows_of(bins, n_lines)].sum(axis=1), n_lines, self.link)
+        p, _ = marginals(log_odds(self.weights, bins, n_lines), n_lines, self.link)
         return 1 / (1 + np.exp(-(self.slope * quality(p, weight, n_lines) + self.shift)))
 
     @classmethod
@@ -180,7 +202,7 @@ class Model:
         m = v = np.zeros_like(theta)
         for step in range(1, STEPS + 1):
             link = theta[-4:].reshape(2, 2)
-            p, (i, joint) = marginals(theta[:-4][at].sum(axis=1), n_lines, link, pairs=True)
+            p, (i, joint) = marginals(log_odds(theta[:-4], bins, n_lines), n_lines, link, pairs=True)
             g = np.bincount(at.ravel(), np.repeat(each * (y - p), at.shape[1]), 3 * N * WIDTH)
             seen = np.zeros((2, 2))
             np.add.at(seen, (y[i].astype(int), y[i + 1].astype(int)), each[i])
@@ -188,7 +210,7 @@ class Model:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights, link = theta[:-4], theta[-4:].reshape(2, 2)
-        x = quality(marginals(weights[at].sum(axis=1), n_lines, link)[0], weight, n_lines)
+        x = quality(marginals(log_odds(weights, bins, n_lines), n_lines, link)[0], weight, n_lines)
         slope, shift = 1.0, 0.0
         for _ in range(30):  # Newton steps of a logistic curve with a weak prior
             q = 1 / (1 + np.exp(-(slope * x + shift)))
@@ -201,9 +223,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` of the labelled rows given."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("__id is not null and y in (0, 1)")
-    chosen = known.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(sample)  # so it may be broadcast
+    """A model from at most `sample` of the labelled rows given; those of more than LINES lines are left out."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
+    chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)  # so it may be broadcast
 
     def work(batches):
         for batch in batches:
@@ -211,8 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 bins, weight, _ = features([text])
                 yield pa.RecordBatch.from_arrays([pa.array([bins.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([y], pa.int32())], ["bins", "weight", "y"])
 
-    texts = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string"), "y")
-    got = texts.mapInArrow(work, "bins binary, weight binary, y int").collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
+    # an id that repeats gives more rows than its one label; of them all, `sample` at most are taken, by a hash of the text
+    few = texts.filter(F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < LINES).orderBy(F.xxhash64("text", "y"), "text", "y").limit(sample)
+    got = few.mapInArrow(work, "bins binary, weight binary, y int").collect()
     got = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in got)  # the fit doesn't depend on the order of rows
     parts = [np.frombuffer(b, np.uint8).reshape(-1, N) for b, _, _ in got]
     if not parts:
@@ -220,21 +244,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model.train(np.concatenate(parts), np.concatenate([np.frombuffer(w) for _, w, _ in got]), np.array([len(b) for b in parts]), np.array([y for _, _, y in got]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """id, kept columns and score, the probability of label 1, for every row and whole text."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """id and score, the probability of label 1, for every row and whole text; with carry, row and text (see carried) and score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.link, model.slope, model.shift))
 
     def work(batches):
         own = Model(*shared.value)
         for batch in batches:
-            texts, out, a, size = pc.fill_null(batch.column(0), "").to_pylist(), [], 0, 0
+            texts, out, a, size = pc.fill_null(batch.column("text"), "").to_pylist(), [], 0, 0
             for k, t in enumerate(texts):
                 size += len(t)
                 if size > 1 << 20 or k == len(texts) - 1:
                     out.append(own.score(texts[a : k + 1]))
                     a, size = k + 1, 0
-            found = np.concatenate(out) if out else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.float64())], [*batch.schema.names[1:], "score"])
+            found = pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+            names = ["row", "text"] if carry else [id_col]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], found], [*names, "score"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *[F.col(c) for c in (id_col, *keep, *[text_col] * keep_text)])
-    return rows.mapInArrow(work, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:]) + ", score double")
+    rows = bundled(docs, text_col) if carry else docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    fields = [f for f in rows.schema.fields if carry or f.name != "text"]
+    return rows.mapInArrow(work, StructType([*fields, StructField("score", DoubleType())]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, chat, dac, exact_dedup, katz_lm, lang_id, near_vectors, ngram_join, packing, quality_crf
-from granary.session import prepare, shared_folder, table
+from granary.session import dealt, prepare, shared_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -21,6 +21,11 @@ def fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def held(id_col: str, n: int):
+    """Whether a document is held out: the fold 2. A null id isn't."""
+    return F.coalesce(fold(id_col, n) == 2, F.lit(False))
+
+
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(prepare(spark), sf_dir, "embeddings"), threshold=0.93)
 
@@ -53,7 +58,7 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(table(prepare(spark), sf_dir, "documents"), file, pattern)
+    coded = bpe.encode(dealt(table(prepare(spark), sf_dir, "documents")), file, pattern)
     return bpe.decode(coded, file, pattern).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -92,19 +97,19 @@ FROM esc GROUP BY conv_id
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(prepare(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=1)
+    pieces = packing.pack(dealt(table(prepare(spark), sf_dir, "documents")), vocabulary("byte_bpe_50k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_size", "step_group")
 
 
 def op7_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_lm.katz(table(prepare(spark), sf_dir, "documents"), fold("doc_id", 7) == 2)
+    return katz_lm.katz(table(prepare(spark), sf_dir, "documents"), held("doc_id", 7))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
-    model = lang_id.fit(docs.filter(fold("doc_id", 4) != 2))
+    docs = dealt(table(prepare(spark), sf_dir, "documents"))
+    model = lang_id.fit(docs.filter(~held("doc_id", 4)))
     found = lang_id.predict(docs, model)
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held("doc_id", 4).alias("held_out"), "lang_pred", "score")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +124,9 @@ GOOD = 0.7
 
 
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = quality_crf.score(docs, quality_crf.fit(docs, labels.filter(fold("doc_id", 4) != 2)))
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    docs, labels = dealt(table(prepare(spark), sf_dir, "documents")), table(spark, sf_dir, "labels")
+    found = quality_crf.score(docs, quality_crf.fit(docs, labels.filter(~held("doc_id", 4))))
+    return found.select("doc_id", held("doc_id", 4).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 OP9_SQL = r"""

@@ -4,9 +4,9 @@ LibraryEncoder uses the tokenizers library on a JSON file. A byte-level
 pre-token never runs from text into a following space or line end, so a text cut
 before these gives parts that encode independently, unless three white-space
 characters (or the last two) stand together; such texts go to the library
-whole. Parts repeat, so the ids of a bounded number of them are kept, and only
-new parts reach the library; marks behind a word of letters are pre-tokens of
-their own and are kept apart from it.
+whole, and so do those that may hold a special token. Parts repeat, so ids are kept within a
+bound of bytes until the task ends, and only new parts reach the library; marks behind a
+word of letters are pre-tokens of their own and are kept apart from it.
 RankEncoder uses the tiktoken library on a rank file.
 """
 
@@ -14,15 +14,21 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, islice
+from sys import getsizeof
 
 import numpy as np
 
 #: Three white-space characters, or two at the end.
 TANGLED = re.compile(r"\s\s(?:\s|\Z)")
-#: Kept parts; at about 200 bytes each this bounds the memory of a worker.
-KEPT = 1_200_000
+#: Bytes of kept parts and their ids, as the interpreter counts them; beyond it all but those in use are dropped.
+KEPT_BYTES = 48 << 20
+#: What a dictionary takes for an entry, about.
+ENTRY = 100
+#: Code points that are cut into parts at once.
+RUN = 1 << 19
 #: Marks that end pre-tokens of letters (no apostrophe, for it may begin a short form).
 MARKS = ".,;:!?"
 
@@ -37,12 +43,21 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = tuple(str(x) for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all kept parts, as a task does at its end."""
         self.kept: dict[str, bytes] = {}
+        self.size = 0
 
     def library(self, texts: list[str]) -> list[bytes]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(x.ids, "<u4").tobytes() for x in run(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in run(texts, add_special_tokens=False)]
+
+    def keep(self, parts: list[str], ids: list[bytes]) -> None:
+        self.kept.update(zip(parts, ids, strict=True))
+        self.size += sum(map(getsizeof, parts)) + sum(map(getsizeof, ids)) + ENTRY * len(parts)
 
     def learn(self, new: set[str]) -> None:
         """Keep the ids of new parts."""
@@ -55,20 +70,50 @@ class LibraryEncoder:
                 plain.append(part)
         plain += {x for _, *some in marked for x in some if x not in self.kept and x not in new}
         if plain:
-            self.kept.update(zip(plain, self.library(plain), strict=True))
-        self.kept.update((part, self.kept[word] + self.kept[marks]) for part, word, marks in marked)
+            self.keep(plain, self.library(plain))
+        self.keep([part for part, _, _ in marked], [self.kept[word] + self.kept[marks] for _, word, marks in marked])
+
+    def whole(self, text: str) -> bool:
+        """Whether a text must go to the library uncut: white space stands together, or it may hold a special token."""
+        return "\0" in text or any(x in text for x in self.special) or TANGLED.search(text) is not None
+
+    def parts(self, parts: list[str]) -> list[bytes]:
+        new = set(filterfalse(self.kept.__contains__, parts))
+        if new and self.size > KEPT_BYTES:
+            self.forget()
+            new = set(parts)
+        self.learn(new)
+        return list(map(self.kept.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [k for k, t in enumerate(texts) if "\0" in t or TANGLED.search(t)]
-        out = dict(zip(whole, self.library([texts[k] for k in whole]) if whole else (), strict=True))
-        parts = {k: t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for k, t in enumerate(texts) if k not in out}
-        new = set(filterfalse(self.kept.__contains__, chain.from_iterable(parts.values())))
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = set(chain.from_iterable(parts.values()))
-        self.learn(new)
-        get = self.kept.__getitem__
-        return [out[k] if k in out else b"".join(map(get, parts[k])) for k in range(len(texts))]
+        """The ids of each text; a long one is cut into runs of parts like a batch of short ones."""
+        out: list[bytes] = [b""] * len(texts)
+        run: list[tuple[int, str]] = []  # places of texts and their pieces, which begin before a space
+        size = 0
+
+        def flush():
+            nonlocal run, size
+            cut = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for _, t in run]
+            ids = iter(self.parts(list(chain.from_iterable(cut))))
+            for (k, _), parts in zip(run, cut, strict=True):
+                out[k] += b"".join(islice(ids, len(parts)))
+            run, size = [], 0
+
+        for k, text in enumerate(texts):
+            if self.whole(text):
+                out[k] = self.library([text])[0]
+                continue
+            at = 0
+            while at < len(text):
+                end = text.find(" ", at + RUN) if len(text) - at > RUN else -1
+                end = len(text) if end < 0 else end
+                run.append((k, text[at:end]))
+                size, at = size + end - at, end
+                if size >= RUN:
+                    flush()
+        if run:
+            flush()
+        return out
 
 
 class RankEncoder:

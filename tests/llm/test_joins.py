@@ -238,8 +238,10 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34 !!", "en", "s", 8), (None, "A text without an id, of plain words.", None, None, None)], docs.schema)
-    docs = docs.unionByName(odd).withColumn("digest", F.lit("clash"))
-    kept = {}
+    docs = docs.unionByName(odd)
+    for name in ("digest", "score", "lang_pred", "per_gram", "__id", "__digest", "__old", "__text", "row", "name", "size", "a.b"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    kept, before = {}, {r.doc_id for r in docs.select("doc_id").collect()}
     for name, stage in p.STAGES[:-1]:
         after = stage(spark, docs, SF).cache()
         assert after.columns == docs.columns and 0 < after.count() <= docs.count()
@@ -253,6 +255,8 @@ def test_pipeline(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     good = [i for i, q in labels.items() if q == 1]
     assert len([i for i in good if i in kept["quality"]]) >= 0.97 * len(good)
+    bad = [i for i, q in labels.items() if q == 0 and i in before]
+    assert len([i for i in bad if i not in kept["quality"]]) >= 0.9 * len(bad)
     pieces = p.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == len(kept["near_copies"])
     empty = docs.limit(0)
@@ -260,6 +264,15 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_near_copies_take_a_repeated_id_as_one_document(spark):
+    import corpus_pipeline as p
+
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (2, text + " end"), (2, "quite another text of some words"), (3, "alone among all of these rows"), (3, "alone among all of these rows"), (None, text), (4, "x " * 300_000 + "end")]
+    got = p.near_copies(spark, frame(spark, rows), SF).select("doc_id").collect()
+    assert Counter(r.doc_id for r in got) == Counter({1: 1, 3: 2, None: 1, 4: 1})
+
+
 def test_language_stage_rejects_foreign_texts_and_noise(spark):
     import base64
 
