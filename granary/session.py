@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders of materialised frames, for `discard`, and of those written inside a `scratch` block.
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -58,7 +65,39 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _scratch[-1:]:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a materialised frame that nothing will read again."""
+    if path := _folders.pop(df, None):
+        delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete at the end whatever was materialised inside; results must be written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan's rows, dealt evenly where it gives fewer tasks than there are cores (a few huge row groups, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
