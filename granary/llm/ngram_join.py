@@ -10,14 +10,15 @@ threshold. The join is exact and goes in steps, each a Spark job:
 3. Relations between sets: in each list, classes of like size elect one as
    head; a class that turns out to be similar to the head it met most often (FAMILY)
    joins the head's family and keeps only its difference from the head.
-4. Inside a family the answers are derived from the head's: two members share what
+4. Inside a family the answers are derived from the head's: a member that its difference leaves linked with the head
+   needs no other comparison. For the rest, two members share what
    the head has, less what each lacks, plus what their differences share, so products of
-   small matrices of differences give all links of a family at once.
+   small matrices of differences give all their links at once.
 5. The lists are joined between families alone. Lists lie in blocks by position;
    a pair of blocks whose positions and sizes leave too little room is skipped, and so are
    pairs of one family. Heads that met often enough are intersected once; a pair
-   of families too far apart for any of its members ends there, and in the others
-   members' answers are derived as in step 4.
+   of families too far apart for any of its members ends there, and so does one whose members the links found so far
+   have all joined. In the others members' answers are derived as in step 4, but where the heads are joined, only for members that aren't.
 
 No list, family or copy group is gathered whole: lists whose sketch says that
 they are long are split, and their parts meet in pairs; families meet in parts.
@@ -50,9 +51,9 @@ SKETCH_BITS = 18
 #: Shared shingles of the lists that a linked pair has at least (fewer for tiny sets).
 EXTRA = 3
 #: Entries of a bucket of lists, about, and entries of one list from which on it is split.
-BUCKET, SPLIT = 400_000, 400_000
+BUCKET, SPLIT = 400_000, 40_000
 #: Similarity to the head from which a set joins a family (less than the threshold), and members of a part of a family.
-FAMILY, PART = 0.6, 256
+FAMILY, PART = 0.6, 1024
 #: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 256
@@ -62,15 +63,15 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
-def sketch(rows: DataFrame, n: int) -> np.ndarray:
-    """How often shingles of each of 2**SKETCH_BITS buckets occur in sets, summed in a tree of tasks."""
+def sketch(rows: DataFrame, hashes) -> np.ndarray:
+    """How often hashes of each of 2**SKETCH_BITS buckets occur, summed in a tree of tasks; hashes gives those of a batch."""
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            sets = shingle_sets(raw_texts(batch.column(0)), n)
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            found = hashes(batch)
+            if len(found):
+                total += np.bincount((found >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         parts = np.split(total, 8)
         yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([TaskContext.get().partitionId()] * 8, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "task", "n"])
 
@@ -78,8 +79,7 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
         total = sum(np.frombuffer(x, np.int64) for x in found.column("n").to_pylist())
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([total.tobytes()], pa.binary())})
 
-    texts = rows.select("text")
-    tasks, got = texts.rdd.getNumPartitions(), texts.mapInArrow(count, "part int, task long, n binary")
+    tasks, got = rows.rdd.getNumPartitions(), rows.mapInArrow(count, "part int, task long, n binary")
     while tasks > 1:
         got = got.withColumn("task", F.floor(F.col("task") / 64)).groupBy("part", "task").applyInArrow(add, "part int, task long, n binary")
         tasks = -(-tasks // 64)
@@ -87,6 +87,21 @@ def sketch(rows: DataFrame, n: int) -> np.ndarray:
     return np.concatenate([found.get(k, np.zeros((1 << SKETCH_BITS) // 8, np.int64)) for k in range(8)])
 
 
+def of_texts(n: int):
+    """The shingles of a batch of texts."""
+
+    def hashes(batch):
+        sets = shingle_sets(raw_texts(batch.column(0)), n)
+        return np.concatenate(sets) if sets else np.empty(0, np.uint64)
+
+    return hashes
+
+
+def of_lists(batch) -> np.ndarray:
+    """The shingles under which a batch of classes is listed."""
+    return np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+
+
 def ceil_share(n: np.ndarray, num: int, den: int):
     return -(-n * num // den)
 
@@ -118,14 +133,14 @@ def described(rows: DataFrame, order: np.ndarray, n: int, num: int, den: int) ->
 POSTINGS = "bucket long, side int, node long, head long, size int, place int, shingle long"
 
 
-def postings(classes: DataFrame, buckets: int, order: np.ndarray, meeting: bool, split: int) -> DataFrame:
+def postings(classes: DataFrame, buckets: int, lengths: np.ndarray, meeting: bool, split: int) -> DataFrame:
     """Packed entries of lists by bucket: node, head, size, place and shingle arrays.
 
-    A list longer than `split` (by the sketch, which never counts too low) is cut into
+    A list longer than `split` (by a sketch of all lists, which never counts too low) is cut into
     parts by a hash of the node. With meeting, each two parts of it meet in a bucket
     of their own, where `side` tells them apart; otherwise each part is alone.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(order)
+    shared = classes.sparkSession.sparkContext.broadcast(lengths)
 
     def work(batches):
         counts = shared.value
@@ -336,29 +351,47 @@ MEMBER = ["node", "size", "lacks", "adds"]
 
 
 def inside_families(members: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest of the links inside each family, part by part (columns head, head_size, part, parts and MEMBER)."""
-    side = lambda name, other: F.explode(F.sequence(F.lit(0), F.col("part")) if name == "j" else F.sequence(F.col("part"), F.col("parts") - 1)).alias(other)
-    left = members.select("head", "head_size", F.col("part").alias("i"), side("i", "j"), *MEMBER, F.lit(0).alias("side"))
-    right = members.select("head", "head_size", F.col("part").alias("j"), side("j", "i"), *MEMBER, F.lit(1).alias("side")).filter("i <> j")
+    """a, b: edges that connect what is linked inside each family (columns head, head_size, part, parts and MEMBER).
+
+    A member linked with its head needs no more than that edge, which its differences alone decide. Only the others, part by part, are
+    compared with all of the family.
+    """
+    lacks, adds = F.length("lacks") / 8, F.length("adds") / 8
+    both = F.col("head_size") - lacks
+    near = linked(both, F.col("size"), F.col("head_size"), num, den)
+    told = members.withColumn("near", near & (adds + both == F.col("size")))
+    stars = told.filter("near and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    loose = told.filter("not near")
+    counts = loose.groupBy("head").agg(F.ceil(F.count("*") / PART).cast("int").alias("loose_parts"))
+    loose = loose.join(counts, "head").withColumn("j", F.pmod(F.hash("node"), F.col("loose_parts")))
+    left = loose.select("head", "head_size", "j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), *MEMBER, F.lit(0).alias("side"))
+    right = members.join(counts, "head").select("head", "head_size", F.explode(F.sequence(F.lit(0), F.col("loose_parts") - 1)).alias("j"), F.col("part").alias("i"), *MEMBER, F.lit(1).alias("side"))
 
     def work(key, found):
-        x, y = members_of(found, 0), members_of(found, 1)
-        same = key[1].as_py() == key[2].as_py()
-        return spanning(x, x if same else y, found.column("head_size")[0].as_py(), same, num, den)
+        return spanning(members_of(found, 0), members_of(found, 1), found.column("head_size")[0].as_py(), False, num, den)
+
+    return stars.unionByName(left.unionByName(right).groupBy("head", "i", "j").applyInArrow(work, "a long, b long"))
 
-    return left.unionByName(right).groupBy("head", "i", "j").applyInArrow(work, "a long, b long")
 
+def between_families(pairs: DataFrame, members: DataFrame, parts: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: a spanning forest of the links between members of each pair of families (heads a and b).
 
-def between_families(pairs: DataFrame, members: DataFrame, span: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest of the links between members of each pair of families (heads a and b; span holds their parts)."""
-    count = span.select("head", "parts")
-    tasks = pairs.join(count.withColumnsRenamed({"head": "a", "parts": "pa"}), "a").join(count.withColumnsRenamed({"head": "b", "parts": "pb"}), "b")
-    tasks = tasks.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), "pb").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
-    columns = ["a", "b", "i", "j", *MEMBER]
-    left = tasks.join(members.withColumnsRenamed({"head": "a", "part": "i"}), ["a", "i"]).select(*columns, F.lit(0).alias("side"))
-    right = tasks.join(members.withColumnsRenamed({"head": "b", "part": "j"}), ["b", "j"]).select(*columns, F.lit(1).alias("side"))
+    members: those that are still apart from some family they meet, with rest (not in the component of their head); parts: how many parts each
+    family has, and of rest members. In a pair whose heads are joined already (same) only rest members of either side meet the other side.
+    """
+    count = parts.select("head", "parts", "rests")
+    tasks = pairs.join(count.withColumnsRenamed({"head": "a", "parts": "pa", "rests": "ra"}), "a").join(count.withColumnsRenamed({"head": "b", "parts": "pb", "rests": "rb"}), "b")
+    ways = F.when(F.col("same"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    tasks = tasks.select("a", "b", "pa", "pb", "ra", "rb", F.explode(ways).alias("way")).filter("way = 0 or (way = 1 and ra > 0) or (way = 2 and rb > 0)")
+    tasks = tasks.select("a", "b", "way", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), "pb").select("a", "b", "way", "i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
+    columns = ["a", "b", "way", "i", "j", *MEMBER]
+    sides = []
+    for side, (head, part, way) in enumerate((("a", "i", 1), ("b", "j", 2))):
+        t, m = tasks.alias("t"), members.alias("m")
+        wanted = (F.col(f"t.{head}") == F.col("m.head")) & (F.col(f"t.{part}") == F.col("m.part")) & ((F.col("t.way") != way) | F.col("m.rest"))
+        sides.append(t.join(m, wanted).select(*columns, F.lit(side).alias("side")))
     top = heads.select(F.col("node").alias("h"), "set")
-    cores = [tasks.join(top, F.col(c) == F.col("h")).select("a", "b", "i", "j", F.col("h").alias("node"), F.lit(0).cast("long").alias("size"), F.col("set").alias("lacks"), F.lit(b"").alias("adds"), F.lit(s).alias("side")) for c, s in (("a", 2), ("b", 3))]
+    cores = [tasks.join(top, F.col(c) == F.col("h")).select("a", "b", "way", "i", "j", F.col("h").alias("node"), F.lit(0).cast("long").alias("size"), F.col("set").alias("lacks"), F.lit(b"").alias("adds"), F.lit(s).alias("side")) for c, s in (("a", 2), ("b", 3))]
 
     def work(key, found):
         mine, theirs = (members_of(found, s)[0][2] for s in (2, 3))
@@ -368,8 +401,8 @@ def between_families(pairs: DataFrame, members: DataFrame, span: DataFrame, head
             y.append((node, size, np.setdiff1d(mine, whole, assume_unique=True), np.setdiff1d(whole, mine, assume_unique=True)))
         return spanning(members_of(found, 0), y, len(mine), False, num, den)
 
-    every = left.unionByName(right).unionByName(cores[0]).unionByName(cores[1])
-    return every.groupBy("a", "b", "i", "j").applyInArrow(work, "a long, b long")
+    every = sides[0].unionByName(sides[1]).unionByName(cores[0]).unionByName(cores[1])
+    return every.groupBy("a", "b", "way", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def followed(votes: DataFrame) -> DataFrame:
@@ -392,14 +425,15 @@ def similar(pairs: DataFrame, classes: DataFrame, rows: DataFrame, of, n: int) -
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), for every row; similarity num / den or more links."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = sketch(rows, n)
+    order = sketch(rows.select("text"), of_texts(n))
     known = materialize(described(rows, order, n, num, den))
     usable = known.filter("size > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("lists").alias("lists")).withColumn("node", F.monotonically_increasing_id()))
     total = classes.agg(F.coalesce(F.sum(F.length("lists") / 8), F.lit(0)).cast("long")).first()[0]
     buckets = max(1, total // bucket)
+    lengths = sketch(classes.select("lists"), of_lists)
     # families
-    votes = elected(postings(classes.withColumn("head", F.col("node")), buckets, order, False, split), num, den)
+    votes = elected(postings(classes.withColumn("head", F.col("node")), buckets, lengths, False, split), num, den)
     best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("b"))).alias("v")).select("a", F.col("v.b").alias("b"), (-F.col("v.n")).alias("n"))
     enough = best.join(classes.select(F.col("node").alias("a"), (F.length("lists") / 8).alias("k")), "a").filter("n * 5 >= k")
     sizes = classes.select("node", "size")
@@ -415,7 +449,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     members = materialize(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     edges = materialize(inside_families(members.filter("members > 1"), num, den))
     # between families
-    pairs = materialize(met(postings(whole, buckets, order, True, split), num, den))
+    pairs = materialize(met(postings(whole, buckets, lengths, True, split), num, den))
     more = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows, n)
     facts = lambda c: span.select(F.col("head").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("wide", "members", "largest", "head_size")])
     seen = intersected(pairs, more).select("a", "b", "both").join(facts("a"), "a").join(facts("b"), "b")
@@ -424,15 +458,25 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     heads_link, alone = linked(F.col("both"), F.col("head_size_a"), F.col("head_size_b"), num, den), F.col("members_a") + F.col("members_b") == 2
     near = F.col("head_size_a") + F.col("head_size_b") - 2 * F.col("both") <= most
     seen = materialize(seen.withColumn("link", heads_link).filter(F.when(alone, F.col("link")).otherwise(near)).select("a", "b", "link", alone.alias("alone")))
-    edges = edges.unionByName(seen.filter("link").select("a", "b"))
-    open_pairs = seen.filter("not alone").select("a", "b")
-    if not open_pairs.isEmpty():
-        edges = edges.unionByName(between_families(open_pairs, members, span, more, num, den))
     # the classes that rows of one id lie in belong together
     rep = classes.select("node", "sha", "rep")
-    again = usable.groupBy("doc_id").agg(F.count_distinct("sha").alias("k"), F.collect_set("sha").alias("s")).filter("k > 1")
-    again = again.select("doc_id", F.explode("s").alias("sha")).join(rep, "sha").groupBy("doc_id").agg(F.min("node").alias("b"), F.collect_set("node").alias("s")).select(F.explode("s").alias("a"), "b")
-    joined = components(edges.unionByName(again))
+    twice = usable.groupBy("doc_id").agg(F.min("sha").alias("p"), F.max("sha").alias("q")).filter("p <> q").select("doc_id")
+    apart = materialize(usable.join(twice, "doc_id", "left_semi").select("doc_id", "sha").distinct().join(rep, "sha").select("doc_id", "node"))
+    again = apart.join(apart.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+    edges = edges.unionByName(seen.filter("link").select("a", "b")).unionByName(again)
+    joined = components(edges)
+    open_pairs = seen.filter("not alone").select("a", "b")
+    if not open_pairs.isEmpty():
+        # pairs of families whose members are all in one component by now have nothing left to find
+        state = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        tops = state.filter("node = head").select("head", F.col("component").alias("main"))
+        state = materialize(state.join(tops, "head").withColumn("rest", F.col("component") != F.col("main")))
+        parts = materialize(state.groupBy("head", "main").agg(F.max("parts").alias("parts"), F.count_if("rest").alias("rests")))
+        fact = lambda c: parts.select(F.col("head").alias(c), F.col("main").alias(f"main_{c}"), F.col("rests").alias(f"rests_{c}"))
+        left = open_pairs.join(fact("a"), "a").join(fact("b"), "b").withColumn("same", F.col("main_a") == F.col("main_b"))
+        left = materialize(left.filter("not same or rests_a + rests_b > 0").select("a", "b", "same"))
+        if not left.isEmpty():
+            joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between_families(left, state, parts, more, num, den)))
     named = rep.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     found = known.join(named.join(ids, "component").select("sha", F.col("component_id").alias("c")), "sha", "left")

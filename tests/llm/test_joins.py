@@ -294,3 +294,23 @@ def test_language_stage_rejects_foreign_texts_and_noise(spark):
     for held in (True, False):
         clean = [r.doc_id for r in docs.filter("lang is not null and text is not null").select("doc_id").collect() if (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == held]
         assert sum(i in kept for i in clean) >= 0.98 * len(clean)
+
+
+def test_families_send_only_what_their_heads_leave_open(spark, monkeypatch):
+    """A family whose members are all linked with its head needs no comparison; many near copies give rows in proportion."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"new{k}"
+        rows.append((k, " ".join(copy)))
+    sent, spanning = spark.sparkContext.accumulator(0), ngram_join.spanning
+
+    def counted(x, y, *rest):
+        sent.add(len(x))
+        return spanning(x, y, *rest)
+
+    monkeypatch.setattr(ngram_join, "spanning", counted)
+    got = ngram_join.ngram_join(frame(spark, rows), 3, 90, 100).collect()
+    assert {r.component_id for r in got} == {0} and sent.value <= len(rows)
