@@ -376,19 +376,23 @@ def inside_families(members: DataFrame, num: int, den: int) -> DataFrame:
 def between_families(pairs: DataFrame, members: DataFrame, parts: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: a spanning forest of the links between members of each pair of families (heads a and b).
 
-    members: those that are still apart from some family they meet, with rest (not in the component of their head); parts: how many parts each
-    family has, and of rest members. In a pair whose heads are joined already (same) only rest members of either side meet the other side.
+    members: with apart (how far they are from their head) and rest (not in the component of their head); parts: how many parts each
+    family has, and of rest members. pairs: with the distance of the heads, and for each family how wide and large its members are. In a pair whose heads are joined already (same) only rest members of either side meet the other side.
     """
     count = parts.select("head", "parts", "rests")
     tasks = pairs.join(count.withColumnsRenamed({"head": "a", "parts": "pa", "rests": "ra"}), "a").join(count.withColumnsRenamed({"head": "b", "parts": "pb", "rests": "rb"}), "b")
     ways = F.when(F.col("same"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
-    tasks = tasks.select("a", "b", "pa", "pb", "ra", "rb", F.explode(ways).alias("way")).filter("way = 0 or (way = 1 and ra > 0) or (way = 2 and rb > 0)")
-    tasks = tasks.select("a", "b", "way", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), "pb").select("a", "b", "way", "i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
+    facts = ["distance", "wide_a", "wide_b", "largest_a", "largest_b"]
+    tasks = tasks.select("a", "b", *facts, "pa", "pb", "ra", "rb", F.explode(ways).alias("way")).filter("way = 0 or (way = 1 and ra > 0) or (way = 2 and rb > 0)")
+    tasks = tasks.select("a", "b", *facts, "way", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), "pb").select("a", "b", *facts, "way", "i", F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"))
     columns = ["a", "b", "way", "i", "j", *MEMBER]
     sides = []
-    for side, (head, part, way) in enumerate((("a", "i", 1), ("b", "j", 2))):
+    for side, (head, part, way, other) in enumerate((("a", "i", 1, "b"), ("b", "j", 2, "a"))):
         t, m = tasks.alias("t"), members.alias("m")
-        wanted = (F.col(f"t.{head}") == F.col("m.head")) & (F.col(f"t.{part}") == F.col("m.part")) & ((F.col("t.way") != way) | F.col("m.rest"))
+        # a member as near its own head as this can't come near enough to any of the other family
+        far = F.col("t.distance") - F.col("m.apart") - F.col(f"t.wide_{other}")
+        reach = (F.col("m.size") + F.col(f"t.largest_{other}")) * (den - num)
+        wanted = (F.col(f"t.{head}") == F.col("m.head")) & (F.col(f"t.{part}") == F.col("m.part")) & ((F.col("t.way") != way) | F.col("m.rest")) & (far * (den + num) <= reach)
         sides.append(t.join(m, wanted).select(*columns, F.lit(side).alias("side")))
     top = heads.select(F.col("node").alias("h"), "set")
     cores = [tasks.join(top, F.col(c) == F.col("h")).select("a", "b", "way", "i", "j", F.col("h").alias("node"), F.lit(0).cast("long").alias("size"), F.col("set").alias("lacks"), F.lit(b"").alias("adds"), F.lit(s).alias("side")) for c, s in (("a", 2), ("b", 3))]
@@ -445,7 +449,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     whole = classes.join(member, "node", "left").withColumn("head", F.coalesce("head", "node"))
     whole = materialize(whole.select("node", "rep", "head", "size", "lists", F.coalesce("lacks", none).alias("lacks"), F.coalesce("adds", none).alias("adds"), F.coalesce("apart", F.lit(0)).alias("apart")))
     span = materialize(whole.groupBy("head").agg(F.max("apart").alias("wide"), F.count("*").alias("members"), F.max("size").alias("largest"), F.ceil(F.count("*") / PART).cast("int").alias("parts"), F.max(F.when(F.col("node") == F.col("head"), F.col("size"))).alias("head_size")))
-    members = whole.select("head", *MEMBER).join(span.select("head", "parts", "head_size", "members"), "head")
+    members = whole.select("head", "apart", *MEMBER).join(span.select("head", "parts", "head_size", "members"), "head")
     members = materialize(members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
     edges = materialize(inside_families(members.filter("members > 1"), num, den))
     # between families
@@ -456,8 +460,9 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     # linked members differ in (1 - t) / (1 + t) of the sum of their sizes at most, and heads by as much as their families are wide on top
     most = (F.col("largest_a") + F.col("largest_b")) * (den - num) / (den + num) + F.col("wide_a") + F.col("wide_b")
     heads_link, alone = linked(F.col("both"), F.col("head_size_a"), F.col("head_size_b"), num, den), F.col("members_a") + F.col("members_b") == 2
-    near = F.col("head_size_a") + F.col("head_size_b") - 2 * F.col("both") <= most
-    seen = materialize(seen.withColumn("link", heads_link).filter(F.when(alone, F.col("link")).otherwise(near)).select("a", "b", "link", alone.alias("alone")))
+    seen = seen.withColumn("distance", F.col("head_size_a") + F.col("head_size_b") - 2 * F.col("both"))
+    near = F.col("distance") <= most
+    seen = materialize(seen.withColumn("link", heads_link).filter(F.when(alone, F.col("link")).otherwise(near)).select("a", "b", "link", alone.alias("alone"), "distance", "wide_a", "wide_b", "largest_a", "largest_b"))
     # the classes that rows of one id lie in belong together
     rep = classes.select("node", "sha", "rep")
     twice = usable.groupBy("doc_id").agg(F.min("sha").alias("p"), F.max("sha").alias("q")).filter("p <> q").select("doc_id")
@@ -465,7 +470,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     again = apart.join(apart.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
     edges = edges.unionByName(seen.filter("link").select("a", "b")).unionByName(again)
     joined = components(edges)
-    open_pairs = seen.filter("not alone").select("a", "b")
+    open_pairs = seen.filter("not alone").drop("link", "alone")
     if not open_pairs.isEmpty():
         # pairs of families whose members are all in one component by now have nothing left to find
         state = members.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -474,7 +479,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         parts = materialize(state.groupBy("head", "main").agg(F.max("parts").alias("parts"), F.count_if("rest").alias("rests")))
         fact = lambda c: parts.select(F.col("head").alias(c), F.col("main").alias(f"main_{c}"), F.col("rests").alias(f"rests_{c}"))
         left = open_pairs.join(fact("a"), "a").join(fact("b"), "b").withColumn("same", F.col("main_a") == F.col("main_b"))
-        left = materialize(left.filter("not same or rests_a + rests_b > 0").select("a", "b", "same"))
+        left = materialize(left.filter("not same or rests_a + rests_b > 0").drop("main_a", "main_b", "rests_a", "rests_b"))
         if not left.isEmpty():
             joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between_families(left, state, parts, more, num, den)))
     named = rep.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
