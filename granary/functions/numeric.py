@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kilograms in a unit.
 KG = {"kg": "1", "g": "0.001", "lb": "0.45359237", "oz": "0.028349523125"}
-#: Words that mean yes and no.
-YES = ["true", "1", "yes", "y", "t", "oui", "vrai", "own", "own_brand", "own brand", "private_label", "private label", "mdd"]
-NO = ["false", "0", "no", "n", "f", "non", "faux", "branded", "brand", "national_brand", "national brand"]
+#: Words that mean yes and no, and words of brand types that mean an own brand or another's.
+YES = ["true", "1", "yes", "y", "oui", "o", "vrai"]
+NO = ["false", "0", "no", "n", "non", "faux"]
+OWN_BRAND = [
+    "own brand", "own-brand", "ownbrand", "own label", "private label", "private-label", "store brand", "store label", "house brand", "store-own label", "pl",
+    "marque distributeur", "marque du distributeur", "marque propre", "marque enseigne", "mdd",
+]
+OTHER_BRAND = ["branded", "brand", "national brand", "national-brand", "manufacturer brand", "manufacturer-brand", "name brand", "marque nationale", "marque fabricant", "marque"]
 HEAVIEST_KG = 50
 
 
@@ -44,40 +49,73 @@ def unreadable(raw: Column) -> Column:
     return trimmed(raw).isNotNull() & to_decimal(raw).isNull()
 
 
-def weight_kg(**units: Column) -> tuple[Column, Column]:
-    """Weight in kilograms from raw text by unit, and the code of what is wrong (null if nothing).
+class Number:
+    """A number that was read once: its value, whether anything was written, and whether that can't be read."""
+
+    def __init__(self, value: Column, given: Column):
+        self.value, self.given, self.bad = value, given, given & value.isNull()
+
+
+def numbers(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, Number]]:
+    """Rows with each of the columns read once, in a projection of its own, and where to find what was read."""
+    read = rows.select("*", *[to_decimal(F.col(c)).alias(f"__value_{c}") for c in columns], *[trimmed(F.col(c)).isNotNull().alias(f"__given_{c}") for c in columns])
+    return read, {c: Number(F.col(f"__value_{c}"), F.col(f"__given_{c}")) for c in columns}
+
+
+def one(raw: Column) -> Number:
+    return Number(to_decimal(raw), trimmed(raw).isNotNull())
+
+
+def either(*conditions: Column) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
 
-    Exactly one unit must be given; the weight must be above 0 and not above 50 kg.
+def weight_of(**units: Number) -> tuple[Column, Column]:
+    """Weight in kilograms by unit, and the code of what is wrong; no weight at all is null without a code.
+
+    One unit at most may be given; the weight must be above 0 and not above 50 kg.
     """
-    given = F.array_compact(F.array(*[trimmed(c) for c in units.values()]))
-    values = [to_decimal(c).cast("decimal(18,6)") * F.lit(KG[u]).cast("decimal(13,12)") for u, c in units.items()]
+    values = [n.value.cast("decimal(18,6)") * F.lit(KG[u]).cast("decimal(13,12)") for u, n in units.items()]
     kg = F.coalesce(*values).cast("decimal(28,16)")
-    bad = F.lit(False)
-    for c in units.values():
-        bad = bad | unreadable(c)
-    code = F.when(F.size(given) > 1, "mixed_weight_units").when(F.size(given) == 0, "missing_weight").when(bad, "invalid_type")
+    many = sum(n.given.cast("int") for n in units.values()) > 1
+    code = F.when(either(*[n.bad for n in units.values()]), "invalid_type").when(many, "mixed_weight_units")
     code = code.when(kg <= 0, "weight_non_positive").when(kg > HEAVIEST_KG, "weight_too_large")
     return F.when(code.isNull(), kg), code
 
 
-def protein_pct(pct: Column, per_100ml: Column, density: Column, per_serving: Column, serving_g: Column) -> tuple[Column, Column]:
-    """Protein in percent from a percentage, grams in 100 ml and a density, or grams in a serving; and the code of what is wrong.
+def weight_kg(**units: Column) -> tuple[Column, Column]:
+    """weight_of raw text."""
+    return weight_of(**{u: one(c) for u, c in units.items()})
+
 
-    A density or serving of 0 counts as missing.
+def protein_of(pct: Number, per_100ml: Number, density: Number, per_serving: Number, serving_g: Number, energy: Column | None = None, per_100g: Number | None = None) -> tuple[Column, Column]:
+    """Protein in percent from a percentage (or grams in 100 g), grams in 100 ml and a density, or grams in a serving; and the code of what is wrong.
+
+    energy: whether an energy value was given for protein. A density or serving of 0 counts as missing.
     """
-    p, ml, d, s, g = (to_decimal(c).cast("decimal(18,6)") for c in (pct, per_100ml, density, per_serving, serving_g))
-    n = sum(trimmed(c).isNotNull().cast("int") for c in (pct, per_100ml, per_serving))
-    value = F.coalesce(p.cast("decimal(28,12)"), F.try_divide(ml, d).cast("decimal(28,12)"), F.try_divide(s * 100, g).cast("decimal(28,12)"))
-    bad = unreadable(pct) | unreadable(per_100ml) | unreadable(density) | unreadable(per_serving) | unreadable(serving_g)
-    code = F.when(n > 1, "mixed_protein_units").when(bad, "invalid_type")
-    code = code.when(trimmed(per_100ml).isNotNull() & F.coalesce(d == 0, F.lit(True)), "missing_density").when(trimmed(per_serving).isNotNull() & F.coalesce(g == 0, F.lit(True)), "missing_serving_size")
-    code = code.when((value < 0) | (value > 100), "protein_out_of_range")
+    p, ml, d, s, g = (n.value.cast("decimal(18,6)") for n in (pct, per_100ml, density, per_serving, serving_g))
+    direct = [pct] + ([per_100g] if per_100g else [])
+    every = [*direct, per_100ml, density, per_serving, serving_g]
+    many = sum(n.given.cast("int") for n in (*direct, per_100ml, per_serving)) > 1
+    value = F.coalesce(*[n.value.cast("decimal(28,12)") for n in direct], F.try_divide(ml, d).cast("decimal(28,12)"), F.try_divide(s * 100, g).cast("decimal(28,12)"))
+    code = F.when(F.lit(False) if energy is None else energy, "energy_not_protein").when(either(*[n.bad for n in every]), "invalid_type")
+    code = code.when(per_100ml.given & F.coalesce(d == 0, F.lit(True)), "missing_density").when(per_serving.given & F.coalesce(g == 0, F.lit(True)), "missing_serving_g")
+    code = code.when(many, "mixed_protein_inputs").when((value < 0) | (value > 100), "protein_out_of_range")
     return F.when(code.isNull(), value), code
 
 
+def protein_pct(pct: Column, per_100ml: Column, density: Column, per_serving: Column, serving_g: Column) -> tuple[Column, Column]:
+    """protein_of raw text."""
+    return protein_of(*map(one, (pct, per_100ml, density, per_serving, serving_g)))
+
+
 def to_boolean(raw: Column) -> Column:
     word = F.lower(F.trim(raw))
-    return F.when(word.isin(YES), True).when(word.isin(NO), False)
+    brand = F.trim(F.regexp_replace(F.replace(word, F.lit("_"), F.lit(" ")), r"\s+", " "))
+    return F.when(word.isin(YES) | brand.isin(OWN_BRAND), True).when(word.isin(NO) | brand.isin(OTHER_BRAND), False)
 
 
 def to_list(raw: Column, mark: str = "|") -> Column:

@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from granary.functions.numeric import clamped_pct
 
 
+#: Percentages from which a run is highly, or at least moderately, uncertain.
+HIGH_UNKNOWN, HIGH_PENDING, MED_AI, MED_MISSING_PROTEIN, MED_MISSING_WEIGHT = 10, 5, 30, 10, 10
+
+
 def pct(part: Column, total: Column) -> Column:
-    """Percent to two places, half up; 0 without a total."""
-    return F.coalesce(F.round(F.try_divide(part.cast("double") * 100, total.cast("double")), 2), F.lit(0.0))
+    """Percent to two places, half up; null without a total."""
+    return F.round(F.try_divide(part.cast("decimal(18,0)") * 100, total.cast("decimal(18,0)")), 2).cast("double")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    """One row: products, classified, with protein, own values, and their percentages; one pass."""
+    """One row of counts and percentages, in one pass, and the uncertainty of the run.
+
+    rows: a product each, with pt_group, protein_pct, volume_kg, and where there are such: source (what classified it), pending (waits for
+    review), protein_origin, is_composite. errors, a count of blocking upload errors, is taken from a column of that name (its largest value).
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    group, source, known = F.col("pt_group"), has("source").cast("string"), F.col("protein_pct").isNotNull()
+    scope = group.isin("plant_based_core", "plant_based_non_core", "composite_products", "animal_core")
     counts = rows.agg(
-        F.count("*").alias("n_rows"),
-        n(~F.col("pt_group").isin("unknown")).alias("n_classified"),
-        n(F.col("protein_pct").isNotNull()).alias("n_protein"),
-        n(F.col("pt_group").isin("out_of_scope")).alias("n_out_of_scope"),
-        F.coalesce(F.sum("volume_kg"), F.lit(0)).cast("double").alias("volume"),
-        F.coalesce(F.sum(F.when(F.col("protein_pct").isNotNull(), F.col("volume_kg"))), F.lit(0)).cast("double").alias("volume_with_protein"),
-    )
-    out = counts.withColumn("classified_pct", pct(F.col("n_classified"), F.col("n_rows"))).withColumn("protein_pct", pct(F.col("n_protein"), F.col("n_rows")))
-    out = out.withColumn("volume_pct", clamped_pct(F.col("volume_with_protein"), F.col("volume")))
-    return out.withColumn("uncertainty", uncertainty(F.col("classified_pct"), F.col("protein_pct")))
-
-
-def uncertainty(classified: Column, protein: Column) -> Column:
-    """Low, medium or high by what is known."""
-    return F.when((classified >= 95) & (protein >= 95), "low").when((classified >= 80) & (protein >= 80), "medium").otherwise("high")
+        F.count("*").alias("n_rows"), n(group != "unknown").alias("n_classified"), n(group == "unknown").alias("n_unknown"), n(group == "out_of_scope").alias("n_out_of_scope"), n(scope).alias("n_in_scope"),
+        n(known).alias("n_protein"), n(scope & ~known).alias("n_missing_protein"), n(F.coalesce(F.col("volume_kg"), F.lit(0)) <= 0).alias("n_zero_weight"),
+        *[n(source == s).alias(f"n_{s}") for s in ("rule", "ai", "manual")], n(has("pending").cast("boolean")).alias("n_pending"), n(has("is_composite").cast("boolean")).alias("n_composite"),
+        n(known & (has("protein_origin").cast("string") != "own")).alias("n_enriched"), F.coalesce(F.max(has("errors").cast("long")), F.lit(0)).alias("n_errors"),
+        F.coalesce(F.sum("volume_kg"), F.lit(0)).cast("double").alias("volume"), F.coalesce(F.sum(F.when(known, F.col("volume_kg"))), F.lit(0)).cast("double").alias("volume_with_protein"),
+    )
+    shares = {"classified": "n_classified", "unknown": "n_unknown", "out_of_scope": "n_out_of_scope", "protein": "n_protein", "missing_protein": "n_missing_protein", "zero_weight": "n_zero_weight", "ai": "n_ai", "pending": "n_pending", "enriched": "n_enriched"}
+    out = counts.select("*", *[pct(F.col(c), F.col("n_rows")).alias(f"{name}_pct") for name, c in shares.items()], clamped_pct(F.col("volume_with_protein"), F.col("volume")).alias("volume_pct"))
+    return out.withColumn("uncertainty", uncertainty(*[F.col(c) for c in ("unknown_pct", "n_pending", "pending_pct", "ai_pct", "missing_protein_pct", "zero_weight_pct", "n_errors")]))
+
+
+def uncertainty(unknown_pct: Column, pending: Column, pending_pct: Column, ai_pct: Column, missing_protein_pct: Column, missing_weight_pct: Column, errors: Column) -> Column:
+    """high for errors, many unknown or many pending; medium for many from a model, without protein or weight, or any pending; else low. A null doesn't count."""
+    any_of = lambda *cs: F.exists(F.array(*cs), lambda x: F.coalesce(x, F.lit(False)))
+    high = any_of(errors > 0, unknown_pct >= HIGH_UNKNOWN, (pending > 0) & (pending_pct >= HIGH_PENDING))
+    medium = any_of(ai_pct >= MED_AI, missing_protein_pct >= MED_MISSING_PROTEIN, missing_weight_pct >= MED_MISSING_WEIGHT, pending > 0)
+    return F.when(high, "high").when(medium, "medium").otherwise("low")
 
 
 def sources(products: DataFrame, classifications: DataFrame) -> DataFrame:

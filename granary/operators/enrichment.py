@@ -2,30 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Which source wins.
 PRIORITY = {"manual": 0, "reference_a": 1, "reference_b": 2, "category_average": 3}
 #: Grams of protein in 100 g that a group has on average.
-CATEGORY_AVERAGE = {"plant_based_core": 15.0, "plant_based_non_core": 12.0, "composite_products": 10.0, "animal_core": 20.0}
+CATEGORY_AVERAGE = {"plant_based_core": 15.0, "plant_based_non_core": 12.0, "composite_products": 10.0, "animal_core": 18.0}
+#: How far such an average is trusted.
+CATEGORY_CONFIDENCE = {"plant_based_core": 0.60, "plant_based_non_core": 0.60, "composite_products": 0.50, "animal_core": 0.60}
 
 
 def priority(source: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), source), F.lit(len(PRIORITY)))
 
 
+def category_averages(spark: SparkSession) -> DataFrame:
+    """pt_group, nutrient, value, unit, confidence of each group that has an average."""
+    rows = [(g, "protein_pct", v, "g_per_100g", CATEGORY_CONFIDENCE[g]) for g, v in CATEGORY_AVERAGE.items()]
+    return spark.createDataFrame(rows, "pt_group string, nutrient string, value double, unit string, confidence double")
+
+
+def eligible(records: DataFrame) -> DataFrame:
+    """Records that may be chosen: enriched ones (where a status is given) with a value."""
+    found = records.filter(F.col("value").isNotNull())
+    return found.filter(F.col("status") == "enriched") if "status" in records.columns else found
+
+
 def best_record(records: DataFrame, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
-    """One record for each key: the best source, then the newest (created_at), then the smallest record_id."""
+    """One eligible record for each key: the best source, then the newest (created_at), then the smallest record_id."""
+    records = eligible(records)
     order = Window.partitionBy(*keys).orderBy(priority(F.col("source")), F.desc("created_at"), "record_id")
     return records.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
 def with_siblings(best: DataFrame, records: DataFrame, nutrients: tuple[str, ...] = ("plant_protein", "animal_protein")) -> DataFrame:
-    """Add the newest value of each sibling nutrient from the source that was chosen."""
-    some = records.filter(F.col("nutrient").isin(*nutrients))
+    """Add the newest eligible value of each sibling nutrient from the source that was chosen: all of them, or none."""
+    some = eligible(records).filter(F.col("nutrient").isin(*nutrients))
     newest = some.groupBy("product_id", "source").agg(*[F.max_by(F.when(F.col("nutrient") == n, F.col("value")), F.when(F.col("nutrient") == n, F.col("created_at"))).alias(n) for n in nutrients])
-    return best.join(newest, ["product_id", "source"], "left")
+    whole = newest.dropna(subset=list(nutrients))
+    return best.join(whole, ["product_id", "source"], "left")
 
 
 def group_averages(foods: DataFrame, places: int = 4) -> DataFrame:

@@ -32,16 +32,39 @@ def change(before: Column, after: Column, same_candidate: Column) -> Column:
     return F.when(gained | (after < before), "improved").when(lost | (after > before), "regressed").when(~F.coalesce(same_candidate, F.lit(True)), "changed_candidate").otherwise("same")
 
 
-def agreement(a: Column, b: Column, confidence: Column) -> Column:
-    """Risk of a disagreement between two versions."""
-    return F.when(a.eqNullSafe(b), "agree").when(a.isNull(), "new_match").when(b.isNull(), "lost_match").when(confidence >= 0.9, "high_risk").otherwise("low_risk")
+def agreement(v1: Column, v2: Column, concept1: Column, concept2: Column) -> Column:
+    """How the codes that two versions matched agree (null: no match), and else the concepts of their names."""
+    found = F.when(v1.isNull() & v2.isNull(), "both_no_match").when(v2.isNull(), "v1_only").when(v1.isNull(), "v2_only")
+    return found.when(v1.cast("string") == v2.cast("string"), "same_code").when(concept1 == concept2, "same_concept").otherwise("disagreement_needs_review")
 
 
-def canonical_groups(rows: DataFrame, parts: list[str], id_col: str) -> DataFrame:
-    """key, group_size, first_id, member_ids (of groups, in order): rows whose normalised parts are equal. Nulls count as empty."""
+def risk(agreed: Column, v2: Column, review_required: Column, consistent: Column, v1_off_concept: Column, specificity: Column | None = None) -> Column:
+    """What a pair of matches means: agreement is safe, a match for review is a person's, a consistent one of version 2 beats version 1.
+
+    specificity: which name says more, v1_more_specific or v2_more_specific, where the concepts are the same.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    more = F.coalesce(specificity if specificity is not None else F.lit(None).cast("string"), F.lit("safe_agreement"))
+    kept = yes(consistent) & v2.isNotNull()
+    out = F.when(agreed.isin("same_code", "both_no_match"), "safe_agreement").when(agreed == "same_concept", more).when(yes(review_required), "v2_review_only")
+    out = out.when(kept & (yes(v1_off_concept) | agreed.isin("v2_only", "disagreement_needs_review")), "v2_better_than_v1")
+    return out.when(v2.isNotNull() & ~kept, "v2_potential_false_positive").otherwise("manual_inspection_needed")
+
+
+def recommendation(false_positives: Column, better: Column) -> Column:
+    """Whether version 2 may be turned on: one potential false positive keeps it off, a gain makes it a candidate."""
+    return F.when(false_positives > 0, "keep_off").when(better > 0, "admin_opt_in_candidate").otherwise("internal_shadow_ok")
+
+
+def members(rows: DataFrame, parts: list[str], id_col: str) -> DataFrame:
+    """key, id: the group of each row, by its normalised parts. Nulls count as empty. A group is rows, never an array."""
     text = F.concat_ws("|", *[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in parts])
-    keyed = rows.select(short_key(text).alias("key"), F.col(id_col).alias("id"))
-    return keyed.groupBy("key").agg(F.count("*").alias("group_size"), F.min("id").alias("first_id"), F.array_sort(F.collect_list("id")).alias("member_ids"))
+    return rows.select(short_key(text).alias("key"), F.col(id_col).alias("id"))
+
+
+def canonical_groups(rows: DataFrame, parts: list[str], id_col: str) -> DataFrame:
+    """key, group_size, first_id: rows whose normalised parts are equal."""
+    return members(rows, parts, id_col).groupBy("key").agg(F.count("*").alias("group_size"), F.min("id").alias("first_id"))
 
 
 def failure(rank: Column, in_index: Column, has_text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import numeric
-from granary.functions.numeric import to_boolean, to_decimal, to_list, trimmed
+from granary.functions.numeric import to_boolean, to_list, trimmed
 from granary.functions.text import fold
 
 #: Names of retail channels.
@@ -24,53 +24,66 @@ def channel(raw: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in CHANNELS.items() for x in kv]), word)
 
 
-def whole_number(raw: Column) -> Column:
-    """A count, its fraction cut off."""
-    return F.floor(to_decimal(raw)).cast("decimal(18,0)")
-
-
 def problem(holds: Column, field: str, code: str) -> Column:
     return F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(code).alias("code")))
 
 
+#: Columns that hold numbers, and those that give energy where protein is wanted.
+NUMBERS = [
+    "weight_per_item_kg", "weight_per_item_g", "weight_per_item_lb", "weight_per_item_oz", "items_purchased", "items_sold", "protein_pct", "protein_g_per_100g", "protein_per_100ml", "density",
+    "protein_per_serving", "serving_g", "plant_protein_pct", "animal_protein_pct",
+]
+ENERGY = ["protein_kj", "protein_kcal"]
+
+
 def parse(rows: DataFrame, row_number: str = "row_number", upload: str = "00000000") -> DataFrame:
     """Typed columns, errors and warnings (arrays of field and code). A row with errors is invalid; warnings let it pass.
 
-    A missing id becomes AUTO-<upload>-<row>. Counts lose their fraction with a warning. Weights of 5 kg or more, or under
-    5 g, warn; a kilogram column with 50 to 5000 in it looks like grams and is an error.
+    A missing id becomes AUTO-<upload>-<row>, with a warning. Counts lose their fraction with a warning. A kilogram column with 50 to
+    5000 in it looks like grams and is an error; one of 5 kg or more, and a gram column of less than 5 g, are warnings.
+    Numbers are read once, in a projection of their own; what is derived from them refers to it.
     """
-    for c in RAW:
+    for c in [*RAW, *NUMBERS, *ENERGY]:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     c = F.col
-    kg, weight_code = numeric.weight_kg(kg=c("weight_per_item_kg"), g=c("weight_per_item_g"), lb=c("weight_per_item_lb"), oz=c("weight_per_item_oz"))
-    pct, protein_code = numeric.protein_pct(c("protein_pct"), c("protein_per_100ml"), c("density"), c("protein_per_serving"), c("serving_g"))
-    plain_kg = to_decimal(c("weight_per_item_kg"))
-    grams = plain_kg.between(50, 5000) & (plain_kg > 50)
-    split = [to_decimal(c(f"{s}_protein_pct")).cast("decimal(18,10)") for s in ("plant", "animal")]
-    counted = ("items_purchased", "items_sold")
+    words = {"__name": trimmed(c("product_name")), "__id": trimmed(c("external_product_id")), "__own": to_boolean(c("is_own_brand")), "__channel": channel(c("retail_channel"))}
+    read, n = numeric.numbers(rows, NUMBERS)
+    read = read.select("*", *[e.alias(k) for k, e in words.items()])
+    kg, weight_code = numeric.weight_of(kg=n["weight_per_item_kg"], g=n["weight_per_item_g"], lb=n["weight_per_item_lb"], oz=n["weight_per_item_oz"])
+    energy = numeric.either(*[trimmed(c(e)).isNotNull() for e in ENERGY])
+    pct, protein_code = numeric.protein_of(*[n[x] for x in ("protein_pct", "protein_per_100ml", "density", "protein_per_serving", "serving_g")], energy, n["protein_g_per_100g"])
+    read = read.select("*", kg.alias("__kg"), weight_code.alias("__weight_code"), pct.alias("__pct"), protein_code.alias("__protein_code"))
+    raw_kg, raw_g, ok = n["weight_per_item_kg"].value, n["weight_per_item_g"].value, c("__weight_code").isNull()
+    grams = (c("__weight_code") == "weight_too_large") & raw_kg.between(50, 5000)
+    heavy = ok & (raw_kg >= 5)
+    counted, split = ("items_purchased", "items_sold"), ("plant_protein_pct", "animal_protein_pct")
+    field = lambda name, code: F.struct(F.lit(name).alias("field"), code.alias("code"))
+    fraction = lambda x: n[x].value != F.floor(n[x].value)
     errors = [
-        problem(trimmed(c("product_name")).isNull(), "product_name", "required"),
-        F.when(grams, F.struct(F.lit("weight_per_item_kg").alias("field"), F.lit("looks_like_grams").alias("code"))).when(weight_code.isNotNull(), F.struct(F.lit("weight").alias("field"), weight_code.alias("code"))),
-        F.when(protein_code.isNotNull(), F.struct(F.lit("protein").alias("field"), protein_code.alias("code"))),
-        *[problem(numeric.unreadable(c(n)) | (to_decimal(c(n)) < 0), n, "invalid_count") for n in counted],
-        problem(split[0].isNull() != split[1].isNull(), "protein_split", "both_or_neither"),
-        problem(trimmed(c("retail_channel")).isNotNull() & channel(c("retail_channel")).isNull(), "retail_channel", "unknown_channel"),
+        problem(c("__name").isNull(), "product_name", "missing_required"),
+        F.when(grams, field("weight_per_item_kg", F.lit("weight_unit_likely_grams"))).when(~ok, field("weight_per_item_kg", c("__weight_code"))),
+        F.when(c("__protein_code").isNotNull(), field("protein_pct", c("__protein_code"))),
+        *[F.when(n[x].bad, field(x, F.lit("invalid_type"))).when(n[x].value < 0, field(x, F.lit("invalid_range"))) for x in counted],
+        *[F.when(n[x].bad, field(x, F.lit("invalid_type"))).when(~n[x].value.between(0, 100), field(x, F.lit("invalid_range"))) for x in split],
+        problem(trimmed(c("is_own_brand")).isNotNull() & c("__own").isNull(), "is_own_brand", "invalid_type"),
+        problem(trimmed(c("retail_channel")).isNotNull() & c("__channel").isNull(), "retail_channel", "invalid_enum"),
         problem(trimmed(c("language")).isNotNull() & ~F.trim(c("language")).rlike("^[A-Za-z]{2}$"), "language", "invalid_code"),
         problem(trimmed(c("country")).isNotNull() & ~F.trim(c("country")).rlike("^[A-Za-z]{2}$"), "country", "invalid_code"),
     ]
     warnings = [
-        problem(kg >= 5, "weight", "heavy_item"),
-        problem(kg < F.lit("0.005").cast("decimal(6,3)"), "weight", "light_item"),
-        *[problem(to_decimal(c(n)) != F.floor(to_decimal(c(n))), n, "fraction_cut") for n in counted],
+        problem(c("__id").isNull(), "external_product_id", "auto_generated"),
+        problem(heavy, "weight_per_item_kg", "weight_unit_likely_grams_warning"),
+        problem(~F.coalesce(heavy, F.lit(False)) & ok & (raw_g < 5) & (c("__kg") < F.lit("0.005").cast("decimal(6,3)")), "weight_per_item_g", "weight_unit_likely_kg_warning"),
+        *[problem((n[x].value >= 0) & fraction(x), x, "non_integer_count") for x in counted],
     ]
     auto = F.format_string(f"AUTO-{upload[:8]}-%04d", c(row_number).cast("int"))
-    return rows.select(
-        c(row_number).alias("row_number"), F.coalesce(trimmed(c("external_product_id")), auto).alias("external_product_id"), trimmed(c("product_name")).alias("product_name"),
-        *[trimmed(c(n)).alias(n) for n in ("brand", "retailer_category", "retailer_subcategory", "ingredients_text")], to_list(c("labels")).alias("labels"),
-        F.lower(trimmed(c("language"))).alias("language"), F.upper(trimmed(c("country"))).alias("country"), to_boolean(c("is_own_brand")).alias("is_own_brand"), channel(c("retail_channel")).alias("retail_channel"),
-        kg.cast("decimal(18,14)").alias("weight_per_item_kg"), *[whole_number(c(n)).alias(n) for n in counted], pct.cast("decimal(18,10)").alias("protein_pct"),
-        split[0].alias("plant_protein_pct"), split[1].alias("animal_protein_pct"), F.coalesce(F.lower(trimmed(c("protein_source"))), F.lit("reference_db")).alias("protein_source"),
+    return read.select(
+        c(row_number).alias("row_number"), F.coalesce("__id", auto).alias("external_product_id"), c("__name").alias("product_name"),
+        *[trimmed(c(x)).alias(x) for x in ("brand", "retailer_category", "retailer_subcategory", "ingredients_text")], to_list(c("labels")).alias("labels"),
+        F.lower(trimmed(c("language"))).alias("language"), F.upper(trimmed(c("country"))).alias("country"), c("__own").alias("is_own_brand"), c("__channel").alias("retail_channel"),
+        c("__kg").cast("decimal(18,14)").alias("weight_per_item_kg"), *[F.floor(F.when(n[x].value >= 0, n[x].value)).cast("decimal(18,0)").alias(x) for x in counted], c("__pct").cast("decimal(18,10)").alias("protein_pct"),
+        *[n[x].value.cast("decimal(18,10)").alias(x) for x in split], F.coalesce(F.lower(trimmed(c("protein_source"))), F.lit("reference_db")).alias("protein_source"),
         F.array_compact(F.array(*errors)).alias("errors"), F.array_compact(F.array(*warnings)).alias("warnings"),
     )
 
@@ -87,6 +100,6 @@ def satisfiable(products: DataFrame) -> DataFrame:
 
 
 def report(parsed: DataFrame) -> DataFrame:
-    """kind, field, code, rows: how many rows have each error and warning."""
-    each = lambda kind: parsed.select(F.lit(kind[:-1]).alias("kind"), "row_number", F.inline(kind))
-    return each("errors").unionByName(each("warnings")).groupBy("kind", "field", "code").agg(F.count_distinct("row_number").alias("n_rows"))
+    """kind, field, code, n_rows: how many row numbers have each error and warning, in one pass."""
+    of = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind[:-1]).alias("kind"), x["field"].alias("field"), x["code"].alias("code")))
+    return parsed.select("row_number", F.inline(F.concat(of("errors"), of("warnings")))).groupBy("kind", "field", "code").agg(F.count_distinct("row_number").alias("n_rows"))

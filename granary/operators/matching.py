@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import fold, tokens
-from granary.session import materialize, shared_folder
+from granary.functions.text import tokens
+from granary.session import materialize
 
 #: Reference tables up to so many rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -48,39 +50,62 @@ def token_matches(left: DataFrame, right: DataFrame, k: int, left_cols=("left_id
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def confidence(score: Column, n_tokens: Column) -> Column:
-    """The confidence of a match by shared words."""
-    return F.when(score >= n_tokens, 0.82).when(score * 2 >= n_tokens, 0.72).otherwise(0.55)
+def confidence(score: Column) -> Column:
+    """The confidence of a match by so many shared words."""
+    return F.when(score >= 3, 0.82).when(score == 2, 0.72).when(score == 1, 0.55)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Vectors of a block of queries, and of references.
+BLOCK = 512, 4096
 
 
-def vector_top_k(queries: DataFrame, references: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
-    """The k references most similar to each query (query_id, q) among (ref_id, r): cosine, then reference id.
+def packed(vectors: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
+    """dim, ids, matrix: unit vectors in blocks of about so many, by a hash of the id. Null, zero and non-finite vectors are in none."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
+    blocks = max(1, -(-rows.count() // size))
 
-    All pairs are asked for, so queries are broadcast to the references. More than `most_queries` are split by a hash of
-    their id into blocks of half as many on average; each block's answers are written before the next one is joined.
+    def pack(key, found):
+        n = key[0].as_py()
+        x = found.column("v").combine_chunks()
+        x = np.array(x.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
+        length = np.sqrt((x * x).sum(axis=1))
+        ok = np.isfinite(length) & (length > 0)
+        ids = found.column("id").to_numpy()[ok]
+        return pa.table({"dim": pa.array([n], pa.int32()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "matrix": pa.array([(x[ok] / length[ok, None]).astype("<f8").tobytes()], pa.binary())})
+
+    keyed = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "v")
+    return keyed.groupBy("dim", "block").applyInArrow(pack, "dim int, ids binary, matrix binary")
+
+
+def vector_top_k(queries: DataFrame, references: DataFrame, k: int, block: tuple[int, int] = BLOCK) -> DataFrame:
+    """The k references most similar to each query (query_id, q) among (ref_id, r): cosine to twelve places, then reference id.
+
+    Every query meets every reference, block by block: a row of the join is a pair of blocks, one matrix product gives its similarities, and it
+    hands on the k best of each query alone. Vectors without a length, or of another length than the query's, are similar to nothing.
     """
-    n = queries.count()
-    if n <= most_queries:
-        return nearest(queries, references, k)
-    spark, blocks, path = queries.sparkSession, -(-2 * n // most_queries), shared_folder(queries.sparkSession)
-    split = materialize(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("__block"), ["__block"])
-    for b in range(blocks):
-        top = nearest(split.filter(F.col("__block") == b).drop("__block"), references, k)
-        top.write.mode("append").parquet(path)
-    return spark.read.schema(top.schema).parquet(path)
-
-
-def nearest(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """vector_top_k for queries that can be broadcast."""
-    pairs = references.join(F.broadcast(queries))
-    size = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    scored = pairs.select("query_id", "ref_id", F.try_divide(dot(F.col("q"), F.col("r")), size("q") * size("r")).alias("similarity"))
+    q, r = (packed(df, i, v, n) for df, i, v, n in ((queries, "query_id", "q", block[0]), (references, "ref_id", "r", block[1])))
+    pairs = materialize(r).join(materialize(q).withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"}), "dim").select("dim", "ids", "matrix", "q_ids", "q_matrix")
+
+    def best(batches):
+        for batch in batches:
+            for n, ids, matrix, q_ids, q_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                refs, asked = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
+                if not len(refs) or not len(asked):
+                    continue
+                s = np.round(np.frombuffer(q_matrix).reshape(-1, n) @ np.frombuffer(matrix).reshape(-1, n).T, 12)
+                top = min(k, len(refs))
+                # all that reach the k-th similarity, so that ties are broken by id
+                least = np.partition(s, len(refs) - top, axis=1)[:, len(refs) - top]
+                i, j = np.nonzero(s >= least[:, None])
+                order = np.lexsort((refs[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[rank < top], j[rank < top]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(refs[j]), pa.array(s[i, j])], ["query_id", "ref_id", "similarity"])
+
+    found = pairs.mapInArrow(best, "query_id long, ref_id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def gate(similarity: Column, same_family: Column, trap: Column, composite: Column) -> Column:
@@ -104,10 +129,6 @@ def first_accept(candidates: DataFrame, key: str = "query_id", proxy: float = 0.
     return picked.select(key, F.coalesce("hit", "proxy").alias("ref_id"), outcome.alias("outcome"))
 
 
-def folded_equal(a: Column, b: Column) -> Column:
-    return fold(a) == fold(b)
-
-
 def compatible(left: Column, right: Column, allowed: list[tuple[str, str]]) -> Column:
     """Whether a product's family may take a candidate of another family; families equal to each other always may."""
     pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in allowed]) if allowed else F.array().cast("array<string>")

@@ -86,7 +86,7 @@ def bulk_errors(asked: DataFrame, queue: DataFrame, most: int) -> DataFrame:
     """item_id, error for items of a bulk decision that aren't queued, aren't pending, or exceed the cap; empty means apply all."""
     many = asked.limit(most + 1).count() > most
     joined = asked.join(queue.select("item_id", "state"), "item_id", "left")
-    error = F.when(F.lit(many), "too_many").when(F.col("state").isNull(), "not_queued").when(F.col("state") != "pending", "not_pending")
+    error = F.when(F.lit(many), "too_many").when(F.col("state").isNull(), "not_queued").when(F.col("state") != "in_queue", "not_pending")
     return joined.select("item_id", error.alias("error")).filter("error is not null")
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weight of a queue's reasons, and minutes that a lock holds.
-WEIGHT = {"contradiction": 4, "collision": 3, "low_confidence": 2, "missing_nutrition": 1}
+#: Weight of a queue's reasons and the levels that the weights stand for, and minutes that a lock holds.
+WEIGHT = {"contradiction_detected": 3, "ai_parse_failed": 3, "ai_provider_error": 3, "rule_collision": 2, "low_confidence": 1, "requested": 0}
+LEVELS = ["low", "medium", "high", "critical"]
 LOCK_MINUTES, STALE_MINUTES = 15, 30
 #: States and the actions that lead from one to another.
-EDGES = [("pending", "claim", "in_review"), ("in_review", "accept", "accepted"), ("in_review", "change", "changed"), ("in_review", "defer", "deferred"), ("deferred", "reopen", "pending"), ("accepted", "reopen", "pending"), ("changed", "reopen", "pending")]
+EDGES = [
+    ("in_queue", "claim", "reviewing"), ("reviewing", "claim", "reviewing"), ("reviewing", "release", "in_queue"), ("in_queue", "accept", "accepted"), ("reviewing", "accept", "accepted"),
+    ("in_queue", "change", "changed"), ("reviewing", "change", "changed"), ("in_queue", "defer", "deferred"), ("reviewing", "defer", "deferred"), ("deferred", "reopen", "in_queue"),
+]
 TERMINAL = ["done", "failed", "cancelled"]
 
 
@@ -18,7 +22,7 @@ def weight(reason: Column) -> Column:
 
 
 def priority(w: Column) -> Column:
-    return F.when(w >= 4, "P0").when(w == 3, "P1").when(w == 2, "P2").otherwise("P3")
+    return F.element_at(F.array(*map(F.lit, LEVELS)), F.least(F.lit(3), F.greatest(F.lit(0), w)).cast("int") + 1)
 
 
 def page(queue: DataFrame, offset: int, limit: int, *order: Column | str) -> DataFrame:
@@ -45,8 +49,8 @@ def latest(rows: DataFrame, keys: list[str], by: list[str], columns: list[str])
 
 
 def checked_transitions(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add previous (state before an event, pending at first) and valid: whether an edge leads from it."""
-    before = F.coalesce(F.lag("state").over(Window.partitionBy(*keys).orderBy(*order)), F.lit("pending"))
+    """Add previous (state before an event, in_queue at first) and valid: whether an edge leads from it."""
+    before = F.coalesce(F.lag("state").over(Window.partitionBy(*keys).orderBy(*order)), F.lit("in_queue"))
     edges = F.array(*[F.lit(f"{a}>{b}") for a, _, b in EDGES])
     return events.withColumn("previous", before).withColumn("valid", F.array_contains(edges, F.concat_ws(">", "previous", "state")))
 
@@ -67,10 +71,14 @@ def top_reasons(queue: DataFrame, n: int = 5) -> DataFrame:
 
 
 def disposition(records: DataFrame, key: str = "product_id") -> DataFrame:
-    """What to do with a planned write, by what a product already has: manual beats version 2 beats version 1."""
-    has = lambda kind: F.bool_or(F.col("kind") == kind)
-    flags = records.groupBy(key).agg(has("manual").alias("m"), has("v2").alias("v2"), has("v1").alias("v1"))
-    return flags.select(key, F.when(F.col("m"), "skip_manual").when(F.col("v2"), "skip_existing").when(F.col("v1"), "supersede").otherwise("write").alias("disposition"))
+    """What to do with a planned write, by what a product already has of the nutrient (kind, nutrient, value).
+
+    A manual record, one of version 2, or a value of version 1 is never overwritten; a product without any is written.
+    """
+    own = F.col("nutrient") == "protein_pct"
+    has = lambda c: F.coalesce(F.bool_or(own & c), F.lit(False))
+    flags = records.groupBy(key).agg(has(F.col("kind") == "manual").alias("m"), has(F.col("kind") == "v2").alias("v2"), has((F.col("kind") == "v1") & F.col("value").isNotNull()).alias("v1"))
+    return flags.select(key, F.when(F.col("m"), "skip_manual").when(F.col("v2"), "skip_v2").when(F.col("v1"), "skip_v1").otherwise("write").alias("disposition"))
 
 
 def replaced(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -134,18 +134,31 @@ def run_comparison_wwf(spark, sf_dir):
     return comparison.compared(*runs, "food_group", "kg", comparison.MOVED_FRACTION).select("food_group", "before", "after", real("delta", 4), "direction")
 
 
+OPERATIONS = [
+    (1, 1, "shift_protein_between_groups", "animal_core", "plant_based_core", "20.5", None, None), (2, 2, "increase_plant_core_protein", None, None, "10", None, None),
+    (3, 3, "reduce_animal_core_protein", None, None, "1000000000", None, None), (4, 4, "improve_composite_split", None, None, None, "60", "40"), (5, 5, "improve_composite_split", None, None, None, "70", "30"),
+    (6, 6, "improve_composite_split", None, None, None, "80", "30"), (7, 7, "shift_protein_between_groups", "unknown", "animal_core", "5", None, None), (8, 8, "increase_plant_core_protein", None, None, "-1", None, None),
+    (9, 9, "increase_plant_core_protein", None, None, "many", None, None), (10, 10, "shift_protein_between_groups", "composite_products", "composite_products", "7", None, None),
+]
+
+
+def operations(spark):
+    return spark.createDataFrame(OPERATIONS, "op_id int, op_order int, operation_type string, from_group string, to_group string, amount_kg string, plant_pct string, animal_pct string")
+
+
 @query(f"""WITH {BASE}, g AS (SELECT pt_group, sum(grams * pct) / 100000.0 AS b FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY 1),
-d AS (SELECT 'animal_core' AS pt_group, -0.2 * b AS d FROM g WHERE pt_group = 'animal_core' UNION ALL SELECT 'plant_based_core', 0.2 * b FROM g WHERE pt_group = 'animal_core'
-      UNION ALL SELECT 'plant_based_non_core', 0.1 * b FROM g WHERE pt_group = 'plant_based_non_core' UNION ALL SELECT 'composite_products', -0.5 * b FROM g WHERE pt_group = 'composite_products')
-SELECT pt_group, round(b, 4) AS base_kg, round(greatest(0, b + coalesce((SELECT sum(d) FROM d WHERE d.pt_group = g.pt_group), 0)), 4) AS projected_kg,
-       CASE WHEN pt_group = 'composite_products' THEN 0.7 WHEN pt_group LIKE 'plant%' THEN 1.0 ELSE 0.0 END :: DOUBLE AS plant_fraction FROM g""")
+d(pt_group, d) AS (VALUES ('animal_core', -1000000020.5), ('plant_based_core', 30.5), ('plant_based_non_core', 0), ('composite_products', 0))
+SELECT pt_group, round(coalesce(b, 0), 4) :: DOUBLE AS base_kg, round(greatest(0, coalesce(b, 0) + d), 4) :: DOUBLE AS projected_kg, coalesce(b, 0) + d < 0 AS clamped,
+       CASE WHEN pt_group = 'composite_products' THEN 0.7 WHEN pt_group LIKE 'plant%' THEN 1.0 ELSE 0.0 END :: DOUBLE AS plant_fraction FROM d LEFT JOIN g USING (pt_group)""")
 def scenario_projection(spark, sf_dir):
     groups = protein.group_totals(protein.run_rows(protein.resolved(purchases(spark, sf_dir))))
-    operations = spark.createDataFrame(
-        [(1, "shift", "animal_core", "plant_based_core", 20.0), (2, "increase", None, "plant_based_non_core", 10.0), (3, "reduce", None, "composite_products", 50.0), (4, "split", None, None, 60.0), (5, "split", None, None, 70.0)],
-        "op_order int, kind string, source_group string, target_group string, pct double",
-    )
-    return comparison.scenario(groups, operations).select("pt_group", real("base_kg", 4), real("projected_kg", 4), "plant_fraction")
+    return comparison.scenario(groups, operations(spark)).select("pt_group", real("base_kg", 4), real("projected_kg", 4), "clamped", "plant_fraction")
+
+
+@query("""SELECT * FROM (VALUES ('6', 'split_not_100'), ('7', 'invalid_from_group'), ('8', 'negative_amount_kg'), ('9', 'unparseable_amount_kg'), ('animal_core', 'clamped_to_zero')) AS t(subject, warning)""")
+def scenario_warnings(spark, sf_dir):
+    groups = protein.group_totals(protein.run_rows(protein.resolved(purchases(spark, sf_dir))))
+    return comparison.scenario_warnings(operations(spark), comparison.scenario(groups, operations(spark)))
 
 
 def records(spark, sf_dir):
@@ -153,22 +166,22 @@ def records(spark, sf_dir):
     source = F.element_at(F.array(*map(F.lit, enrichment.PRIORITY)), (F.col("l_suppkey") % 4 + 1).cast("int"))
     nutrient = F.element_at(F.array(*map(F.lit, ["protein", "plant_protein", "animal_protein"])), (F.col("l_linenumber") % 3 + 1).cast("int"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("product_id"), source.alias("source"), nutrient.alias("nutrient"), F.col("l_quantity").alias("value"), F.col("l_shipdate").alias("created_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), (F.col("l_suppkey") % 4).alias("prio")
+        F.col("l_partkey").alias("product_id"), source.alias("source"), nutrient.alias("nutrient"), F.when(F.col("l_tax") > 0, F.col("l_quantity")).alias("value"), F.when(F.col("l_discount") < 0.09, "enriched").otherwise("failed").alias("status"), F.col("l_shipdate").alias("created_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), (F.col("l_suppkey") % 4).alias("prio")
     )
 
 
 RECORDS = """rec AS (SELECT l_partkey AS product_id, l_suppkey % 4 AS prio, CASE l_suppkey % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'reference_a' WHEN 2 THEN 'reference_b' ELSE 'category_average' END AS source,
- CASE l_linenumber % 3 WHEN 0 THEN 'protein' WHEN 1 THEN 'plant_protein' ELSE 'animal_protein' END AS nutrient, l_quantity AS value, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS record_id FROM lineitem)"""
+ CASE l_linenumber % 3 WHEN 0 THEN 'protein' WHEN 1 THEN 'plant_protein' ELSE 'animal_protein' END AS nutrient, CASE WHEN l_tax > 0 THEN l_quantity END AS value, CASE WHEN l_discount < 0.09 THEN 'enriched' ELSE 'failed' END AS status, l_shipdate AS created_at, l_orderkey * 10 + l_linenumber AS record_id FROM lineitem)"""
 
 
-@query(f"""WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM rec WHERE nutrient = 'protein'),
-s AS (SELECT product_id, source, max(CASE WHEN nutrient = 'plant_protein' THEN created_at END) AS last_plant FROM rec GROUP BY ALL)
-SELECT b.product_id, b.source, b.value, b.record_id, s.last_plant IS NOT NULL AS has_plant FROM b LEFT JOIN s USING (product_id, source) WHERE n = 1""")
+@query(f"""WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM rec WHERE nutrient = 'protein' AND value IS NOT NULL AND status = 'enriched'),
+s AS (SELECT product_id, source, count(*) FILTER (nutrient = 'plant_protein') > 0 AND count(*) FILTER (nutrient = 'animal_protein') > 0 AS whole FROM rec WHERE value IS NOT NULL AND status = 'enriched' GROUP BY ALL)
+SELECT b.product_id, b.source, b.value, b.record_id, coalesce(s.whole, false) AS has_split FROM b LEFT JOIN s USING (product_id, source) WHERE n = 1""")
 def enrichment_best_source(spark, sf_dir):
     all_ = records(spark, sf_dir)
     best = enrichment.best_record(all_.filter("nutrient = 'protein'"))
     with_ = enrichment.with_siblings(best.select("product_id", "source", "value", "record_id"), all_)
-    return with_.select("product_id", "source", "value", "record_id", F.col("plant_protein").isNotNull().alias("has_plant"))
+    return with_.select("product_id", "source", "value", "record_id", F.col("plant_protein").isNotNull().alias("has_split"))
 
 
 @query("""WITH m AS (SELECT p_brand AS food_group, avg(p_size) AS m, count(p_size) AS n FROM part GROUP BY 1)
@@ -255,9 +268,9 @@ ANIMAL_WORDS = ["the", "ing", "eau", "sch", "que"]
 
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'eau') THEN 'eau' WHEN contains(lower(text), 'ing') THEN 'ing' WHEN contains(lower(text), 'que') THEN 'que' WHEN contains(lower(text), 'sch') THEN 'sch' WHEN contains(lower(text), 'the') THEN 'the' END AS note
-FROM documents WHERE lang IN ('en', 'fr')""")
+FROM documents""")
 def contradiction_flags(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", rules.contradiction(F.array(F.lit("Vegan")), F.col("text"), ANIMAL_WORDS).alias("note"))
 
 
@@ -283,10 +296,10 @@ def dirty(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS r, l_partkey % 5 = 0 AS noname, l_partkey % 7 AS n, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
-x AS (SELECT r, 'error' AS kind, 'product_name' AS field, 'required' AS code FROM d WHERE noname
- UNION ALL SELECT r, 'error', 'weight', CASE n WHEN 1 THEN 'invalid_type' WHEN 2 THEN 'missing_weight' WHEN 3 THEN 'weight_non_positive' WHEN 4 THEN 'weight_too_large' ELSE 'mixed_weight_units' END FROM d WHERE n BETWEEN 1 AND 5
- UNION ALL SELECT r, 'warning', 'weight', 'light_item' FROM d WHERE (n = 0 AND q + 0.5 < 5) OR (n = 6 AND q < 5)
- UNION ALL SELECT r, 'warning', 'items_purchased', 'fraction_cut' FROM d)
+x AS (SELECT r, 'error' AS kind, 'product_name' AS field, 'missing_required' AS code FROM d WHERE noname
+ UNION ALL SELECT r, 'error', 'weight_per_item_kg', CASE n WHEN 1 THEN 'invalid_type' WHEN 3 THEN 'weight_non_positive' WHEN 4 THEN 'weight_too_large' ELSE 'mixed_weight_units' END FROM d WHERE n IN (1, 3, 4, 5)
+ UNION ALL SELECT r, 'warning', 'weight_per_item_g', 'weight_unit_likely_kg_warning' FROM d WHERE (n = 0 AND q + 0.5 < 5) OR (n = 6 AND q < 5)
+ UNION ALL SELECT r, 'warning', 'items_purchased', 'non_integer_count' FROM d)
 SELECT kind, field, code, count(DISTINCT r) AS n_rows FROM x GROUP BY ALL""")
 def ingest_validation(spark, sf_dir):
     return ingest.report(ingest.parse(dirty(spark, sf_dir)))
@@ -348,12 +361,27 @@ def workflow_counts(spark, sf_dir):
     return joined.agg(F.count("*").alias("n_products"), F.count_if(F.col("g") != "unknown").alias("n_classified"), F.count_if("lacks").alias("n_missing"), F.count_if(F.coalesce("queued", F.lit(False))).alias("n_in_review"))
 
 
-@query(f"""WITH {BASE}, t AS (SELECT count(*) AS n_rows, count(*) FILTER (pt_group <> 'unknown') AS n_classified, count(pct) AS n_protein, count(*) FILTER (pt_group = 'out_of_scope') AS n_out_of_scope, sum(grams) AS v, sum(grams) FILTER (pct IS NOT NULL) AS vp FROM base)
-SELECT n_rows, n_classified, n_protein, n_out_of_scope, round(100.0 * n_classified / n_rows, 2) AS classified_pct, round(100.0 * n_protein / n_rows, 2) AS protein_pct, round(100.0 * vp / v, 1) AS volume_pct,
- CASE WHEN 100.0 * n_classified / n_rows >= 95 AND 100.0 * n_protein / n_rows >= 95 THEN 'low' WHEN 100.0 * n_classified / n_rows >= 80 AND 100.0 * n_protein / n_rows >= 80 THEN 'medium' ELSE 'high' END AS uncertainty FROM t""")
-def coverage_uncertainty(spark, sf_dir):
+COVERED = """cov AS (SELECT count(*) AS n_rows, count(*) FILTER (pt_group <> 'unknown') AS n_classified, count(*) FILTER (pt_group = 'unknown') AS n_unknown, count(*) FILTER (pt_group = 'out_of_scope') AS n_out_of_scope,
+ count(pct) AS n_protein, count(*) FILTER (pt_group NOT IN ('unknown', 'out_of_scope') AND pct IS NULL) AS n_missing_protein, count(*) FILTER (grams = 0) AS n_zero_weight, count(*) FILTER (p_brand = 'Brand#1') AS n_ai,
+ count(*) FILTER (l_returnflag = 'R' AND p_size = 1) AS n_pending, sum(grams) AS v, sum(grams) FILTER (pct IS NOT NULL) AS vp FROM base)"""
+
+
+def covered(spark, sf_dir):
     p = purchases(spark, sf_dir).withColumn("volume_kg", numeric.q8(F.col("items_purchased") * F.col("weight_per_item_kg")))
-    return coverage.coverage(p).drop("volume", "volume_with_protein")
+    source = F.when(F.col("brand") == "Brand#1", "ai").otherwise("rule")
+    return coverage.coverage(p.withColumn("source", source).withColumn("pending", (F.col("l_returnflag") == "R") & (F.col("p_size") == 1)))
+
+
+UNCERTAINTY = """CASE WHEN 100.0 * n_unknown / n_rows >= 10 OR (n_pending > 0 AND 100.0 * n_pending / n_rows >= 5) THEN 'high' WHEN 100.0 * n_ai / n_rows >= 30 OR 100.0 * n_missing_protein / n_rows >= 10
+ OR 100.0 * n_zero_weight / n_rows >= 10 OR n_pending > 0 THEN 'medium' ELSE 'low' END"""
+
+
+@query(f"""WITH {BASE}, {COVERED}
+SELECT n_rows, n_classified, n_unknown, n_out_of_scope, n_protein, n_missing_protein, n_zero_weight, n_ai, n_pending, round(100.0 * n_classified / n_rows, 2) AS classified_pct, round(100.0 * n_protein / n_rows, 2) AS protein_pct,
+ round(100.0 * n_pending / n_rows, 2) AS pending_pct, round(100.0 * vp / v, 1) AS volume_pct, {UNCERTAINTY} AS uncertainty FROM cov""")
+def coverage_uncertainty(spark, sf_dir):
+    counts = ["n_rows", "n_classified", "n_unknown", "n_out_of_scope", "n_protein", "n_missing_protein", "n_zero_weight", "n_ai", "n_pending"]
+    return covered(spark, sf_dir).select(*counts, "classified_pct", "protein_pct", "pending_pct", "volume_pct", "uncertainty")
 
 
 @query(f"""WITH {BASE}, s AS (SELECT product_id, any_value(p_name) AS product_name, CASE WHEN any_value(pt_group) LIKE 'plant%' THEN 'positive' WHEN any_value(pt_group) = 'animal_core' THEN 'watch_out' END AS side, sum(grams * pct) AS p FROM base WHERE pct IS NOT NULL GROUP BY 1),
@@ -366,42 +394,58 @@ def top_contributors(spark, sf_dir):
     return coverage.contributors(per, side, "protein_kg").select("product_id", "product_name", "side", real("protein_kg"), "rank")
 
 
-@query(f"""WITH {BASE}, t AS (SELECT 100.0 * sum(CASE WHEN pt_group LIKE 'plant%' THEN 1.0 WHEN pt_group = 'composite_products' THEN 0.5 ELSE 0 END * grams * pct) / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS plant,
- 100.0 * sum(grams * pct) FILTER (pt_group = 'composite_products') / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS comp, 100.0 * count(*) FILTER (pt_group = 'unknown') / count(*) AS unk,
- 100.0 * sum(grams * pct) FILTER (pt_group = 'plant_based_core') / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS core FROM base WHERE pct IS NOT NULL)
-SELECT 0 AS generation, 'increase_plant' AS action_type, round(plant, 4) AS measured, 40.0 :: DOUBLE AS threshold FROM t WHERE plant < 40 UNION ALL SELECT 1, 'grow_core_range', round(core, 4), 30.0 FROM t WHERE core < 30
-UNION ALL SELECT 2, 'split_composites', round(comp, 4), 30.0 FROM t WHERE comp > 30 UNION ALL SELECT 3, 'classify_unknown', round(unk, 4), 5.0 FROM t WHERE unk > 5""")
+@query(f"""WITH {BASE}, {COVERED}, t AS (SELECT 100.0 * sum(CASE WHEN pt_group LIKE 'plant%' THEN 1.0 WHEN pt_group = 'composite_products' THEN 0.5 ELSE 0 END * grams * pct) / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS plant,
+ 100.0 * sum(grams * pct) FILTER (pt_group = 'composite_products') / sum(grams * pct) FILTER (pt_group NOT IN ('out_of_scope', 'unknown')) AS comp FROM base WHERE pct IS NOT NULL),
+w AS (SELECT count(*) FILTER (is_composite AND is_own_brand) AS own, count(*) FILTER (is_composite AND NOT is_own_brand) AS branded, 100.0 * sum(grams) FILTER (food_group = 'FG1') / sum(grams) AS fg1 FROM base),
+x AS (SELECT *, {UNCERTAINTY} AS unc FROM cov, t, w),
+a(methodology, generation, action_type, priority, holds) AS (
+ SELECT 'protein_tracker', 0, 'increase_plant_core_share', 'high', plant < 40 FROM x UNION ALL SELECT 'protein_tracker', 1, 'improve_composite_breakdown', 'medium', comp >= 30 FROM x
+ UNION ALL SELECT 'protein_tracker', 2, 'enrich_missing_nutrition', 'medium', n_missing_protein > 0 FROM x UNION ALL SELECT 'food_groups', 0, 'collect_step2_ingredient_data', 'high', own > 0 FROM x
+ UNION ALL SELECT 'food_groups', 1, 'improve_data_quality', 'low', branded > 0 FROM x UNION ALL SELECT 'food_groups', 2, 'promote_legume_products', 'medium', fg1 > 13.5 FROM x
+ UNION ALL SELECT m, 3, 'review_high_impact_unknowns', 'high', 100.0 * n_unknown / n_rows >= 5 FROM x, (VALUES ('protein_tracker'), ('food_groups')) v(m)
+ UNION ALL SELECT m, 4, 'improve_data_quality', 'medium', 100.0 * n_ai / n_rows >= 30 FROM x, (VALUES ('protein_tracker'), ('food_groups')) v(m)
+ UNION ALL SELECT m, 5, 'improve_data_quality', 'critical', unc = 'high' FROM x, (VALUES ('protein_tracker'), ('food_groups')) v(m)
+ UNION ALL SELECT m, 6, 'create_category_target', 'low', unc = 'high' FROM x, (VALUES ('protein_tracker'), ('food_groups')) v(m)),
+f AS (SELECT *, row_number() OVER (PARTITION BY methodology, action_type ORDER BY generation) AS n FROM a WHERE holds)
+SELECT methodology, CAST(generation AS INTEGER) AS generation, action_type, priority FROM f WHERE n = 1""")
 def recommendations(spark, sf_dir):
-    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
-    of = lambda g: F.sum(F.when(F.col("pt_group") == g, F.col("protein_kg")))
-    sums = rows.agg(F.sum("protein_kg").alias("t"), of("composite_products").alias("c"), of("plant_based_core").alias("k"), F.count_if(F.col("pt_group") == "unknown").alias("u"), F.count("*").alias("n"))
-    share = lambda a, b: F.try_divide(F.col(a).cast("double") * 100, F.col(b).cast("double"))
-    summary = protein.headline(rows).select("plant_share_pct").crossJoin(sums.select(share("c", "t").alias("composite_share_pct"), share("u", "n").alias("unknown_share_pct"), share("k", "t").alias("core_share_pct")))  # one row each
-    return comparison.recommendations(summary).select("generation", "action_type", real("measured", 4), "threshold")
+    bought = purchases(spark, sf_dir)
+    rows = protein.run_rows(protein.resolved(bought))
+    shared = covered(spark, sf_dir).select("unknown_pct", "ai_pct", "uncertainty", F.col("n_missing_protein").alias("missing_protein"))
+    parts = rows.agg(F.sum("protein_kg").alias("t"), F.sum(F.when(F.col("pt_group") == "composite_products", F.col("protein_kg"))).alias("c"))
+    composite = parts.select(F.try_divide(F.col("c").cast("double") * 100, F.col("t").cast("double")).alias("composite_share_pct"))
+    grams, own = F.col("items_sold") * F.col("weight_per_item_kg"), F.col("is_composite") & F.col("is_own_brand")
+    foods = bought.agg(
+        F.count_if(own).alias("own_composites"), F.lit(0).alias("step2_applied"), F.count_if(F.col("is_composite") & ~F.col("is_own_brand")).alias("branded_composites"),
+        F.try_divide(F.sum(F.when(F.col("food_group") == "FG1", grams)).cast("double") * 100, F.sum(grams).cast("double")).alias("fg1_share_pct"), F.lit(13.5).alias("fg1_reference_pct"),
+    )
+    one = protein.headline(rows).select("plant_share_pct").crossJoin(composite).crossJoin(shared)  # one row each
+    both = [comparison.recommendations(one).withColumn("methodology", F.lit("protein_tracker")), comparison.recommendations(foods.crossJoin(shared), "food_groups").withColumn("methodology", F.lit("food_groups"))]
+    return both[0].unionByName(both[1]).select("methodology", "generation", "action_type", "priority")
 
 
-REASON = "CASE event_type WHEN 'error' THEN 'contradiction' WHEN 'purchase' THEN 'collision' WHEN 'signup' THEN 'low_confidence' WHEN 'click' THEN 'missing_nutrition' ELSE 'other' END"
+REASON = "CASE event_type WHEN 'error' THEN 'contradiction_detected' WHEN 'purchase' THEN 'rule_collision' WHEN 'signup' THEN 'low_confidence' WHEN 'click' THEN 'ai_parse_failed' ELSE 'requested' END"
 
 
 def queue(spark, sf_dir):
-    reason = F.when(F.col("event_type") == "error", "contradiction").when(F.col("event_type") == "purchase", "collision").when(F.col("event_type") == "signup", "low_confidence").when(F.col("event_type") == "click", "missing_nutrition").otherwise("other")
+    reason = F.when(F.col("event_type") == "error", "contradiction_detected").when(F.col("event_type") == "purchase", "rule_collision").when(F.col("event_type") == "signup", "low_confidence").when(F.col("event_type") == "click", "ai_parse_failed").otherwise("requested")
     return events(spark, sf_dir).select("event_id", "ts", "user_id", "value", "k", reason.alias("reason"), review.weight(reason).alias("w")).withColumn("priority", review.priority(F.col("w")))
 
 
-@query(f"""WITH {EVENTS}, q AS (SELECT event_id, {REASON} AS reason, CASE event_type WHEN 'error' THEN 4 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS w, ts FROM e WHERE user_id % 2 = 0)
-SELECT event_id, reason, w, CASE WHEN w >= 4 THEN 'P0' WHEN w = 3 THEN 'P1' WHEN w = 2 THEN 'P2' ELSE 'P3' END AS priority FROM q ORDER BY w DESC, ts, event_id LIMIT 50 OFFSET 10""")
+@query(f"""WITH {EVENTS}, q AS (SELECT event_id, {REASON} AS reason, CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END AS w, ts FROM e)
+SELECT event_id, reason, w, CASE WHEN w = 3 THEN 'critical' WHEN w = 2 THEN 'high' WHEN w = 1 THEN 'medium' ELSE 'low' END AS priority FROM q ORDER BY w DESC, ts, event_id LIMIT 50 OFFSET 10""")
 def review_queue_sorted(spark, sf_dir):
-    return review.page(queue(spark, sf_dir).filter("user_id % 2 = 0"), 10, 50, F.desc("w"), "ts", "event_id").select("event_id", "reason", "w", "priority")
+    return review.page(queue(spark, sf_dir), 10, 50, F.desc("w"), "ts", "event_id").select("event_id", "reason", "w", "priority")
 
 
-STATE = "CASE k % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_review' WHEN 2 THEN 'accepted' WHEN 3 THEN 'changed' ELSE 'deferred' END"
+STATE = "CASE k % 5 WHEN 0 THEN 'in_queue' WHEN 1 THEN 'reviewing' WHEN 2 THEN 'accepted' WHEN 3 THEN 'changed' ELSE 'deferred' END"
 
 
-@query(f"""WITH {EVENTS}, s AS (SELECT *, {STATE} AS state FROM e), p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'pending') AS previous FROM s),
-v AS (SELECT *, previous || '>' || state IN ('pending>in_review', 'in_review>accepted', 'in_review>changed', 'in_review>deferred', 'deferred>pending', 'accepted>pending', 'changed>pending') AS valid FROM p)
+@query(f"""WITH {EVENTS}, s AS (SELECT *, {STATE} AS state FROM e), p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'in_queue') AS previous FROM s),
+v AS (SELECT *, previous || '>' || state IN ('in_queue>reviewing', 'reviewing>reviewing', 'reviewing>in_queue', 'in_queue>accepted', 'reviewing>accepted', 'in_queue>changed', 'reviewing>changed', 'in_queue>deferred', 'reviewing>deferred', 'deferred>in_queue') AS valid FROM p)
 SELECT user_id, arg_max(state, (ts, event_id)) AS state, max(event_id) FILTER (valid) AS last_valid, count(*) FILTER (valid) AS n_valid FROM v GROUP BY 1""")
 def review_state_latest(spark, sf_dir):
-    states = F.element_at(F.array(*map(F.lit, ["pending", "in_review", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
+    states = F.element_at(F.array(*map(F.lit, ["in_queue", "reviewing", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
     checked = review.checked_transitions(events(spark, sf_dir).withColumn("state", states), ["user_id"], ["ts", "event_id"])
     last = review.latest(checked, ["user_id"], ["ts", "event_id"], ["state"])
     return last.join(checked.groupBy("user_id").agg(F.max(F.when(F.col("valid"), F.col("event_id"))).alias("last_valid"), F.count_if("valid").alias("n_valid")), "user_id")
@@ -432,8 +476,9 @@ def rate_limit_candidates(spark, sf_dir):
 
 @query("""SELECT substr(sha1(lower(trim(source)) || '|' || lower(trim(lang))), 1, 16) AS key, count(*) AS group_size, min(doc_id) AS first_id, sum(doc_id) :: BIGINT AS id_sum FROM documents GROUP BY 1""")
 def dedupe_canonical_key(spark, sf_dir):
-    found = evaluation.canonical_groups(table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id")
-    return found.select("key", "group_size", "first_id", F.aggregate("member_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    docs = table(spark, sf_dir, "documents")
+    groups = evaluation.canonical_groups(docs, ["source", "lang"], "doc_id")
+    return groups.join(evaluation.members(docs, ["source", "lang"], "doc_id").groupBy("key").agg(F.sum("id").alias("id_sum")), "key")
 
 
 @query("""WITH c AS (SELECT quality AS expected, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS predicted, n_chars > 500 AS accepted FROM labels JOIN documents USING (doc_id)),
@@ -453,19 +498,25 @@ def eval_delta(spark, sf_dir):
     return evaluation.retrieval_metrics(near.groupBy("query_id").agg(F.min(F.when(F.col("a") == F.col("b"), F.col("rank"))).alias("rank")))
 
 
-@query("""WITH x AS (SELECT CASE WHEN label % 2 = 0 THEN label END AS a, CASE WHEN vec_id % 3 <> 0 THEN label % 4 END AS b, (vec_id % 100) / 100.0 AS c FROM embeddings)
-SELECT CASE WHEN a IS NOT DISTINCT FROM b THEN 'agree' WHEN a IS NULL THEN 'new_match' WHEN b IS NULL THEN 'lost_match' WHEN c >= 0.9 THEN 'high_risk' ELSE 'low_risk' END AS bucket, count(*) AS n FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT CASE WHEN label % 2 = 0 THEN label END AS a, CASE WHEN vec_id % 3 <> 0 THEN label % 4 END AS b, label % 5 AS ca, vec_id % 5 AS cb, vec_id % 7 = 0 AS rev, vec_id % 11 <> 0 AS fit FROM embeddings),
+y AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN 'both_no_match' WHEN b IS NULL THEN 'v1_only' WHEN a IS NULL THEN 'v2_only' WHEN a = b THEN 'same_code' WHEN ca = cb THEN 'same_concept' ELSE 'disagreement_needs_review' END AS bucket FROM x)
+SELECT bucket, CASE WHEN bucket IN ('same_code', 'both_no_match', 'same_concept') THEN 'safe_agreement' WHEN rev THEN 'v2_review_only' WHEN b IS NOT NULL AND fit THEN 'v2_better_than_v1'
+ WHEN b IS NOT NULL THEN 'v2_potential_false_positive' ELSE 'manual_inspection_needed' END AS risk, count(*) AS n FROM y GROUP BY ALL""")
 def agreement_risk_buckets(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.when(F.col("label") % 2 == 0, F.col("label")).alias("a"), F.when(F.col("vec_id") % 3 != 0, F.col("label") % 4).alias("b"), (F.col("vec_id") % 100 / 100).alias("c"))
-    return e.groupBy(evaluation.agreement(F.col("a"), F.col("b"), F.col("c")).alias("bucket")).agg(F.count("*").alias("n"))
+    c, lab = F.col("vec_id"), F.col("label")
+    e = table(spark, sf_dir, "embeddings").select(F.when(lab % 2 == 0, lab).alias("a"), F.when(c % 3 != 0, lab % 4).alias("b"), (lab % 5).alias("ca"), (c % 5).alias("cb"), (c % 7 == 0).alias("rev"), (c % 11 != 0).alias("fit"))
+    e = e.withColumn("bucket", evaluation.agreement(F.col("a"), F.col("b"), F.col("ca"), F.col("cb")))
+    return e.groupBy("bucket", evaluation.risk(F.col("bucket"), F.col("b"), F.col("rev"), F.col("fit"), F.lit(False)).alias("risk")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH f AS (SELECT l_partkey AS product_id, bool_or(l_returnflag = 'R' AND l_quantity > 45) AS m, bool_or(l_returnflag = 'A' AND l_quantity > 40) AS v2, bool_or(l_returnflag = 'N' AND l_quantity > 35) AS v1 FROM lineitem GROUP BY 1)
-SELECT product_id, CASE WHEN m THEN 'skip_manual' WHEN v2 THEN 'skip_existing' WHEN v1 THEN 'supersede' ELSE 'write' END AS disposition FROM f""")
+SELECT product_id, CASE WHEN m THEN 'skip_manual' WHEN v2 THEN 'skip_v2' WHEN v1 THEN 'skip_v1' ELSE 'write' END AS disposition FROM f""")
 def apply_disposition(spark, sf_dir):
     flag, q = F.col("l_returnflag"), F.col("l_quantity")
-    kind = F.when((flag == "R") & (q > 45), "manual").when((flag == "A") & (q > 40), "v2").when((flag == "N") & (q > 35), "v1").otherwise("none")
-    return review.disposition(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), kind.alias("kind")))
+    kind = F.when((flag == "R") & (q > 45), "manual").when((flag == "A") & (q > 40), "v2").when(flag == "N", "v1").otherwise("none")
+    value = F.when((flag != "N") | (q > 35), q)  # a version 1 record without a value doesn't count
+    nutrient = F.when(kind == "none", "fat").otherwise("protein_pct")
+    return review.disposition(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), kind.alias("kind"), nutrient.alias("nutrient"), value.alias("value")))
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('EUROPE', 'ASIA'))")
@@ -522,7 +573,8 @@ def review_row_validation(spark, sf_dir):
     k = F.col("k")
     decision = F.element_at(F.array(*map(F.lit, ["accept", "change", "reject", "defer", "moon"])), (k % 5 + 1).cast("int"))
     rows = queue(spark, sf_dir).withColumn("decision", decision)
-    errors = review.decision_errors(F.col("decision"), F.col("priority"), k % 2 == 0, F.when(k % 3 == 0, "x"))
+    level = F.when(F.col("reason") == "contradiction_detected", "P0").otherwise("P1")
+    errors = review.decision_errors(F.col("decision"), level, k % 2 == 0, F.when(k % 3 == 0, "x"))
     return rows.groupBy("decision", F.concat_ws(",", errors).alias("errors")).agg(F.count("*").alias("n"))
 
 
@@ -533,7 +585,7 @@ def event_window_counts(spark, sf_dir):
 
 
 @query(f"""WITH {BASE}, c AS (SELECT product_id, any_value(p_size) AS s, any_value(pt_group) AS g FROM base GROUP BY 1),
-x AS (SELECT product_id, CASE WHEN product_id % 3 = 0 THEN s * 1.0 END AS a, product_id % 2 = 0 AS ok, CASE WHEN product_id % 5 = 0 THEN s * 2.0 END AS b, CASE g WHEN 'plant_based_core' THEN 15.0 WHEN 'plant_based_non_core' THEN 12.0 WHEN 'composite_products' THEN 10.0 WHEN 'animal_core' THEN 20.0 END AS v FROM c)
+x AS (SELECT product_id, CASE WHEN product_id % 3 = 0 THEN s * 1.0 END AS a, product_id % 2 = 0 AS ok, CASE WHEN product_id % 5 = 0 THEN s * 2.0 END AS b, CASE g WHEN 'plant_based_core' THEN 15.0 WHEN 'plant_based_non_core' THEN 12.0 WHEN 'composite_products' THEN 10.0 WHEN 'animal_core' THEN 18.0 END AS v FROM c)
 SELECT product_id, CASE WHEN a IS NOT NULL AND NOT ok THEN 'failed_family' WHEN a IS NOT NULL THEN 'reference_a' WHEN b IS NOT NULL THEN 'reference_b' WHEN v IS NOT NULL THEN 'category_average' ELSE 'no_match' END AS source,
  CASE WHEN a IS NOT NULL AND NOT ok THEN NULL ELSE coalesce(a, b, v) :: DOUBLE END AS value FROM x""")
 def enrichment_cascade(spark, sf_dir):
@@ -549,13 +601,13 @@ def classification_sources(spark, sf_dir):
     return coverage.sources(every.select("product_id"), every.filter("pt_group <> 'unknown' and p_size % 4 <> 0").select("product_id", "source"))
 
 
-@query("""WITH r AS (SELECT l_partkey AS product_id, sum(l_quantity) FILTER (l_linenumber % 3 = 1) AS plant_protein, sum(l_quantity) FILTER (l_linenumber % 3 = 2) AS animal_protein, sum(l_quantity) FILTER (l_linenumber % 3 = 0) AS protein FROM lineitem GROUP BY 1)
+@query("""WITH r AS (SELECT l_partkey AS product_id, sum(l_quantity) FILTER (l_linenumber % 3 = 1) AS plant_protein, sum(l_quantity) FILTER (l_linenumber % 3 = 2) AS animal_protein, sum(l_quantity) FILTER (l_linenumber % 3 = 0) AS protein FROM lineitem WHERE l_tax > 0 AND l_discount < 0.09 GROUP BY 1)
 SELECT *, CASE WHEN plant_protein IS NULL OR animal_protein IS NULL OR protein IS NULL THEN 'missing' WHEN abs(plant_protein + animal_protein - protein) > 0.01 THEN 'invalid' ELSE 'ok' END AS status FROM r""")
 def split_audit(spark, sf_dir):
-    return evaluation.split_audit(records(spark, sf_dir).select("product_id", "nutrient", "value"))
+    return evaluation.split_audit(enrichment.eligible(records(spark, sf_dir)).select("product_id", "nutrient", "value"))
 
 
-@query(f"""WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM rec WHERE nutrient = 'protein'),
+@query(f"""WITH {RECORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM rec WHERE nutrient = 'protein' AND value IS NOT NULL AND status = 'enriched'),
 p AS (SELECT p_partkey AS product_id, CASE WHEN p_size % 3 = 0 THEN p_size * 1.0 END AS own FROM part)
 SELECT p.product_id, CASE WHEN own IS NOT NULL THEN own ELSE b.value END :: DOUBLE AS value, CASE WHEN own IS NOT NULL THEN 'retailer' ELSE coalesce(b.source, 'missing') END AS origin,
  CASE WHEN own IS NOT NULL THEN 'high' WHEN b.value IS NULL THEN 'none' WHEN b.value / 50 >= 0.85 THEN 'high' WHEN b.value / 50 >= 0.7 THEN 'medium' WHEN b.value / 50 >= 0.5 THEN 'low' WHEN b.value / 50 >= 0.3 THEN 'very_low' ELSE 'none' END AS status
@@ -625,10 +677,10 @@ def cascade_delete(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS}, q AS (SELECT event_id AS item_id, {STATE} AS state FROM e WHERE event_id % 3 <> 0), a AS (SELECT event_id AS item_id FROM e WHERE k > 90)
-SELECT item_id, CASE WHEN state IS NULL THEN 'not_queued' ELSE 'not_pending' END AS error FROM a LEFT JOIN q USING (item_id) WHERE state IS DISTINCT FROM 'pending'""")
+SELECT item_id, CASE WHEN state IS NULL THEN 'not_queued' ELSE 'not_pending' END AS error FROM a LEFT JOIN q USING (item_id) WHERE state IS DISTINCT FROM 'in_queue'""")
 def bulk_decision_errors(spark, sf_dir):
     e = events(spark, sf_dir)
-    states = F.element_at(F.array(*map(F.lit, ["pending", "in_review", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
+    states = F.element_at(F.array(*map(F.lit, ["in_queue", "reviewing", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
     queue_ = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("item_id"), states.alias("state"))
     return reporting.bulk_errors(e.filter("k > 90").select(F.col("event_id").alias("item_id")), queue_, 10_000_000)
 

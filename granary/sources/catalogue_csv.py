@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Limits of a file, and what no file may carry on.
 MAX_ROWS, MAX_BYTES = 200_000, 50 * 1024 * 1024
-FORBIDDEN = {"margin", "cost_price", "supplier_price", "internal_notes"}
+FORBIDDEN = {"sales_value", "revenue", "margin", "cost_price", "supplier_id", "supplier_name", "contract_terms", "store_id", "store_name", "store_region"}
 FORBIDDEN_PREFIXES = ("promotion_", "confidential_", "internal_", "store_", "supplier_")
 #: Headers that mean a column.
 SYNONYMS = {

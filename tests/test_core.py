@@ -4,13 +4,14 @@ import os
 import time
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import enrichment, food_groups, ingest, matching, protein, review, rules
+from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, review, rules
 from granary.plans import catalogue
 from granary.sources import catalogue_csv, exports
 from granary.streaming import limits
@@ -93,7 +94,7 @@ def test_units(spark):
     row = spark.createDataFrame([("1", None, None, None), (None, "500", None, None), (None, None, "2", None), ("1", "2", None, None), (None, None, None, None), ("-1", None, None, None), ("51", None, None, None), ("x", None, None, None)], "kg string, g string, lb string, oz string")
     kg, code = numeric.weight_kg(kg=F.col("kg"), g=F.col("g"), lb=F.col("lb"), oz=F.col("oz"))
     got = row.select(kg.cast("string"), code).collect()
-    assert [c for _, c in got] == [None, None, None, "mixed_weight_units", "missing_weight", "weight_non_positive", "weight_too_large", "invalid_type"]
+    assert [c for _, c in got] == [None, None, None, "mixed_weight_units", None, "weight_non_positive", "weight_too_large", "invalid_type"]
     assert [float(k) for k, _ in got[:3]] == [1, 0.5, 0.90718474]
 
 
@@ -127,8 +128,8 @@ def test_parse(spark):
     df = spark.createDataFrame([(1, " Soup ", "400", "12.7", "vegan| |organic", "oui", "EN"), (2, "", "x", "-1", None, None, "eng")], "row_number int, product_name string, weight_per_item_g string, items_purchased string, labels string, is_own_brand string, language string")
     a, b = ingest.parse(df, upload="abcdef0123").orderBy("row_number").collect()
     assert a.errors == [] and a.external_product_id == "AUTO-abcdef01-0001" and a.labels == ["vegan", "organic"] and a.is_own_brand and a.language == "en" and a.items_purchased == 12
-    assert {(w.field, w.code) for w in a.warnings} == {("items_purchased", "fraction_cut")}
-    assert {(e.field, e.code) for e in b.errors} == {("product_name", "required"), ("weight", "invalid_type"), ("items_purchased", "invalid_count"), ("language", "invalid_code")}
+    assert {(w.field, w.code) for w in a.warnings} == {("items_purchased", "non_integer_count"), ("external_product_id", "auto_generated")}
+    assert {(e.field, e.code) for e in b.errors} == {("product_name", "missing_required"), ("weight_per_item_kg", "invalid_type"), ("items_purchased", "invalid_range"), ("language", "invalid_code")}
 
 
 def test_rules_and_text(spark):
@@ -244,8 +245,108 @@ def test_vector_top_k_in_blocks(spark):
     rows = [(k, [float(rng.randrange(-3, 4)) for _ in range(4)]) for k in range(90)] + [(90, [0.0] * 4), (91, [1.0, 1.0, 0.0, 0.0]), (92, [1.0, 1.0, 0.0, 0.0])]
     q = spark.createDataFrame(rows[::2] + rows[-1:], "query_id long, q array<double>")
     r = spark.createDataFrame(rows, "ref_id long, r array<double>")
-    whole, blocks = matching.vector_top_k(q, r, 5), matching.vector_top_k(q, r, 5, most_queries=7)
+    whole, blocks = matching.vector_top_k(q, r, 5), matching.vector_top_k(q, r, 5, block=(7, 13))
     assert blocks.schema.simpleString() == whole.schema.simpleString()
     got = sorted(tuple(x) for x in blocks.select("query_id", "ref_id", "rank").collect())
     assert got == sorted(tuple(x) for x in whole.select("query_id", "ref_id", "rank").collect())
-    assert {x[0] for x in got} == {x[0] for x in rows[::2] + rows[-1:]}
+    assert {x[0] for x in got} == {x[0] for x in rows[::2] + rows[-1:] if any(x[1])}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    for i, v in rows[::2] + rows[-1:]:
+        if any(v) and i != 92:  # that query is asked twice
+            near = sorted((-round(float(unit(v) @ unit(w)), 12), j) for j, w in rows if any(w))[:5]
+            assert [j for _, j in near] == [j for a, j, _ in sorted(got, key=lambda x: (x[0], x[2])) if a == i]
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [1.0]), (4, [float("nan"), 1.0])], "query_id long, q array<double>")
+    assert matching.vector_top_k(odd, r, 3).count() == matching.vector_top_k(q, r.limit(0), 3).count() == 0
+
+
+def test_commercial_columns_are_dropped():
+    """The columns that no upload may carry on, by name and by prefix."""
+    names = ["product_name", "sales_value", "revenue", "margin", "cost_price", "supplier_id", "supplier_name", "contract_terms", "store_id", "store_name", "store_region", "promotion_week", "confidential_x", "internal_notes", "store_x", "supplier_code", "brand"]
+    assert set(names) - set(catalogue_csv.forbidden(names)) == {"product_name", "brand"}
+
+
+@pytest.mark.parametrize("word,own", [("o", True), ("Own Brand", True), ("own_brand", True), ("House  brand", True), ("PL", True), ("marque distributeur", True), ("Marque propre", True), ("mdd", True), ("branded", False), ("Marque nationale", False), ("marque", False), ("t", None), ("f", None), ("own", None), ("", None)])
+def test_brand_words(spark, word, own):
+    assert spark.range(1).select(numeric.to_boolean(F.lit(word))).first()[0] is own
+
+
+def test_weight_warnings_go_by_column(spark):
+    """Grams in a kilogram column, kilograms in a gram column, and no warning for other units."""
+    rows = [(1, "133", None, None), (2, "5", None, None), (3, None, "4.9", None), (4, None, None, "12"), (5, None, "5000", None), (6, "60000", None, None), (7, None, "5", None), (8, None, None, None), (9, "1", "1", None), (10, "x", "1", None)]
+    df = spark.createDataFrame(rows, "row_number int, weight_per_item_kg string, weight_per_item_g string, weight_per_item_lb string").withColumn("product_name", F.lit("a")).withColumn("external_product_id", F.lit("b"))
+    got = {r.row_number: ([(e.field, e.code) for e in r.errors], [(w.field, w.code) for w in r.warnings]) for r in ingest.parse(df).collect()}
+    kg, g = "weight_per_item_kg", "weight_per_item_g"
+    assert got == {
+        1: ([(kg, "weight_unit_likely_grams")], []), 2: ([], [(kg, "weight_unit_likely_grams_warning")]), 3: ([], [(g, "weight_unit_likely_kg_warning")]), 4: ([], []), 5: ([], []),
+        6: ([(kg, "weight_too_large")], []), 7: ([], []), 8: ([], []), 9: ([(kg, "mixed_weight_units")], []), 10: ([(kg, "invalid_type")], []),
+    }
+
+
+def test_protein_codes(spark):
+    rows = [(1, "10", None, None, None, None, None), (2, None, "10", None, None, None, None), (3, "10", "10", None, None, None, None), (4, None, None, "10", None, None, None), (5, None, None, None, "5", None, None), (6, None, None, None, "5", "50", None), (7, None, None, None, None, None, "400"), (8, "101", None, None, None, None, None)]
+    names = "row_number int, protein_pct string, protein_g_per_100g string, protein_per_100ml string, protein_per_serving string, serving_g string, protein_kj string"
+    df = spark.createDataFrame(rows, names).withColumn("product_name", F.lit("a"))
+    got = {r.row_number: ([e.code for e in r.errors], r.protein_pct and float(r.protein_pct)) for r in ingest.parse(df).collect()}
+    assert got == {1: ([], 10.0), 2: ([], 10.0), 3: (["mixed_protein_inputs"], None), 4: (["missing_density"], None), 5: (["missing_serving_g"], None), 6: ([], 10.0), 7: (["energy_not_protein"], None), 8: (["protein_out_of_range"], None)}
+
+
+def test_existing_values_are_never_overwritten(spark):
+    rows = [(1, "v1", "protein_pct", 3.0), (2, "v1", "protein_pct", None), (3, "v1", "fat", 3.0), (4, "v2", "protein_pct", None), (5, "manual", "protein_pct", None), (5, "v2", "protein_pct", 1.0)]
+    got = review.disposition(spark.createDataFrame(rows, "product_id int, kind string, nutrient string, value double")).collect()
+    assert {(r.product_id, r.disposition) for r in got} == {(1, "skip_v1"), (2, "write"), (3, "write"), (4, "skip_v2"), (5, "skip_manual")}
+
+
+def test_enrichment_needs_a_value_and_both_siblings(spark):
+    rows = [(1, "manual", "protein", None, "enriched", "1", 1), (1, "reference_a", "protein", 5.0, "failed", "1", 2), (1, "reference_b", "protein", 7.0, "enriched", "1", 3), (1, "reference_b", "plant_protein", 7.0, "enriched", "1", 4)]
+    records = spark.createDataFrame(rows, "product_id int, source string, nutrient string, value double, status string, created_at string, record_id int")
+    best = enrichment.best_record(records.filter("nutrient = 'protein'"))
+    assert [(r.source, r.value, r.plant_protein, r.animal_protein) for r in enrichment.with_siblings(best, records).collect()] == [("reference_b", 7.0, None, None)]
+    more = records.unionByName(spark.createDataFrame([(1, "reference_b", "animal_protein", 0.0, "enriched", "1", 5)], records.schema))
+    assert [(r.plant_protein, r.animal_protein) for r in enrichment.with_siblings(best, more).collect()] == [(7.0, 0.0)]
+    assert {(r.pt_group, r.value, r.confidence) for r in enrichment.category_averages(spark).collect()} == {("plant_based_core", 15.0, 0.6), ("plant_based_non_core", 12.0, 0.6), ("composite_products", 10.0, 0.5), ("animal_core", 18.0, 0.6)}
+
+
+def test_review_levels_and_edges(spark):
+    reasons = ["contradiction_detected", "ai_parse_failed", "ai_provider_error", "rule_collision", "low_confidence", "requested", "whatever"]
+    got = spark.createDataFrame([(r,) for r in reasons], "r string").select(review.priority(review.weight(F.col("r")))).collect()
+    assert [r[0] for r in got] == ["critical", "critical", "critical", "high", "medium", "low", "low"]
+    pairs = {(a, b) for a, _, b in review.EDGES}
+    assert ("accepted", "in_queue") not in pairs and ("changed", "in_queue") not in pairs and {("deferred", "in_queue"), ("in_queue", "accepted"), ("reviewing", "in_queue")} <= pairs
+
+
+@pytest.mark.parametrize("case,level", [((0, 0, 0, 0, 0, 0, 1), "high"), ((10, 0, 0, 0, 0, 0, 0), "high"), ((9.99, 1, 5, 0, 0, 0, 0), "high"), ((0, 1, 4.9, 0, 0, 0, 0), "medium"), ((0, 0, 0, 30, 0, 0, 0), "medium"), ((0, 0, 0, 29, 10, 0, 0), "medium"), ((0, 0, 0, 0, 0, 10, 0), "medium"), ((9, 0, 0, 29, 9, 9, 0), "low"), ((None,) * 7, "low")])
+def test_uncertainty(spark, case, level):
+    assert spark.range(1).select(coverage.uncertainty(*[F.lit(x).cast("double") for x in case])).first()[0] == level
+
+
+def test_coverage_of_nothing_has_no_percentages(spark):
+    row = coverage.coverage(spark.createDataFrame([], "pt_group string, protein_pct double, volume_kg double")).first()
+    assert row.n_rows == 0 and row.classified_pct is None and row.ai_pct is None and row.uncertainty == "low"
+
+
+def test_scenario(spark):
+    """Amounts in kilograms; what can't be read, is negative or doesn't add up is skipped with a warning; groups are held at 0."""
+    groups = spark.createDataFrame([("plant_based_core", 40.0), ("composite_products", 20.0), ("animal_core", 40.0)], "pt_group string, protein_kg double")
+    ops = [("a", 1, "shift_protein_between_groups", "animal_core", "plant_based_core", "10", None, None), ("b", 2, "reduce_animal_core_protein", None, None, "100", None, None), ("c", 3, "improve_composite_split", None, None, None, "70", "30"), ("d", 4, "improve_composite_split", None, None, None, "70", "40"), ("e", 5, "frobnicate", None, None, "1", None, None), ("f", 6, "increase_plant_core_protein", None, None, "-1", None, None)]
+    frame = spark.createDataFrame(ops, "op_id string, op_order int, operation_type string, from_group string, to_group string, amount_kg string, plant_pct string, animal_pct string")
+    got = comparison.scenario(groups, frame)
+    assert {(r.pt_group, float(r.projected_kg), r.clamped, r.plant_fraction) for r in got.collect()} == {("plant_based_core", 50.0, False, 1.0), ("plant_based_non_core", 0.0, False, 1.0), ("composite_products", 20.0, False, 0.7), ("animal_core", 0.0, True, 0.0)}
+    assert {(r.subject, r.warning) for r in comparison.scenario_warnings(frame, got).collect()} == {("d", "split_not_100"), ("e", "unknown_operation_type"), ("f", "negative_amount_kg"), ("animal_core", "clamped_to_zero")}
+
+
+def test_recommendations(spark):
+    """Thresholds include their own value, the first of an action type stays."""
+    row = spark.createDataFrame([(39.9, 30.0, 1, 5.0, 30.0, "high")], "plant_share_pct double, composite_share_pct double, missing_protein int, unknown_pct double, ai_pct double, uncertainty string")
+    assert [(r.action_type, r.priority) for r in comparison.recommendations(row).collect()] == [("increase_plant_core_share", "high"), ("improve_composite_breakdown", "medium"), ("enrich_missing_nutrition", "medium"), ("review_high_impact_unknowns", "high"), ("improve_data_quality", "medium"), ("create_category_target", "low")]
+    row = spark.createDataFrame([(40.0, 29.9, 0, 4.9, 29.9, "medium")], row.schema)
+    assert comparison.recommendations(row).count() == 0
+    foods = spark.createDataFrame([(3, 2, 1, 20.0, 13.5, None, None, "low")], "own_composites int, step2_applied int, branded_composites int, fg1_share_pct double, fg1_reference_pct double, unknown_pct double, ai_pct double, uncertainty string")
+    assert [(r.action_type, r.priority) for r in comparison.recommendations(foods, "food_groups").collect()] == [("collect_step2_ingredient_data", "high"), ("improve_data_quality", "low"), ("promote_legume_products", "medium")]
+
+
+def test_agreement(spark):
+    rows = [(None, None, "a", "a"), ("1", None, "a", "a"), (None, "1", "a", "a"), ("1", "1", "a", "b"), ("1", "2", "a", "a"), ("1", "2", None, None)]
+    found = spark.createDataFrame(rows, "a string, b string, c string, d string").select(evaluation.agreement(*[F.col(x) for x in "abcd"]).alias("x"))
+    assert [r.x for r in found.collect()] == ["both_no_match", "v1_only", "v2_only", "same_code", "same_concept", "disagreement_needs_review"]
+    assert list(spark.range(1).select(*[evaluation.recommendation(F.lit(a), F.lit(b)) for a, b in ((1, 9), (0, 1), (0, 0))]).first()) == ["keep_off", "admin_opt_in_candidate", "internal_shadow_ok"]
+    assert list(spark.range(1).select(*[matching.confidence(F.lit(n)) for n in (5, 3, 2, 1, 0)]).first()) == [0.82, 0.82, 0.72, 0.55, None]
