@@ -117,6 +117,19 @@ def test_bpe_chunks_of_real_texts(spark, docs):
     assert sorted(one) == sorted(bpe.encode(few, RANKS, P.PATTERN, chunk=700, overlap=200).select("doc_id", F.sha2("ids", 256)).collect())
 
 
+def test_bpe_of_a_very_long_text(spark):
+    """20 MB of words with a run in the middle that no boundary cuts."""
+    from granary.llm.tokens import RankEncoder
+
+    text = " ".join(f"word{k % 977} {k}," for k in range(700_000))
+    text += " " + "z" * 9000 + text + " end" + text[:1000]
+    assert len(text) > 20_000_000
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()}
+    whole = RankEncoder(RANKS, P.PATTERN)
+    assert got == {1: (whole.encode(text), text.encode()), 2: (whole.encode("short"), b"short")}
+
+
 def test_packing(spark, monkeypatch, docs, odd, empty):
     for table in (docs, odd):
         rows = packing.pack(table, JSON, 1).collect()
