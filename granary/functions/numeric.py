@@ -38,7 +38,11 @@ def dots(c: Column) -> Column:
 
 def to_decimal(raw: Column, kind: str = "decimal(28,12)") -> Column:
     """A number written with a decimal dot, a decimal comma, or dots for thousands before a decimal comma; null if it can't be read."""
-    text = trimmed(raw)
+    return decimal_of(trimmed(raw), kind)
+
+
+def decimal_of(text: Column, kind: str = "decimal(28,12)") -> Column:
+    """to_decimal of text that is trimmed already."""
     plain = F.when((commas(text) == 1) & (dots(text) == 0), F.replace(text, F.lit(","), F.lit(".")))
     plain = plain.when((commas(text) == 1) & (F.instr(text, ",") > F.length(text) - F.instr(F.reverse(text), ".") + 1) & (dots(text) > 0), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
     return plain.otherwise(text).try_cast(kind)
@@ -58,8 +62,9 @@ class Number:
 
 def numbers(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, Number]]:
     """Rows with each of the columns read once, in a projection of its own, and where to find what was read."""
-    read = rows.select("*", *[to_decimal(F.col(c)).alias(f"__value_{c}") for c in columns], *[trimmed(F.col(c)).isNotNull().alias(f"__given_{c}") for c in columns])
-    return read, {c: Number(F.col(f"__value_{c}"), F.col(f"__given_{c}")) for c in columns}
+    texts = rows.select("*", *[trimmed(F.col(c)).alias(f"__text_{c}") for c in columns])
+    read = texts.select("*", *[decimal_of(F.col(f"__text_{c}")).alias(f"__value_{c}") for c in columns])
+    return read, {c: Number(F.col(f"__value_{c}"), F.col(f"__text_{c}").isNotNull()) for c in columns}
 
 
 def one(raw: Column) -> Number:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.functions import numeric, text
 from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, reporting, review, rules
 from granary.plans.projection import BASE, STEP2, purchases, step2
-from granary.session import prepare, table
+from granary.session import dealt, prepare, table
 from granary.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,7 +286,7 @@ def family_first_match(spark, sf_dir):
 
 def dirty(spark, sf_dir):
     """Order lines written loosely: decimal commas, thousands, blanks, words, wrong units."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
+    line = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q")))
     n = F.col("l_partkey") % 7
     weight = F.when(n == 0, F.concat("q", F.lit(",5"))).when(n == 1, F.lit("abc")).when(n == 2, F.lit(" ")).when(n == 3, F.lit("0")).when(n == 4, F.lit("60000")).otherwise(F.col("q").cast("string"))
     return line.select(
