@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, reporting, review, rules
-from granary.plans.projection import BASE, STEP2, purchases, step2
+from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, readiness, reporting, review, rules
+from granary.plans.projection import BASE, PT_GROUP, STEP2, purchases, step2
 from granary.session import dealt, prepare, table
 from granary.sources import exports
 
@@ -718,3 +718,172 @@ def metadata_backfill(spark, sf_dir):
     recs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_partkey").alias("record_id"), F.create_map(F.lit("name"), F.when(F.col("p_size") % 2 == 0, "R").otherwise("A")).alias("metadata"))
     want = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("name"), F.lit(None).cast("string").alias("code"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
     return reporting.backfill(recs, want).groupBy("status").agg(F.count("*").alias("n"))
+
+
+ENRICHED = f"""{RECORDS}, ok AS (SELECT * FROM rec WHERE value IS NOT NULL AND status = 'enriched'),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY prio, created_at DESC, record_id, value) AS n FROM ok WHERE nutrient = 'protein') WHERE n = 1),
+sib AS (SELECT product_id, source, arg_max(value, (created_at, value)) FILTER (nutrient = 'plant_protein') AS plant, arg_max(value, (created_at, value)) FILTER (nutrient = 'animal_protein') AS animal FROM ok GROUP BY ALL),
+chosen AS (SELECT b.product_id, b.source, b.value, CASE WHEN animal IS NOT NULL THEN plant END AS plant, CASE WHEN plant IS NOT NULL THEN animal END AS animal FROM best b LEFT JOIN sib USING (product_id, source))"""
+
+
+def chosen(spark, sf_dir):
+    """The enrichment record of each product, with its siblings."""
+    all_ = records(spark, sf_dir)
+    best = enrichment.best_record(all_.filter("nutrient = 'protein'")).select("product_id", "source", "value")
+    return enrichment.with_siblings(best, all_)
+
+
+STATES = f"""{ENRICHED}, st AS (SELECT p_partkey, p_size > 2 AS vol, p_size > 1 AS wgt, CASE WHEN p_partkey % 9 <> 0 THEN {"CASE p_type WHEN 'ECONOMY' THEN 'plant_based_core' WHEN 'STANDARD' THEN 'plant_based_non_core' WHEN 'MEDIUM' THEN 'composite_products' WHEN 'LARGE' THEN 'animal_core' WHEN 'PROMO' THEN 'out_of_scope' ELSE 'unknown' END"} END AS g,
+ p_size % 3 = 0 AS own, e.value IS NOT NULL AS enr, e.plant IS NOT NULL AS esp FROM part LEFT JOIN chosen e ON e.product_id = p_partkey),
+pf AS (SELECT *, own OR enr AS prot, (own AND p_partkey % 2 = 0) OR (NOT own AND enr AND esp) AS spl, g IS NOT NULL AND vol AND wgt AND (own OR enr) AND g <> 'unknown' AS ready FROM st)"""
+
+
+def readiness_products(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    group = F.lit("unknown")
+    for kind, g in PT_GROUP.items():
+        group = F.when(F.col("p_type") == kind, g).otherwise(group)
+    own = size % 3 == 0
+    p = table(spark, sf_dir, "part").select(
+        key.alias("product_id"), F.when(size > 2, 5).alias("items_purchased"), F.when(size > 1, 0.5).otherwise(0.0).alias("weight_per_item_kg"), F.when(own, 10.0).alias("protein_pct"),
+        *[F.when(own & (key % 2 == 0), 5.0).alias(f"{s}_protein_pct") for s in ("plant", "animal")], F.when(key % 9 != 0, group).alias("pt_group"),
+    )
+    e = chosen(spark, sf_dir).select("product_id", F.col("value").alias("e_value"), F.col("plant_protein").alias("e_plant"), F.col("animal_protein").alias("e_animal"))
+    return readiness.protein_states(p.join(e, "product_id", "left"))
+
+
+@query(f"""WITH {STATES} SELECT count(*) AS total_products, count(g) AS classified_products, count(*) FILTER (vol) AS products_with_volume, count(*) FILTER (wgt) AS products_with_weight, count(*) FILTER (g IS NOT NULL AND prot) AS products_with_total_protein,
+ count(*) FILTER (g IS NOT NULL AND spl) AS products_with_plant_animal_split, count(*) FILTER (ready) AS products_ready_for_calculation, count(*) FILTER (g IS NOT NULL AND NOT ready AND NOT prot) AS products_missing_nutrition,
+ count(*) FILTER (g IS NOT NULL AND NOT ready AND NOT (vol AND wgt)) AS products_missing_volume_or_weight, count(*) FILTER (g IS NULL) AS products_missing_classification, count(*) FILTER (g IN ('out_of_scope', 'unknown')) AS products_out_of_scope FROM pf""")
+def preflight_protein(spark, sf_dir):
+    return readiness.protein_preflight(readiness_products(spark, sf_dir))
+
+
+@query(f"""WITH {STATES} SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS rank, p_partkey AS product_id, CASE WHEN g IS NULL THEN 'missing classification' ELSE concat_ws(', ', CASE WHEN NOT vol THEN 'no volume' END, CASE WHEN NOT wgt THEN 'no weight' END,
+ CASE WHEN NOT prot THEN 'no protein data' END, CASE WHEN g = 'unknown' THEN 'classification=unknown' END) END AS reasons FROM pf WHERE NOT ready ORDER BY p_partkey LIMIT 10""")
+def preflight_samples(spark, sf_dir):
+    found = readiness.samples(readiness_products(spark, sf_dir), F.col("product_id"))
+    return found.withColumn("reasons", F.array_join("reasons", ", "))
+
+
+@query("""WITH s AS (SELECT p_size > 1 AS wgt, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 10 = 0 THEN 'out_of_scope' WHEN p_partkey % 11 = 0 THEN 'unknown' ELSE 'FG' || (1 + p_partkey % 7) END AS g FROM part)
+SELECT count(*) AS total_products, count(g) AS classified_products, count(*) FILTER (wgt) AS products_with_volume, count(*) FILTER (wgt) AS products_with_weight, count(*) FILTER (g LIKE 'FG%' AND wgt) AS products_ready_for_calculation,
+ count(*) FILTER (g IS NOT NULL AND NOT wgt) AS products_missing_volume_or_weight, count(*) FILTER (g IS NULL) AS products_missing_classification, count(*) FILTER (g = 'out_of_scope') AS products_out_of_scope FROM s""")
+def preflight_food_groups(spark, sf_dir):
+    key = F.col("p_partkey")
+    group = F.when(key % 9 != 0, F.when(key % 10 == 0, "out_of_scope").when(key % 11 == 0, "unknown").otherwise(F.concat(F.lit("FG"), (1 + key % 7).cast("string"))))
+    p = table(spark, sf_dir, "part").select(key.alias("product_id"), F.when(F.col("p_size") > 1, 0.5).otherwise(0.0).alias("weight_per_item_kg"), group.alias("food_group"))
+    return readiness.food_preflight(readiness.food_states(p))
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT user_id, {REASON} AS reason FROM e WHERE event_type <> 'view'), u AS (SELECT p_partkey AS id, p_type FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT count(*) FILTER (p_type IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO')) AS cat, count(*) FILTER (p_type NOT IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO')) AS unk, count(*) FILTER (p_type = 'PROMO') AS oos FROM u),
+v AS (SELECT count(*) AS rev, count(*) FILTER (reason IN ('ai_parse_failed', 'ai_provider_error')) AS failed FROM r WHERE user_id IN (SELECT id FROM u))
+SELECT cat AS categorized_total, unk AS unknown_total, oos AS out_of_scope_total, rev AS review_required_total, failed AS failed_total, greatest(0, cat - rev) AS accepted_total FROM c, v""")
+def job_progress(spark, sf_dir):
+    every = part_classes(spark, sf_dir)
+    items = queue(spark, sf_dir).join(events(spark, sf_dir).filter("event_type <> 'view'").select("event_id"), "event_id", "left_semi").select(F.col("user_id").alias("product_id"), "reason")
+    return readiness.progress(every.filter("product_id % 2 = 0"), every.select("product_id", "pt_group"), items)
+
+
+@query("""SELECT sum(o_custkey) :: BIGINT AS total_uploaded, sum(o_custkey - o_custkey % 10) :: BIGINT AS total_valid, sum(o_orderkey % 4) :: BIGINT AS total_errors, sum(o_orderkey % 3) :: BIGINT AS total_warnings, sum(o_custkey % 10) :: BIGINT AS invalid_rows FROM orders WHERE o_orderstatus = 'F'""")
+def upload_totals(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    uploads = o.select(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("total_rows"), (F.col("o_custkey") % 10).alias("rows_with_errors"), (F.col("o_orderkey") % 4).alias("error_count"), (F.col("o_orderkey") % 3).alias("warning_count"))
+    return readiness.upload_totals(uploads)
+
+
+@query("""WITH u AS (SELECT o_custkey AS project_id, md5(o_orderpriority) AS checksum, o_orderkey AS upload_id, o_orderdate AS created_at FROM orders), w AS (SELECT DISTINCT c_custkey AS project_id, md5('1-URGENT') AS checksum FROM customer)
+SELECT project_id, arg_max(upload_id, (created_at, upload_id)) AS upload_id FROM w LEFT JOIN u USING (project_id, checksum) GROUP BY project_id""")
+def same_upload(spark, sf_dir):
+    uploads = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.md5("o_orderpriority").alias("checksum"), F.col("o_orderkey").alias("upload_id"), F.col("o_orderdate").alias("created_at"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), F.md5(F.lit("1-URGENT")).alias("checksum")).distinct()
+    return readiness.same_upload(uploads, wanted).select("project_id", "upload_id")
+
+
+@query(f"""WITH {EVENTS}, q AS (SELECT event_id, user_id AS product_id, {REASON} AS reason, CASE WHEN event_id % 2 = 0 THEN 'protein_tracker' ELSE 'food_groups' END AS methodology FROM e),
+c AS (SELECT p_partkey AS product_id, 'protein_tracker' AS methodology, p_type AS category FROM part WHERE p_partkey % 3 = 0)
+SELECT event_id, product_id, p_name AS product_name, methodology, category, reason, 'critical' AS priority FROM q JOIN part ON p_partkey = product_id LEFT JOIN c USING (product_id, methodology) WHERE reason IN ('contradiction_detected', 'ai_parse_failed', 'ai_provider_error')""")
+def review_list(spark, sf_dir):
+    items = queue(spark, sf_dir).select("event_id", F.col("user_id").alias("product_id"), "reason", F.when(F.col("event_id") % 2 == 0, "protein_tracker").otherwise("food_groups").alias("methodology"))
+    part = table(spark, sf_dir, "part")
+    classes = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("product_id"), F.lit("protein_tracker").alias("methodology"), F.col("p_type").alias("category"))
+    found = readiness.review_list(items, part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")), classes, "critical")
+    return found.select("event_id", "product_id", "product_name", "methodology", "category", "reason", "priority")
+
+
+@query("""SELECT p_partkey AS product_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+def products_in_run(spark, sf_dir):
+    run = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("product_id"))
+    return readiness.in_run(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id")), run)
+
+
+@query(f"""WITH {BASE}, w AS (SELECT product_id, any_value(food_group) AS g, any_value(subgroup) AS sg, any_value(is_composite) AS c, any_value(bucket) AS b, sum(grams) AS m FROM base GROUP BY 1),
+s AS (SELECT *, CASE WHEN c THEN CASE WHEN b IN ('vegan', 'vegetarian') THEN 'positive' ELSE 'watchout' END WHEN g = 'FG1' THEN CASE WHEN sg = 'red_meat' THEN 'watchout' ELSE 'positive' END WHEN g IN ('FG4', 'FG5') THEN 'positive' WHEN g = 'FG7' THEN 'watchout' END AS side FROM w WHERE m > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY m DESC, product_id) AS rank FROM s WHERE side IS NOT NULL)
+SELECT product_id, coalesce(p_name, 'Produit ' || left(CAST(product_id AS VARCHAR), 8)) AS product_name, side, m / 1000.0 AS weight_kg, CAST(rank AS INTEGER) AS rank FROM r LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) ON p_partkey = product_id WHERE rank <= 10""")
+def food_contributors(spark, sf_dir):
+    per = food_groups.run_rows(purchases(spark, sf_dir)).groupBy("product_id").agg(*[F.any_value(c).alias(c) for c in ("food_group", "subgroup", "is_composite", "bucket", "in_scope")], F.sum("weight_kg").alias("weight_kg"))
+    names = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("retailer_category"))
+    return readiness.named(readiness.food_contributors(per, food_groups.ANIMAL_FG1), names).select("product_id", "product_name", "side", real("weight_kg"), "rank")
+
+
+@query(f"""WITH {BASE}, s AS (SELECT pt_group AS label, sum(grams * pct) / 100000.0 AS kg FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY 1),
+t AS (SELECT * FROM s UNION ALL SELECT 'plant', sum(CASE WHEN label LIKE 'plant%' THEN kg WHEN label = 'composite_products' THEN kg / 2 ELSE 0 END) FROM s UNION ALL SELECT 'animal', sum(CASE WHEN label = 'animal_core' THEN kg WHEN label = 'composite_products' THEN kg / 2 ELSE 0 END) FROM s)
+SELECT label, round(kg, 1) AS kg FROM t""")
+def workbook_protein(spark, sf_dir):
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir))).filter("in_scope")
+    plant = F.when(F.col("pt_group").startswith("plant"), 1.0).when(F.col("pt_group") == "composite_products", 0.5).otherwise(0.0)
+    kg = F.col("protein_kg").cast("double")
+    return readiness.workbook_protein(rows.select("pt_group", kg.alias("total_kg"), (kg * plant).alias("plant_kg"), (kg * (1 - plant)).alias("animal_kg")))
+
+
+@query(f"""WITH {STATES}, a AS (SELECT p_partkey AS product_id, g, e.value FROM pf JOIN chosen e ON e.product_id = p_partkey WHERE e.plant IS NULL AND g IN ('plant_based_core', 'plant_based_non_core', 'animal_core'))
+SELECT product_id, 'plant_protein_pct' AS nutrient, CASE WHEN g LIKE 'plant%' THEN value ELSE 0 END :: DOUBLE AS value FROM a UNION ALL SELECT product_id, 'animal_protein_pct', CASE WHEN g LIKE 'plant%' THEN 0 ELSE value END :: DOUBLE FROM a""")
+def assumed_split(spark, sf_dir):
+    lone = readiness_products(spark, sf_dir).filter("e_value is not null and e_plant is null").select("product_id", "pt_group", F.col("e_value").alias("value"))
+    return readiness.assumed_split(lone)
+
+
+@query(f"""WITH {BASE}, {ENRICHED}, x AS (SELECT b.*, coalesce(b.pct, c.value) AS v, b.pct IS NULL AND c.value IS NOT NULL AS enr, b.pct IS NULL AND c.plant IS NOT NULL AND abs(c.plant + c.animal - c.value) <= 0.0001 AND b.pt_group = 'composite_products' AS spl FROM base b LEFT JOIN chosen c USING (product_id))
+SELECT pt_group, count(*) AS item_count, round(sum(grams * v) / 100000.0, 4) AS protein_kg, count(*) FILTER (enr) AS enriched_count, count(*) FILTER (spl) AS rows_with_split FROM x WHERE v IS NOT NULL GROUP BY 1""")
+def pt_run_with_enrichment(spark, sf_dir):
+    """Missing protein comes from the chosen records, and so do splits that add up."""
+    e = chosen(spark, sf_dir).select("product_id", "source", F.col("value").cast("decimal(18,10)").alias("protein_pct"), *[F.col(f"{s}_protein").cast("decimal(18,10)").alias(f"{s}_protein_pct") for s in ("plant", "animal")])
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir), e))
+    return rows.groupBy("pt_group").agg(F.count("*").alias("item_count"), F.round(F.sum("full_protein_kg").cast("double"), 4).alias("protein_kg"), F.count_if(F.col("protein_origin") != "own").alias("enriched_count"), F.count_if("used_split").alias("rows_with_split"))
+
+
+@query("""WITH n AS (SELECT doc_id, list_distinct(regexp_split_to_array(lower(coalesce(lang, '') || ' ' || coalesce(source, '')), ' ')) AS a, list_distinct(regexp_split_to_array(lower(coalesce(source, '')), ' ')) AS b FROM documents)
+SELECT CASE WHEN list_has_all(b, a) AND len(b) > len(a) THEN 'v2_more_specific' WHEN list_has_all(a, b) AND len(a) > len(b) THEN 'v1_more_specific' END AS specificity, count(*) AS n FROM n GROUP BY 1""")
+def name_specificity(spark, sf_dir):
+    both = F.lower(F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    found = readiness.specificity(words(both), words(F.lower(F.coalesce("source", F.lit("")))))
+    return table(spark, sf_dir, "documents").groupBy(found.alias("specificity")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS product_id, p_size % 4 >= 2 AS v2_accuracy_ge_v1, p_size % 3 <= 1 AS v2_wrong_accepted_le_v1, p_partkey % 5 <> 0 AS unknown_readable_zero, p_partkey % 7 <> 0 AS high_confidence_false_positives_zero, p_size % 6 IN (0, 3) AS forbidden_rejection_100,
+ p_size % 4 >= 2 AND p_size % 3 <= 1 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_size % 6 IN (0, 3) AS passed FROM part""")
+def version_gates(spark, sf_dir):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    m = table(spark, sf_dir, "part").select(
+        k.alias("product_id"), (s % 4).alias("v2_accuracy"), F.lit(2).alias("v1_accuracy"), (s % 3).alias("v2_wrong_accepted"), F.lit(1).alias("v1_wrong_accepted"), (k % 5 == 0).cast("int").alias("v2_unknown_readable"),
+        (k % 7 == 0).cast("int").alias("false_positive_count"), (s % 6).alias("forbidden_total"), F.lit(3).alias("forbidden_rejected"),
+    )
+    return readiness.gates(m).select("product_id", "v2_accuracy_ge_v1", "v2_wrong_accepted_le_v1", "unknown_readable_zero", "high_confidence_false_positives_zero", "forbidden_rejection_100", "passed")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 12 = 0 THEN 'unknown_product' WHEN p_partkey % 8 = 0 THEN 'not_object' WHEN p_partkey % 8 = 1 THEN 'missing_ingredients' WHEN p_partkey % 8 = 2 THEN 'not_list' WHEN p_partkey % 8 = 3 THEN 'empty_list'
+ WHEN p_size % 7 = 0 THEN 'not_enabled' WHEN p_size % 5 = 0 THEN 'unclassified' WHEN p_size % 3 = 0 THEN 'not_composite' END AS error FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS external_product_id, error, CASE WHEN p_partkey % 8 >= 4 THEN 2 ELSE 0 END AS ingredient_count, CASE WHEN error IS NULL THEN 0.015 ELSE 0 END :: DOUBLE AS attributed_kg, error IS NULL AND p_partkey % 2 = 0 AND p_size < 15 AS overweight,
+ CASE WHEN error IS NULL AND p_partkey % 2 = 0 THEN greatest(0, p_size - 15) / 1000.0 END :: DOUBLE AS residual_kg FROM p""")
+def companion_checks(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf_dir, "part")
+    good = '{"ingredients":[{"food_group":"FG1","subgroup":"legumes","ingredient_weight_kg_per_item":"0.010"},{"food_group":"FG2","ingredient_weight_kg_per_item":"0.005"}]}'
+    entry = F.when(key % 8 == 0, "7").when(key % 8 == 1, '{"note":"x"}').when(key % 8 == 2, '{"ingredients":"x"}').when(key % 8 == 3, '{"ingredients":[]}').otherwise(good)
+    companions = part.select(F.concat(F.lit('{"'), key.cast("string"), F.lit('":'), entry, F.lit("}")).alias("json"))
+    products = part.filter(key % 12 != 0).select(key.cast("string").alias("external_product_id"), (size / 1000).cast("decimal(18,8)").alias("weight_per_item_kg"), (key % 2 == 0).alias("is_own_brand"), (size % 7 != 0).alias("enabled"), F.when(size % 5 != 0, "FG1").alias("food_group"), (size % 3 != 0).alias("is_composite"))
+    found = readiness.companion_checks(companions, products)
+    return found.select("external_product_id", "error", "ingredient_count", real("attributed_kg"), "overweight", real("residual_kg"))
