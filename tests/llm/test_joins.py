@@ -143,6 +143,31 @@ def test_near_vectors(spark, tile):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_longer_than_the_axes(spark, monkeypatch):
+    """Long vectors are turned onto the leading axes alone; the links stay the same."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(12, 40))
+    rows = [(k, (base[k % 12] + rng.normal(size=40) * 0.02 * (k // 12)).tolist(), 0) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = sorted(tuple(r) for r in near_vectors.near_vectors(df, 0.93).collect())
+    monkeypatch.setattr(near_vectors, "WIDE", 16)
+    monkeypatch.setattr(near_vectors, "NARROW", 10)
+    assert sorted(tuple(r) for r in near_vectors.near_vectors(df, 0.93, tile=9).collect()) == want and any(r[1] for r in want)
+
+
+def test_tiles_that_cannot_link_never_meet(spark):
+    """Tiles of groups far apart are dropped before anything is joined."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    rows = [(k, (centres[k % 40] + rng.normal(size=24) * 0.01).tolist(), 0) for k in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    classes = near_vectors.prepared(df, "vec_id", "embedding", "label").groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("node", F.col("rep"))
+    axes = near_vectors.principal_axes(classes)
+    packed = near_vectors.packed_tiles(near_vectors.tiled(classes, axes, 0.374, 50), axes).cache()
+    n, met = packed.count(), near_vectors.tile_pairs(packed, 0.14).count()
+    assert n >= 40 and met < n * (n + 1) / 8
+
+
 def brute_katz(rows, held):
     toks = [[*WORD.findall((t or "").encode().lower()), None] for _, t in rows]
     train = [t for (i, _), t in zip(rows, toks, strict=True) if not held(i)]
