@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from granary.session import dealt, prepare, scratch, shared_folder, table
 
 #: Documents with a lower score are rejected: those that are likelier bad than good.
-LEAST_QUALITY = 0.3
+LEAST_QUALITY = 0.5
 #: Texts without a language, or whose language is less likely than this, are rejected.
 LEAST_LANGUAGE = 0.5
 #: Texts go that fit their language worse, n-gram by n-gram, than all but this share of documents known to be in it.
