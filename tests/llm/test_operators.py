@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from functools import lru_cache
 from pathlib import Path
@@ -71,6 +72,22 @@ def test_library_encoder_is_the_library(monkeypatch):
     assert not small.kept and small.size == 0
 
 
+def test_library_encoder_cuts_where_pre_tokens_end(monkeypatch):
+    """Random mixtures of letters, marks, digits, short forms and white space of many kinds, with and without a special token between pieces."""
+    rng = random.Random(3)
+    some = ["a", "B", "é", "×", "÷", "ñ", "ɏ", "ɐ", "1", "23", "٣", "²", "'", "s", "t", "re", "ll", "'S", " ", " ", " ", "\n", "\t", "\r", "\xa0", "\x1c", "\x85", "\u3000"]
+    some += [".", ",", "!!", "%", "-", "_", "`", "~", "[", "…", "“", "ß", "中", "文", "\u0301", "ж", "ˈ", "🙂", "<|endoftext|>"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 25))) for _ in range(20_000)]
+    want = [u32(x.ids) for x in tokenizer().encode_batch(texts, add_special_tokens=False)]
+    encoder = LibraryEncoder(JSON)
+    assert encoder.encode(texts) == want and encoder.encode(texts[:500]) == want[:500]
+    encoder.forget()
+    encoder.between = None
+    assert encoder.encode(texts[:5000]) == want[:5000]
+    monkeypatch.setattr(tokens, "JOINED", 1)
+    assert LibraryEncoder(JSON).encode(texts[:5000]) == want[:5000]
+
+
 def test_token_codes_random_access():
     ids = np.random.default_rng(1).choice([5, 200, 300, 50_256, 70_000, 2**24 + 7, 2**32 - 1], 5000).astype(np.uint32)
     codes = dac.Codes.from_bytes(dac.Codes.build([1, None], [ids[:3000], ids[3000:]]).to_bytes())
