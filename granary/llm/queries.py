@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, dac, exact_dedup, katz_lm, lang_id, near_vectors, ngram_join, packing, quality_crf
+from granary.llm import bpe, chat, dac, exact_dedup, katz_lm, lang_id, near_vectors, ngram_join, packing, phrases, pieces, quality_crf, spelling
 from granary.session import dealt, prepare, shared_folder, table
 
 
@@ -140,6 +140,48 @@ g AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+
+def op11_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = vocabulary("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(dealt(table(prepare(spark), sf_dir, "documents")), file), file)
+    listing = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listing, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.phrases(dealt(table(prepare(spark), sf_dir, "documents")), least=100, longest=5, share=100)
+    return phrases.best(found, 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]'), lambda x: x <> '') AS w FROM d),
+q AS (SELECT lang, w FROM p WHERE len(w) > 0),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM q GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM q, range(1, 6) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+held AS (
+  SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, a FROM c WHERE k > 2
+  UNION ALL SELECT lang, array_to_string(w[2:k], ' '), a FROM c WHERE k > 2),
+dropped AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN held i ON i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.a >= 100 * c.a),
+cuts AS (
+  SELECT c.*, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y
+  FROM c ANTI JOIN dropped d ON c.lang = d.lang AND c.phrase = d.phrase, range(1, 5) t(j) WHERE j < k),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, n, j, CAST((1000::HUGEINT * cuts.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y JOIN total ON total.lang = cuts.lang),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(dealt(table(prepare(spark), sf_dir, "documents")), every=199, shortest=6, least=5, ratio=5)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -157,6 +199,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_crf": op10_quality_crf,
+    "op11_piece_roundtrip": op11_piece_roundtrip,
+    "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op1_near_vectors": OP1_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_near_vectors": OP1_SQL, "op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_phrases": OP12_SQL}
