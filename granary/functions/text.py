@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters and what they fold to.
@@ -65,6 +65,44 @@ def earliest_concept(c: Column, forms: list[tuple[str, str]]) -> Column:
     return F.array_min(F.filter(places, lambda x: x["at"] > 0))["concept"]
 
 
+#: Words that tell a dish made with a food from the food itself.
+COMPOSITE = ["with", "without", "containing", "in", "met", "zonder", "supplemented", "enriched", "mixed"]
+
+
+def product_head(c: Column, heads: list[tuple[str, str]]) -> Column:
+    """raw, kind of the first of the ordered heads (raw, kind) that stands in c by itself, whatever its accents; null without one."""
+    name = fold(c)
+    found = [F.when(name.rlike(rf"\b\Q{x}\E\b"), F.struct(F.lit(raw).alias("raw"), F.lit(kind).alias("kind"))) for raw, kind, x in ((r, k, folded_text(r)) for r, k in heads)]
+    return F.coalesce(*found, F.lit(None).cast("struct<raw:string,kind:string>"))
+
+
+def folded_text(word: str) -> str:
+    """`fold` of a parameter."""
+    return word.lower().translate(str.maketrans(ACCENTED, FOLDED)).replace("œ", "oe").replace("æ", "ae").replace("ß", "ss")
+
+
+def reads_composite(c: Column) -> Column:
+    """Whether a name reads like a dish with, without or in something."""
+    return F.coalesce(c.rlike(rf"(?i)\b({'|'.join(COMPOSITE)})\b"), F.lit(False))
+
+
+def normal_words(c: Column) -> Column:
+    """Folded words in order, of any length."""
+    return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+
+
+def concepts(names: DataFrame, forms: DataFrame, longest: int) -> DataFrame:
+    """words, concept: the concept of each distinct list of words whose form stands first; of forms at one place the longest, then the first name.
+
+    All runs of up to `longest` words (the most that a form has) meet the forms (form, concept) by equality, so work doesn't grow with their number.
+    """
+    rows = names.select("words").distinct()
+    starts = F.explode(F.flatten(F.transform("words", lambda _, k: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(k.alias("at"), F.array_join(F.slice("words", k + 1, n), " ").alias("form"))))))
+    runs = rows.filter("size(words) > 0").select("words", starts.alias("x")).select("words", "x.*").distinct()
+    met = runs.join(forms.select(F.array_join(normal_words(F.col("form")), " ").alias("form"), "concept").distinct(), "form")
+    return met.groupBy("words").agg(F.min(F.struct("at", (-F.length("form")).alias("shorter"), "concept")).alias("x")).select("words", "x.concept")
+
+
 def short_key(c: Column, digits: int = 16) -> Column:
     """The first hexadecimal digits of a text's SHA-1."""
     return F.substring(F.sha1(c), 1, digits)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import tokens
+from granary.functions.text import concepts, expanded, folded_text, normal_words, product_head, reads_composite, tokens, without_packaging
 from granary.session import materialize
 
 #: Reference tables up to so many rows may be broadcast; larger ones are joined by a shuffle.
@@ -55,6 +57,69 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 3, 0.82).when(score == 2, 0.72).when(score == 1, 0.55)
 
 
+#: Kinds of heads that name a simple food: a dish made with it is no match.
+SIMPLE_KINDS = ["dairy_milk", "dairy_yogurt", "dairy_fresh_cheese", "dairy_fat", "dairy_cream", "egg"]
+#: Score of a reference that shares the head of a product, beside the words.
+HEAD_BOOST = 5
+
+
+def asked_words(products: DataFrame, heads: list[tuple[str, str]], aliases: dict[str, list[str]], name: str = "product_name", category: str | None = None) -> DataFrame:
+    """Add words (of the name, the name without packaging and the category, with their aliases) and head (the raw head, or empty)."""
+    own = F.array_union(tokens(without_packaging(F.col(name))), tokens(F.col(name)))
+    words = F.array_union(own, tokens(F.col(category))) if category else own
+    return products.withColumn("words", F.array_sort(expanded(words, aliases))).withColumn("head", F.coalesce(product_head(F.col(name), heads)["raw"], F.lit("")))
+
+
+def with_heads(references: DataFrame, heads: list[tuple[str, str, list[str]]], name: str = "name") -> DataFrame:
+    """Add words, and for_heads: the heads (raw, kind, aliases) whose products may take a reference, and the empty one.
+
+    A reference must hold a word of one of the head's aliases; if the head is a simple food it mustn't read like a dish.
+    """
+    words = F.array_sort(tokens(F.col(name)))
+    may = [
+        F.when(F.arrays_overlap("words", F.array(*map(F.lit, parts))) & (F.lit(kind not in SIMPLE_KINDS) | ~reads_composite(F.col(name))), F.lit(raw))
+        for raw, kind, alias in heads
+        if (parts := sorted({w for x in alias for w in re.split("[^a-z0-9]+", folded_text(x)) if len(w) >= 3}))
+    ]
+    return references.withColumn("words", words).withColumn("for_heads", F.array_compact(F.array(F.lit(""), *may)))
+
+
+def shortlist(products: DataFrame, references: DataFrame, k: int = 10, by: str = "name", share: float = 0.01, least: int = 50) -> DataFrame:
+    """left_id, source, right_id, overlap, score, rank: for products (left_id, words, head) the k best references of each source.
+
+    References have right_id, source, words, for_heads and the column that settles ties. The score is the number of shared words, 5 more where a head is shared.
+
+    Only words that a share of the references (`least` of them, at least) doesn't hold are joined row by row. Rows with the same frequent words
+    form classes; classes meet by these words, and of a class of references the k first count. A reference that shares frequent words alone and
+    is among the k best is among the k best of its classes too, so nothing is lost.
+    """
+    bound = max(int(references.count() * share), least)
+    held = references.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > bound)
+    # words held by more than a share of the rows are at most the words of a row divided by the share
+    frequent = F.array(*[F.lit(r.w) for r in held.collect()]).cast("array<string>")
+    parts = [F.array_intersect("words", frequent).alias("common"), F.array_except("words", frequent).alias("rare")]
+    asked = materialize(products.select("left_id", F.col("head").alias("scope"), *parts))
+    known = materialize(references.select("right_id", "source", F.col(by).alias("by"), F.explode("for_heads").alias("scope"), *parts))
+
+    met = asked.select("left_id", "scope", F.col("common").alias("ours"), F.explode("rare").alias("w")).join(known.select("right_id", "source", "by", "scope", "common", F.explode("rare").alias("w")), ["scope", "w"])
+    counted = met.groupBy("left_id", "scope", "source", "right_id").agg(F.count("*").alias("n"), F.first("by").alias("by"), F.first("ours").alias("ours"), F.first("common").alias("common"))
+    by_rare = counted.select("left_id", "scope", "source", "right_id", "by", (F.col("n") + F.size(F.array_intersect("ours", "common"))).alias("overlap"))
+
+    first = Window.partitionBy("scope", "source", "common").orderBy("by", "right_id")
+    members = known.filter("size(common) > 0").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k).drop("n", "rare")
+    theirs = members.select("scope", "source", "common").distinct().select("*", F.explode("common").alias("w"))
+    ours = asked.filter("size(common) > 0").select("scope", F.col("common").alias("ours")).distinct()
+    classes = ours.select("*", F.explode("ours").alias("w")).join(theirs, ["scope", "w"]).groupBy("scope", "source", "ours", "common").agg(F.count("*").alias("overlap"))
+    best = Window.partitionBy("scope", "source", "ours").orderBy(F.desc("overlap"), "by", "right_id")
+    listed = classes.join(members, ["scope", "source", "common"]).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    by_class = asked.select("left_id", "scope", F.col("common").alias("ours")).join(listed, ["scope", "ours"]).select("left_id", "scope", "source", "right_id", "by", "overlap")
+
+    both = by_rare.unionByName(by_class).groupBy("left_id", "scope", "source", "right_id").agg(F.max("overlap").alias("overlap"), F.first("by").alias("by"))
+    order = Window.partitionBy("left_id", "source").orderBy(F.desc("overlap"), "by", "right_id")
+    ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("left_id", "source", "right_id", "overlap", (F.col("overlap") + F.when(F.col("scope") != "", HEAD_BOOST).otherwise(0)).alias("score"), "rank")
+
+
 #: Vectors of a block of queries, and of references.
 BLOCK = 512, 4096
 
@@ -108,16 +173,51 @@ def vector_top_k(queries: DataFrame, references: DataFrame, k: int, block: tuple
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def gate(similarity: Column, same_family: Column, trap: Column, composite: Column) -> Column:
-    """What becomes of a candidate: six steps in order."""
-    return (
-        F.when(F.coalesce(trap, F.lit(False)), "qualifier_trap")
-        .when(F.coalesce(composite, F.lit(False)), "composite_reject")
-        .when(same_family & (similarity >= 0.96), "accepted")
-        .when(same_family & (similarity >= 0.90), "accepted_head")
-        .when(similarity >= 0.60, "proxy_review")
+#: Words that join another food, words of dishes, concepts of dishes that stand for themselves, and concepts that only qualify a dish.
+JOINERS = ["with", "without", "avec", "sans", "w", "wo"]
+QUALIFIERS = ["oil", "olive", "garlic"]
+
+
+def concept_columns(pairs: DataFrame, forms: DataFrame, longest: int, dishes: list[str] = [], own_dishes: list[str] = []) -> DataFrame:  # noqa: B006
+    """Add to pairs (product_name, candidate_name) what `gate` reads: p_head, p_concept, c_head, c_concept, c_words, composite.
+
+    The concept of a candidate is that of what stands before a joining word; a candidate that names a dish has none, but for dishes that are a product's own concept.
+    """
+    has = lambda words, some: F.arrays_overlap(words, F.array(*map(F.lit, some)).cast("array<string>")) if some else F.lit(False)
+    named = pairs.withColumn("__p", normal_words(F.col("product_name"))).withColumn("__c", normal_words(F.col("candidate_name")))
+    joiners = F.transform("__c", lambda t: t.isin(JOINERS))
+    joiner = F.array_position(joiners, True)
+    dish = has(F.col("__c"), dishes)
+    named = named.withColumn("__m", F.when(~dish & (joiner > 0), F.slice("__c", F.lit(1), (joiner - 1).cast("int"))).otherwise(F.col("__c"))).withColumn("__d", dish).withColumn("composite", dish | (joiner > 0))
+    known = concepts(named.select(F.explode(F.array("__p", "__m")).alias("words")), forms, longest)
+    named = named.join(known.withColumnsRenamed({"words": "__p", "concept": "p_concept"}), "__p", "left").join(known.withColumnsRenamed({"words": "__m", "concept": "c_concept"}), "__m", "left")
+    long = lambda c: F.filter(c, lambda t: F.length(t) >= 3)
+    concept = F.when(~F.col("__d") | F.col("c_concept").isin(own_dishes), F.col("c_concept"))
+    out = named.withColumn("c_concept", concept).withColumn("p_head", F.get(long("__p"), F.lit(0))).withColumn("c_head", F.get(long("__c"), F.lit(0))).withColumn("c_words", long("__c"))
+    return out.drop("__p", "__c", "__m", "__d")
+
+
+def gate() -> Column:
+    """action, confidence of a pair with the columns of `concept_columns`: six steps in order.
+
+    A candidate that only qualifies a dish is rejected, then one that is a dish of another concept; the same concept is accepted (.96), the same first
+    word if the product has no concept (.95); a product's first word elsewhere in the candidate is for review (.6) and the rest is left.
+    """
+    p, c = F.col("p_concept"), F.col("c_concept")
+    other = ~p.eqNullSafe(c)
+    same_head = F.coalesce(F.col("p_head") == F.col("c_head"), F.lit(False))
+    step = (
+        F.when(F.col("p_head").isNull(), "abstain")
+        .when(c.isin(QUALIFIERS) & p.isNotNull() & other, "qualifier_trap")
+        .when(F.col("composite") & other, "composite_reject")
+        .when(p.isNotNull() & ~other, "accepted")
+        .when(same_head & p.isNotNull(), "head_reject")
+        .when(same_head, "accepted_head")
+        .when(F.array_contains("c_words", F.col("p_head")) & p.isNotNull() & other, "word_reject")
+        .when(F.array_contains("c_words", F.col("p_head")), "proxy_review")
         .otherwise("abstain")
     )
+    return F.struct(step.alias("action"), F.when(step == "accepted", 0.96).when(step == "accepted_head", 0.95).when(step == "proxy_review", 0.6).otherwise(0.0).alias("confidence"))
 
 
 def first_accept(candidates: DataFrame, key: str = "query_id", proxy: float = 0.80) -> DataFrame:

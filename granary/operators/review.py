@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.fold import CHUNK, folded
+
 #: Weight of a queue's reasons and the levels that the weights stand for, and minutes that a lock holds.
 WEIGHT = {"contradiction_detected": 3, "ai_parse_failed": 3, "ai_provider_error": 3, "rule_collision": 2, "low_confidence": 1, "requested": 0}
 LEVELS = ["low", "medium", "high", "critical"]
@@ -14,6 +16,10 @@ EDGES = [
     ("in_queue", "claim", "reviewing"), ("reviewing", "claim", "reviewing"), ("reviewing", "release", "in_queue"), ("in_queue", "accept", "accepted"), ("reviewing", "accept", "accepted"),
     ("in_queue", "change", "changed"), ("reviewing", "change", "changed"), ("in_queue", "defer", "deferred"), ("reviewing", "defer", "deferred"), ("deferred", "reopen", "in_queue"),
 ]
+#: Where an action leads, states that take no decision, and categories that reviewers can't set.
+STATUS_AFTER = {"claim": "reviewing", "refresh": "reviewing", "release": "in_queue", "accept": "accepted", "change": "changed", "defer": "deferred", "reopen": "in_queue"}
+DECIDED = ["accepted", "changed", "deferred"]
+SYSTEM_STATES = ["out_of_scope", "unknown"]
 TERMINAL = ["done", "failed", "cancelled"]
 
 
@@ -49,10 +55,61 @@ def latest(rows: DataFrame, keys: list[str], by: list[str], columns: list[str])
 
 
 def checked_transitions(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Add previous (state before an event, in_queue at first) and valid: whether an edge leads from it."""
-    before = F.coalesce(F.lag("state").over(Window.partitionBy(*keys).orderBy(*order)), F.lit("in_queue"))
-    edges = F.array(*[F.lit(f"{a}>{b}") for a, _, b in EDGES])
-    return events.withColumn("previous", before).withColumn("valid", F.array_contains(edges, F.concat_ws(">", "previous", "state")))
+    """Add previous (the item's state before an event, in_queue at first) and valid: whether an edge leads from it to the event's state.
+
+    An event that isn't valid leaves the item in the state it was in.
+    """
+    edges = {(a, b) for a, _, b in EDGES}
+
+    def step(state: str, event: dict) -> tuple[str, tuple]:
+        valid = (state, event["state"]) in edges
+        return event["state"] if valid else state, (state, valid)
+
+    ends = {a for _, a in edges} - {a for a, _ in edges}
+    return folded(events, keys, order, "in_queue", step, "previous string, valid boolean", final=lambda state: F.get_json_object(state, "$").isin(*ends))
+
+
+def review_step(state: list, event: dict) -> tuple[list, tuple]:
+    """One action on an item. State: status, holder and end (microseconds) of its lock, category."""
+    status, holder, until, category = state
+    action, user, now, to = event["action"], event["user"], event["at"], event["category"]
+    held = holder is not None and until > now
+    target = STATUS_AFTER.get(action)
+    if target is None:
+        refusal = "unknown_action"
+    elif action == "reopen":
+        refusal = "illegal_transition" if status != "deferred" else None
+    elif status in DECIDED:
+        refusal = "illegal_transition"
+    elif action == "refresh":
+        refusal = "locked" if holder is None or holder != user else "lock_expired" if not held else None
+    elif held and holder != user:
+        refusal = "locked"
+    elif action == "change" and to in SYSTEM_STATES:
+        refusal = "system_state"
+    elif action == "change" and (to is None or to == category):
+        refusal = "same_category"
+    else:
+        refusal = None
+    if refusal is None:
+        locked = action in ("claim", "refresh")
+        state = [status if action == "refresh" else target, user if locked else None, now + LOCK_MINUTES * 60_000_000 if locked else None, to if action == "change" else category]
+    return state, (status, refusal is None, refusal, state[0], state[3])
+
+
+def review_final(state: Column) -> Column:
+    """Whether no action leads out of a state."""
+    return F.get_json_object(state, "$[0]").isin("accepted", "changed")
+
+
+def reviewed(actions: DataFrame, keys: list[str], order: list[str], category: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Add status_before, accepted, refusal, status_after and category_after to actions (action, user, at in microseconds, category).
+
+    Actions are claim, refresh, release, accept, change, defer and reopen. A refused one changes nothing: an item that is decided, or locked by another
+    for 15 minutes from the claim, takes no decision; a change needs another category, which is no system state.
+    """
+    added = "status_before string, accepted boolean, refusal string, status_after string, category_after string"
+    return folded(actions, keys, order, ["in_queue", None, None, category], review_step, added, chunk, review_final)
 
 
 def decision_errors(decision: Column, priority_: Column, override: Column, chosen: Column) -> Column:

@@ -234,13 +234,38 @@ def vector_topk(spark, sf_dir):
     return neighbours(spark, sf_dir, 5).select("query_id", "ref_id", real("similarity", 6), "rank")
 
 
-@query(f"""WITH {VECTORS}, a AS (SELECT *, CASE WHEN ref_id % 11 = 0 THEN 'qualifier_trap' WHEN ref_id % 13 = 0 THEN 'composite_reject' WHEN q_label = label AND similarity >= 0.90 THEN 'accepted' WHEN similarity >= 0.6 THEN 'proxy_review' ELSE 'abstain' END AS action FROM r WHERE rank <= 20),
-p AS (SELECT query_id, arg_min(ref_id, rank) FILTER (action = 'accepted') AS hit, arg_min(ref_id, rank) FILTER (action = 'proxy_review' AND similarity >= 0.8) AS proxy FROM a GROUP BY 1)
-SELECT query_id, coalesce(hit, proxy) AS ref_id, CASE WHEN hit IS NOT NULL THEN 'accepted' WHEN proxy IS NOT NULL THEN 'proxy' ELSE 'no_match' END AS outcome FROM p""")
+#: Forms of the concepts of the queries, dishes, and dishes that are a product's own concept.
+FORMS = [("ring", "ring"), ("gear", "gear"), ("gizmo", "gear"), ("hot gizmo", "hot_gear"), ("soup", "soup"), ("oil", "oil"), ("red bolt", "red_bolt"), ("bolt", "bolt"), ("red", "anything red")]
+FORMS_SQL = ", ".join(f"('{a}', '{b}')" for a, b in FORMS)
+
+
+@query(f"""WITH {VECTORS},
+n AS (SELECT vec_id, coalesce(p_name, '') AS name, CASE p_size % 5 WHEN 0 THEN p_name || ' with oil' WHEN 1 THEN 'oil ' || p_name WHEN 2 THEN p_name || ' soup' WHEN 3 THEN 'old ' || p_name ELSE coalesce(p_name, '') END AS other FROM embeddings LEFT JOIN part ON p_partkey = vec_id),
+d AS (SELECT query_id, ref_id, similarity, rank, q.name AS p, c.other AS c, contains(' ' || c.other || ' ', ' soup ') AS dish, contains(c.other, ' with ') AS joined FROM r JOIN n q ON q.vec_id = query_id JOIN n c ON c.vec_id = ref_id WHERE rank <= 20),
+m AS (SELECT *, CASE WHEN NOT dish AND joined THEN split_part(c, ' with ', 1) ELSE c END AS main FROM d),
+t(form, concept) AS (VALUES {FORMS_SQL}),
+w AS (SELECT DISTINCT p AS name FROM m UNION SELECT DISTINCT main FROM m),
+k AS (SELECT name, arg_min(concept, (instr(' ' || name || ' ', ' ' || form || ' '), -length(form), concept)) AS concept FROM w, t WHERE contains(' ' || name || ' ', ' ' || form || ' ') GROUP BY 1),
+f AS (
+  SELECT m.*, k.concept AS pc, CASE WHEN NOT dish OR l.concept = 'soup' THEN l.concept END AS cc, split_part(p, ' ', 1) AS ph, split_part(c, ' ', 1) AS ch, dish OR joined AS composite
+  FROM m LEFT JOIN k ON k.name = p LEFT JOIN k l ON l.name = main),
+a AS (
+  SELECT *, CASE WHEN ph = '' THEN 'abstain' WHEN cc IN ('oil', 'olive', 'garlic') AND pc IS NOT NULL AND pc <> cc THEN 'qualifier_trap' WHEN composite AND cc IS DISTINCT FROM pc THEN 'composite_reject'
+                 WHEN pc = cc THEN 'accepted' WHEN ph = ch AND pc IS NOT NULL THEN 'head_reject' WHEN ph = ch THEN 'accepted_head'
+                 WHEN list_contains(string_split(c, ' '), ph) AND pc IS NOT NULL THEN 'word_reject' WHEN list_contains(string_split(c, ' '), ph) THEN 'proxy_review' ELSE 'abstain' END AS action FROM f),
+p AS (SELECT query_id, arg_min(ref_id, rank) FILTER (action LIKE 'accepted%') AS hit, arg_min(ref_id, rank) FILTER (action = 'proxy_review' AND similarity >= 0.2) AS proxy, count(*) FILTER (action LIKE '%reject') AS rejected FROM a GROUP BY 1)
+SELECT query_id, coalesce(hit, proxy) AS ref_id, CASE WHEN hit IS NOT NULL THEN 'accepted' WHEN proxy IS NOT NULL THEN 'proxy' ELSE 'no_match' END AS outcome, rejected FROM p""")
 def first_accept_gate(spark, sf_dir):
-    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    near = neighbours(spark, sf_dir, 20).join(labels.withColumnsRenamed({"id": "query_id", "label": "a"}), "query_id").join(labels.withColumnsRenamed({"id": "ref_id", "label": "b"}), "ref_id")
-    return matching.first_accept(near.withColumn("action", matching.gate(F.col("similarity"), F.col("a") == F.col("b"), F.col("ref_id") % 11 == 0, F.col("ref_id") % 13 == 0)))
+    """The gate over the names of the parts that vectors stand for, of the 20 nearest of each query."""
+    size, name = F.col("p_size") % 5, F.coalesce("p_name", F.lit(""))
+    other = F.when(size == 0, F.concat(name, F.lit(" with oil"))).when(size == 1, F.concat(F.lit("oil "), name)).when(size == 2, F.concat(name, F.lit(" soup"))).when(size == 3, F.concat(F.lit("old "), name)).otherwise(name)
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    named = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")).join(part, "id", "left").select("id", name.alias("name"), other.alias("other"))
+    near = neighbours(spark, sf_dir, 20).join(named.select(F.col("id").alias("query_id"), F.col("name").alias("product_name")), "query_id").join(named.select(F.col("id").alias("ref_id"), F.col("other").alias("candidate_name")), "ref_id")
+    forms = spark.createDataFrame(FORMS, "form string, concept string")
+    found = matching.concept_columns(near, forms, 2, ["soup"], ["soup"]).withColumn("action", matching.gate()["action"])
+    picked = matching.first_accept(found, proxy=0.2)
+    return picked.join(found.groupBy("query_id").agg(F.count_if(F.col("action").like("%reject")).alias("rejected")), "query_id")
 
 
 RULES = [
@@ -441,16 +466,70 @@ def review_queue_sorted(spark, sf_dir):
 STATE = "CASE k % 5 WHEN 0 THEN 'in_queue' WHEN 1 THEN 'reviewing' WHEN 2 THEN 'accepted' WHEN 3 THEN 'changed' ELSE 'deferred' END"
 
 
-@query(f"""WITH {EVENTS}, s AS (SELECT *, {STATE} AS state FROM e), p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'in_queue') AS previous FROM s),
-v AS (SELECT *, previous || '>' || state IN ('in_queue>reviewing', 'reviewing>reviewing', 'reviewing>in_queue', 'in_queue>accepted', 'reviewing>accepted', 'in_queue>changed', 'reviewing>changed', 'in_queue>deferred', 'reviewing>deferred', 'deferred>in_queue') AS valid FROM p)
-SELECT user_id, arg_max(state, (ts, event_id)) AS state, max(event_id) FILTER (valid) AS last_valid, count(*) FILTER (valid) AS n_valid FROM v GROUP BY 1""")
+EDGES = "'in_queue>reviewing', 'reviewing>reviewing', 'reviewing>in_queue', 'in_queue>accepted', 'reviewing>accepted', 'in_queue>changed', 'reviewing>changed', 'in_queue>deferred', 'reviewing>deferred', 'deferred>in_queue'"
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, s AS (SELECT event_id, user_id, {STATE} AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+f AS (
+  SELECT event_id, user_id, n, 'in_queue>' || state IN ({EDGES}) AS valid, CASE WHEN 'in_queue>' || state IN ({EDGES}) THEN state ELSE 'in_queue' END AS state FROM s WHERE n = 1
+  UNION ALL SELECT s.event_id, s.user_id, s.n, f.state || '>' || s.state IN ({EDGES}), CASE WHEN f.state || '>' || s.state IN ({EDGES}) THEN s.state ELSE f.state END
+  FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
+SELECT user_id, arg_max(state, n) AS state, max(event_id) FILTER (valid) AS last_valid, count(*) FILTER (valid) AS n_valid FROM f GROUP BY 1""")
 def review_state_latest(spark, sf_dir):
     states = F.element_at(F.array(*map(F.lit, ["in_queue", "reviewing", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
     checked = review.checked_transitions(events(spark, sf_dir).withColumn("state", states), ["user_id"], ["ts", "event_id"])
-    last = review.latest(checked, ["user_id"], ["ts", "event_id"], ["state"])
+    kept = checked.withColumn("state", F.when(F.col("valid"), F.col("state")).otherwise(F.col("previous")))
+    last = review.latest(kept, ["user_id"], ["ts", "event_id"], ["state"])
     return last.join(checked.groupBy("user_id").agg(F.max(F.when(F.col("valid"), F.col("event_id"))).alias("last_valid"), F.count_if("valid").alias("n_valid")), "user_id")
 
 
+@query(f"""WITH RECURSIVE {EVENTS},
+s AS (
+  SELECT event_id, user_id // 3 AS item, CAST(user_id % 3 AS VARCHAR) AS by_user, epoch_us(ts) // 100 AS at_us, row_number() OVER (PARTITION BY user_id // 3 ORDER BY ts, event_id) AS n,
+         ['claim', 'release', 'claim', 'refresh', 'defer', 'reopen', 'change', 'release', 'claim', 'accept'][CAST(k % 10 AS INTEGER) + 1] AS action, ['animal_core', 'unknown', 'plant_based_core'][CAST(k % 3 AS INTEGER) + 1] AS to_ FROM e),
+f AS (
+  SELECT CAST(NULL AS BIGINT) AS event_id, item, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS refusal, 'in_queue' AS before_, 'in_queue' AS status, CAST(NULL AS VARCHAR) AS holder, CAST(NULL AS BIGINT) AS until_, CAST(NULL AS VARCHAR) AS category FROM s WHERE n = 1
+  UNION ALL
+  SELECT event_id, item, n, refusal, status, CASE WHEN refusal IS NULL THEN CASE action WHEN 'claim' THEN 'reviewing' WHEN 'release' THEN 'in_queue' WHEN 'accept' THEN 'accepted' WHEN 'change' THEN 'changed' WHEN 'defer' THEN 'deferred' WHEN 'reopen' THEN 'in_queue' ELSE status END ELSE status END,
+         CASE WHEN refusal IS NOT NULL THEN holder WHEN action IN ('claim', 'refresh') THEN by_user END,
+         CASE WHEN refusal IS NOT NULL THEN until_ WHEN action IN ('claim', 'refresh') THEN at_us + 900000000 END,
+         CASE WHEN refusal IS NULL AND action = 'change' THEN to_ ELSE category END
+  FROM (
+    SELECT s.*, f.status, f.holder, f.until_, f.category,
+           CASE WHEN action = 'reopen' THEN CASE WHEN status <> 'deferred' THEN 'illegal_transition' END
+                WHEN status IN ('accepted', 'changed', 'deferred') THEN 'illegal_transition'
+                WHEN action = 'refresh' THEN CASE WHEN holder IS NULL OR holder <> by_user THEN 'locked' WHEN until_ <= at_us THEN 'lock_expired' END
+                WHEN holder IS NOT NULL AND until_ > at_us AND holder <> by_user THEN 'locked'
+                WHEN action = 'change' AND to_ = 'unknown' THEN 'system_state'
+                WHEN action = 'change' AND to_ = category THEN 'same_category' END AS refusal
+    FROM f JOIN s ON s.item = f.item AND s.n = f.n + 1))
+SELECT event_id, before_ AS status_before, refusal IS NULL AS accepted, refusal, status AS status_after, category AS category_after FROM f WHERE n > 0""")
+def review_actions(spark, sf_dir):
+    """Three reviewers share an item; a hundredth of the time between events, so that locks are still held."""
+    pick = lambda c, n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % n + 1).cast("int"))
+    actions = events(spark, sf_dir).select(
+        "event_id", "ts", F.floor(F.col("user_id") / 3).alias("item"), (F.col("user_id") % 3).cast("string").alias("user"), F.floor(F.unix_micros("ts") / 100).alias("at"),
+        pick("k", 10, "claim", "release", "claim", "refresh", "defer", "reopen", "change", "release", "claim", "accept").alias("action"), pick("k", 3, "animal_core", "unknown", "plant_based_core").alias("category"),
+    )
+    return review.reviewed(actions, ["item"], ["ts", "event_id"]).select("event_id", "status_before", "accepted", "refusal", "status_after", "category_after")
+
+
+@query(f"""WITH RECURSIVE {EVENTS},
+s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS at_us, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 3 ELSE 2 END AS most, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM e),
+f AS (
+  SELECT event_id, user_id, event_type, n, true AS accepted, CAST(0 AS BIGINT) AS retry_after, [at_us] AS times FROM s WHERE n = 1
+  UNION ALL
+  SELECT event_id, user_id, event_type, n, len(kept) < most, CASE WHEN len(kept) < most THEN 0 ELSE (kept[1] - (at_us - 432000000000)) // 1000000 + 1 END, CASE WHEN len(kept) < most THEN list_append(kept, at_us) ELSE kept END
+  FROM (SELECT s.*, list_filter(f.times, lambda t: t > s.at_us - 432000000000) AS kept FROM f JOIN s ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.n = f.n + 1))
+SELECT event_id, accepted, retry_after FROM f""")
+def rate_limit(spark, sf_dir):
+    """At most one click, three views and two of any other event of a user in five days."""
+    from granary.streaming.limits import limited
+
+    requests = events(spark, sf_dir).select("event_id", F.col("user_id").alias("key"), F.col("event_type").alias("group"), F.unix_micros("ts").alias("at"))
+    return limited(requests, ["at", "event_id"], {"click": 1, "view": 3, "default": 2}, 432_000).select("event_id", "accepted", "retry_after")
+
+
 @query(f"WITH {EVENTS} SELECT user_id, max(event_id) AS event_id FROM e WHERE event_type NOT IN ('purchase', 'signup') AND ts < TIMESTAMP '{NOW}' - INTERVAL 30 MINUTES GROUP BY 1")
 def stale_jobs(spark, sf_dir):
     status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "signup", "failed").otherwise("running")
@@ -887,3 +966,71 @@ def companion_checks(spark, sf_dir):
     products = part.filter(key % 12 != 0).select(key.cast("string").alias("external_product_id"), (size / 1000).cast("decimal(18,8)").alias("weight_per_item_kg"), (key % 2 == 0).alias("is_own_brand"), (size % 7 != 0).alias("enabled"), F.when(size % 5 != 0, "FG1").alias("food_group"), (size % 3 != 0).alias("is_composite"))
     found = readiness.companion_checks(companions, products)
     return found.select("external_product_id", "error", "ingredient_count", real("attributed_kg"), "overweight", real("residual_kg"))
+
+
+PART_NAMES = """c AS (
+  SELECT p_partkey AS right_id, CASE WHEN p_size <= 25 THEN 'a' ELSE 'b' END AS source, p_name || CASE p_size % 4 WHEN 0 THEN ' with ' || lower(p_type) WHEN 1 THEN ' ' || lower(p_type) ELSE '' END AS name FROM part),
+cw AS (SELECT *, list_distinct(list_filter(string_split(name, ' '), lambda x: length(x) >= 3 AND x <> 'with')) AS w, contains(name, ' with ') AS dish FROM c),
+q AS (SELECT p_partkey AS left_id, lower(p_name || ' ' || p_type) AS name FROM part),
+qw AS (
+  SELECT left_id, list_distinct(string_split(name || CASE WHEN contains(name, 'bolt') THEN ' rod anvil' ELSE '' END, ' ')) AS w,
+         CASE WHEN contains(name, 'red widget') THEN 'red widget' WHEN contains(name, ' ring') THEN 'ring' WHEN contains(name, ' gear') THEN 'gear' ELSE '' END AS head FROM q)"""
+
+
+@query(f"""WITH {PART_NAMES},
+p AS (
+  SELECT left_id, source, right_id, name, head, len(list_intersect(qw.w, cw.w)) AS overlap FROM qw, cw
+  WHERE head = '' OR (head = 'red widget' AND list_contains(cw.w, 'widget')) OR (head = 'ring' AND list_contains(cw.w, 'ring') AND NOT dish) OR (head = 'gear' AND list_contains(cw.w, 'gizmo')))
+SELECT left_id, source, right_id, CAST(overlap AS BIGINT) AS overlap, CAST(overlap + CASE WHEN head = '' THEN 0 ELSE 5 END AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY left_id, source ORDER BY overlap DESC, name, right_id) AS INTEGER) AS rank
+FROM p WHERE overlap > 0 QUALIFY rank <= 10""")
+def head_shortlist(spark, sf_dir):
+    heads = [("red widget", "prepared_meal", ["widget"]), ("ring", "egg", ["ring", "rings"]), ("gear", "meat_red", ["gizmo"])]
+    part, kind = table(spark, sf_dir, "part"), F.lower("p_type")
+    products = part.select(F.col("p_partkey").alias("left_id"), F.concat_ws(" ", "p_name", "p_type").alias("product_name"))
+    name = F.concat("p_name", F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" with "), kind)).when(F.col("p_size") % 4 == 1, F.concat(F.lit(" "), kind)).otherwise(""))
+    references = part.select(F.col("p_partkey").alias("right_id"), F.when(F.col("p_size") <= 25, "a").otherwise("b").alias("source"), name.alias("name"))
+    asked = matching.asked_words(products, [h[:2] for h in heads], {"bolt": ["rod", "anvil"]})
+    found = matching.shortlist(asked, matching.with_heads(references, heads), 10)
+    return found.select("left_id", "source", "right_id", F.col("overlap").cast("long"), F.col("score").cast("long"), "rank")
+
+
+FAMILY = "CASE WHEN regexp_matches({0}, 'ring|gear|anvil') THEN 'round' WHEN regexp_matches({0}, 'widget|gizmo') THEN 'flat' ELSE 'other' END"
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS code, p_name AS name, CASE WHEN p_size % 9 <> 0 THEN p_size * 1.0 END AS value, {FAMILY.format("p_name")} AS family FROM part WHERE regexp_matches(p_name, 'ring|gear|widget')),
+b AS (SELECT p_name AS name, arg_max(p_partkey, p_partkey) AS code, arg_max(CASE WHEN p_size % 9 <> 0 THEN p_size * 1.0 ELSE -1 END, p_partkey) AS value FROM part WHERE regexp_matches(p_name, 'bolt|rod') GROUP BY 1),
+p AS (SELECT p_partkey AS product_id, p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' || lower(p_type) END AS name, p_size % 10 <> 0 AS in_scope, CASE WHEN p_size % 11 = 0 THEN 1.0 END AS own_value, {FAMILY.format("p_name")} AS family, p_type,
+       CASE WHEN contains(p_name, 'bolt') THEN 'bolt' WHEN contains(p_name, ' rod') THEN 'rod' WHEN contains(p_name, 'plate') THEN 'plate' ELSE '' END AS head FROM part),
+ea AS (SELECT name, arg_max(code, code) AS code, arg_max(coalesce(value, -1), code) AS value, arg_max(family, code) AS family FROM a GROUP BY 1),
+x AS (SELECT p.*, ea.code AS e_code, ea.value AS e_value, ea.family AS e_family FROM p LEFT JOIN ea ON ea.name = p.name AND ea.value >= 0),
+names AS (SELECT name, min(code) AS code, arg_min(coalesce(value, -1), code) AS value, any_value(family) AS family FROM a GROUP BY 1),
+f AS (
+  SELECT product_id, arg_min({{'c': n.code, 'v': n.value, 'f': n.family, 'o': o}}, (-o, n.code)) AS hit
+  FROM (SELECT product_id, n.code, n.value, n.family, len(list_intersect(string_split(x.name, ' '), string_split(n.name, ' '))) AS o FROM x, names n WHERE e_code IS NULL AND head = '') n WHERE o > 0 GROUP BY 1),
+g AS (
+  SELECT x.*, CASE WHEN hit.v >= 0 THEN hit.c END AS f_code, hit.v AS f_value, hit.f AS f_family, hit.o AS o, b.code AS b_code, b.value AS b_value
+  FROM x LEFT JOIN f USING (product_id) LEFT JOIN b ON b.name = x.name AND b.value >= 0),
+s AS (SELECT *, CASE WHEN NOT in_scope OR own_value IS NOT NULL THEN 0 WHEN e_code IS NOT NULL THEN 1 WHEN f_code IS NOT NULL THEN 2 WHEN b_code IS NOT NULL THEN 3 WHEN p_type IN ('PROMO', 'SMALL') THEN 4 ELSE 5 END AS stage FROM g),
+t AS (SELECT *, CASE stage WHEN 1 THEN family = e_family OR (family = 'flat' AND e_family = 'round') WHEN 2 THEN family = f_family OR (family = 'flat' AND f_family = 'round') END AS fits FROM s)
+SELECT product_id, stage, CASE stage WHEN 0 THEN CASE WHEN NOT in_scope THEN 'skipped_out_of_scope' ELSE 'skipped_own_value' END WHEN 3 THEN 'second_matched' WHEN 4 THEN 'average' WHEN 5 THEN 'no_match' ELSE CASE WHEN fits THEN 'first_matched' ELSE 'no_match' END END AS outcome,
+       CASE WHEN fits = false THEN 'family_mismatch' ELSE [NULL, 'exact', 'fuzzy', 'exact', 'group_average', NULL][stage + 1] END AS match_type,
+       CASE WHEN fits THEN CAST(CASE stage WHEN 1 THEN e_code ELSE f_code END AS VARCHAR) WHEN stage = 3 THEN CAST(b_code AS VARCHAR) END AS ref_code,
+       CAST(CASE WHEN fits THEN CASE stage WHEN 1 THEN e_value ELSE f_value END WHEN stage = 3 THEN b_value WHEN stage = 4 THEN CASE p_type WHEN 'PROMO' THEN 12 ELSE 10 END END AS DOUBLE) AS value,
+       CAST(CASE WHEN fits THEN CASE stage WHEN 1 THEN 0.85 ELSE CASE WHEN o >= 3 THEN 0.82 WHEN o = 2 THEN 0.72 ELSE 0.55 END END WHEN stage = 3 THEN 0.80 WHEN stage = 4 THEN CASE p_type WHEN 'PROMO' THEN 0.6 ELSE 0.5 END END AS DOUBLE) AS confidence
+FROM t""")
+def enrichment_cascade_chained(spark, sf_dir):
+    """From raw products and two reference tables: exact name, best by words, exact in the second, average of the group."""
+    part = table(spark, sf_dir, "part")
+    family = F.when(F.col("p_name").rlike("ring|gear|anvil"), "round").when(F.col("p_name").rlike("widget|gizmo"), "flat").otherwise("other")
+    size = F.col("p_size")
+    references = part.select(
+        F.col("p_partkey").alias("code"), F.col("p_name").alias("name_en"), F.lit(None).cast("string").alias("name_nl"), F.when(size % 9 != 0, size.cast("double")).alias("value"), F.col("p_partkey").alias("ord"), family.alias("family")
+    )
+    products = part.select(
+        F.col("p_partkey").alias("product_id"), F.concat("p_name", F.when(size % 2 == 0, "").otherwise(F.concat(F.lit(" "), F.lower("p_type")))).alias("product_name"),
+        (size % 10 != 0).alias("in_scope"), F.when(size % 11 == 0, 1.0).alias("own_value"), family.alias("family"), F.col("p_type").alias("pt_group"),
+    )
+    heads = [(x, "meat_red", [x]) for x in ("bolt", "rod", "plate")]
+    averages = spark.createDataFrame([("PROMO", 12.0, 0.6), ("SMALL", 10.0, 0.5)], "pt_group string, value double, confidence double")
+    fits = matching.compatible(F.col("family"), F.col("ref_family"), [("flat", "round")])
+    return enrichment.cascaded(products, references.filter(F.col("name_en").rlike("ring|gear|widget")), references.filter(F.col("name_en").rlike("bolt|rod")), fits, heads, {}, averages)

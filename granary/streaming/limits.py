@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.operators.fold import Step, folded
+
 #: Seconds of the window of the rate limit, and requests that it lets through.
 WINDOW_S, LIMIT = 60, 10
+#: Requests in a window that each group of routes lets through; other groups count as default.
+LIMITS = {"uploads": 20, "classify": 10, "exports": 30, "compute": 5, "default": 200}
 #: Rows of one key that a batch may hold beside its state: state is as long as the limit.
 ACCEPTED = "key string, event_id long, ts timestamp, accepted boolean"
 
@@ -44,6 +48,64 @@ def rate_limited(events: DataFrame, limit: int = LIMIT, window_s: int = WINDOW_S
     return events.groupBy("key").applyInPandasWithState(work, ACCEPTED, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def route_group(method: Column, path: Column) -> Column:
+    """The group that limits a request; null for those that are never limited."""
+    method, tail = F.upper(method), F.regexp_replace(path, "^.*?/api/v1", "")
+    ends = lambda *names: F.rlike(tail, F.lit("(" + "|".join(names) + ")$"))
+    post, get = method == "POST", method == "GET"
+    return (
+        F.when(method == "OPTIONS", None)
+        .when(post & ends("/uploads", "/uploads/prepare", "/ingest", "/jobs/validate", "/wwf-ingredients/upload"), "uploads")
+        .when(post & ends("/classify"), "classify")
+        .when((post & ends("/jobs/export")) | (get & ends("/export")), "exports")
+        .when((post & (ends("/jobs/calculate") | (ends("/run") & tail.contains("/scenarios/")))) | (get & ends("/comparisons")), "compute")
+        .otherwise("default")
+    )
+
+
+def limit_step(limits: dict[str, int], window_s: int) -> Step:
+    """A request of a group at a time in microseconds; the state holds the times that were accepted within the window."""
+
+    def step(times: list[int], event: dict) -> tuple[list[int], tuple]:
+        begin = event["at"] - window_s * 1_000_000
+        times = [t for t in times if t > begin]
+        if len(times) < limits.get(event["group"], limits.get("default", LIMITS["default"])):
+            return [*times, event["at"]], (True, 0)
+        return times, (False, (times[0] - begin) // 1_000_000 + 1 if times else window_s)
+
+    return step
+
+
+def limited(requests: DataFrame, order: list[str], limits: dict[str, int] = LIMITS, window_s: int = WINDOW_S) -> DataFrame:
+    """Add accepted and retry_after (whole seconds, 0 if accepted) to requests (key, group, at in microseconds): a sliding window for each key and group.
+
+    Only accepted requests count, so each depends on those before it.
+    """
+    return folded(requests, ["key", "group"], order, [], limit_step(limits, window_s), "accepted boolean, retry_after long")
+
+
+def limited_stream(requests: DataFrame, limits: dict[str, int] = LIMITS, window_s: int = WINDOW_S) -> DataFrame:
+    """The same for a stream of (key, group, event_id, at); keys and groups without a request for a window are forgotten."""
+    step = limit_step(limits, window_s)
+
+    def work(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        out = []
+        for at in rows["at"]:
+            times, found = step(times, {"group": key[1], "at": int(at)})
+            out.append(found)
+        state.update((times,))
+        state.setTimeoutDuration(window_s * 1000)
+        yield rows.assign(accepted=[x for x, _ in out], retry_after=[x for _, x in out])[["key", "group", "event_id", "at", "accepted", "retry_after"]]
+
+    added = "key string, group string, event_id long, at long, accepted boolean, retry_after long"
+    return requests.groupBy("key", "group").applyInPandasWithState(work, added, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", *keys: str) -> DataFrame:
     """Counts and sums of value by window and keys; events later than the watermark are left out."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
