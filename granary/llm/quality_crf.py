@@ -86,9 +86,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             seen.add(x)
             at += 1
     last = kind[np.maximum(starts + length - 1, 0)]
+    words = share[SPACE]  # a line's spaces and its end
     values = {
         "length": length, "upper": share[UPPER] / np.maximum(letters, 1), "digit": share[DIGIT] / size, "stop": share[STOP] / size, "symbol": share[SYMBOL] / size,
-        "word": (length - share[SPACE] + 1) / np.maximum(share[SPACE], 1), "repeat": repeat, "end": np.where(length == 0, 0, np.where(last == STOP, 1, 2)), "again": again,
+        "word": (length - words + 1) / words, "repeat": repeat, "end": np.where(length == 0, 0, np.where(last == STOP, 1, 2)), "again": again,
     }
     bins = np.stack([np.digitize(values[k], e) for k, e in EDGES.items()], axis=1).astype(np.uint8)
     return bins, (length + 1).astype(np.float64), n_lines

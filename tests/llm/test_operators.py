@@ -359,7 +359,7 @@ def brute_quality(model, text):
         n, size, words = k.count, max(len(line), 1), line.split()
         values = {
             "length": len(line), "upper": n("upper") / max(n("lower") + n("upper"), 1), "digit": n("digit") / size, "stop": n("stop") / size, "symbol": n("symbol") / size,
-            "word": (len(line) - n("space") + 1) / max(n("space"), 1), "repeat": len(set(words)) / len(words) if words else 1,
+            "word": (len(line) - n("space")) / (n("space") + 1), "repeat": len(set(words)) / len(words) if words else 1,
             "end": 0 if not line else 1 if k[-1] == "stop" else 2, "again": float(line in seen and bool(words)),
         }
         seen.add(line)
