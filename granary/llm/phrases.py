@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.words import mix, word_hashes
+from granary.llm.words import mix, runs, word_hashes
 from granary.session import discard, materialize
 
 U64 = np.uint64
@@ -40,6 +40,8 @@ CHUNK = 1 << 17
 FAN = 32
 #: Pairs that a mapper gathers before it counts them.
 GATHERED = 1 << 21
+#: Texts that are split at once, and ranges of keys.
+RUN, RANGES = 1 << 21, 256
 #: A-Z lower-cased, tabs to spaces, separators of pieces to line ends.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 _ONES = np.array([bin(k).count("1") for k in range(256)], np.int64)
@@ -142,21 +144,22 @@ def split(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]
     begin, end = edge[0::2], edge[1::2]
     offsets = np.concatenate([[0], np.cumsum(end - begin)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[~white].tobytes())])
-    lines = np.concatenate([[0], np.cumsum(line)])
+    lines = np.cumsum(line, dtype=np.int32)
     breaks = np.diff(lines[begin], prepend=-1) > 0
     borders = np.cumsum([len(t) + 1 for t in raw_texts])
     return words.dictionary_encode(), breaks, np.diff(np.concatenate([[0], np.searchsorted(begin, borders)]))
 
 
 def by_lang(batch: pa.RecordBatch):
-    """For each language of a batch, its rows and texts."""
-    langs = batch.column(0).to_pylist()
-    texts = batch.column(1).to_pylist()
+    """For each language of a batch, its rows and texts, in runs of about two million code points."""
     rows: dict[str, list[int]] = {}
-    for k, lang in enumerate(langs):
+    for k, lang in enumerate(batch.column(0).to_pylist()):
         rows.setdefault(lang, []).append(k)
+    texts = batch.column(1)
     for lang, at in rows.items():
-        yield lang, at, [texts[k] for k in at]
+        held = texts.take(pa.array(at)).to_pylist()
+        for a, b in runs(held, RUN):
+            yield lang, at[a:b], held[a:b]
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -172,28 +175,37 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def blocks(spark, rows: DataFrame, build, hashed: list[str]) -> list:
-    """Blocks of rows with slots, each built by one task from about `SLOTS` rows, as broadcast variables."""
+def blocks(rows: DataFrame, part, build) -> list:
+    """Blocks of rows with slots, each built by one task from about `SLOTS` of them, as broadcast variables; `part` tells a row's block."""
 
     def made(found: pa.Table) -> pa.Table:
         return pa.table({"block": pa.array([pickle.dumps(build(found))], pa.binary())})
 
-    n = rows.count()
-    parts = max(-(-n // SLOTS), 1)
-    made_rows = rows.groupBy(F.pmod(F.xxhash64(*hashed), F.lit(parts)).alias("p")).applyInArrow(made, "block binary")
+    built = materialize(rows.groupBy(part.alias("p")).applyInArrow(made, "block binary"))
     out, base = [], 0
-    path = materialize(made_rows)
-    for row in path.toLocalIterator():  # one block at a time
+    for row in built.toLocalIterator():  # one block at a time
         block = pickle.loads(row.block)
         block.base = base
         base += len(block)
-        out.append(spark.sparkContext.broadcast(block))
+        out.append(rows.sparkSession.sparkContext.broadcast(block))
     if base >= 1 << 32:
         raise ValueError("more than 2**32 candidates of one length: raise least")
-    discard(path)
+    discard(built)
     return out
 
 
+def word_blocks(words: DataFrame) -> list:
+    parts = max(-(-words.count() // SLOTS), 1)
+    return blocks(words, F.pmod(F.xxhash64("lang", "word"), F.lit(parts)), lambda x: Words(*(x.column(c).to_pylist() for c in ("lang", "word", "n"))))
+
+
+def key_blocks(candidates: DataFrame) -> list:
+    """Blocks of packed keys (chunk, data)."""
+    n = candidates.agg(F.sum(F.length("data"))).first()[0] or 0
+    parts = max(-(-n // (8 * SLOTS)), 1)
+    return blocks(candidates, F.floor(F.col("chunk") * parts / RANGES), lambda x: Keys(np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in x.column("data").to_pylist()]))))
+
+
 def numbered(rows: DataFrame, block) -> DataFrame:
     """lang, text, seq: the slots of the texts' words (int32 as unsigned; -1 for other words and between pieces), those of earlier blocks kept."""
 
@@ -250,8 +262,22 @@ def gathered(batches, chosen):
         yield np.unique(np.concatenate(held), return_counts=True)
 
 
+def tree(rows: DataFrame, parts: int, joined) -> DataFrame:
+    """chunk, data: for each chunk, the bytes of all parts (chunk, part, data) joined in groups of `FAN`."""
+
+    def add(key, found):
+        data = joined(found.column("data").to_pylist())
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    while True:
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("chunk", "part").applyInArrow(add, "chunk long, part long, data binary")
+        parts = -(-parts // FAN)
+        if parts <= 1:
+            return rows.select("chunk", "data")
+
+
 def tree_sum(rows: DataFrame, count, kind: str) -> DataFrame:
-    """chunk, data: the arrays that `count` makes of each partition's batches, summed in groups of `FAN`; bytes stop at 255."""
+    """chunk, data: the arrays that `count` makes of each partition's batches, summed as a tree; bytes stop at 255."""
     from pyspark import TaskContext
 
     def work(batches):
@@ -261,24 +287,34 @@ def tree_sum(rows: DataFrame, count, kind: str) -> DataFrame:
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["chunk", "part", "data"])
 
-    def add(key, found):
-        total = None
-        for x in found.column("data").to_pylist():
-            part = np.frombuffer(x, kind).astype(np.int64)
-            total = part if total is None else total + part
-        data = np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes()
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+    def add(arrays):
+        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in arrays)
+        return np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes()
 
-    parts = rows.rdd.getNumPartitions()
-    out = rows.mapInArrow(work, "chunk long, part long, data binary")
-    while parts > 1:
-        out = out.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("chunk", "part").applyInArrow(add, "chunk long, part long, data binary")
-        parts = -(-parts // FAN)
-    return out.select("chunk", "data")
+    return tree(rows.mapInArrow(work, "chunk long, part long, data binary"), rows.rdd.getNumPartitions(), add)
+
+
+def tree_union(rows: DataFrame, chosen) -> DataFrame:
+    """chunk, data: the distinct chosen keys of pairs, packed by ranges of their hash."""
+    from pyspark import TaskContext
+
+    def work(batches):
+        for keys, _ in gathered(batches, chosen):
+            place = (mix(keys + U64(1)) >> U64(32)) % U64(RANGES)
+            order = np.argsort(place, kind="stable")
+            keys, ends = keys[order], np.searchsorted(place[order], np.arange(RANGES + 1).astype(np.uint64))
+            some = np.flatnonzero(np.diff(ends))
+            data = [keys[ends[k] : ends[k + 1]].tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([TaskContext.get().partitionId()] * len(some), pa.int64()), pa.array(data, pa.binary())], ["chunk", "part", "data"])
+
+    def add(arrays):
+        return np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in arrays])).tobytes()
+
+    return tree(rows.mapInArrow(work, "chunk long, part long, data binary"), rows.rdd.getNumPartitions(), add)
 
 
 def screened(rows: DataFrame, least: int, places: int, turn: int, turns: int) -> DataFrame:
-    """key: the distinct pairs of this turn whose hash is that of `least` pairs or more."""
+    """chunk, data: the distinct pairs of this turn whose hash is that of `least` pairs or more, packed."""
 
     def mine(keys):
         return keys[mix(keys + U64(77)) % U64(turns) == U64(turn)] if turns > 1 else keys
@@ -304,16 +340,12 @@ def screened(rows: DataFrame, least: int, places: int, turn: int, turns: int) ->
         bits[row.chunk * CHUNK // 8 :][: len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    def likely(batches):
-        def chosen(keys):
-            keys = mine(keys)
-            at = place(keys)
-            return keys[(shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1]
-
-        for keys, _ in gathered(batches, chosen):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+    def likely(keys):
+        keys = mine(keys)
+        at = place(keys)
+        return keys[(shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1]
 
-    return rows.mapInArrow(likely, "key long").distinct()
+    return tree_union(rows, likely)
 
 
 def looked_up(rows: DataFrame, of: list) -> DataFrame:
@@ -398,7 +430,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 10
     total = totals.agg(F.sum("n")).first()[0] or 0
     words = materialize(counts.filter(F.col("n") >= least))
     discard(counts)
-    of = blocks(spark, words, lambda found: Words(found.column("lang").to_pylist(), found.column("word").to_pylist(), found.column("n").to_pylist()), ["lang", "word"])
+    of = word_blocks(words)
     lined = rows.withColumn("seq", F.lit(None).cast("binary"))
     for k, block in enumerate(of):
         lined = numbered(lined, block)
@@ -418,7 +450,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 10
             found = screened(below, least, places, turn, turns)
             candidates = found if candidates is None else candidates.unionByName(found)
         candidates = materialize(candidates)
-        of = blocks(spark, candidates, lambda found: Keys(found.column("key").to_numpy().view(np.uint64)), ["key"])
+        of = key_blocks(candidates)
         discard(candidates)
         if not of or not any(len(x.value) for x in of):
             break  # no longer phrase can be frequent
