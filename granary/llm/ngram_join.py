@@ -111,6 +111,9 @@ def listed(size: int, num: int, den: int) -> int:
     least = int(ceil_share(size, num, den))
     return size - least + min(EXTRA, least)
 
+#: Parts of a component that meet its smallest id apart.
+SPREAD = 32
+
 
 def described(rows: DataFrame, order: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """doc_id, size, sha (of the set), lists (the shingles that list it, in order)."""
@@ -482,8 +485,10 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
         left = materialize(left.filter("not same or rests_a + rests_b > 0").drop("main_a", "main_b", "rests_a", "rests_b"))
         if not left.isEmpty():
             joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between_families(left, state, parts, more, num, den)))
-    named = rep.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    found = known.join(named.join(ids, "component").select("sha", F.col("component_id").alias("c")), "sha", "left")
+    named = rep.join(joined, "node", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
+    # a component may hold a third of all classes: they meet its smallest id over several tasks
+    ids = named.filter("linked").groupBy("component").agg(F.min("rep").alias("component_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
+    placed = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(ids, ["component", "salt"], "left")
+    found = known.join(placed.select("sha", F.coalesce("component_id", "rep").alias("c")), "sha", "left")
     usable_row = (F.col("size") > 0) & F.col("doc_id").isNotNull()
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(usable_row, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
