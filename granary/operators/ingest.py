@@ -10,12 +10,40 @@ from granary.functions.numeric import to_boolean, to_list, trimmed
 from granary.functions.text import fold
 
 #: Names of retail channels.
-CHANNELS = {"fresh": "fresh", "frais": "fresh", "chilled": "fresh", "grocery ambient": "grocery_ambient", "grocery_ambient": "grocery_ambient", "ambient": "grocery_ambient", "epicerie": "grocery_ambient", "frozen": "frozen", "surgele": "frozen", "surgeles": "frozen"}
+CHANNELS = {
+    "fresh": "fresh",
+    "frais": "fresh",
+    "frais & traiteur": "fresh",
+    "produits frais": "fresh",
+    "chilled": "fresh",
+    "refrigerated": "fresh",
+    "refrigere": "fresh",
+    "grocery_ambient": "grocery_ambient",
+    "grocery ambient": "grocery_ambient",
+    "grocery/ambient": "grocery_ambient",
+    "grocery-ambient": "grocery_ambient",
+    "ambient": "grocery_ambient",
+    "ambient grocery": "grocery_ambient",
+    "grocery": "grocery_ambient",
+    "epicerie": "grocery_ambient",
+    "epicerie seche": "grocery_ambient",
+    "sec": "grocery_ambient",
+    "ambiant": "grocery_ambient",
+    "shelf-stable": "grocery_ambient",
+    "shelf stable": "grocery_ambient",
+    "dry goods": "grocery_ambient",
+    "frozen": "frozen",
+    "frozen food": "frozen",
+    "surgele": "frozen",
+    "surgeles": "frozen",
+    "produits surgeles": "frozen",
+    "congele": "frozen",
+}
 #: Columns of a raw file that may be absent.
 RAW = [
     "external_product_id", "product_name", "brand", "retailer_category", "retailer_subcategory", "ingredients_text", "labels", "language", "country", "is_own_brand", "retail_channel",
-    "weight_per_item_kg", "weight_per_item_g", "weight_per_item_lb", "weight_per_item_oz", "items_purchased", "items_sold", "protein_pct", "protein_per_100ml", "density", "protein_per_serving", "serving_g",
-    "plant_protein_pct", "animal_protein_pct", "protein_source",
+    "weight_per_item_kg", "weight_per_item_g", "weight_per_item_lb", "weight_per_item_oz", "items_purchased", "items_sold", "protein_pct", "protein_g_per_100ml", "density_g_per_ml",
+    "protein_g_per_serving", "serving_g", "plant_protein_pct", "animal_protein_pct", "protein_source",
 ]
 
 
@@ -30,10 +58,12 @@ def problem(holds: Column, field: str, code: str) -> Column:
 
 #: Columns that hold numbers, and those that give energy where protein is wanted.
 NUMBERS = [
-    "weight_per_item_kg", "weight_per_item_g", "weight_per_item_lb", "weight_per_item_oz", "items_purchased", "items_sold", "protein_pct", "protein_g_per_100g", "protein_per_100ml", "density",
-    "protein_per_serving", "serving_g", "plant_protein_pct", "animal_protein_pct",
+    "weight_per_item_kg", "weight_per_item_g", "weight_per_item_lb", "weight_per_item_oz", "items_purchased", "items_sold", "protein_pct", "protein_g_per_100g", "protein_g_per_100ml", "density_g_per_ml",
+    "protein_g_per_serving", "serving_g", "plant_protein_pct", "animal_protein_pct",
 ]
 ENERGY = ["protein_kj", "protein_kcal"]
+#: Short names that are read as well.
+SHORT = {"protein_per_100ml": "protein_g_per_100ml", "density": "density_g_per_ml", "protein_per_serving": "protein_g_per_serving"}
 
 
 def parse(rows: DataFrame, row_number: str = "row_number", upload: str = "00000000") -> DataFrame:
@@ -43,6 +73,7 @@ def parse(rows: DataFrame, row_number: str = "row_number", upload: str = "000000
     5000 in it looks like grams and is an error; one of 5 kg or more, and a gram column of less than 5 g, are warnings.
     Numbers are read once, in a projection of their own; what is derived from them refers to it.
     """
+    rows = rows.withColumnsRenamed({a: b for a, b in SHORT.items() if b not in rows.columns})
     for c in [*RAW, *NUMBERS, *ENERGY]:
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
@@ -52,7 +83,7 @@ def parse(rows: DataFrame, row_number: str = "row_number", upload: str = "000000
     read = read.select("*", *[e.alias(k) for k, e in words.items()])
     kg, weight_code = numeric.weight_of(kg=n["weight_per_item_kg"], g=n["weight_per_item_g"], lb=n["weight_per_item_lb"], oz=n["weight_per_item_oz"])
     energy = numeric.either(*[trimmed(c(e)).isNotNull() for e in ENERGY])
-    pct, protein_code = numeric.protein_of(*[n[x] for x in ("protein_pct", "protein_per_100ml", "density", "protein_per_serving", "serving_g")], energy, n["protein_g_per_100g"])
+    pct, protein_code = numeric.protein_of(*[n[x] for x in ("protein_pct", "protein_g_per_100ml", "density_g_per_ml", "protein_g_per_serving", "serving_g")], energy, n["protein_g_per_100g"])
     read = read.select("*", kg.alias("__kg"), weight_code.alias("__weight_code"), pct.alias("__pct"), protein_code.alias("__protein_code"))
     raw_kg, raw_g, ok = n["weight_per_item_kg"].value, n["weight_per_item_g"].value, c("__weight_code").isNull()
     grams = (c("__weight_code") == "weight_too_large") & raw_kg.between(50, 5000)

@@ -82,12 +82,12 @@ def without_upload(tables: dict[str, DataFrame], products: DataFrame, upload_id:
     return {name: t.join(gone, "product_id", "left_anti") for name, t in tables.items()}
 
 
-def bulk_errors(asked: DataFrame, queue: DataFrame, most: int) -> DataFrame:
-    """item_id, error for items of a bulk decision that aren't queued, aren't pending, or exceed the cap; empty means apply all."""
-    many = asked.limit(most + 1).count() > most
-    joined = asked.join(queue.select("item_id", "state"), "item_id", "left")
-    error = F.when(F.lit(many), "too_many").when(F.col("state").isNull(), "not_queued").when(F.col("state") != "in_queue", "not_pending")
-    return joined.select("item_id", error.alias("error")).filter("error is not null")
+def bulk_errors(asked: DataFrame, queue: DataFrame, most: int, batch: str = "batch") -> DataFrame:
+    """batch, item_id, error for items of bulk decisions (batch, item_id) that aren't queued, aren't pending, or lie in a batch of more than `most`; without any a batch may be applied."""
+    sizes = asked.groupBy(batch).agg(F.count_distinct("item_id").alias("__n"))
+    joined = asked.join(sizes, batch).join(queue.select("item_id", "state"), "item_id", "left")
+    error = F.when(F.col("__n") > most, "too_many").when(F.col("state").isNull(), "not_queued").when(F.col("state") != "in_queue", "not_pending")
+    return joined.select(batch, "item_id", error.alias("error")).filter("error is not null")
 
 
 def skips(rows: DataFrame, guards: list[tuple[str, Column]], whole: list[tuple[str, bool]]) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, readiness, reporting, review, rules
+from granary.operators import bulk, comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, readiness, reporting, review, rules, vector_index
 from granary.plans.projection import BASE, PT_GROUP, STEP2, purchases, step2
-from granary.session import dealt, prepare, table
-from granary.sources import exports
+from granary.session import dealt, materialize, prepare, shared_folder, table
+from granary.sources import exports, history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -755,13 +755,15 @@ def cascade_delete(spark, sf_dir):
     return left["lines"].agg(F.count("*").alias("n_rows"), F.count_distinct("product_id").alias("n_products"))
 
 
-@query(f"""WITH {EVENTS}, q AS (SELECT event_id AS item_id, {STATE} AS state FROM e WHERE event_id % 3 <> 0), a AS (SELECT event_id AS item_id FROM e WHERE k > 90)
-SELECT item_id, CASE WHEN state IS NULL THEN 'not_queued' ELSE 'not_pending' END AS error FROM a LEFT JOIN q USING (item_id) WHERE state IS DISTINCT FROM 'in_queue'""")
+@query(f"""WITH {EVENTS}, q AS (SELECT event_id AS item_id, {STATE} AS state FROM e WHERE event_type <> 'error'), a AS (SELECT user_id // 2 AS batch, event_id AS item_id FROM e),
+b AS (SELECT batch, count(*) AS n FROM a GROUP BY 1)
+SELECT batch, item_id, CASE WHEN n > 100 THEN 'too_many' WHEN state IS NULL THEN 'not_queued' ELSE 'not_pending' END AS error FROM a JOIN b USING (batch) LEFT JOIN q USING (item_id) WHERE n > 100 OR state IS DISTINCT FROM 'in_queue'""")
 def bulk_decision_errors(spark, sf_dir):
+    """The events of two users are a batch; errors aren't queued."""
     e = events(spark, sf_dir)
     states = F.element_at(F.array(*map(F.lit, ["in_queue", "reviewing", "accepted", "changed", "deferred"])), (F.col("k") % 5 + 1).cast("int"))
-    queue_ = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("item_id"), states.alias("state"))
-    return reporting.bulk_errors(e.filter("k > 90").select(F.col("event_id").alias("item_id")), queue_, 10_000_000)
+    queue_ = e.filter("event_type <> 'error'").select(F.col("event_id").alias("item_id"), states.alias("state"))
+    return reporting.bulk_errors(e.select(F.floor(F.col("user_id") / 2).alias("batch"), F.col("event_id").alias("item_id")), queue_, bulk.MOST)
 
 
 @query("""SELECT coalesce(CASE WHEN lang <> 'fr' THEN 'other_language' WHEN n_chars < 500 THEN 'too_short' WHEN source IN ('src1', 'src2') THEN 'blocked_source' END, 'candidate') AS skip_reason, count(*) AS n FROM documents GROUP BY 1""")
@@ -1034,3 +1036,88 @@ def enrichment_cascade_chained(spark, sf_dir):
     averages = spark.createDataFrame([("PROMO", 12.0, 0.6), ("SMALL", 10.0, 0.5)], "pt_group string, value double, confidence double")
     fits = matching.compatible(F.col("family"), F.col("ref_family"), [("flat", "round")])
     return enrichment.cascaded(products, references.filter(F.col("name_en").rlike("ring|gear|widget")), references.filter(F.col("name_en").rlike("bolt|rod")), fits, heads, {}, averages)
+
+
+@query("""WITH d AS (SELECT p_partkey AS r, p_partkey % 8 AS n, p_size AS s, ['Grocery/Ambient', 'frais  & Traiteur', 'Épicerie sèche', 'shelf-stable', 'Surgelés', 'garden'][p_size % 6 + 1] AS channel FROM part)
+SELECT r AS row_number, CASE p.s % 6 WHEN 1 THEN 'fresh' WHEN 4 THEN 'frozen' WHEN 5 THEN NULL ELSE 'grocery_ambient' END AS retail_channel,
+       CASE WHEN n = 0 OR n = 1 OR (n = 2 AND s % 5 <> 0) OR (n = 4 AND s % 5 <> 0) THEN round(CASE n WHEN 0 THEN s WHEN 1 THEN s WHEN 2 THEN s / (1 + s % 5 / 10.0) ELSE s * 100.0 / (s % 5 * 50) END, 4) END AS protein_pct,
+       concat_ws(',', CASE n WHEN 2 THEN CASE WHEN s % 5 = 0 THEN 'missing_density' END WHEN 3 THEN 'missing_density' WHEN 4 THEN CASE WHEN s % 5 = 0 THEN 'missing_serving_g' END WHEN 5 THEN 'mixed_protein_inputs' WHEN 6 THEN 'energy_not_protein' END,
+       CASE WHEN p.s % 6 = 5 THEN 'invalid_enum' END) AS codes FROM d p""")
+def ingest_protein_inputs(spark, sf_dir):
+    """Every way to give protein, and channels as files write them."""
+    size, n, text_ = F.col("p_size"), F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    names = F.array(*map(F.lit, ["Grocery/Ambient", "frais  & Traiteur", "Épicerie sèche", "shelf-stable", "Surgelés", "garden"]))
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_number"), F.col("p_name").alias("product_name"), F.lit("x").alias("external_product_id"), F.element_at(names, (size % 6 + 1).cast("int")).alias("retail_channel"),
+        F.when(n.isin(0, 5), text_).alias("protein_pct"), F.when(n.isin(1, 5), text_).alias("protein_g_per_100g"), F.when(n.isin(2, 3), text_).alias("protein_g_per_100ml"),
+        F.when((n == 2) & (size % 5 != 0), (1 + size % 5 / 10).cast("string")).alias("density_g_per_ml"), F.when(n == 4, text_).alias("protein_g_per_serving"),
+        F.when((n == 4) & (size % 5 != 0), (size % 5 * 50).cast("string")).alias("serving_g"), F.when(n == 6, text_).alias("protein_kj"),
+    )
+    return ingest.parse(rows).select("row_number", "retail_channel", real("protein_pct", 4), F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("codes"))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, CASE WHEN event_id % 9 IN (3, 8) THEN CASE event_id % 9 WHEN 3 THEN 'sliced' ELSE 'partial' END WHEN event_id % 9 = 4 THEN 'repaired' ELSE 'strict' END AS how,
+ CASE WHEN event_id % 9 = 8 THEN 1 ELSE 2 END AS n_rows, CAST(event_id AS VARCHAR) || CASE WHEN event_id % 9 = 8 THEN '' ELSE ',' || (event_id + 1) END AS ids, event_type AS pt_group, round(k / 1000.0, 4) AS confidence FROM e""")
+def json_salvage(spark, sf_dir):
+    """Two rows for each event, as an answer that is damaged in nine ways."""
+    from granary.operators import salvage
+
+    e = events(spark, sf_dir)
+    row = lambda i, end="}": F.concat(F.lit('{"id": "'), i.cast("string"), F.lit('", "pt_group": "'), F.col("event_type"), F.lit('", "confidence": '), (F.col("k") / 1000).cast("string"), F.lit(end))
+    one, two, n = row(F.col("event_id")), row(F.col("event_id") + 1), F.col("event_id") % 9
+    listed = F.concat(F.lit("["), one, F.lit(", "), two, F.lit("]"))
+    clean = F.concat(F.lit('{"note": "a", "results": '), listed, F.lit("}"))
+    payload = (
+        F.when(n == 1, F.concat(F.lit("```json\n"), clean, F.lit("\n```"))).when(n == 2, F.concat(F.lit("﻿​"), F.replace(clean, F.lit('"id"'), F.lit('"‍id"'))))
+        .when(n == 3, F.concat(F.lit("Here it is: "), clean, F.lit(" I hope it helps."))).when(n == 4, F.regexp_replace(F.replace(clean, F.lit("}, {"), F.lit("} {")), '", "pt_group', '" "pt_group')).when(n == 5, listed)
+        .when(n == 6, F.replace(clean, F.lit("results"), F.lit("items"))).when(n == 7, F.replace(clean, F.lit("results"), F.lit("other"))).when(n == 8, F.concat(F.lit('{"results": ['), one, F.lit(", "), row(F.col("event_id") + 1, ""))).otherwise(clean)
+    )
+    found = salvage.salvaged(e.select("event_id", payload.alias("payload")), "payload")
+    read = found.select("event_id", "how", F.transform("rows", lambda r: salvage.fields(r, {"id": "string", "pt_group": "string", "confidence": "double"})).alias("rows"))
+    return read.select("event_id", "how", F.size("rows").alias("n_rows"), F.array_join("rows.id", ",").alias("ids"), F.col("rows")[0]["pt_group"].alias("pt_group"), F.round(F.col("rows")[0]["confidence"], 4).alias("confidence"))
+
+
+@query(f"""WITH {EVENTS}, h AS (SELECT user_id, event_type, k, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('week', ts) DESC, event_id DESC) AS n FROM e WHERE date_trunc('week', ts) <= TIMESTAMP '2024-01-15')
+SELECT user_id, event_type, k FROM h WHERE n = 1 AND event_type <> 'error'""")
+def classification_as_of(spark, sf_dir):
+    """What was known of each user in the third week, of a table that gets a version each week; an error takes a user out."""
+    path, e = shared_folder(spark), events(spark, sf_dir).withColumn("week", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
+    e = materialize(e, ["week"])
+    for week in sorted(r.week for r in e.select("week").distinct().collect()):  # five or six
+        newest = e.filter(F.col("week") == week).groupBy("user_id").agg(F.max_by(F.struct("event_type", "k"), "event_id").alias("x"))
+        history.append(newest.select("user_id", "x.event_type", "x.k", (F.col("x.event_type") == "error").alias("gone")), path, f"w{week}", f"{week} 00:00:00")
+    rows = history.read(spark, path, "user_id long, event_type string, k long, gone boolean", "2024-01-15 00:00:00")
+    return history.latest(rows, ["user_id"], "gone").select("user_id", "event_type", "k")
+
+
+@query("""WITH p AS (SELECT p_partkey AS product_id, CASE WHEN p_size % 13 = 0 THEN NULL WHEN p_size % 7 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS value, CASE p_partkey % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'v2' WHEN 2 THEN 'v1' END AS kind, p_size % 2 = 0 AS has FROM part),
+s AS (SELECT product_id, CASE WHEN value IS NULL OR value = 'n/a' THEN 'error' WHEN kind = 'manual' THEN 'skipped_existing_manual' WHEN kind = 'v2' THEN 'skipped_existing_v2' WHEN kind = 'v1' AND has THEN 'skipped_existing_v1' ELSE 'written' END AS status, value FROM p)
+SELECT product_id, status, CASE WHEN status = 'error' THEN 'invalid_value' END AS detail, CASE WHEN status = 'written' THEN CAST(value AS DOUBLE) END AS stored FROM s""")
+def plan_apply(spark, sf_dir):
+    """A plan over all parts, applied to what they have, tried first, and once more after it was applied."""
+    part, path = table(spark, sf_dir, "part"), shared_folder(spark)
+    n = F.col("p_partkey") % 5
+    kinds = F.when(n == 0, "manual").when(n == 1, "v2").when(n == 2, "v1")
+    had = part.select(F.col("p_partkey").alias("product_id"), F.lit("protein_pct").alias("nutrient"), kinds.alias("kind"), F.when(F.col("p_size") % 2 == 0, 1.0).alias("value")).filter("kind is not null")
+    history.append(had, path, "before", "2024-01-01 00:00:00")
+    plan = part.select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") % 13 == 0, None).when(F.col("p_size") % 7 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("value"))
+    bulk.apply_plan(plan, path, "plan", "2024-01-02 00:00:00", write=False)
+    bulk.apply_plan(plan, path, "plan", "2024-01-02 00:00:00", write=True)
+    done = bulk.apply_plan(plan, path, "plan", "2024-01-02 00:00:00", write=True)
+    stored = history.read(spark, path, bulk.RECORDS).filter("version = 'plan'").select("product_id", F.col("value").alias("stored"))
+    return done.join(stored, "product_id", "left").select("product_id", "status", "detail", "stored")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, 'Name: ' || p_name || chr(10) || 'Retailer category: ' || p_type AS text FROM part)
+SELECT count(*) AS n_rows, count(DISTINCT text) AS n_texts, (SELECT count(DISTINCT text) FROM p WHERE id % 2 = 0) AS first_embedded, count(DISTINCT text) - (SELECT count(DISTINCT text) FROM p WHERE id % 2 = 0) AS then_embedded, CAST(0 AS BIGINT) AS last_embedded, CAST(count(*) AS DOUBLE) AS unit_vectors FROM p""")
+def vector_index_cache(spark, sf_dir):
+    """Half of the parts are indexed, then all, then all again: only new texts are embedded."""
+    part, path = table(spark, sf_dir, "part"), shared_folder(spark)
+    products = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("retailer_category"))
+    rows = products.select("id", vector_index.descriptor_text(products).alias("text"))
+    runs = [vector_index.build(x, path, v, "2024-01-01 00:00:00") for x, v in ((rows.filter("id % 2 = 0"), "a"), (rows, "b"), (rows, "c"))]
+    counts = [n for _, n in runs]
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return runs[2][0].agg(F.count("*").alias("n_rows"), F.count_distinct("key").alias("n_texts"), F.round(F.sum(length), 3).alias("unit_vectors")).select(
+        "n_rows", "n_texts", *[F.lit(n["embedded"]).cast("long").alias(c) for n, c in zip(counts, ("first_embedded", "then_embedded", "last_embedded"))], "unit_vectors"
+    )

@@ -36,7 +36,21 @@ SYNONYMS = {
     "plant_protein_pct": ["protein_plant_g_per_100g"],
     "animal_protein_pct": ["protein_animal_g_per_100g"],
     "protein_source": [],
+    "protein_g_per_100g": ["protein_per_100g", "proteines_100g"],
+    "protein_g_per_100ml": ["protein_per_100ml", "proteines_100ml"],
+    "density_g_per_ml": ["density", "densite"],
+    "protein_g_per_serving": ["protein_per_serving", "proteines_portion"],
+    "serving_g": ["serving_size_g", "portion_g"],
+    "protein_kj": [],
+    "protein_kcal": [],
 }
+#: What this library's own results are called; a file that holds them again isn't asked about them.
+OUTPUTS = {
+    "deterministic_label", "ai_label", "final_label", "explanation", "confidence", "source", "match", "script_version", "model", "pt_group", "wwf_group", "review_status", "processing_status",
+    "classification", "label", "predicted_label", "predicted_category", "output", "result",
+}
+#: Parts of headers that speak of quantities.
+QUANTITIES = {"items_purchased": ["purchase", "achete"], "items_sold": ["sold", "vendu", "ventes"]}
 WEIGHTS = [c for c in SYNONYMS if c.startswith("weight_per_item_")]
 REQUIRED = {"protein_tracker": ["product_name", "items_purchased"], "food_groups": ["product_name", "items_sold", "is_own_brand", "retail_channel"]}
 INGREDIENTS = "map<string,struct<note:string,ingredients:array<struct<food_group:string,subgroup:string,ingredient_weight_kg_per_item:decimal(18,10)>>>>"
@@ -63,19 +77,21 @@ def forbidden(names: list[str]) -> list[str]:
     return sorted(n for n in names if n in FORBIDDEN or n.startswith(FORBIDDEN_PREFIXES))
 
 
-def mapping(names: list[str]) -> dict[str, tuple[str, str]]:
-    """For each header its column and how it was found: exact, synonym or none.
+def mapping(names: list[str], synonyms: dict[str, list[str]] = SYNONYMS, confirmed: dict[str, str] = {}) -> dict[str, tuple[str, str]]:  # noqa: B006
+    """For each header its column and how it was found: confirmed, exact, synonym, ignored or none.
 
-    A header that speaks of purchased or sold quantities is never a weight.
+    `synonyms` may be a longer list than the short one here. What was confirmed (header to column, or to `ignore`) holds before all else. Names of own results
+    are ignored. A header that speaks of purchased or sold quantities is never a weight.
     """
-    known = {s: c for c, some in SYNONYMS.items() for s in some}
+    known = {header(s): c for c, some in synonyms.items() for s in some}
     out = {}
     for n in names:
-        column, how = (n, "exact") if n in SYNONYMS else (known.get(n, ""), "synonym" if n in known else "none")
+        if n in confirmed:
+            out[n] = (n, "ignored") if confirmed[n] == "ignore" else (confirmed[n], "confirmed")
+            continue
+        column, how = (n, "exact") if n in synonyms else (known.get(n, ""), "synonym" if n in known else "ignored" if n in OUTPUTS else "none")
         if how == "none" or column in WEIGHTS:
-            for word, target in (("purchased", "items_purchased"), ("sold", "items_sold")):
-                if word in n.split("_"):
-                    column, how = target, "synonym"
+            column, how = next(((target, "synonym") for target, words in QUANTITIES.items() if any(w in n for w in words)), (column, how))
         out[n] = (column or n, how)
     return out
 
@@ -86,7 +102,9 @@ def missing(columns: list[str], methodology: str) -> list[str]:
     return lacks + ([] if set(WEIGHTS) & set(columns) else ["weight_per_item_kg"])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", max_rows: int = MAX_ROWS) -> tuple[DataFrame, dict]:
+def read_csv(
+    spark: SparkSession, path: str, sep: str = ",", max_rows: int = MAX_ROWS, synonyms: dict[str, list[str]] = SYNONYMS, confirmed: dict[str, str] = {}  # noqa: B006
+) -> tuple[DataFrame, dict]:
     """All columns as text under normalised names, and a report: dropped, duplicate and mapped headers.
 
     Lines whose first cell begins with # are comments. Short lines end in empty cells. Of
@@ -97,8 +115,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", max_rows: int = MAX
     named = [header(c.removeprefix("\ufeff")) or f"column_{k}" for k, c in enumerate([*first, *raw.columns[len(first) :]][: len(raw.columns)])]
     raw = raw.toDF(*[f"c{k}" for k in range(len(named))])
     raw = raw.filter(~F.coalesce(F.ltrim("c0").startswith("#"), F.lit(False)))
-    dropped, found = forbidden(named), mapping(named)
-    target = {found[n][0]: f"c{k}" for k, n in enumerate(named) if n not in dropped}
+    dropped, found = forbidden(named), mapping(named, synonyms, confirmed)
+    target = {found[n][0]: f"c{k}" for k, n in enumerate(named) if n not in dropped and found[n][1] != "ignored"}
     if raw.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"more than {max_rows} rows")
     report = {"dropped": dropped, "duplicates": sorted({n for n in named if named.count(n) > 1}), "mapping": found}
