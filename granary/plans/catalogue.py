@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import bulk, comparison, coverage, enrichment, evaluation, food_groups, ingest, matching, protein, readiness, reporting, review, rules, vector_index
+from granary.operators import bulk, comparison, coverage, enrichment, evaluation, fingerprint, food_groups, ingest, matching, protein, readiness, reporting, review, rule_tables, rules, vector_index
 from granary.plans.projection import BASE, PT_GROUP, STEP2, purchases, step2
 from granary.session import dealt, materialize, prepare, shared_folder, table
 from granary.sources import exports, history
@@ -1121,3 +1121,34 @@ def vector_index_cache(spark, sf_dir):
     return runs[2][0].agg(F.count("*").alias("n_rows"), F.count_distinct("key").alias("n_texts"), F.round(F.sum(length), 3).alias("unit_vectors")).select(
         "n_rows", "n_texts", *[F.lit(n["embedded"]).cast("long").alias(c) for n, c in zip(counts, ("first_embedded", "then_embedded", "last_embedded"))], "unit_vectors"
     )
+
+
+NESTED = [
+    {"id": "n1", "priority": 3, "category": {"group": "round", "own": True}, "when": {"all_of": [{"any_of": [{"name_or_category_contains": ["ring", "gear"]}, {"brand_in": ["Brand#9"]}]}, {"all_of": [{"name_or_category_contains": "re"}, {"any_of": [{"labels_contains": ["Big"]}, {"brand_in": ["brand#1", "brand#3"]}]}]}]}},
+    {"id": "n2", "priority": 1, "category": {"own": True, "group": "round"}, "when": {"labels_contains": ["big"]}},
+    {"id": "n3", "priority": 2, "category": {"group": "round", "own": False}, "when": {"ingredients_contains": ["steel rod"]}},
+]
+
+
+@query("""WITH h AS (SELECT p_partkey AS product_id, lower(p_name || ' ' || p_type || ' ') AS t, lower(p_brand) AS b, p_size > 40 AS big, contains(p_name || ' of steel ' || split_part(p_name, ' ', 2), 'steel rod') AS rod FROM part),
+f AS (SELECT product_id, (contains(t, 'ring') OR contains(t, 'gear') OR b = 'brand#9') AND contains(t, 're') AND (big OR b IN ('brand#1', 'brand#3')) AS n1, big AS n2, rod AS n3 FROM h)
+SELECT product_id, CASE WHEN NOT n1 AND NOT n2 AND NOT n3 THEN 'pass_through' WHEN n3 AND (n1 OR n2) THEN 'collision' ELSE 'matched' END AS verdict,
+       CASE WHEN n3 AND NOT (n1 OR n2) THEN '{"group": "round", "own": false}' WHEN NOT n3 AND (n1 OR n2) THEN '{"group": "round", "own": true}' END AS category,
+       concat_ws(',', CASE WHEN n2 THEN 'n2' END, CASE WHEN n3 THEN 'n3' END, CASE WHEN n1 THEN 'n1' END) AS rule_ids FROM f""")
+def rule_table_verdicts(spark, sf_dir):
+    """Nested rules and categories with fields, from tables."""
+    noun = F.element_at(F.split("product_name", " "), 2)
+    rows = part_products(spark, sf_dir).withColumn("labels", F.when(F.col("p_size") > 40, F.array(F.lit("big"))).otherwise(F.array().cast("array<string>"))).withColumn("ingredients_text", F.concat("product_name", F.lit(" of steel "), noun))
+    return rule_tables.verdicts(rows, NESTED).select("product_id", "verdict", "category", "rule_ids")
+
+
+@query("""WITH s AS (SELECT p_brand AS upload, p_partkey AS id, p_name AS name, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part),
+f AS (SELECT upload, n, max(CASE WHEN n % 4 = 2 AND contains(name, 'ring') THEN 1 ELSE 0 END) AS renamed FROM s GROUP BY ALL)
+SELECT upload, upload AS catalogue, CASE WHEN renamed = 1 THEN 'ids' ELSE 'lines' END AS how FROM f WHERE n % 4 IN (0, 2)""")
+def catalogue_fingerprints(spark, sf_dir):
+    """The parts of a brand as uploads: as they are, with a line twice, with other names, with a line more."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.substring("p_brand", 7, 3).cast("int").alias("n"))
+    name = F.when((F.col("n") % 4 == 2) & F.col("name").contains("ring"), F.lit("another")).otherwise(F.upper("name"))
+    lines = part.select(F.col("p_brand").alias("upload"), "id", name.alias("name"), "n")
+    more = lines.filter("n % 4 = 1").unionByName(lines.filter("n % 4 = 3").withColumn("id", -F.col("id") - 1))
+    return fingerprint.recognised(lines.unionByName(more).select("upload", "id", "name"), part.select(F.col("p_brand").alias("catalogue"), "id", "name"))
