@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import bulk, comparison, coverage, enrichment, evaluation, fingerprint, food_groups, ingest, matching, protein, readiness, reporting, review, rule_tables, rules, vector_index
+from granary.operators import bulk, comparison, coverage, enrichment, evaluation, fingerprint, food_groups, ingest, ingredients, matching, protein, readiness, reporting, review, rule_tables, rules, vector_index
 from granary.plans.projection import BASE, PT_GROUP, STEP2, purchases, step2
 from granary.session import dealt, materialize, prepare, shared_folder, table
-from granary.sources import exports, history
+from granary.sources import exports, history, run_exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1152,3 +1152,58 @@ def catalogue_fingerprints(spark, sf_dir):
     lines = part.select(F.col("p_brand").alias("upload"), "id", name.alias("name"), "n")
     more = lines.filter("n % 4 = 1").unionByName(lines.filter("n % 4 = 3").withColumn("id", -F.col("id") - 1))
     return fingerprint.recognised(lines.unionByName(more).select("upload", "id", "name"), part.select(F.col("p_brand").alias("catalogue"), "id", "name"))
+
+
+RUN = {"run_id": "r1", "methodology": "protein_tracker", "methodology_version": "1.0", "methodology_source_edition": "2024", "taxonomy_version": "t1", "rules_version": "v1", "reporting_period_label": "FY, 2024"}
+
+
+def export_sides(spark, sf_dir):
+    """Masters of all parts, and classifications of six in seven."""
+    part = table(spark, sf_dir, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    channel = F.when(size % 4 == 0, "fresh").when(size % 4 == 1, "frozen").when(size % 4 == 2, "grocery_ambient")
+    masters = part.select(key.alias("product_id"), F.concat(F.lit("E"), key).alias("external_product_id"), F.concat("p_name", F.when(size % 3 == 0, ', "new"').otherwise("")).alias("product_name"), F.when(size % 2 == 0, F.col("p_brand")).alias("brand"), (size % 2 == 0).alias("is_own_brand"), channel.alias("retail_channel"))
+    kind = size % 3
+    classified = part.filter(size % 7 != 0).select(
+        key.alias("product_id"), F.when(kind == 0, "deterministic").when(kind == 1, "ai").otherwise("manual_review").alias("classification_source"), F.when(kind != 1, "1").otherwise("0.8").cast("decimal(18,8)").alias("classification_confidence"),
+        F.when(kind == 0, F.concat(F.lit("r"), size)).alias("classification_rule_id"), F.when(kind == 1, "m1").alias("classification_ai_model"), F.when(kind == 2, F.concat(F.lit("u"), size)).alias("classification_reviewer_user_id"),
+    )
+    return masters, classified
+
+
+SIDES_SQL = ''''E' || product_id || ',' || CASE WHEN p_size % 3 = 0 THEN '"' || p_name || ', ""new"""' ELSE p_name END || ',' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END'''
+CLASSIFIED_SQL = """CASE WHEN p_size % 7 = 0 THEN ',,,,' ELSE CASE p_size % 3 WHEN 0 THEN 'deterministic,1.00000000,r' || p_size || ',,' WHEN 1 THEN 'ai,0.80000000,,m1,' ELSE 'manual_review,1.00000000,,,u' || p_size END END"""
+
+
+@query(f"""WITH {BASE} SELECT l_orderkey, l_linenumber, 'r1,protein_tracker,1.0,2024,t1,v1,"FY, 2024",' || product_id || ',' || {SIDES_SQL} || ',' || pt_group || ',' || printf('%.8f', p_size / 1000.0) || ',' || printf('%.8f', grams / p_size) || ',' || printf('%.8f', grams / 1000.0)
+ || ',' || printf('%.8f', pct * 1.0) || ',' || CASE WHEN product_id % 2 = 0 THEN 'label' ELSE 'reference_db' END || ',' || CASE WHEN pt_group IN ('out_of_scope', 'unknown') THEN '0.00000000' ELSE printf('%.8f', grams * pct / 100000.0) END || ',false,,,' || {CLASSIFIED_SQL} AS line FROM base WHERE pct IS NOT NULL""")
+def export_pt_csv(spark, sf_dir):
+    """The line of each row of the run, as the file holds it."""
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir))).withColumnRenamed("used_split", "used_per_product_split")
+    export = run_exports.cells(rows, run_exports.PT_COLUMNS, RUN, *export_sides(spark, sf_dir), keep=["l_orderkey", "l_linenumber"])
+    return export.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), run_exports.csv_line(run_exports.PT_COLUMNS).alias("line"))
+
+
+@query(f"""WITH {BASE} SELECT l_orderkey, l_linenumber, 'r1,protein_tracker,1.0,2024,t1,v1,"FY, 2024",' || product_id || ',' || {SIDES_SQL} || ',' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ',' || CASE p_size % 4 WHEN 0 THEN 'fresh' WHEN 1 THEN 'frozen' WHEN 2 THEN 'grocery_ambient' ELSE '' END
+ || ',' || food_group || ',' || coalesce(subgroup, '') || ',' || CASE WHEN is_composite THEN 'true' ELSE 'false' END || ',' || bucket || ',' || printf('%.8f', p_size / 1000.0) || ',' || printf('%.8f', grams / p_size) || ',' || printf('%.8f', grams / 1000.0)
+ || ',' || CASE WHEN food_group = 'FG2' THEN printf('%.8f', grams * CASE WHEN subgroup = 'cheese' THEN 10 ELSE 1 END / 1000.0) ELSE '' END
+ || ',' || CASE WHEN is_composite THEN '"[{{""food_group"":""FG1"",""subgroup"":""legumes"",""ingredient_weight_kg_per_item"":""0.01000000""}},{{""food_group"":""FG2"",""subgroup"":""cheese"",""ingredient_weight_kg_per_item"":""0.00500000""}}]"' ELSE '' END || ',' || {CLASSIFIED_SQL} AS line FROM base""")
+def export_wwf_csv(spark, sf_dir):
+    names = {"food_group": "wwf_food_group", "subgroup": "wwf_subgroup", "is_composite": "wwf_is_composite", "bucket": "wwf_composite_step1_bucket", "weight_kg_dairy": "weight_kg_dairy_equiv"}
+    rows = food_groups.run_rows(purchases(spark, sf_dir)).withColumnsRenamed(names)
+    export = run_exports.cells(rows, run_exports.WWF_COLUMNS, RUN, *export_sides(spark, sf_dir), run_exports.ingredients_json(step2(spark, sf_dir)), keep=["l_orderkey", "l_linenumber"])
+    return export.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), run_exports.csv_line(run_exports.WWF_COLUMNS).alias("line"))
+
+
+@query("""WITH i AS (SELECT p_partkey AS id, place, p_size % 9 AS n, p_size FROM part, (VALUES (0), (1)) t(place)),
+c AS (SELECT id, place, CASE WHEN n = 0 THEN 'FG3' WHEN n = 1 THEN 'FG7' WHEN n = 2 THEN 'FGx' WHEN n = 3 THEN NULL WHEN n = 4 THEN 'FG1' WHEN n = 5 THEN 'FG5' ELSE 'FG2' END AS g, CASE WHEN n = 5 THEN 'rye' WHEN n >= 6 THEN 'cheese' END AS s, CASE n WHEN 6 THEN '0' WHEN 7 THEN 'x' ELSE '0.01' END AS w, n FROM i)
+SELECT CAST(id AS VARCHAR) AS external_product_id, place, CASE n WHEN 1 THEN 'food_group' WHEN 2 THEN 'food_group' WHEN 3 THEN 'food_group' WHEN 4 THEN 'subgroup' WHEN 5 THEN 'subgroup' WHEN 6 THEN 'ingredient_weight_kg_per_item' WHEN 7 THEN 'ingredient_weight_kg_per_item' END AS field,
+       CASE n WHEN 1 THEN 'not_decomposed' WHEN 2 THEN 'invalid_enum' WHEN 3 THEN 'required' WHEN 4 THEN 'required' WHEN 5 THEN 'invalid_enum' WHEN 6 THEN 'non_positive' WHEN 7 THEN 'invalid_type' END AS code,
+       concat_ws(',', CASE WHEN n IN (0, 8) AND place = 1 THEN 'duplicate' END, CASE WHEN n = 0 THEN 'fg3_without_subgroup' END) AS warnings FROM c""")
+def ingredient_errors(spark, sf_dir):
+    """A companion for each part, with the same ingredient twice."""
+    n = F.col("p_size") % 9
+    group = F.when(n == 0, "FG3").when(n == 1, "FG7").when(n == 2, "FGx").when(n == 3, None).when(n == 4, "FG1").when(n == 5, "FG5").otherwise("FG2")
+    item = F.struct(group.alias("food_group"), F.when(n == 5, "rye").when(n >= 6, "cheese").alias("subgroup"), F.when(n == 6, "0").when(n == 7, "x").otherwise("0.01").alias("ingredient_weight_kg_per_item"))
+    made = table(spark, sf_dir, "part").select(F.to_json(F.create_map(F.col("p_partkey").cast("string"), F.struct(F.array(item, item).alias("ingredients")))).alias("json"))
+    return ingredients.ingredient_checks(ingredients.items_of(made)).select("external_product_id", "place", "field", "code", F.array_join("warnings", ",").alias("warnings"))

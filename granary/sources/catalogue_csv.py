@@ -139,18 +139,6 @@ def parse_companion(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     return items.select(*keep, "external_product_id", "place", "i.food_group", "i.subgroup", F.col("i.ingredient_weight_kg_per_item").alias("weight_kg_per_item"))
 
 
-def ingredient_errors() -> Column:
-    """Codes of what is wrong with an ingredient: its group, its subgroup, its weight."""
-    sub, group = F.col("subgroup"), F.col("food_group")
-    return F.array_compact(
-        F.array(
-            F.when(~F.coalesce(group.isin([f"FG{k}" for k in range(1, 7)]), F.lit(False)), "unknown_food_group"),
-            F.when(group.isin("FG1", "FG2") & sub.isNull(), "missing_subgroup"),
-            F.when(F.coalesce(F.col("weight_kg_per_item"), F.lit(0)) <= 0, "weight_non_positive"),
-        )
-    )
-
-
 def read_reference(spark: SparkSession, path: str) -> DataFrame:
     """Foods of a reference table: its separator is found out, decimal commas are read, `-` is null, `< x` marks what is below detection.
 
