@@ -21,7 +21,18 @@ def compared(before: DataFrame, after: DataFrame, key: str, value: str, least: f
     """Full outer join of two runs; a key that one run lacks counts 0 there."""
     a = before.select(F.col(key), F.col(value).alias("before"))
     b = after.select(F.col(key), F.col(value).alias("after"))
-    joined = a.join(b, key, "full_outer").na.fill(0, ["before", "after"])
+    return moved(a.join(b, key, "full_outer"), least)
+
+
+def by_run(rows: DataFrame, key: str, value: str, run: Column, before: object, after: object) -> DataFrame:
+    """key, before, after: sums of a value in two runs whose rows lie in one table, in one pass. Keys without a row in either are missing."""
+    total = lambda x: F.sum(F.when(run == F.lit(x), F.col(value))).cast("double")
+    return rows.filter(run.isin(before, after)).groupBy(key).agg(total(before).alias("before"), total(after).alias("after"))
+
+
+def moved(joined: DataFrame, least: float = MOVED_PP) -> DataFrame:
+    """Add delta and direction to before and after; a missing one counts 0."""
+    joined = joined.na.fill(0, ["before", "after"])
     delta = F.col("after") - F.col("before")
     return joined.withColumn("delta", delta).withColumn("direction", direction(F.col("delta"), least))
 

@@ -66,12 +66,17 @@ def pt_headline_share(spark, sf_dir):
     return protein.headline(rows).select(real("plant_protein_kg"), real("animal_protein_kg"), real("total_protein_kg"), real("plant_share_pct", 4), real("animal_share_pct", 4))
 
 
-@query(f"""WITH {BASE}, k AS (SELECT * FROM base WHERE pct IS NOT NULL)
-SELECT count(*) FILTER (product_id % 2 = 0) AS rows_label, count(*) FILTER (product_id % 2 <> 0) AS rows_reference, count(*) FILTER (pt_group = 'out_of_scope') AS out_of_scope_count,
-       count(*) FILTER (pt_group = 'unknown') AS unknown_count, CAST(0 AS BIGINT) AS enriched_count, CAST(0 AS BIGINT) AS rows_with_split,
-       (SELECT count(*) FROM base WHERE pct IS NULL) AS missing_protein_count FROM k""")
+@query(f"""WITH {BASE}, k AS (SELECT *, pct IS NOT NULL AS own, coalesce(pct, CASE WHEN product_id % 3 = 0 THEN 5 END) AS p FROM base)
+SELECT count(*) FILTER (own AND product_id % 2 = 0) AS rows_label, count(*) FILTER (own AND product_id % 2 <> 0) AS rows_reference, count(*) FILTER (p IS NOT NULL AND pt_group = 'out_of_scope') AS out_of_scope_count,
+       count(*) FILTER (p IS NOT NULL AND pt_group = 'unknown') AS unknown_count, count(*) FILTER (p IS NOT NULL AND NOT own) AS enriched_count,
+       count(*) FILTER (pt_group = 'composite_products' AND (own AND p_size % 2 = 0 OR NOT own AND p IS NOT NULL)) AS rows_with_split, count(*) FILTER (p IS NULL) AS missing_protein_count FROM k""")
 def pt_quality_counters(spark, sf_dir):
-    products = protein.resolved(purchases(spark, sf_dir))
+    """Parts of even size give a split of their own protein, and a third of the parts have an enrichment with one."""
+    share = lambda x: F.when(F.col("p_size") % 2 == 0, F.col("protein_pct") * F.lit(x).cast("decimal(3,2)")).cast("decimal(18,10)")
+    own = purchases(spark, sf_dir).withColumn("plant_protein_pct", share("0.40")).withColumn("animal_protein_pct", share("0.60"))
+    value = lambda x: F.lit(x).cast("decimal(18,10)")
+    more = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("product_id"), value("5").alias("protein_pct"), F.lit("reference_a").alias("source"), value("2").alias("plant_protein_pct"), value("3").alias("animal_protein_pct"))
+    products = protein.resolved(own, more)
     return protein.counters(products, protein.run_rows(products))
 
 
@@ -110,18 +115,15 @@ def wwf_step2_distribution(spark, sf_dir):
     return parts.groupBy("product_id", "food_group", "subgroup").agg(F.sum("weight_kg").cast("double").alias("weight_kg"), F.count("*").alias("n_rows"))
 
 
-def year_of(df, year):
-    return df.filter((F.col("l_shipdate") >= F.lit(f"{year}-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit(f"{year + 1}-01-01").cast("timestamp")))
-
-
 @query(f"""WITH {BASE}, r AS (SELECT pt_group, year(l_shipdate) AS y, sum(grams * pct) AS v FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY ALL),
 j AS (SELECT g AS pt_group, coalesce((SELECT v FROM r WHERE pt_group = g AND y = 1996), 0) / 100000.0 AS before, coalesce((SELECT v FROM r WHERE pt_group = g AND y = 1997), 0) / 100000.0 AS after
       FROM (VALUES ('plant_based_core'), ('plant_based_non_core'), ('composite_products'), ('animal_core')) AS x(g))
 SELECT pt_group, before, after, round(after - before, 4) AS delta, CASE WHEN after - before > 0.1 THEN 'up' WHEN after - before < -0.1 THEN 'down' ELSE 'flat' END AS direction FROM j""")
 def run_comparison_pt(spark, sf_dir):
-    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir)))
-    runs = [protein.group_totals(year_of(rows, y)).select("pt_group", real("protein_kg")) for y in (1996, 1997)]
-    return comparison.compared(*runs, "pt_group", "protein_kg").select("pt_group", "before", "after", real("delta", 4), "direction")
+    rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir))).filter("in_scope")
+    sums = comparison.by_run(rows, "pt_group", "full_protein_kg", F.year("l_shipdate"), 1996, 1997)
+    groups = spark.createDataFrame([(g,) for g in protein.GROUPS], "pt_group string")
+    return comparison.moved(groups.join(sums, "pt_group", "left")).select("pt_group", "before", "after", real("delta", 4), "direction")
 
 
 @query(f"""WITH {BASE}, r AS (SELECT food_group, year(l_shipdate) AS y, sum(grams) AS v FROM base WHERE NOT is_composite GROUP BY ALL),
@@ -130,35 +132,52 @@ j AS (SELECT coalesce(a.food_group, b.food_group) AS food_group, coalesce(a.v, 0
 SELECT food_group, before, after, round(after - before, 4) AS delta, CASE WHEN after - before > 0.001 THEN 'up' WHEN after - before < -0.001 THEN 'down' ELSE 'flat' END AS direction FROM j""")
 def run_comparison_wwf(spark, sf_dir):
     parts = food_groups.run_rows(purchases(spark, sf_dir)).filter("not is_composite")
-    runs = [year_of(parts, y).groupBy("food_group").agg(F.sum("weight_kg").cast("double").alias("kg")) for y in (1996, 1997)]
-    return comparison.compared(*runs, "food_group", "kg", comparison.MOVED_FRACTION).select("food_group", "before", "after", real("delta", 4), "direction")
-
-
-OPERATIONS = [
-    (1, 1, "shift_protein_between_groups", "animal_core", "plant_based_core", "20.5", None, None), (2, 2, "increase_plant_core_protein", None, None, "10", None, None),
-    (3, 3, "reduce_animal_core_protein", None, None, "1000000000", None, None), (4, 4, "improve_composite_split", None, None, None, "60", "40"), (5, 5, "improve_composite_split", None, None, None, "70", "30"),
-    (6, 6, "improve_composite_split", None, None, None, "80", "30"), (7, 7, "shift_protein_between_groups", "unknown", "animal_core", "5", None, None), (8, 8, "increase_plant_core_protein", None, None, "-1", None, None),
-    (9, 9, "increase_plant_core_protein", None, None, "many", None, None), (10, 10, "shift_protein_between_groups", "composite_products", "composite_products", "7", None, None),
-]
+    sums = comparison.by_run(parts, "food_group", "weight_kg", F.year("l_shipdate"), 1996, 1997)
+    return comparison.moved(sums, comparison.MOVED_FRACTION).select("food_group", "before", "after", real("delta", 4), "direction")
+
+
+def operations(spark, sf_dir):
+    """An operation for each event."""
+    k = F.coalesce("k", F.lit(0))
+    kind = F.element_at(F.create_map(*map(F.lit, ["click", comparison.OPERATIONS[0], "view", comparison.OPERATIONS[1], "error", comparison.OPERATIONS[2], "purchase", comparison.OPERATIONS[3]])), F.col("event_type"))
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (k % n + 1).cast("int"))
+    return events(spark, sf_dir).select(
+        F.col("event_id").alias("op_id"), F.col("event_id").alias("op_order"), F.coalesce(kind, F.lit("dance")).alias("operation_type"), pick(5, *protein.GROUPS, "unknown").alias("from_group"),
+        pick(3, "animal_core", "plant_based_core", "out_of_scope").alias("to_group"), F.when(k % 7 == 0, "-1").when(k % 7 == 1, "many").otherwise(k.cast("string")).alias("amount_kg"),
+        k.cast("string").alias("plant_pct"), F.when(k % 4 == 0, 90 - k).otherwise(100 - k).cast("string").alias("animal_pct"),
+    )
 
 
-def operations(spark):
-    return spark.createDataFrame(OPERATIONS, "op_id int, op_order int, operation_type string, from_group string, to_group string, amount_kg string, plant_pct string, animal_pct string")
+OPERATIONS = f"""{EVENTS},
+o AS (
+  SELECT event_id, event_type, coalesce(k, 0) AS k, ['plant_based_core', 'plant_based_non_core', 'composite_products', 'animal_core', 'unknown'][coalesce(k, 0) % 5 + 1] AS src, ['animal_core', 'plant_based_core', 'out_of_scope'][coalesce(k, 0) % 3 + 1] AS dst,
+         CASE WHEN coalesce(k, 0) % 4 = 0 THEN 90 ELSE 100 END - coalesce(k, 0) AS animal, CASE coalesce(k, 0) % 7 WHEN 0 THEN 'negative_amount_kg' WHEN 1 THEN 'unparseable_amount_kg' END AS amount FROM e),
+w AS (
+  SELECT *, CASE WHEN event_type NOT IN ('click', 'view', 'error', 'purchase') THEN 'unknown_operation_type'
+                 WHEN event_type = 'click' AND src = 'unknown' THEN 'invalid_from_group' WHEN event_type = 'click' AND dst = 'out_of_scope' THEN 'invalid_to_group'
+                 WHEN event_type = 'purchase' THEN CASE WHEN animal < 0 THEN 'negative_split' WHEN k % 4 = 0 THEN 'split_not_100' END ELSE amount END AS warning FROM o),
+d AS (
+  SELECT g AS pt_group, sum(x) AS d FROM (
+    SELECT src AS g, -k AS x FROM w WHERE event_type = 'click' AND warning IS NULL UNION ALL SELECT dst, k FROM w WHERE event_type = 'click' AND warning IS NULL
+    UNION ALL SELECT 'plant_based_core', k FROM w WHERE event_type = 'view' AND warning IS NULL UNION ALL SELECT 'animal_core', -k FROM w WHERE event_type = 'error' AND warning IS NULL) GROUP BY 1),
+g AS (SELECT pt_group, sum(grams * pct) / 100000.0 AS b FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY 1),
+p AS (
+  SELECT n AS pt_group, coalesce(b, 0) AS b, coalesce(d, 0) AS d, (SELECT arg_max(k, event_id) FROM w WHERE event_type = 'purchase' AND warning IS NULL) AS split
+  FROM (VALUES ('plant_based_core'), ('plant_based_non_core'), ('composite_products'), ('animal_core')) AS x(n) LEFT JOIN g ON g.pt_group = n LEFT JOIN d ON d.pt_group = n)"""
 
 
-@query(f"""WITH {BASE}, g AS (SELECT pt_group, sum(grams * pct) / 100000.0 AS b FROM base WHERE pct IS NOT NULL AND pt_group NOT IN ('out_of_scope', 'unknown') GROUP BY 1),
-d(pt_group, d) AS (VALUES ('animal_core', -1000000020.5), ('plant_based_core', 30.5), ('plant_based_non_core', 0), ('composite_products', 0))
-SELECT pt_group, round(coalesce(b, 0), 4) :: DOUBLE AS base_kg, round(greatest(0, coalesce(b, 0) + d), 4) :: DOUBLE AS projected_kg, coalesce(b, 0) + d < 0 AS clamped,
-       CASE WHEN pt_group = 'composite_products' THEN 0.7 WHEN pt_group LIKE 'plant%' THEN 1.0 ELSE 0.0 END :: DOUBLE AS plant_fraction FROM d LEFT JOIN g USING (pt_group)""")
+@query(f"""WITH {BASE}, {OPERATIONS} SELECT pt_group, round(b, 4) :: DOUBLE AS base_kg, round(greatest(0, b + d), 4) :: DOUBLE AS projected_kg, b + d < 0 AS clamped,
+       CASE WHEN pt_group = 'composite_products' THEN coalesce(split / 100.0, 0.5) WHEN pt_group LIKE 'plant%' THEN 1.0 ELSE 0.0 END :: DOUBLE AS plant_fraction FROM p""")
 def scenario_projection(spark, sf_dir):
     groups = protein.group_totals(protein.run_rows(protein.resolved(purchases(spark, sf_dir))))
-    return comparison.scenario(groups, operations(spark)).select("pt_group", real("base_kg", 4), real("projected_kg", 4), "clamped", "plant_fraction")
+    return comparison.scenario(groups, operations(spark, sf_dir)).select("pt_group", real("base_kg", 4), real("projected_kg", 4), "clamped", "plant_fraction")
 
 
-@query("""SELECT * FROM (VALUES ('6', 'split_not_100'), ('7', 'invalid_from_group'), ('8', 'negative_amount_kg'), ('9', 'unparseable_amount_kg'), ('animal_core', 'clamped_to_zero')) AS t(subject, warning)""")
+@query(f"""WITH {BASE}, {OPERATIONS} SELECT CAST(event_id AS VARCHAR) AS subject, warning FROM w WHERE warning IS NOT NULL UNION ALL SELECT pt_group, 'clamped_to_zero' FROM p WHERE b + d < 0""")
 def scenario_warnings(spark, sf_dir):
     groups = protein.group_totals(protein.run_rows(protein.resolved(purchases(spark, sf_dir))))
-    return comparison.scenario_warnings(operations(spark), comparison.scenario(groups, operations(spark)))
+    made = operations(spark, sf_dir)
+    return comparison.scenario_warnings(made, comparison.scenario(groups, made))
 
 
 def records(spark, sf_dir):
@@ -352,10 +371,10 @@ def methodology_downgrade(spark, sf_dir):
     return ingest.satisfiable(some).groupBy(F.concat_ws(",", "methodologies").alias("methodologies"), F.concat_ws(",", "notes").alias("notes")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT p_brand AS source, CASE p_type WHEN 'ECONOMY' THEN 'plant_based_core' WHEN 'STANDARD' THEN 'plant_based_non_core' WHEN 'MEDIUM' THEN 'composite_products' WHEN 'LARGE' THEN 'animal_core' WHEN 'PROMO' THEN 'out_of_scope' ELSE 'unknown' END AS pt_group FROM part WHERE p_size > 10)
+@query("""WITH c AS (SELECT p_brand AS source, CASE p_type WHEN 'ECONOMY' THEN 'plant_based_core' WHEN 'STANDARD' THEN 'plant_based_non_core' WHEN 'MEDIUM' THEN 'composite_products' WHEN 'LARGE' THEN 'animal_core' WHEN 'PROMO' THEN 'out_of_scope' ELSE 'unknown' END AS pt_group FROM part)
 SELECT 'source' AS facet, source AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'pt_group', pt_group, count(*) FROM c GROUP BY ALL""")
 def classification_facets(spark, sf_dir):
-    p = part_classes(spark, sf_dir).filter("p_size > 10")
+    p = part_classes(spark, sf_dir)
     return coverage.facets(p, "source", "pt_group")
 
 
@@ -742,10 +761,10 @@ def latest_runs(spark, sf_dir):
     return reporting.latest_finished(runs, ["project_id", "methodology"]).select("project_id", "methodology", "run_id")
 
 
-@query("""SELECT n_nationkey AS project_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS n_products, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_runs FROM nation""")
+@query("""SELECT n_nationkey AS project_id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_products, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_runs FROM nation""")
 def project_counts(spark, sf_dir):
     projects = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"))
-    return reporting.counted_projects(projects, table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("project_id")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id")))
+    return reporting.counted_projects(projects, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project_id")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("project_id")))
 
 
 @query("""SELECT count(*) AS n_rows, count(DISTINCT l_partkey) AS n_products FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#7')""")
@@ -793,11 +812,11 @@ def duplicate_audit(spark, sf_dir):
     return reporting.duplicates(records(spark, sf_dir), ["product_id", "prio"])
 
 
-@query("""WITH w AS (SELECT l_partkey AS product_id, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS name FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+@query("""WITH w AS (SELECT l_partkey AS product_id, arg_min(l_returnflag, (l_orderkey, l_linenumber)) AS name FROM lineitem GROUP BY 1)
 SELECT CASE WHEN w.name IS NULL THEN 'no_reference' WHEN CASE WHEN p_size % 2 = 0 THEN 'R' ELSE 'A' END = w.name THEN 'up_to_date' ELSE 'would_update' END AS status, count(*) AS n FROM part LEFT JOIN w ON w.product_id = p_partkey GROUP BY 1""")
 def metadata_backfill(spark, sf_dir):
     recs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_partkey").alias("record_id"), F.create_map(F.lit("name"), F.when(F.col("p_size") % 2 == 0, "R").otherwise("A")).alias("metadata"))
-    want = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("name"), F.lit(None).cast("string").alias("code"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
+    want = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_returnflag").alias("name"), F.lit(None).cast("string").alias("code"), F.struct("l_orderkey", "l_linenumber").alias("ord"))
     return reporting.backfill(recs, want).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -857,14 +876,14 @@ def preflight_food_groups(spark, sf_dir):
     return readiness.food_preflight(readiness.food_states(p))
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT user_id, {REASON} AS reason FROM e WHERE event_type <> 'view'), u AS (SELECT p_partkey AS id, p_type FROM part WHERE p_partkey % 2 = 0),
+@query(f"""WITH {EVENTS}, r AS (SELECT user_id, {REASON} AS reason FROM e), u AS (SELECT p_partkey AS id, p_type FROM part),
 c AS (SELECT count(*) FILTER (p_type IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO')) AS cat, count(*) FILTER (p_type NOT IN ('ECONOMY', 'STANDARD', 'MEDIUM', 'LARGE', 'PROMO')) AS unk, count(*) FILTER (p_type = 'PROMO') AS oos FROM u),
 v AS (SELECT count(*) AS rev, count(*) FILTER (reason IN ('ai_parse_failed', 'ai_provider_error')) AS failed FROM r WHERE user_id IN (SELECT id FROM u))
 SELECT cat AS categorized_total, unk AS unknown_total, oos AS out_of_scope_total, rev AS review_required_total, failed AS failed_total, greatest(0, cat - rev) AS accepted_total FROM c, v""")
 def job_progress(spark, sf_dir):
     every = part_classes(spark, sf_dir)
-    items = queue(spark, sf_dir).join(events(spark, sf_dir).filter("event_type <> 'view'").select("event_id"), "event_id", "left_semi").select(F.col("user_id").alias("product_id"), "reason")
-    return readiness.progress(every.filter("product_id % 2 = 0"), every.select("product_id", "pt_group"), items)
+    items = queue(spark, sf_dir).select(F.col("user_id").alias("product_id"), "reason")
+    return readiness.progress(every, every.select("product_id", "pt_group"), items)
 
 
 @query("""SELECT sum(o_custkey) :: BIGINT AS total_uploaded, sum(o_custkey - o_custkey % 10) :: BIGINT AS total_valid, sum(o_orderkey % 4) :: BIGINT AS total_errors, sum(o_orderkey % 3) :: BIGINT AS total_warnings, sum(o_custkey % 10) :: BIGINT AS invalid_rows FROM orders WHERE o_orderstatus = 'F'""")
@@ -884,12 +903,12 @@ def same_upload(spark, sf_dir):
 
 @query(f"""WITH {EVENTS}, q AS (SELECT event_id, user_id AS product_id, {REASON} AS reason, CASE WHEN event_id % 2 = 0 THEN 'protein_tracker' ELSE 'food_groups' END AS methodology FROM e),
 c AS (SELECT p_partkey AS product_id, 'protein_tracker' AS methodology, p_type AS category FROM part WHERE p_partkey % 3 = 0)
-SELECT event_id, product_id, p_name AS product_name, methodology, category, reason, 'critical' AS priority FROM q JOIN part ON p_partkey = product_id LEFT JOIN c USING (product_id, methodology) WHERE reason IN ('contradiction_detected', 'ai_parse_failed', 'ai_provider_error')""")
+SELECT event_id, product_id, p_name AS product_name, methodology, category, reason, CASE WHEN reason IN ('contradiction_detected', 'ai_parse_failed', 'ai_provider_error') THEN 'critical' WHEN reason = 'rule_collision' THEN 'high' WHEN reason = 'low_confidence' THEN 'medium' ELSE 'low' END AS priority FROM q JOIN part ON p_partkey = product_id LEFT JOIN c USING (product_id, methodology)""")
 def review_list(spark, sf_dir):
     items = queue(spark, sf_dir).select("event_id", F.col("user_id").alias("product_id"), "reason", F.when(F.col("event_id") % 2 == 0, "protein_tracker").otherwise("food_groups").alias("methodology"))
     part = table(spark, sf_dir, "part")
     classes = part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("product_id"), F.lit("protein_tracker").alias("methodology"), F.col("p_type").alias("category"))
-    found = readiness.review_list(items, part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")), classes, "critical")
+    found = readiness.review_list(items, part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")), classes)
     return found.select("event_id", "product_id", "product_name", "methodology", "category", "reason", "priority")
 
 
