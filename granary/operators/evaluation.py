@@ -20,6 +20,51 @@ def classification_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
+def full_metrics(cases: DataFrame, least: float = 0.90) -> DataFrame:
+    """One row of all figures over cases (expected, predicted, confidence, review, name[, expected_composite, composite, expected_bucket, bucket]); cases without truth don't count.
+
+    A case is accepted by itself from a confidence on, unless it is for review. One without a prediction abstains: unknown_readable if it has a name, else failed.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    n = lambda c, name: F.count_if(yes(c)).alias(name)
+    c = F.col
+    for x, t in (("expected_composite", "boolean"), ("composite", "boolean"), ("expected_bucket", "string"), ("bucket", "string")):
+        if x not in cases.columns:
+            cases = cases.withColumn(x, F.lit(None).cast(t))
+    none, right = F.coalesce(c("predicted"), F.lit("")) == "", c("expected") == c("predicted")
+    auto, named = (c("confidence") >= least) & ~yes(c("review")), F.length(F.trim(F.coalesce("name", F.lit("")))) > 0
+    is_composite = yes(c("expected_composite"))
+    counts = cases.filter("expected is not null").agg(
+        F.count("*").alias("total"), n(right, "correct"), n(none, "abstained"), n(none & named, "unknown_readable"), n(none & ~named, "failed"), n(c("review"), "review_count"), n(auto, "auto_accepted"),
+        n(auto & yes(right), "auto_correct"), n(auto & ~yes(right) & ~none, "wrong_accepted"), n(is_composite == yes(c("composite")), "composite_flag_correct"), n(is_composite, "composite_buckets"),
+        n(is_composite & c("bucket").eqNullSafe(c("expected_bucket")), "composite_bucket_correct"),
+    )
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(c(a).cast("double"), c(b).cast("double")), F.lit(0.0)), 6)
+    return counts.withColumn("accuracy", share("correct", "total")).withColumn("auto_accept_accuracy", share("auto_correct", "auto_accepted")).withColumn("review_rate", share("review_count", "total"))
+
+
+def match_quality(cases: DataFrame, least: float = 0.90) -> DataFrame:
+    """One row of figures over matches (should_match, expected, matched, confidence, review, forbidden: actions of the gate on forbidden candidates).
+
+    precision: of matches sure enough to be taken, those that are right. A sure match that is wrong, a match that shouldn't be, and a forbidden candidate that
+    the gate accepts are false positives.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    n = lambda c, name: F.count_if(yes(c)).alias(name)
+    c = F.col
+    asked, found = yes(c("should_match")) & c("expected").isNotNull(), c("matched").isNotNull()
+    sure, right = (c("confidence") >= least) & ~yes(c("review")), c("matched") == c("expected")
+    taken = F.filter(F.coalesce("forbidden", F.array().cast("array<string>")), lambda a: a.startswith("accepted"))
+    counts = cases.agg(
+        F.count("*").alias("total"), n(asked, "should_match_total"), n(asked & found & yes(right), "matched_correct"), n(asked & found & sure, "high_confidence_total"), n(asked & found & sure & yes(right), "high_confidence_correct"),
+        n((asked & found & sure & ~yes(right)) | (~yes(c("should_match")) & found & ~yes(c("review"))), "wrong_matches"), F.coalesce(F.sum(F.size(F.coalesce("forbidden", F.array().cast("array<string>")))), F.lit(0)).alias("forbidden_total"),
+        F.coalesce(F.sum(F.size(taken)), F.lit(0)).alias("forbidden_accepted"), n((asked & ~found) | (~yes(c("should_match")) & ~(found & ~yes(c("review")))), "abstained"),
+    )
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
+    counts = counts.withColumn("false_positives", F.col("wrong_matches") + F.col("forbidden_accepted")).withColumn("precision", share(c("high_confidence_correct"), c("high_confidence_total")))
+    return counts.withColumn("forbidden_rejection", share(c("forbidden_total") - c("forbidden_accepted"), c("forbidden_total"))).drop("wrong_matches", "forbidden_accepted")
+
+
 def retrieval_metrics(ranks: DataFrame, at: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
     """One row over (case_id, rank; null if not found): coverage, recall at some ranks, mean rank."""
     share = lambda c: F.round(F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")), F.lit(0.0)), 6)

@@ -38,20 +38,6 @@ def exact_match(products: DataFrame, reference: DataFrame, names: tuple[str, ...
     return made.drop("__k", *[f"__{c}{k}" for k in range(len(names)) for c in "km"])
 
 
-def token_matches(left: DataFrame, right: DataFrame, k: int, left_cols=("left_id", "left_text"), right_cols=("right_id", "right_text"), head: Column | None = None) -> DataFrame:
-    """The k best references for each text by the number of shared words (5 more where `head` holds), then by reference id.
-
-    An equi-join on words, counted where they meet: no pair without a shared word is made.
-    """
-    a = left.select(F.col(left_cols[0]).alias("left_id"), F.explode(tokens(F.col(left_cols[1]))).alias("token"))
-    b = right.select(F.col(right_cols[0]).alias("right_id"), F.explode(tokens(F.col(right_cols[1]))).alias("token"))
-    pairs = a.join(b, "token").groupBy("left_id", "right_id").agg(F.count("*").alias("score"))
-    if head is not None:
-        pairs = pairs.withColumn("score", F.col("score") + F.when(head, 5).otherwise(0))
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def confidence(score: Column) -> Column:
     """The confidence of a match by so many shared words."""
     return F.when(score >= 3, 0.82).when(score == 2, 0.72).when(score == 1, 0.55)

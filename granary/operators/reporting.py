@@ -128,6 +128,23 @@ def backfill(records: DataFrame, desired: DataFrame) -> DataFrame:
     return joined.select("record_id", F.when(F.col("name").isNull() & F.col("code").isNull(), "no_reference").when(has, "up_to_date").otherwise("would_update").alias("status"))
 
 
-def project_states(edges: list[tuple[str, str]], before: Column, after: Column) -> Column:
+#: States of a project and those that each leads to.
+LIFECYCLE = {
+    "created": ["waiting_for_upload"],
+    "waiting_for_upload": ["uploaded"],
+    "uploaded": ["validation"],
+    "validation": ["classification", "review_required"],
+    "classification": ["review_required", "calculation"],
+    "review_required": ["calculation", "waiting_for_upload"],
+    "calculation": ["report_draft"],
+    "report_draft": ["report_under_review", "calculation"],
+    "report_under_review": ["report_approved", "report_draft"],
+    "report_approved": ["delivered"],
+    "delivered": ["archived"],
+    "archived": [],
+}
+
+
+def may_move(before: Column, after: Column, edges: dict[str, list[str]] = LIFECYCLE) -> Column:
     """Whether a project may go from one state to another."""
-    return F.concat_ws(">", before, after).isin([f"{a}>{b}" for a, b in edges])
+    return F.coalesce(F.concat_ws(">", before, after).isin([f"{a}>{b}" for a, some in edges.items() for b in some]), F.lit(False))

@@ -40,10 +40,6 @@ def expired(locked_at: Column, now: Column) -> Column:
     return locked_at.isNull() | (locked_at + F.expr(f"interval {LOCK_MINUTES} minutes") <= now)
 
 
-def held_by_other(locked_by: Column, locked_at: Column, me: Column, now: Column) -> Column:
-    return locked_by.isNotNull() & ~expired(locked_at, now) & (locked_by != me)
-
-
 def stale(jobs: DataFrame, now: Column) -> DataFrame:
     """Unfinished jobs without an update in half an hour."""
     return jobs.filter(~F.col("status").isin(TERMINAL) & (F.col("updated_at") < now - F.expr(f"interval {STALE_MINUTES} minutes")))
@@ -136,8 +132,3 @@ def disposition(records: DataFrame, key: str = "product_id") -> DataFrame:
     has = lambda c: F.coalesce(F.bool_or(own & c), F.lit(False))
     flags = records.groupBy(key).agg(has(F.col("kind") == "manual").alias("m"), has(F.col("kind") == "v2").alias("v2"), has((F.col("kind") == "v1") & F.col("value").isNotNull()).alias("v1"))
     return flags.select(key, F.when(F.col("m"), "skip_manual").when(F.col("v2"), "skip_v2").when(F.col("v1"), "skip_v1").otherwise("write").alias("disposition"))
-
-
-def replaced(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Delete and insert: rows of the keys that are new, and the others as they were."""
-    return table.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -65,6 +65,11 @@ def verdicts(products: DataFrame, rules: Sequence[Mapping[str, Any]], contradict
     return hits.withColumn("verdict", verdict).withColumn("category", F.when(F.col("verdict") == "matched", F.col("fired")[0]["category"])).withColumn("rule_ids", F.array_join(F.transform("fired", lambda x: x["id"]), ",")).drop("fired")
 
 
-def routed(confidence: Column, verdict: Column, threshold: float) -> Column:
-    """accepted, review or queued: confident answers pass, contradictions and collisions queue."""
-    return F.when(verdict.isin("contradiction", "collision"), "queued").when(confidence >= threshold, "accepted").otherwise("review")
+#: Confidences from which a class is accepted, and the most that a row which a guard corrected may have.
+THRESHOLDS, GUARDED = {"protein_tracker": 0.70, "food_groups": 0.70, "single_call": 0.80}, 0.69
+
+
+def routed(confidence: Column, verdict: Column, threshold: float, guarded: Column | None = None) -> Column:
+    """accepted, review or queued: confident answers pass, contradictions and collisions queue, and what a guard corrected is reviewed."""
+    sure = F.least(confidence, F.when(F.coalesce(guarded, F.lit(False)), F.lit(GUARDED)).otherwise(F.lit(1.0))) if guarded is not None else confidence
+    return F.when(verdict.isin("contradiction", "collision"), "queued").when(sure >= threshold, "accepted").otherwise("review")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import numeric, text
-from granary.operators import bulk, comparison, coverage, enrichment, evaluation, fingerprint, food_groups, ingest, ingredients, matching, protein, readiness, reporting, review, rule_tables, rules, vector_index
+from granary.operators import bulk, comparison, coverage, enrichment, evaluation, fingerprint, food_groups, ingest, ingredients, matching, protein, quality_plans, readiness, reporting, review, rule_tables, rules, vector_index
 from granary.plans.projection import BASE, PT_GROUP, STEP2, purchases, step2
 from granary.session import dealt, materialize, prepare, shared_folder, table
 from granary.sources import exports, history, run_exports
@@ -227,9 +227,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, rig
 SELECT left_id, right_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def fuzzy_token_match_topk(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    a = items.select(F.col("item_id").alias("left_id"), F.col("text").alias("left_text"))
-    b = items.select(F.col("item_id").alias("right_id"), F.col("text").alias("right_text"))
-    near = matching.token_matches(a, b, 4).filter("left_id <> right_id")
+    words = F.array_sort(text.tokens(F.col("text")))
+    a = items.select(F.col("item_id").alias("left_id"), words.alias("words"), F.lit("").alias("head"))
+    b = items.select(F.col("item_id").alias("right_id"), F.lit("one").alias("source"), words.alias("words"), F.array(F.lit("")).alias("for_heads"))
+    near = matching.shortlist(a, b, 4, "right_id").filter("left_id <> right_id")
     order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     return near.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("left_id", "right_id", "score", "rank")
 
@@ -1226,3 +1227,115 @@ def ingredient_errors(spark, sf_dir):
     item = F.struct(group.alias("food_group"), F.when(n == 5, "rye").when(n >= 6, "cheese").alias("subgroup"), F.when(n == 6, "0").when(n == 7, "x").otherwise("0.01").alias("ingredient_weight_kg_per_item"))
     made = table(spark, sf_dir, "part").select(F.to_json(F.create_map(F.col("p_partkey").cast("string"), F.struct(F.array(item, item).alias("ingredients")))).alias("json"))
     return ingredients.ingredient_checks(ingredients.items_of(made)).select("external_product_id", "place", "field", "code", F.array_join("warnings", ",").alias("warnings"))
+
+
+PLAN = """p AS (SELECT p_partkey AS product_id, ['food', 'food', 'pet', 'non_food'][p_size % 4 + 1] AS policy, ['would_enrich', 'skip_state_mismatch', 'skip_proxy_too_broad', 'route_to_review', 'skip_no_match', 'skip_no_nutrition_value'][p_partkey % 6 + 1] AS act,
+ CASE WHEN p_size % 3 = 0 THEN 'a generic snack proxy' ELSE 'low' END AS reason, ['auto_accept', 'review', 'no_match'][p_size % 3 + 1] AS outcome, p_size / 50.0 AS confidence, p_size % 2 = 0 AS listed FROM part),
+s AS (SELECT *, CASE WHEN policy = 'pet' THEN 'reject_policy_excluded' WHEN policy = 'non_food' THEN 'reject_non_food' WHEN act = 'would_enrich' THEN 'approve_auto_candidate' WHEN act = 'skip_state_mismatch' THEN 'review_state_mismatch'
+ WHEN act = 'skip_proxy_too_broad' THEN 'review_proxy_too_broad' WHEN act = 'route_to_review' AND reason LIKE '%snack%' THEN 'review_generic_proxy' WHEN act = 'skip_no_match' AND listed THEN 'review_no_match' ELSE 'needs_manual_search' END AS a FROM p)"""
+
+
+def nutrition_plan(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    pick = lambda c, *values: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("product_id"), pick(size, "food", "food", "pet", "non_food").alias("policy"), pick(key, "would_enrich", "skip_state_mismatch", "skip_proxy_too_broad", "route_to_review", "skip_no_match", "skip_no_nutrition_value").alias("safety_action"),
+        F.when(size % 3 == 0, "a generic snack proxy").otherwise("low").alias("safety_reason"), pick(size, "auto_accept", "review", "no_match").alias("matcher_outcome"), (size / 50).alias("confidence"), (size % 2 == 0).alias("has_candidates"),
+    )
+
+
+@query(f"""WITH {PLAN} SELECT product_id, a AS suggested_action,
+ CASE WHEN policy <> 'food' THEN CASE WHEN outcome <> 'no_match' THEN 'P0' ELSE 'P3' END WHEN a = 'approve_auto_candidate' THEN CASE WHEN confidence >= 0.97 THEN 'P2' ELSE 'P1' END WHEN a IN ('review_no_match', 'needs_manual_search') THEN CASE WHEN listed THEN 'P1' ELSE 'P2' END ELSE 'P1' END AS review_priority,
+ CASE WHEN a LIKE 'reject%' THEN 'non_food_policy' WHEN a = 'approve_auto_candidate' THEN 'auto_ready' WHEN a = 'review_state_mismatch' THEN 'state_mismatch' WHEN a = 'review_proxy_too_broad' THEN 'proxy_too_broad' WHEN a = 'review_generic_proxy' THEN 'needs_review'
+      WHEN a = 'review_no_match' OR outcome = 'no_match' THEN 'no_match' ELSE 'needs_review' END AS review_bucket,
+ CASE WHEN outcome = 'auto_accept' AND act = 'would_enrich' THEN CASE WHEN policy = 'non_food' THEN 'true_high_risk' ELSE 'auto_ready' END WHEN outcome = 'no_match' OR act = 'skip_no_match' THEN 'no_match' WHEN act IN ('skip_state_mismatch', 'skip_proxy_too_broad', 'skip_no_nutrition_value') THEN 'safety_downgrade' ELSE 'needs_review' END AS batch_bucket,
+ CASE WHEN act <> 'would_enrich' THEN 'safety_downgraded_current_batch' WHEN confidence >= 0.97 THEN 'current_batch_better' ELSE 'needs_manual_review' END AS diff_bucket FROM s""")
+def plan_review_columns(spark, sf_dir):
+    rows = quality_plans.review_columns(nutrition_plan(spark, sf_dir))
+    batch = quality_plans.batch_bucket(F.col("matcher_outcome"), F.col("safety_action"), F.col("policy"))
+    return rows.select("product_id", "suggested_action", "review_priority", "review_bucket", batch.alias("batch_bucket"), quality_plans.diff_bucket(F.col("safety_action"), F.col("confidence")).alias("diff_bucket"))
+
+
+@query("""WITH r AS (SELECT p_brand AS package, CASE WHEN p_brand = 'Brand#3' THEN 'approve' ELSE ['approve', 'Reject', 'replace ', '', 'needs_more_info', NULL][p_size % 6 + 1] END AS d, p_brand IN ('Brand#1', 'Brand#2') AND p_size % 5 = 0 AS bad FROM part),
+t AS (SELECT package, coalesce(nullif(lower(trim(d)), ''), 'pending') AS d, CASE WHEN bad THEN 2 ELSE 0 END AS n FROM r)
+SELECT package, count(*) AS total_rows, count(*) FILTER (d = 'approve') AS approve_count, count(*) FILTER (d = 'reject') AS reject_count, count(*) FILTER (d = 'replace') AS replace_count, count(*) FILTER (d = 'needs_more_info') AS needs_more_info_count, count(*) FILTER (d = 'pending') AS pending_count,
+ CAST(sum(n) AS BIGINT) AS error_count, count(*) FILTER (n > 0) AS blocked_count, count(*) FILTER (n = 0 AND d IN ('approve', 'replace')) AS apply_ready_count,
+ CASE WHEN sum(n) > 0 THEN 'blocked_by_errors' WHEN count(*) FILTER (d IN ('pending', 'needs_more_info')) > 0 THEN 'review_incomplete' ELSE 'ready_for_apply_planning' END AS recommendation FROM t GROUP BY 1""")
+def package_summary(spark, sf_dir):
+    """A review package for each brand."""
+    size, brand = F.col("p_size"), F.col("p_brand")
+    said = F.element_at(F.array(*map(F.lit, ["approve", "Reject", "replace ", "", "needs_more_info", None])), (size % 6 + 1).cast("int"))
+    errors = F.when(brand.isin("Brand#1", "Brand#2") & (size % 5 == 0), F.array(F.lit("no_code"), F.lit("no_value")))
+    rows = table(spark, sf_dir, "part").select(brand.alias("package"), F.when(brand == "Brand#3", "approve").otherwise(said).alias("manual_decision"), errors.alias("errors"))
+    return quality_plans.package_summary(rows, "package")
+
+
+@query("""WITH s AS (SELECT l_partkey AS product_id, bool_or(l_returnflag = 'R' AND l_linenumber < 3) AS has_total, bool_or(l_returnflag = 'A') AS has_split, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) FILTER (l_returnflag = 'R' AND l_linenumber < 3) AS code FROM lineitem GROUP BY 1),
+b AS (SELECT p_partkey AS product_id, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 2 = 0 THEN CAST(code AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS mine, has_total, has_split, code FROM part LEFT JOIN s ON s.product_id = p_partkey)
+SELECT product_id, coalesce(has_total, false) AS has_total, coalesce(has_split, false) AS has_split, CAST(code AS VARCHAR) AS stored_code, CASE WHEN NOT coalesce(has_total, false) OR code IS NULL OR coalesce(mine, '') = '' THEN 'unknown' WHEN mine = CAST(code AS VARCHAR) THEN 'true' ELSE 'false' END AS matches FROM b""")
+def batch_against_stored(spark, sf_dir):
+    """Codes of a batch beside the first stored total of each part."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    flag = F.col("l_returnflag")
+    stored = line.select(
+        F.col("l_partkey").alias("product_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), F.when(flag == "R", "v2").when(flag == "A", "split").otherwise("v1").alias("version"),
+        F.when(F.col("l_linenumber") < 3, "protein_pct").otherwise("fat").alias("nutrient"), F.col("l_suppkey").cast("string").alias("code"),
+    )
+    first = stored.filter("version = 'v2' AND nutrient = 'protein_pct'").groupBy("product_id").agg(F.min_by("code", "record_id").alias("c"))
+    size = F.col("p_size")
+    batch = part.join(first, F.col("product_id") == F.col("p_partkey"), "left").select(F.col("p_partkey").alias("product_id"), F.when(size % 5 == 0, "").when(size % 2 == 0, F.col("c")).otherwise(size.cast("string")).alias("code"))
+    return quality_plans.against_stored(batch, stored, "v2", "split").drop("code")
+
+
+@query("""WITH c AS (SELECT doc_id AS case_id, CAST(quality AS VARCHAR) AS expected, CASE WHEN n_chars > 800 THEN '1' ELSE '0' END AS v1, CASE WHEN n_chars > 2000 THEN '1' WHEN n_chars > 20 THEN '0' END AS v2 FROM labels JOIN documents USING (doc_id))
+SELECT case_id, expected, v1, v2, CASE WHEN v1 IS NOT DISTINCT FROM expected AND expected IS NOT NULL THEN CASE WHEN v2 = expected THEN 'both_correct' ELSE 'regression' END WHEN v2 = expected THEN 'improvement' ELSE 'both_wrong' END AS kind FROM c""")
+def version_deltas(spark, sf_dir):
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    case = lambda p: joined.select(F.col("doc_id").alias("case_id"), F.col("quality").cast("string").alias("expected"), p.alias("predicted"))
+    n = F.col("n_chars")
+    return quality_plans.case_deltas(case(F.when(n > 800, "1").otherwise("0")), case(F.when(n > 2000, "1").when(n > 20, "0")))
+
+
+@query("""WITH c AS (SELECT CAST(quality AS VARCHAR) AS expected, CASE WHEN n_chars > 800 THEN '1' WHEN n_chars > 300 THEN '0' END AS predicted, least(1.0, n_chars / 1000.0) AS confidence, lang = 'fr' AS review, CASE WHEN n_chars % 2 = 0 THEN source END AS name, quality = 1 AS ec, n_chars > 500 AS ac, lang AS eb, CASE WHEN n_chars > 1000 THEN lang END AS ab FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
+t AS (SELECT count(*) AS total, count(*) FILTER (expected = predicted) AS correct, count(*) FILTER (predicted IS NULL) AS abstained, count(*) FILTER (predicted IS NULL AND coalesce(name, '') <> '') AS unknown_readable, count(*) FILTER (predicted IS NULL AND coalesce(name, '') = '') AS failed, count(*) FILTER (review) AS review_count,
+ count(*) FILTER (confidence >= 0.9 AND NOT review) AS auto_accepted, count(*) FILTER (confidence >= 0.9 AND NOT review AND expected = predicted) AS auto_correct, count(*) FILTER (confidence >= 0.9 AND NOT review AND expected <> predicted) AS wrong_accepted, count(*) FILTER (ec = ac) AS composite_flag_correct,
+ count(*) FILTER (ec) AS composite_buckets, count(*) FILTER (ec AND eb IS NOT DISTINCT FROM ab) AS composite_bucket_correct FROM c)
+SELECT *, round(correct / total, 6) AS accuracy, round(auto_correct / auto_accepted, 6) AS auto_accept_accuracy, round(review_count / total, 6) AS review_rate FROM t""")
+def classification_figures(spark, sf_dir):
+    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source"), "doc_id")
+    n = F.col("n_chars")
+    return evaluation.full_metrics(joined.select(
+        F.col("quality").cast("string").alias("expected"), F.when(n > 800, "1").when(n > 300, "0").alias("predicted"), F.least(F.lit(1.0), n / 1000).alias("confidence"), (F.col("lang") == "fr").alias("review"), F.when(n % 2 == 0, F.col("source")).alias("name"),
+        (F.col("quality") == 1).alias("expected_composite"), (n > 500).alias("composite"), F.col("lang").alias("expected_bucket"), F.when(n > 1000, F.col("lang")).alias("bucket"),
+    ))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_size % 3 <> 0 AS should, CASE WHEN p_size % 3 <> 0 THEN p_size % 7 END AS expected, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 7 END AS matched, p_size / 40.0 AS confidence, p_size % 4 = 0 AS review, p_size % 2 AS bad FROM part),
+t AS (SELECT *, should AND matched IS NOT NULL AND confidence >= 0.9 AND NOT review AS sure FROM c),
+u AS (SELECT count(*) AS total, count(*) FILTER (should) AS should_match_total, count(*) FILTER (should AND matched = expected) AS matched_correct, count(*) FILTER (sure) AS high_confidence_total, count(*) FILTER (sure AND matched = expected) AS high_confidence_correct, CAST(2 * count(*) AS BIGINT) AS forbidden_total,
+ count(*) FILTER (should AND matched IS NULL OR NOT should AND (matched IS NULL OR review)) AS abstained, count(*) FILTER (sure AND matched <> expected OR NOT should AND matched IS NOT NULL AND NOT review) + CAST(sum(bad) AS BIGINT) AS false_positives, CAST(sum(bad) AS BIGINT) AS b FROM t)
+SELECT total, should_match_total, matched_correct, high_confidence_total, high_confidence_correct, forbidden_total, abstained, false_positives, round(high_confidence_correct / high_confidence_total, 6) AS precision, round((forbidden_total - b) / forbidden_total, 6) AS forbidden_rejection FROM u""")
+def match_figures(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return evaluation.match_quality(table(spark, sf_dir, "part").select(
+        (size % 3 != 0).alias("should_match"), F.when(size % 3 != 0, size % 7).cast("long").alias("expected"), F.when(key % 5 != 0, key % 7).alias("matched"), (size / 40).alias("confidence"), (size % 4 == 0).alias("review"),
+        F.array(F.lit("composite_reject"), F.when(size % 2 == 1, "accepted_head").otherwise("abstain")).alias("forbidden"),
+    ))
+
+
+@query("""WITH f(k, name) AS (VALUES (0, 'non_food'), (1, 'meat'), (2, 'prepared_meal'), (3, 'dairy'), (4, 'sweet_bakery'), (5, 'legume'), (6, 'tofu_substitute'), (7, 'unknown_food'), (8, 'oil_fat')),
+x(a, b) AS (VALUES ('meat', 'prepared_meal'), ('prepared_meal', 'meat'), ('prepared_meal', 'dairy'), ('dairy', 'sweet_bakery'), ('sweet_bakery', 'dairy'), ('tofu_substitute', 'legume'), ('tofu_substitute', 'dairy')),
+s(k, state) AS (VALUES (0, 'created'), (1, 'validation'), (2, 'review_required'), (3, 'calculation'), (4, 'report_draft'), (5, 'archived')), e(a, b) AS (VALUES ('validation', 'review_required'), ('review_required', 'calculation'), ('calculation', 'report_draft'), ('report_draft', 'calculation')),
+p AS (SELECT p_partkey, f.name AS a, g.name AS b, s.state AS c, t.state AS d, p_size FROM part JOIN f ON f.k = p_partkey % 9 JOIN f g ON g.k = p_size % 9 JOIN s ON s.k = p_partkey % 6 JOIN s t ON t.k = p_size % 6)
+SELECT p_partkey AS product_id, CASE WHEN a = 'non_food' OR b = 'non_food' THEN a = b ELSE a = b OR a = 'unknown_food' OR (a, b) IN (SELECT (a, b) FROM x) END AS fits, (c, d) IN (SELECT (a, b) FROM e) AS may_move,
+ CASE WHEN p_size % 10 = 0 THEN 'queued' WHEN CASE WHEN p_size % 3 = 0 THEN least(p_size / 50.0, 0.69) ELSE p_size / 50.0 END >= 0.7 THEN 'accepted' ELSE 'review' END AS route FROM p""")
+def policies(spark, sf_dir):
+    """Families that may meet, moves of projects, and routes by confidence."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    pick = lambda c, *values: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    families, states = ("non_food", "meat", "prepared_meal", "dairy", "sweet_bakery", "legume", "tofu_substitute", "unknown_food", "oil_fat"), ("created", "validation", "review_required", "calculation", "report_draft", "archived")
+    verdict = F.when(size % 20 == 0, "collision").when(size % 10 == 0, "contradiction").otherwise("matched")
+    return table(spark, sf_dir, "part").select(
+        key.alias("product_id"), quality_plans.family_compatible(pick(key, *families), pick(size, *families)).alias("fits"), reporting.may_move(pick(key, *states), pick(size, *states)).alias("may_move"),
+        rules.routed(size / 50, verdict, rules.THRESHOLDS["protein_tracker"], size % 3 == 0).alias("route"),
+    )

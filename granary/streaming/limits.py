@@ -136,8 +136,3 @@ def consume(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame], Data
         step(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return stream.writeStream.queryName(query_name).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(chunk).start()
-
-
-def misses(texts: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    """Distinct texts that a content-addressed cache lacks."""
-    return texts.dropDuplicates([key]).join(cache.select(key), key, "left_anti")
