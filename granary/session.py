@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -49,12 +52,23 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"{tempfile.gettempdir()}/checkpoints/granary"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
-#: Folders of materialised frames, for `discard`, and of those written inside a `scratch` block.
+#: Folders of materialised frames, for `discard`, those written inside the caller's `scratch` block, and all that were named and not yet deleted.
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_scratch: list[list[str]] = []
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_made: set[str] = set()
+
+
+@atexit.register
+def _clear() -> None:
+    """Delete what is left when the driver ends, if its session still runs; results are lazy, so no query can do it before."""
+    if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
+        for path in list(_made):
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -65,7 +79,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    for made in _scratch[-1:]:
+    if (made := _scratch.get()) is not None:
         made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
@@ -73,6 +87,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _made.discard(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -85,12 +100,14 @@ def discard(df: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Delete at the end whatever was materialised inside; results must be written by then."""
-    _scratch.append([])
+    """Delete at the end whatever this caller materialised inside; results must be written by then. Another thread's block is its own."""
+    mine: list[str] = []
+    token = _scratch.set(mine)
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        _scratch.reset(token)
+        for path in mine:
             delete(spark, path)
 
 
