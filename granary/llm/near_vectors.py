@@ -148,13 +148,15 @@ def tiled(classes: DataFrame, axes: dict[int, np.ndarray], wide: float, tile: in
 
     def place(batches):
         for batch in batches:
-            cells, along = [], []
-            for key in batch.column(3).to_pylist():
-                z = turned(units([key]), axes.get(len(key) // 8))[0]
-                z = np.concatenate([z, np.zeros(AXES + 1)])
-                cells.append([int(c) for c in np.floor(z[:AXES] / wide + 0.5)])
-                along.append(float(z[AXES]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32())), pa.array(along)], [*batch.schema.names, "cell", "along"])
+            keys = batch.column(3).to_pylist()
+            z, sizes = np.zeros((len(keys), AXES + 1)), np.array([len(k) for k in keys], np.int64)
+            for size in np.unique(sizes):  # one product for all vectors of a length
+                at = np.flatnonzero(sizes == size)
+                t = turned(units([keys[k] for k in at]), axes.get(int(size) // 8))[:, : AXES + 1]
+                z[at, : t.shape[1]] = t
+            cells = np.floor(z[:, :AXES] / wide + 0.5).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * AXES, pa.int32()), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed, pa.array(z[:, AXES])], [*batch.schema.names, "cell", "along"])
 
     placed = classes.select("node", "label", "n", "key").mapInArrow(place, "node long, label string, n long, key binary, cell array<int>, along double").withColumn("dim", (F.length("key") / 8).cast("int"))
     placed = materialize(placed)
