@@ -13,7 +13,8 @@ becomes \\c), so no text can hold a control string, and reading back is exact.
 Null roles, texts and scores count as empty and 0; a null conversation is one
 like any other. A message whose parent is missing or null is a root. Messages
 on a cycle reach no root and are in no branch. Of rows with the same conversation
-and message id, the first by role and text stays. An empty table gives an empty result.
+and message id, the first by role and text stays. A conversation is one row, however long
+its texts are. An empty table gives an empty result.
 """
 
 from __future__ import annotations

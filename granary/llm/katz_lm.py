@@ -19,7 +19,7 @@ pairs have each count, of which a corpus of N tokens has less than the root of 2
    which count occurs in it) and the pairs that need a backoff weight.
 4. With the discounts known, weights and sums give each document's score.
 
-Null texts count as empty: one token, the end. Null ids belong to training, and repeated ids
+Very long texts lie whole in one block. Null texts count as empty: one token, the end. Null ids belong to training, and repeated ids
 are scored each. Without training texts every score is that of unknown words. An
 empty table gives an empty result. Other columns are not read.
 """
@@ -27,6 +27,7 @@ empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import struct
 
 import numpy as np
@@ -375,12 +376,19 @@ def finished(sums: DataFrame, d: np.ndarray) -> DataFrame:
     return sums.groupBy("key").applyInArrow(work, schema)
 
 
+def plain_scan(docs: DataFrame) -> bool:
+    """Whether rows come straight from a stored table, so that each reading gives them in one order; those of a shuffle are stored first."""
+    names = {re.split(r"[ \[(]", line.lstrip(" :+-"))[0] for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines()}
+    return names <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", ""}
+
+
 def katz(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, pairs: int = PAIRS, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """Train on the rows where held_out (a boolean Column over the id) isn't true, and score all.
+    """Train on the rows where held_out (a boolean Column over the id alone) isn't true, and score all.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     train = ~F.coalesce(held_out, F.lit(False))
+    docs = docs if plain_scan(docs) else materialize(docs.select(id_col, text_col))
     size = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"), F.count_if(train).alias("docs"), F.count("*").alias("all")).first()
     # runs of rows of a scan, which are the same each time it is read
     in_block = max(1, int(block * size["all"] / max(size["chars"], 1)))

@@ -25,7 +25,8 @@ they are long are split, and their parts meet in pairs; families meet in parts.
 Links go to connected components as spanning forests, so copies are never expanded into
 pairs, and no link between different sets that would join two components is lost.
 
-Null texts, and texts without words, have an empty set and link with nothing.
+Null texts, and texts without words, have an empty set and link with nothing. Very long
+texts are compared whole: their sets are made by a task that reads one of them at a time.
 Rows with a null id link with nothing. Rows that repeat an id share its component. An
 empty table gives an empty result. Other columns are not read.
 """
@@ -54,7 +55,7 @@ EXTRA = 3
 BUCKET, SPLIT = 400_000, 40_000
 #: Similarity to the head from which a set joins a family (less than the threshold), and members of a part of a family.
 FAMILY, PART = 0.6, 1024
-#: Ids that may be broadcast to fetch their texts (8 bytes each); more are joined by a shuffle.
+#: Rows of node, id and digest (32 bytes each) that may be broadcast to fetch texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 BLOCK = 256
 
