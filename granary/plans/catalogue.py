@@ -1007,7 +1007,7 @@ SELECT left_id, source, right_id, CAST(overlap AS BIGINT) AS overlap, CAST(overl
 FROM p WHERE overlap > 0 QUALIFY rank <= 10""")
 def head_shortlist(spark, sf_dir):
     heads = [("red widget", "prepared_meal", ["widget"]), ("ring", "egg", ["ring", "rings"]), ("gear", "meat_red", ["gizmo"])]
-    part, kind = table(spark, sf_dir, "part"), F.lower("p_type")
+    part, kind = dealt(table(spark, sf_dir, "part")), F.lower("p_type")
     products = part.select(F.col("p_partkey").alias("left_id"), F.concat_ws(" ", "p_name", "p_type").alias("product_name"))
     name = F.concat("p_name", F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" with "), kind)).when(F.col("p_size") % 4 == 1, F.concat(F.lit(" "), kind)).otherwise(""))
     references = part.select(F.col("p_partkey").alias("right_id"), F.when(F.col("p_size") <= 25, "a").otherwise("b").alias("source"), name.alias("name"))

@@ -152,6 +152,33 @@ def test_no_row_from_frequent_words(spark, monkeypatch):
     assert joined == [500, 3000]
 
 
+def shuffled(plan):
+    """Rows that each shuffle of a plan that ran has written."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return ([own.get().value()] if own.isDefined() else []) + [n for p in inner for n in shuffled(p)]
+
+
+def test_a_large_class_sends_no_list_a_product(spark):
+    """Products with the same frequent words take the list of their class as it is; before, every product's list was shuffled, grouped and ranked again."""
+    asked = spark.range(3000).select(F.col("id").alias("left_id"), F.array(F.lit("common"), F.when(F.col("id") == 7, "own7").otherwise("none")).alias("words"), F.lit("").alias("head"))
+    names = spark.range(200).select(F.col("id").alias("right_id"), F.lit("s").alias("source"), F.concat(F.lit("n"), F.col("id") % 100).alias("name"), F.array(F.lit("common"), F.concat(F.lit("own"), F.col("id"))).alias("words"), F.array(F.lit("")).alias("for_heads"))
+    found = matching.shortlist(asked, names, 10, "name", 0.01)
+    rows = found.collect()
+    assert len(rows) == 30_000 and {(r.right_id, r.overlap) for r in rows if r["rank"] == 1 and r.left_id != 7} == {(0, 1)}
+    assert [(r.right_id, r.overlap) for r in sorted(rows, key=lambda r: r["rank"]) if r.left_id == 7][:2] == [(7, 2), (0, 1)]
+    assert max(shuffled(found._jdf.queryExecution().executedPlan())) <= 6000
+
+
+def test_shortlist_of_ids_that_come_twice(spark):
+    """Rows with one id count together, a null id too, whether their words are frequent or not."""
+    known = spark.createDataFrame([(k, "s", f"n{k:03}", [f"w{k % 3}"], [""]) for k in range(200)], "right_id long, source string, name string, words array<string>, for_heads array<string>")
+    asked = spark.createDataFrame([(1, ["w0"], ""), (1, ["w1"], ""), (None, ["w1"], ""), (None, ["w2"], ""), (2, ["w0"], "")], "left_id long, words array<string>, head string")
+    got = {(r.left_id, r.right_id, r["rank"]) for r in matching.shortlist(asked, known, 3).collect()}
+    assert got == {(1, 0, 1), (1, 1, 2), (1, 3, 3), (None, 1, 1), (None, 2, 2), (None, 4, 3), (2, 0, 1), (2, 3, 2), (2, 6, 3)}
+
+
 GATE_FORMS = [("pois chiches", "chickpea"), ("peas chick", "chickpea"), ("chickpeas", "chickpea"), ("hummus", "hummus"), ("houmous", "hummus"), ("ratatouille", "ratatouille"), ("oil", "oil"), ("olive", "olive"), ("milk", "milk"), ("lait", "milk"), ("corn flakes", "cereal"), ("apple", "apple")]
 
 
