@@ -140,7 +140,8 @@ def clamped_pct(part: Column, total: Column, places: int = 1) -> Column:
 
 def plain_text(c: Column, places: int = 8) -> Column:
     """A decimal without exponent; empty for null."""
-    whole = (F.abs(c).cast(f"decimal(28,{places})") * F.lit(10**places).cast(f"decimal({places + 1},0)")).cast("decimal(38,0)").cast("string")
-    digits = F.lpad(whole, F.greatest(F.length(whole), F.lit(places + 1)), F.lit("0"))
-    text = F.concat(F.when(c < 0, "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - places), F.lit("."), F.right(digits, F.lit(places)))
-    return F.coalesce(text, F.lit(""))
+    value = c.cast(f"decimal(28,{places})")
+    # only what is nearer to 0 than a millionth may be written with an exponent
+    rest = (F.abs(value) * F.lit(10**places).cast(f"decimal({places + 1},0)")).cast("long").cast("string")
+    near_0 = F.concat(F.when(c < 0, "-").otherwise(""), F.lit("0."), F.lpad(rest, places, "0"))
+    return F.coalesce(F.when(F.abs(value) >= F.lit("0.000001").cast("decimal(7,6)"), value.cast("string")).otherwise(near_0), F.lit(""))

@@ -1200,8 +1200,8 @@ CLASSIFIED_SQL = """CASE WHEN p_size % 7 = 0 THEN ',,,,' ELSE CASE p_size % 3 WH
 def export_pt_csv(spark, sf_dir):
     """The line of each row of the run, as the file holds it."""
     rows = protein.run_rows(protein.resolved(purchases(spark, sf_dir))).withColumnRenamed("used_split", "used_per_product_split")
-    export = run_exports.cells(rows, run_exports.PT_COLUMNS, RUN, *export_sides(spark, sf_dir), keep=["l_orderkey", "l_linenumber"])
-    return export.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), run_exports.csv_line(run_exports.PT_COLUMNS).alias("line"))
+    export = run_exports.csv_lines(rows, run_exports.PT_COLUMNS, RUN, *export_sides(spark, sf_dir), keep=["l_orderkey", "l_linenumber"])
+    return export.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), "line")
 
 
 @query(f"""WITH {BASE} SELECT l_orderkey, l_linenumber, 'r1,protein_tracker,1.0,2024,t1,v1,"FY, 2024",' || product_id || ',' || {SIDES_SQL} || ',' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ',' || CASE p_size % 4 WHEN 0 THEN 'fresh' WHEN 1 THEN 'frozen' WHEN 2 THEN 'grocery_ambient' ELSE '' END

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from granary.functions.numeric import plain_text
 
 
+def text_cell(c: str, kind: str) -> Column:
+    """A column of this type as text: decimals plain, null as empty; one without type is missing, and empty."""
+    if not kind:
+        return F.lit("")
+    return plain_text(F.col(c)) if kind.startswith("decimal") else F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
 def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
     """All columns as text, decimals plain, null as empty; a column that is missing is empty."""
     kinds = dict(df.dtypes)
-    cell = lambda c: F.lit("") if c not in kinds else plain_text(F.col(c)) if kinds[c].startswith("decimal") else F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return df.select(*[cell(c).alias(c) for c in columns])
+    return df.select(*[text_cell(c, kinds.get(c, "")).alias(c) for c in columns])
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.numeric import plain_text
-from granary.sources.exports import as_text
+from granary.sources.exports import as_text, text_cell
 
 #: Columns of the exports, in order.
 RUN = ["run_id", "methodology", "methodology_version", "methodology_source_edition", "taxonomy_version", "rules_version", "reporting_period_label"]
@@ -19,6 +21,8 @@ WWF_COLUMNS = [
     *RUN, "product_id", "external_product_id", "product_name", "brand", "is_own_brand", "retail_channel", "wwf_food_group", "wwf_subgroup", "wwf_is_composite", "wwf_composite_step1_bucket",
     "weight_per_item_kg", "items_sold", "weight_kg", "weight_kg_dairy_equiv", "wwf_step2_ingredient_weights_json", *CLASSIFICATION,
 ]
+#: Types whose text never needs quotes, beside decimals; a column that is missing has none.
+PLAIN = {"", "boolean", "tinyint", "smallint", "int", "bigint"}
 BOM = "﻿"
 
 
@@ -42,10 +46,38 @@ def cells(rows: DataFrame, columns: list[str], run: dict[str, str], masters: Dat
     return as_text(out, [*keep, *columns])
 
 
+def quoted(cell: Column) -> Column:
+    """A cell of text as a file holds it: with commas, quotes or line ends it stands in quotes, and quotes are doubled."""
+    special = cell.contains(",") | cell.contains('"') | cell.contains("\r") | cell.contains("\n")
+    return F.when(special, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+
+
+def file_cell(c: str, kind: str) -> Column:
+    """A column of this type as a file holds it; numbers and booleans need no quotes."""
+    return text_cell(c, kind) if kind in PLAIN or kind.startswith("decimal") else quoted(text_cell(c, kind))
+
+
 def csv_line(columns: list[str]) -> Column:
-    """A line of cells; those with commas, quotes or line ends stand in quotes, and quotes are doubled."""
-    cell = lambda c: F.when(F.col(c).rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
-    return F.concat_ws(",", *map(cell, columns))
+    """A line of cells."""
+    return F.concat_ws(",", *[quoted(F.col(c)) for c in columns])
+
+
+def csv_lines(rows: DataFrame, columns: list[str], run: dict[str, str], masters: DataFrame, classifications: DataFrame, *more: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """keep, line: csv_line of `cells`. What is known of a product is joined and written once a product, neighbouring columns as one piece; a row adds its own cells."""
+    known = masters
+    for side in (classifications, *more):
+        known = known.drop(*[c for c in side.columns if c != "product_id"]).join(side, "product_id", "full")
+    origin = lambda c: "run" if c in RUN else "product" if c != "product_id" and c in known.columns else "row"
+    product_kinds, kinds = dict(known.dtypes), dict(rows.dtypes)
+    pieces = [(f"__piece_{k}", kind, list(found)) for k, (kind, found) in enumerate(groupby(columns, origin))]
+    once = known.select("product_id", *[F.concat_ws(",", *[file_cell(c, product_kinds[c]) for c in found]).alias(piece) for piece, kind, found in pieces if kind == "product"])
+    line = []
+    for piece, kind, found in pieces:
+        if kind == "run":
+            line += [quoted(F.lit(run.get(c, ""))) for c in found]
+        else:
+            line += [F.coalesce(F.col(piece), F.lit("," * (len(found) - 1)))] if kind == "product" else [file_cell(c, kinds.get(c, "")) for c in found]
+    return rows.join(once, "product_id", "left").select(*keep, F.concat_ws(",", *line).alias("line"))
 
 
 def write_csv(export: DataFrame, columns: list[str], path: str) -> None:

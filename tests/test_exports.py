@@ -5,9 +5,12 @@ import io
 import json
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import numeric
 from granary.operators import ingredients, protein
+from granary.plans import catalogue
 from granary.sources import run_exports
 
 RUN = {"run_id": "r1", "methodology": "protein_tracker", "reporting_period_label": "2024, half"}
@@ -38,6 +41,39 @@ def test_pt_csv_file(spark, tmp_path):
     assert (second["protein_kg"], second["external_product_id"], second["classification_source"]) == ("0.00000000", "", "")
 
 
+def test_lines_write_a_product_once(spark):
+    """The lines are those of all cells joined to each row, and hold a product's text once a product: before, every row's cells were searched for quotes."""
+    kind = "product_id long, n decimal(18,8), pt_group string, brand string"
+    numbers = ["0", "0.00000001", "-0.00000099", "-0.000001", "1.5", "-2", None, "9999999999.99999999"]
+    rows = spark.createDataFrame([(k % 5 if k % 5 else None, n, ['a,"b"', "c\nd\r", None][k % 3], "own") for k, n in enumerate(numbers * 3)], kind.replace("decimal(18,8)", "string")).withColumn("n", F.col("n").cast("decimal(18,8)"))
+    rows = rows.select("product_id", "pt_group", "brand", F.col("n").alias("volume_kg"), F.col("n").alias("protein_pct"), (F.col("n") > 0).alias("used_per_product_split"))
+    masters = spark.createDataFrame([(1, 'x, "y"', None), (2, "z\n", "B"), (None, "none", "none"), (9, "unused", "B")], "product_id long, product_name string, brand string")
+    meta = spark.createDataFrame([(1, "ai", 0.5), (3, "manual, too", None)], "product_id long, classification_source string, c double").select("product_id", "classification_source", F.col("c").cast("decimal(18,8)").alias("classification_confidence"))
+    both = (rows, run_exports.PT_COLUMNS, RUN, masters, meta)
+    want = run_exports.cells(*both).select(run_exports.csv_line(run_exports.PT_COLUMNS).alias("line"))
+    lines = run_exports.csv_lines(*both)
+    assert sorted(r.line for r in lines.collect()) == sorted(r.line for r in want.collect()) and lines.count() == 24
+    read = list(csv.reader(io.StringIO("\n".join(r.line for r in lines.filter("line like '%manual%'").collect()), newline="")))
+    at = run_exports.PT_COLUMNS.index
+    assert read and {len(r) for r in read} == {26} and {r[at("classification_source")] for r in read} == {"manual, too"} and {r[at("reporting_period_label")] for r in read} == {"2024, half"}
+
+
+def test_small_decimals_as_text(spark):
+    cases = {"0": "0.00000000", "0.00000001": "0.00000001", "-0.00000099": "-0.00000099", "-0.000001": "-0.00000100", "0.0000005": "0.00000050", "-12.5": "-12.50000000", "0.000000004": "0.00000000", "-0.000000004": "-0.00000000", "99999999999.123456789": "99999999999.12345679"}
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", numeric.plain_text(F.col("c").cast("decimal(28,12)")).alias("t")).collect()
+    assert {r.c: r.t for r in got} == cases
+
+
+@pytest.mark.parametrize("name", ["export_pt_csv"])
+def test_exports_join_lines_with_products_once(spark, name):
+    """Each line meets its part, and then all that is known of the product at once: before, every side was joined to the lines."""
+    node, joins = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan(), 0
+    while node.children().size():  # the lines are on the left of every join
+        joins += node.children().size() == 2
+        node = node.children().apply(0)
+    assert joins == 2
+
+
 def test_pt_json(spark, tmp_path):
     export, products, rows = pt(spark)
     summary = run_exports.pt_summary(protein.headline(rows), protein.group_totals(rows), protein.counters(products, rows), "draft")
