@@ -1211,8 +1211,8 @@ def export_pt_csv(spark, sf_dir):
 def export_wwf_csv(spark, sf_dir):
     names = {"food_group": "wwf_food_group", "subgroup": "wwf_subgroup", "is_composite": "wwf_is_composite", "bucket": "wwf_composite_step1_bucket", "weight_kg_dairy": "weight_kg_dairy_equiv"}
     rows = food_groups.run_rows(purchases(spark, sf_dir)).withColumnsRenamed(names)
-    export = run_exports.cells(rows, run_exports.WWF_COLUMNS, RUN, *export_sides(spark, sf_dir), run_exports.ingredients_json(step2(spark, sf_dir)), keep=["l_orderkey", "l_linenumber"])
-    return export.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), run_exports.csv_line(run_exports.WWF_COLUMNS).alias("line"))
+    export = run_exports.csv_lines(rows, run_exports.WWF_COLUMNS, RUN, *export_sides(spark, sf_dir), run_exports.ingredients_json(step2(spark, sf_dir)), keep=["l_orderkey", "l_linenumber"])
+    return export.select(F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("int"), "line")
 
 
 @query("""WITH i AS (SELECT p_partkey AS id, place, p_size % 9 AS n, p_size FROM part, (VALUES (0), (1)) t(place)),

@@ -64,7 +64,7 @@ def test_small_decimals_as_text(spark):
     assert {r.c: r.t for r in got} == cases
 
 
-@pytest.mark.parametrize("name", ["export_pt_csv"])
+@pytest.mark.parametrize("name", ["export_pt_csv", "export_wwf_csv"])
 def test_exports_join_lines_with_products_once(spark, name):
     """Each line meets its part, and then all that is known of the product at once: before, every side was joined to the lines."""
     node, joins = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan(), 0
