@@ -3,14 +3,14 @@
 Every level asks the level below. Words are counted by a shuffle; those that occur at least `least` times
 get slots of a minimal perfect hash, and every text becomes the row of its words' slots. A phrase of
 k words is the pair of slots of its first and its last k - 1 words, so slots identify phrases exactly.
-Only pairs of frequent phrases can be frequent (Apriori). Mappers count them first by a hash in arrays of bytes, whose
-tree sum tells which hashes can't reach `least`; distinct pairs with the other hashes are the candidates. They get a minimal perfect hash with their keys stored by
+Only pairs of frequent phrases can be frequent (Apriori). Mappers count them first by places of a hash, of which there are as many as the level's
+phrases ask for; a place's counts meet in the task of its range, which tells the places that reach `least`. Distinct pairs with such places are the candidates. They get a minimal perfect hash with their keys stored by
 slot, so that a pair that is no candidate is told by comparison. Mappers look
-their pairs up, add them up by bincount in numpy arrays, and these are summed as a tree. Counts of the parts of a phrase
+their pairs up once, write their slots and add them up by bincount in numpy arrays, which are summed as a tree. Counts of the parts of a phrase
 are read by the slots that it is made of.
 
-A block of candidates has `SLOTS` slots on average, and one array of bytes `FILTER` places; more candidates or words take more rounds
-over the rows of slots, with the same memory. Slots of one level are unsigned 32-bit integers.
+Counts travel as gaps and counts of places that occur, so what moves grows with the words and not with tasks times places. A block of candidates has `SLOTS` slots on average; a pair
+is looked up in the one block of its hash. One broadcast tells of `FILTER` places; more take more rounds of gathering candidates, with the same memory. Slots of one level are unsigned 32-bit integers.
 
 Null texts count as empty, null languages as `und`. Repeated rows count each time, very long texts are one row of slots each,
 ids and other columns are not read, an empty table gives an empty result.
@@ -26,17 +26,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.words import mix, runs, word_hashes
+from granary.llm.words import mix, runs, span_hashes
 from granary.session import discard, materialize
 
 U64 = np.uint64
 #: Slots of a block of candidates, on average: it is broadcast, with 8 bytes a key.
 SLOTS = 1 << 21
-#: Places of the arrays of bytes that screen pairs; a place serves `LOAD` words on average.
-FILTER = 1 << 25
-LOAD = 4
+#: Places of the screen that one broadcast tells of, a bit each; a place serves `LOAD` phrases at most, on average.
+FILTER = 1 << 28
+LOAD = 8
 #: Counters in a row of a mapper's array, and arrays that are summed at once.
-CHUNK = 1 << 17
+CHUNK = 1 << 19
 FAN = 32
 #: Pairs that a mapper gathers before it counts them.
 GATHERED = 1 << 21
@@ -79,18 +79,30 @@ class PerfectHash:
 
 
 class Keys:
-    """A block of pair candidates: perfect hash and keys by slot; `base` is the number of its first slot."""
+    """A block of pair candidates: perfect hash and keys by slot, behind bits that tell most other keys; `base` is the number of its first slot."""
 
     def __init__(self, keys: np.ndarray, base: int = 0):
         self.base, self.hash, self.keys = base, PerfectHash(keys), np.empty(len(keys), np.uint64)
         self.keys[self.hash.slots(keys)] = keys
+        self.mask = U64((1 << (8 * len(keys)).bit_length()) - 1)
+        seen = np.zeros(int(self.mask) + 1, bool)
+        seen[mix(keys) & self.mask] = True
+        self.seen = np.packbits(seen)
 
     def __len__(self) -> int:
         return len(self.keys)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        found = self.hash.slots(keys)
-        return np.where((found >= 0) & (self.keys[found] == keys), found + self.base, -1) if len(self) else found
+        out, likely = np.full(len(keys), -1), np.flatnonzero(held(self.seen, mix(keys) & self.mask)) if len(self) else np.empty(0, int)
+        found = self.hash.slots(keys[likely])
+        same = (found >= 0) & (self.keys[found] == keys[likely]) if len(likely) else likely > 0
+        out[likely[same]] = found[same] + self.base
+        return out
+
+
+def held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits of these places are set."""
+    return (bits[at >> U64(3)] >> (U64(7) - (at & U64(7))).astype(np.uint8)) & 1 == 1
 
 
 class Words:
@@ -98,12 +110,13 @@ class Words:
 
     def __init__(self, langs: list[str], words: list[bytes], counts: list[int]):
         self.base = 0
-        keys = self.hashed(langs, words)
+        keys = self.hashed(langs, pa.array(words, pa.large_binary()))
         # of two words with one hash the second is kept apart
         _, first = np.unique(keys, return_index=True)
         apart = np.setdiff1d(np.arange(len(keys)), first)
         self.hash = PerfectHash(keys[first])
         order = np.concatenate([first[np.argsort(self.hash.slots(keys[first]))], apart]).astype(int)
+        self.keys = keys[order]
         self.langs, self.words, self.counts = [langs[k] for k in order], pa.array([words[k] for k in order], pa.large_binary()), np.array(counts, np.int64)[order]
         self.apart = {(langs[k], words[k]): len(first) + j for j, k in enumerate(apart)}
         self.lang_codes, self.codes = np.unique(np.array(self.langs, object).astype(str), return_inverse=True) if order.size else (np.empty(0, str), np.empty(0, int))
@@ -112,10 +125,13 @@ class Words:
         return len(self.langs)
 
     @staticmethod
-    def hashed(langs: list[str], words: list[bytes]) -> np.ndarray:
-        if not words:
+    def hashed(langs: list[str], words: pa.LargeBinaryArray) -> np.ndarray:
+        """Hashes of words and their languages, or of words and the one language."""
+        if not len(words):
             return np.empty(0, np.uint64)
-        h, _ = word_hashes(words)
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int64)[words.offset :][: len(words) + 1]
+        h = span_hashes(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0], ends[1:] - ends[0])
         named = {x: U64(int.from_bytes(x.encode()[:64].ljust(8), "little") % (1 << 64)) for x in set(langs)}
         return mix(h ^ mix(np.array([named[x] for x in langs], np.uint64)))
 
@@ -123,13 +139,16 @@ class Words:
         """Slots of distinct words of a language, or -1."""
         if not len(self) or not len(words):
             return np.full(len(words), -1)
-        listed = words.to_pylist()
-        found = self.hash.slots(self.hashed([lang] * len(listed), listed))
-        same = pc.equal(self.words.take(pa.array(np.maximum(found, 0))), words.cast(pa.large_binary())).to_numpy(zero_copy_only=False)
+        words = words.cast(pa.large_binary())
+        keys = self.hashed([lang], words)
+        found = self.hash.slots(keys)
         code = np.searchsorted(self.lang_codes, lang)
-        same &= (found >= 0) & (code < len(self.lang_codes)) & (self.codes[found] == code)
-        out = np.where(same, found, -1)
-        for k, word in enumerate(listed) if self.apart else ():
+        # words are compared where hash and language agree
+        likely = np.flatnonzero((found >= 0) & (self.keys[found] == keys) & (code < len(self.lang_codes)) & (self.codes[found] == code))
+        same = pc.equal(self.words.take(pa.array(found[likely])), words.take(pa.array(likely))).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), -1)
+        out[likely[same]] = found[likely[same]]
+        for k, word in enumerate(words.to_pylist()) if self.apart else ():
             out[k] = self.apart.get((lang, word), out[k])
         return np.where(out >= 0, out + self.base, -1)
 
@@ -140,12 +159,14 @@ def split(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]
     raw = np.frombuffer(b"\n".join([*raw_texts, b""]), np.uint8)
     line = raw == 10
     white = line | (raw == 32)
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], white]).astype(np.int8)))
+    edge = np.flatnonzero(np.concatenate([[True], white[:-1]]) != white)
     begin, end = edge[0::2], edge[1::2]
     offsets = np.concatenate([[0], np.cumsum(end - begin)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[~white].tobytes())])
-    lines = np.cumsum(line, dtype=np.int32)
-    breaks = np.diff(lines[begin], prepend=-1) > 0
+    breaks = np.zeros(len(begin) + 1, bool)
+    breaks[np.searchsorted(begin, np.flatnonzero(line))] = True
+    breaks[:1] = True
+    breaks = breaks[: len(begin)]
     borders = np.cumsum([len(t) + 1 for t in raw_texts])
     return words.dictionary_encode(), breaks, np.diff(np.concatenate([[0], np.searchsorted(begin, borders)]))
 
@@ -175,35 +196,65 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def blocks(rows: DataFrame, part, build) -> list:
-    """Blocks of rows with slots, each built by one task from about `SLOTS` of them, as broadcast variables; `part` tells a row's block."""
+def blocks(rows: DataFrame, part, build) -> tuple[dict, int]:
+    """By number, blocks of rows with slots, each built by one task from about `SLOTS` of them, as broadcast variables, and the number of slots; `part` tells a row's block."""
 
-    def made(found: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([pickle.dumps(build(found))], pa.binary())})
+    def made(key, found):
+        return pa.table({"p": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([pickle.dumps(build(found))], pa.binary())})
 
-    built = materialize(rows.groupBy(part.alias("p")).applyInArrow(made, "block binary"))
-    out, base = [], 0
+    built = materialize(rows.groupBy(part.cast("long").alias("p")).applyInArrow(made, "p long, block binary"))
+    out, base = {}, 0
     for row in built.toLocalIterator():  # one block at a time
         block = pickle.loads(row.block)
         block.base = base
         base += len(block)
-        out.append(rows.sparkSession.sparkContext.broadcast(block))
+        out[row.p] = rows.sparkSession.sparkContext.broadcast(block)
     if base >= 1 << 32:
         raise ValueError("more than 2**32 candidates of one length: raise least")
     discard(built)
-    return out
+    return out, base
 
 
 def word_blocks(words: DataFrame) -> list:
     parts = max(-(-words.count() // SLOTS), 1)
-    return blocks(words, F.pmod(F.xxhash64("lang", "word"), F.lit(parts)), lambda x: Words(*(x.column(c).to_pylist() for c in ("lang", "word", "n"))))
+    return list(blocks(words, F.pmod(F.xxhash64("lang", "word"), F.lit(parts)), lambda x: Words(*(x.column(c).to_pylist() for c in ("lang", "word", "n"))))[0].values())
 
 
-def key_blocks(candidates: DataFrame) -> list:
+def key_blocks(candidates: DataFrame) -> Blocks:
     """Blocks of packed keys (chunk, data)."""
     n = candidates.agg(F.sum(F.length("data"))).first()[0] or 0
-    parts = max(-(-n // (8 * SLOTS)), 1)
-    return blocks(candidates, F.floor(F.col("chunk") * parts / RANGES), lambda x: Keys(np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in x.column("data").to_pylist()]))))
+    parts = min(max(-(-n // (8 * SLOTS)), 1), RANGES)
+    built, size = blocks(candidates, F.floor(F.col("chunk") * parts / RANGES), lambda x: Keys(np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in x.column("data").to_pylist()]))))
+    return Blocks(built, parts, size)
+
+
+def ranges(keys: np.ndarray) -> np.ndarray:
+    """The range of each key, by its hash."""
+    return (mix(keys + U64(1)) >> U64(32)) % U64(RANGES)
+
+
+class Blocks:
+    """Blocks of pair candidates, each with a part of the ranges of keys."""
+
+    def __init__(self, of: dict, parts: int, size: int):
+        self.of, self.parts, self.size = of, parts, size
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys, or -1; a key is looked up in one block."""
+        if self.parts == 1 and self.of:
+            return self.of[0].value.slots(keys)
+        out, part = np.full(len(keys), -1), ranges(keys) * U64(self.parts) // U64(RANGES)
+        for p, block in self.of.items():
+            mine = np.flatnonzero(part == U64(p))
+            out[mine] = block.value.slots(keys[mine])
+        return out
+
+    def keys(self, slots: np.ndarray) -> np.ndarray:
+        out = np.empty(len(slots), np.uint64)
+        for block in self.of.values():
+            mine = np.flatnonzero((slots >= block.value.base) & (slots < block.value.base + len(block.value)))
+            out[mine] = block.value.keys[slots[mine] - block.value.base]
+        return out
 
 
 def numbered(rows: DataFrame, block) -> DataFrame:
@@ -237,29 +288,75 @@ def merged(a: bytes, b: bytes) -> bytes:
 NONE = np.uint32(0xFFFFFFFF)
 
 
-def sequence(batch: pa.RecordBatch) -> np.ndarray:
-    """The rows of a batch, one behind the other, each ended by a place without a slot."""
-    return np.frombuffer(b"".join(x + b"\xff\xff\xff\xff" for x in batch.column(0).to_pylist()), "<u4")
+def sequence(batch: pa.RecordBatch, keep: np.ndarray | None = None) -> np.ndarray:
+    """The rows of a batch, one behind the other, each ended by a place without a slot; slots that aren't to be kept are none."""
+    slots = np.frombuffer(b"".join(x + b"\xff\xff\xff\xff" for x in batch.column(0).to_pylist()), "<u4")
+    if keep is None:
+        return slots
+    out, at = np.full(len(slots), NONE), np.flatnonzero(slots != NONE)
+    at = at[keep[slots[at]]]
+    out[at] = slots[at]
+    return out
 
 
 def pairs(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places whose slot and the next one exist, and their keys."""
-    at = np.flatnonzero((slots[:-1] != NONE) & (slots[1:] != NONE))
+    some = slots != NONE
+    at = np.flatnonzero(some[:-1] & some[1:])
     return at, slots[at].astype(np.uint64) << U64(32) | slots[at + 1].astype(np.uint64)
 
 
-def gathered(batches, chosen):
-    """Distinct chosen keys of pairs with their counts, of as many batches as `GATHERED` holds."""
-    held, size = [], 0
+class Kept:
+    """Slots of a level that are frequent, as broadcast bits; without bits, all are."""
+
+    def __init__(self, spark, bits: np.ndarray | None = None):
+        self.bits = None if bits is None else spark.sparkContext.broadcast(bits)
+
+    def mask(self) -> np.ndarray | None:
+        return None if self.bits is None else np.unpackbits(self.bits.value).astype(bool)
+
+
+def gathered(batches, kept: Kept, chosen):
+    """What is chosen of the keys of pairs, of as many batches as `GATHERED` holds."""
+    keep = kept.mask()
+    waiting, size = [], 0
     for batch in batches:
-        keys = chosen(pairs(sequence(batch))[1])
-        held.append(keys)
-        size += len(keys)
+        waiting.append(chosen(pairs(sequence(batch, keep))[1]))
+        size += len(waiting[-1])
         if size >= GATHERED:
-            yield np.unique(np.concatenate(held), return_counts=True)
-            held, size = [], 0
+            yield np.concatenate(waiting)
+            waiting, size = [], 0
     if size:
-        yield np.unique(np.concatenate(held), return_counts=True)
+        yield np.concatenate(waiting)
+
+
+def packed(at: np.ndarray, n: np.ndarray, kind: str) -> bytes:
+    """Ascending places and their counts: gaps and counts, first bytes first, for most of the upper bytes are zeros that files and shuffles shorten."""
+    both = np.concatenate([np.diff(at, prepend=0), n]).astype(kind)
+    return both.view(np.uint8).reshape(len(both), -1).T.tobytes()
+
+
+def unpacked(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def added(arrays, kind: str, size: int) -> np.ndarray:
+    """The sum of packed arrays of one chunk."""
+    total = np.zeros(size, np.int64)
+    for x in arrays:
+        at, n = unpacked(x, kind)
+        total[at] += n  # places are distinct
+    return total
+
+
+def chunks(at: np.ndarray, n: np.ndarray, kind: str, size: int):
+    """Chunks of ascending places, and each one's packed array."""
+    at = at.astype(np.int64)
+    starts = np.flatnonzero(np.diff(at // size, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(at)]):
+        chunk = int(at[a]) // size
+        yield chunk, packed(at[a:b] - chunk * size, n[a:b], kind)
 
 
 def tree(rows: DataFrame, parts: int, joined) -> DataFrame:
@@ -276,31 +373,25 @@ def tree(rows: DataFrame, parts: int, joined) -> DataFrame:
             return rows.select("chunk", "data")
 
 
-def tree_sum(rows: DataFrame, count, kind: str) -> DataFrame:
-    """chunk, data: the arrays that `count` makes of each partition's batches, summed as a tree; bytes stop at 255."""
-    from pyspark import TaskContext
-
-    def work(batches):
-        total = count(batches)
-        for k in range(0, len(total), CHUNK):
-            part = total[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["chunk", "part", "data"])
+def tree_sum(rows: DataFrame, parts: int) -> DataFrame:
+    """chunk, data: the packed arrays of all parts, summed as a tree."""
 
     def add(arrays):
-        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in arrays)
-        return np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes()
+        total = added(arrays, "<u8", CHUNK)
+        at = np.flatnonzero(total)
+        return packed(at, total[at], "<u8")
 
-    return tree(rows.mapInArrow(work, "chunk long, part long, data binary"), rows.rdd.getNumPartitions(), add)
+    return tree(rows, parts, add)
 
 
-def tree_union(rows: DataFrame, chosen) -> DataFrame:
+def tree_union(rows: DataFrame, kept: Kept, chosen) -> DataFrame:
     """chunk, data: the distinct chosen keys of pairs, packed by ranges of their hash."""
     from pyspark import TaskContext
 
     def work(batches):
-        for keys, _ in gathered(batches, chosen):
-            place = (mix(keys + U64(1)) >> U64(32)) % U64(RANGES)
+        for keys in gathered(batches, kept, chosen):
+            keys = np.unique(keys)
+            place = ranges(keys)
             order = np.argsort(place, kind="stable")
             keys, ends = keys[order], np.searchsorted(place[order], np.arange(RANGES + 1).astype(np.uint64))
             some = np.flatnonzero(np.diff(ends))
@@ -313,107 +404,114 @@ def tree_union(rows: DataFrame, chosen) -> DataFrame:
     return tree(rows.mapInArrow(work, "chunk long, part long, data binary"), rows.rdd.getNumPartitions(), add)
 
 
-def screened(rows: DataFrame, least: int, places: int, turn: int, turns: int) -> DataFrame:
-    """chunk, data: the distinct pairs of this turn whose hash is that of `least` pairs or more, packed."""
+def bits_of(rows: DataFrame, size: int, first: int = 0) -> np.ndarray:
+    """The bits of rows (chunk, bits) as one array of `size` bits from chunk `first` on."""
+    out = np.zeros(-(-size // 8), np.uint8)
+    for row in rows.collect():  # `size` bits at most
+        to = out[(row.chunk - first) * CHUNK // 8 :][: len(row.bits)]
+        to[:] = np.frombuffer(row.bits, np.uint8)[: len(to)]
+    return out
+
 
-    def mine(keys):
-        return keys[mix(keys + U64(77)) % U64(turns) == U64(turn)] if turns > 1 else keys
+def screened(rows: DataFrame, kept: Kept, least: int, total: int) -> DataFrame:
+    """chunk, data: the distinct pairs whose hash is that of `least` pairs or more, packed; `total` phrases are in the rows."""
+    places = max(1 << int(total // LOAD).bit_length(), 1 << 12, CHUNK)
+    mask = U64(places - 1)
 
     def place(keys):
-        return (mix(keys) % U64(places)).astype(np.int64)
+        return mix(keys) & mask
 
     def count(batches):
-        total = np.zeros(places, np.uint8)
-        for keys, n in gathered(batches, mine):
-            at, back = np.unique(place(keys), return_inverse=True)
-            n = np.bincount(back, weights=n).astype(np.int64)
-            total[at] = np.minimum(total[at] + n, 255)
-        return total
-
-    def reached(batches):
-        for batch in batches:
-            bits = [np.packbits(np.frombuffer(x, np.uint8) >= min(least, 255)).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
-
-    bits = np.zeros(-(-places // 8), np.uint8)  # FILTER / 8 bytes at most
-    for row in tree_sum(rows, count, "u1").mapInArrow(reached, "chunk long, bits binary").toLocalIterator():
-        bits[row.chunk * CHUNK // 8 :][: len(row.bits)] = np.frombuffer(row.bits, np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def likely(keys):
-        keys = mine(keys)
-        at = place(keys)
-        return keys[(shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1]
+        for keys in gathered(batches, kept, place):
+            at, n = np.unique(keys.astype(np.uint32) if places <= 1 << 32 else keys, return_counts=True)
+            numbers, data = zip(*chunks(at, n, "<u4", CHUNK))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["chunk", "data"])
+
+    def reached(key, found):  # `LOAD` counts a place at most, on average
+        bits = np.packbits(added(found.column("data").to_pylist(), "<u4", CHUNK) >= least)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes() if bits.any() else None], pa.binary())})
+
+    bits = materialize(rows.mapInArrow(count, "chunk long, data binary").groupBy("chunk").applyInArrow(reached, "chunk long, bits binary").filter("bits is not null"))
+    found = None
+    for turn in range(-(-places // FILTER)):
+        first = turn * FILTER // CHUNK
+        shared = rows.sparkSession.sparkContext.broadcast(bits_of(bits.filter(F.col("chunk").between(first, first + FILTER // CHUNK - 1)), min(places, FILTER), first))
+
+        def likely(keys, shared=shared, turn=turn):
+            at = place(keys)
+            if places > FILTER:
+                mine = at // U64(FILTER) == U64(turn)
+                keys, at = keys[mine], at[mine] % U64(FILTER)
+            return keys[held(shared.value, at)]
+
+        more = tree_union(rows, kept, likely)
+        found = more if found is None else found.unionByName(more)
+    out = materialize(found)
+    discard(bits)
+    return out
 
-    return tree_union(rows, likely)
 
+def looked_up(rows: DataFrame, kept: Kept, of: Blocks) -> DataFrame:
+    """seq: the slots of pairs that follow each other, runs of them parted by a place without a slot; or chunk, part, data: a task's counts of all slots."""
+    from pyspark import TaskContext
 
-def looked_up(rows: DataFrame, of: list) -> DataFrame:
-    """seq: the slots of the pairs that begin at each place."""
+    schema = pa.schema([("seq", pa.binary()), ("chunk", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
     def work(batches):
+        keep = kept.mask()
+        total, waiting, size = np.zeros(of.size, np.int64), [], 0
         for batch in batches:
-            slots = sequence(batch)
-            at, keys = pairs(slots)
-            out = np.full(len(slots), NONE, np.uint32)
-            for block in of:
-                found = block.value.slots(keys)
-                out[at[found >= 0]] = found[found >= 0]
-            ends = np.cumsum(pc.binary_length(batch.column(0)).to_numpy() // 4 + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([out[a : b - 1].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)], pa.binary())], ["seq"])
-
-    return rows.mapInArrow(work, "seq binary")
-
-
-def counted(rows: DataFrame, block, least: int) -> DataFrame:
-    """slot, p, s, a: the candidates of a block that occur often enough, with the slots they are made of."""
-    base, size = block.value.base, len(block.value)
-
-    def count(batches):
-        total, held, n = np.zeros(size, np.int64), [], 0
-        for batch in batches:
-            slots = sequence(batch)
-            slots = slots[slots != NONE].astype(np.int64) - base
-            held.append(slots[(slots >= 0) & (slots < size)])
-            n += len(held[-1])
-            if n >= GATHERED:
-                total += np.bincount(np.concatenate(held), minlength=size)
-                held, n = [], 0
-        return total + np.bincount(np.concatenate([np.empty(0, np.int64), *held]), minlength=size)
+            at, keys = pairs(sequence(batch, keep))
+            slots = of.slots(keys)
+            some = slots >= 0
+            at, slots = at[some], slots[some]
+            waiting.append(slots)
+            size += len(slots)
+            if size >= max(GATHERED, of.size):
+                total += np.bincount(np.concatenate(waiting), minlength=of.size)
+                waiting, size = [], 0
+            # a slot without a neighbour is in no longer phrase
+            next_to = np.diff(at) == 1
+            near = np.concatenate([[False], next_to]) | np.concatenate([next_to, [False]]) if len(at) else some[:0]
+            at, slots = at[near], slots[near]
+            if len(at):
+                shift = np.cumsum(np.diff(at, prepend=at[0] - 1) != 1)
+                line = np.full(len(at) + shift[-1], NONE)
+                line[np.arange(len(at)) + shift] = slots
+                yield pa.RecordBatch.from_arrays([pa.array([line.tobytes()], pa.binary()), *(pa.nulls(1, x.type) for x in list(schema)[1:])], schema=schema)
+        if size:
+            total += np.bincount(np.concatenate(waiting), minlength=of.size)
+        at = np.flatnonzero(total)
+        for chunk, data in chunks(at, total[at], "<u8", CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([chunk]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([data], pa.binary())], schema=schema)
+
+    return rows.mapInArrow(work, "seq binary, chunk long, part long, data binary")
+
+
+def counted(sums: DataFrame, of: Blocks, least: int) -> tuple[DataFrame, Kept]:
+    """slot, p, s, a: the candidates that occur often enough, with the slots they are made of; and which they are."""
 
     def read(batches):
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.frombuffer(data, np.int64)
-                often = np.flatnonzero(n >= least)
-                keys = block.value.keys[chunk * CHUNK + often]
-                columns = (chunk * CHUNK + often + base, (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64), n[often])
+                at, n = unpacked(data, "<u8")
+                slots, n = at[n >= least] + chunk * CHUNK, n[n >= least]
+                keys = of.keys(slots)
+                columns = (slots, (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64), n)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["slot", "p", "s", "a"])
 
-    return tree_sum(rows, count, "i8").mapInArrow(read, "slot long, p long, s long, a long")
-
-
-def frequent_only(rows: DataFrame, block, frequent: DataFrame) -> DataFrame:
-    """seq without the slots of a block that aren't frequent."""
-    base, size = block.value.base, len(block.value)
-    mask = np.zeros(size, bool)
-    for row in frequent.select("slot").toLocalIterator():  # slots of one block
-        mask[row.slot - base] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
-
-    def work(batches):
+    def bits(batches):
         for batch in batches:
-            keep = np.unpackbits(shared.value, count=size).astype(bool)
             out = []
-            for x in batch.column(0).to_pylist():
-                slots = np.frombuffer(x, "<u4").copy()
-                at = slots.astype(np.int64) - base
-                here = (at >= 0) & (at < size)
-                slots[np.flatnonzero(here)[~keep[at[here]]]] = NONE
-                out.append(slots.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["seq"])
+            for data in batch.column(1).to_pylist():
+                at, n = unpacked(data, "<u8")
+                often = np.zeros(CHUNK, bool)
+                often[at] = n >= least
+                out.append(np.packbits(often).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "bits"])
 
-    return rows.mapInArrow(work, "seq binary")
+    found = materialize(sums.mapInArrow(read, "slot long, p long, s long, a long"))
+    return found, Kept(sums.sparkSession, bits_of(sums.mapInArrow(bits, "chunk long, bits binary"), of.size))
 
 
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -440,29 +538,22 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, share: int = 10
     for block in of:
         known = known.unionByName(listed(spark, block))
     known = materialize(known.select("*", F.array().cast("array<long>").alias("ls"), F.array().cast("array<long>").alias("rs")))
-    places = min(max(1 << int(total // LOAD).bit_length(), 1 << 12), FILTER)
-    turns = max(-(-total // (FILTER * LOAD)), 1)
     levels: list[tuple[DataFrame, DataFrame]] = []
+    kept, written = Kept(spark), lined
     for _ in range(2, longest + 1):
-        below = lined
-        candidates = None
-        for turn in range(turns):
-            found = screened(below, least, places, turn, turns)
-            candidates = found if candidates is None else candidates.unionByName(found)
-        candidates = materialize(candidates)
+        candidates = screened(lined, kept, least, total)
         of = key_blocks(candidates)
         discard(candidates)
-        if not of or not any(len(x.value) for x in of):
+        if not of.size:
             break  # no longer phrase can be frequent
-        lined = materialize(looked_up(below, of))
-        often = []
-        for block in of:
-            often.append(materialize(counted(lined, block, least)))
-        for block, frequent in zip(of, often):
-            lined = frequent_only(lined, block, frequent)
-        found = spark.createDataFrame([], "slot long, p long, s long, a long")
-        for x in often:
-            found = found.unionByName(x)
+        parts = lined.rdd.getNumPartitions()
+        made = materialize(looked_up(lined, kept, of))
+        discard(written)
+        written, lined = made, made.filter("seq is not null").select("seq")
+        sums = materialize(tree_sum(made.filter("chunk is not null").select("chunk", "part", "data"), parts))
+        found, kept = counted(sums, of, least)
+        discard(sums)
+        total = found.agg(F.sum("a")).first()[0] or 0
         p, s = known.alias("p"), known.alias("s")
         known = materialize(
             found.alias("f").join(p, F.col("f.p") == F.col("p.slot")).join(s, F.col("f.s") == F.col("s.slot")).select(

@@ -27,15 +27,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of spans of bytes, the same wherever they stand."""
+    up, down = powers(len(raw) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[raw] * up[: len(raw)])])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and the number of words of each text."""
     raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     white = _WHITE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], white]).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
-    up, down = powers(len(raw) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[raw] * up[: len(raw)])])
-    h = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    h = span_hashes(raw, begin, end)
     borders = np.cumsum([len(t) + 1 for t in texts])
     return h, np.diff(np.concatenate([[0], np.searchsorted(begin, borders)]))
 

@@ -115,6 +115,60 @@ def test_phrases(spark, docs, odd, empty, monkeypatch):
     assert found_phrases(small.repartition(5), least=4, longest=5) == want
 
 
+def test_rows_of_slots_are_read_once_for_all_blocks_and_counted_once_for_all_rounds(spark, docs, monkeypatch):
+    reads, stored = spark.sparkContext.accumulator(0), phrases.materialize
+
+    def tally(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    def counting(rows):
+        rows = stored(rows)
+        return rows.mapInArrow(tally, rows.schema) if "seq" in rows.columns and "text" not in rows.columns else rows
+
+    small = spark.createDataFrame([(r.lang, r.text) for r in docs.limit(40).collect()], "lang string, text string").coalesce(1)
+    monkeypatch.setattr(phrases, "materialize", counting)
+
+    def read(**constants):
+        before = reads.value
+        with monkeypatch.context() as patched:
+            for name, value in constants.items():
+                patched.setattr(phrases, name, value)
+            return found_phrases(small, least=4, longest=2), reads.value - before
+
+    want, once = read()
+    assert len(want) > 20 and read(SLOTS=50) == (want, once)
+    # 4 rounds gather candidates, and nothing else is done again
+    again, more = read(FILTER=1 << 10, CHUNK=1 << 10)
+    assert again == want and more <= once + 3 * 40
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(3)
+    for size, kind in ((1, "<u4"), (1 << 10, "<u4"), (1 << 10, "<u8")):
+        at = np.unique(rng.integers(0, 1 << 16, size))
+        n = rng.integers(1, 1 << (31 if kind == "<u4" else 40), len(at))
+        total = np.zeros(1 << 16, np.int64)
+        for chunk, data in phrases.chunks(at, n, kind, 1 << 12):
+            # what travels is in proportion to the places that occur, not to all places
+            assert len(data) == 2 * np.dtype(kind).itemsize * ((at >> 12) == chunk).sum()
+            total[chunk << 12 :][: 1 << 12] += phrases.added([data, data], kind, 1 << 12)
+        assert (np.flatnonzero(total) == at).all() and (total[at] == 2 * n).all()
+
+
+def test_keys_in_several_blocks(spark):
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 4000, dtype=np.uint64))
+    stored, part = keys[::2], phrases.ranges(keys[::2]) * np.uint64(3) // np.uint64(phrases.RANGES)
+    built, base = {}, 0
+    for p in (2, 0, 1):  # blocks are numbered as they come
+        block = phrases.Keys(stored[part == p].copy(), base)
+        built[p], base = spark.sparkContext.broadcast(block), base + len(block)
+    of = phrases.Blocks(built, 3, base)
+    got = of.slots(keys)
+    assert sorted(got[::2]) == list(range(base)) and (got[1::2] == -1).all() and (of.keys(got[::2]) == stored).all()
+
+
 def test_best_phrases(spark):
     rows = [("en", "b c", 9, 5), ("en", "a c", 9, 5), ("en", "é c", 9, 5), ("en", "z z", 10, 5), ("en", "y y", 9, 6), ("fr", "x x", 1, 1)]
     got = phrases.best(spark.createDataFrame(rows, "lang string, phrase string, a long, score long"), 4).collect()
